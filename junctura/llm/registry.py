@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.tokenfiles import op6_token_files
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
+    "op9_byte_bpe": op9_byte_bpe,
 }
 
 ORACLES = {"op5_exact_dedup": OP5_SQL}
