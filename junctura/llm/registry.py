@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
+from junctura.llm.nra import OP1_SQL, op1_top_k
 from junctura.llm.tokenfiles import op6_token_files
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES = {"op5_exact_dedup": OP5_SQL}
+ORACLES = {
+    "op1_top_k": OP1_SQL,
+    "op5_exact_dedup": OP5_SQL,
+}
