@@ -5,11 +5,13 @@ from __future__ import annotations
 from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.nra import OP1_SQL, op1_top_k
+from junctura.llm.quality import op2_quality
 from junctura.llm.tokenfiles import op6_token_files
 from junctura.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_quality": op2_quality,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
