@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
+from junctura.llm.neardup import op7_near_duplicates
 from junctura.llm.nra import OP1_SQL, op1_top_k
 from junctura.llm.quality import op2_quality
 from junctura.llm.tokenfiles import op6_token_files
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
