@@ -21,7 +21,7 @@ from junctura.llm.scratch import shuffle_partitions
 REQUEST_SCHEMA = "bucket int, chunk int, keys binary, weights binary"
 REPLY_SCHEMA = "chunk int, bucket int, keys binary, sums binary"
 #: Bytes of text in a chunk, about; and distinct keys in a bucket, about.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
 BUCKET_KEYS = 1 << 20
 
 
@@ -31,23 +31,25 @@ def chunk_count(docs: DataFrame, text_col: str = "text") -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-total // CHUNK_BYTES))
 
 
-def requests(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """A chunk's request rows; ``keys`` are distinct and in ascending order."""
+def requests(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int, first: int = 0) -> pa.RecordBatch:
+    """A chunk's request rows; ``keys`` are distinct and in ascending order. Buckets are numbered from ``first``."""
     width = (1 << 64) // buckets + 1
     edges = np.searchsorted(keys, np.array([b * width for b in range(1, buckets)], dtype=np.uint64)) if buckets > 1 else np.zeros(0, int)
     cuts = [0, *edges.tolist(), len(keys)]
     filled = [b for b in range(buckets) if cuts[b + 1] > cuts[b]]
     return pa.RecordBatch.from_pydict({
-        "bucket": pa.array(filled, pa.int32()),
+        "bucket": pa.array([first + b for b in filled], pa.int32()),
         "chunk": pa.array([chunk] * len(filled), pa.int32()),
         "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
         "weights": pa.array([weights[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in filled], pa.binary()),
     })
 
 
-def sum_by_key(asked: DataFrame, least: int = 1) -> DataFrame:
+def sum_by_key(asked: DataFrame, least: int = 1, news_only: bool = False) -> DataFrame:
     """For each request row the keys whose sum over all chunks is at least ``least``, and those sums.
 
+    news_only: without the keys whose sum is the weight that the chunk gave itself.
+
     Rows with chunk -1 describe a bucket: ``keys`` is empty and ``sums`` holds, as four 64-bit numbers, the sum of all
     its weights, its distinct keys with any weight, and those of weight 1 and 2.
     """

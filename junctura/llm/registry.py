@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from junctura.llm.backoff import op3_lm_scores
 from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.neardup import op7_near_duplicates
@@ -13,6 +14,7 @@ from junctura.llm.toxicity import op4_toxicity
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_quality": op2_quality,
+    "op3_lm_scores": op3_lm_scores,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
