@@ -8,6 +8,7 @@ from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.neardup import op7_near_duplicates
 from junctura.llm.nra import OP1_SQL, op1_top_k
 from junctura.llm.quality import op2_quality
+from junctura.llm.tokencounts import op8_token_counts
 from junctura.llm.tokenfiles import op6_token_files
 from junctura.llm.toxicity import op4_toxicity
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_token_files": op6_token_files,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
