@@ -86,8 +86,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows whose text is the first of its kind; columns as given."""
-    marks = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(marks, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    kept = exact_dedup(docs, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__digest")).distinct()
+    here = F.col(id_col).eqNullSafe(F.col("__id")) & (text_digest(F.col(text_col)) == F.col("__digest"))
+    return docs.join(kept, here, "left_semi")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

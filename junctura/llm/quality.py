@@ -247,6 +247,18 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     return rows.mapInArrow(run, f"doc_id {id_type}, score double, predicted int")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
+    """The input rows that the model accepts, columns as given; see :func:`score_quality` for texts without lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                part = batch.slice(k, 2000)
+                yield part.filter(pa.array(model.scores(part.column(text_col)) >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train_quality(docs, labels, remainder(F.col("doc_id"), 3) != 1)

@@ -7,6 +7,7 @@ from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.neardup import op7_near_duplicates
 from junctura.llm.nra import OP1_SQL, op1_top_k
+from junctura.llm.packing import op10_best_fit_packing
 from junctura.llm.quality import op2_quality
 from junctura.llm.tokencounts import op8_token_counts
 from junctura.llm.tokenfiles import op6_token_files
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLES = {

@@ -14,6 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +141,18 @@ def score_toxicity(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", t
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 
 
+def drop_toxic(docs: DataFrame, model: NgramModel, text_col: str = "text") -> DataFrame:
+    """The input rows that the model doesn't find toxic, columns as given; null texts count as empty."""
+    shipped = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = NgramModel(*shipped.value)
+        for batch in batches:
+            yield batch.filter(pa.array([local.score(t.as_py() or "") < 0.5 for t in batch.column(text_col)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     model = train_toxicity(docs, labels, remainder(F.col("doc_id"), 5) != 0)
