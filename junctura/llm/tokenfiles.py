@@ -12,6 +12,8 @@ executors and any store that Spark writes to will do; the payload is the format
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +28,8 @@ from junctura.llm.scratch import new_path, shuffle_partitions
 BLOCK = 1024
 #: Ids after which a group is closed; one document may exceed it, as documents are not cut.
 GROUP_IDS = 1 << 18
-#: Distinct strings remembered by one task.
-MEMO = 400_000
+#: Distinct strings remembered by one Python worker.
+MEMO = 1_000_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -76,35 +78,95 @@ def read_ids(payload: bytes, block_offsets: np.ndarray, bits: int, start: int, n
     return np.concatenate(out)
 
 
+#: Letters that are alone in their normal form and have one lower-case letter, then ASCII without letters.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+PLAIN = re.compile(f"([{LETTERS}]+)([!-@\\[-`{{-~]*)")
+
+
 class ChunkedTokenizer:
     """The ids that a ``tokenizers`` model gives a text, made from the ids of its stretches without white space.
 
-    Valid for models that drop white space before their merges and let no token span it; each distinct stretch is
-    encoded by the library once while it is remembered.
+    Valid for models that drop white space before their merges and let no token span it. Each distinct stretch is
+    encoded by the library once while it is remembered: new ones are handed over together, a mark between them that the
+    model gives an id of its own, so that the ids can be told apart.
     """
 
+    MARK = b"\x01"
+
     def __init__(self, model_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = (chr(c) for c in range(256) if re.match(f"[{LETTERS}]", chr(c)))
+        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in plain}
         self.model = Tokenizer.from_str(model_json)
         self.model.encode_special_tokens = True
+        self.mark_ids = self._ids(self.MARK.decode())
         self.memo: dict[bytes, bytes] = {}
 
-    def encode_many(self, texts: list[str], end_id: int) -> list[np.ndarray]:
-        """The ids of each text, followed by ``end_id``."""
-        split = [t.encode().split() for t in texts]  # at ASCII white space alone; the library sees any other kind
-        new = list({w for words in split for w in words if w not in self.memo})
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
+
+    def learn(self, words: list[bytes]) -> None:
+        """Remember the ids of new stretches.
+
+        A stretch of plain letters and a tail without letters is two lots of the model's words; the letters go straight
+        to the merges, written as the library writes their bytes.
+        """
+        merge, lasting, others = self.model.model.tokenize, {}, []
+        for word in words:
+            found = PLAIN.fullmatch(word.decode())
+            if not found:
+                others.append(word)
+                continue
+            stem, tail = found.groups()
+            ids = np.array([t.id for t in merge(stem.lower().translate(self.letters))], dtype=np.uint32).tobytes()
+            if tail and tail not in lasting:
+                lasting[tail] = self._ids(tail).tobytes()
+            self.memo[word] = ids + lasting[tail] if tail else ids
+        words = others
+        together = [w for w in words if self.MARK not in w] if len(self.mark_ids) == 1 else []
+        for k in range(0, len(together), 1024):
+            part = together[k : k + 1024]
+            ids = self._ids((b" " + self.MARK + b" ").join(part).decode())
+            marks = np.flatnonzero(ids == self.mark_ids[0])
+            if len(marks) != len(part) - 1:  # a stretch that the model gives the mark's id
+                words = [*words, *part]
+                continue
+            data, start = ids.tobytes(), 0
+            for word, stop in zip(part, [*marks.tolist(), len(ids)], strict=True):
+                self.memo[word] = data[4 * start : 4 * stop]
+                start = stop + 1
+        for word in words:
+            if word not in self.memo:
+                self.memo[word] = self._ids(word.decode()).tobytes()
+
+    def encode_many(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
+        """The ids of each text (in UTF-8), followed by ``end_id``."""
+        split = [t.split() for t in texts]  # at ASCII white space alone; the library sees any other kind
+        new = set().union(*split).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, encoded in zip(part, self.model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(encoded.ids, dtype=np.uint32).tobytes()
+            new = set().union(*split)
+        self.learn(list(new))
         end, get = np.uint32(end_id).tobytes(), self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype=np.uint32) for words in split]
 
 
+_loaded: dict[int, ChunkedTokenizer] = {}
+
+
+def tokenizer_for(model_json: str) -> ChunkedTokenizer:
+    """One tokenizer for all tasks that a Python worker runs, with what it remembers."""
+    key = zlib.crc32(model_json.encode())
+    if key not in _loaded:
+        _loaded.clear()
+        _loaded[key] = ChunkedTokenizer(model_json)
+    return _loaded[key]
+
+
 FILE_SCHEMA = (
     "shard int, seq int, bits int, n_ids long, doc_ids array<long>, doc_starts array<long>, block_offsets array<long>, payload binary"
 )
@@ -129,7 +191,7 @@ def write_token_files(
     ordered = rows.repartitionByRange(shards or shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, shard, seq = ChunkedTokenizer(model.value), TaskContext.get().partitionId(), 0
+        tokenizer, shard, seq = tokenizer_for(model.value), TaskContext.get().partitionId(), 0
         ids: list = []
         arrays: list[np.ndarray] = []
 
@@ -144,7 +206,7 @@ def write_token_files(
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                for doc_id, got in zip(part.column(0).to_pylist(), tokenizer.encode_many(part.column(1).to_pylist(), end_id), strict=True):
+                for doc_id, got in zip(part.column(0).to_pylist(), tokenizer.encode_many(part.column(1).cast(pa.binary()).to_pylist(), end_id), strict=True):
                     if arrays and held + len(got) > GROUP_IDS:
                         yield group()
                         seq, held, ids, arrays = seq + 1, 0, [], []
