@@ -1,0 +1 @@
+"""Junction calling between two genomes as PySpark DataFrame stages."""
