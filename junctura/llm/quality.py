@@ -224,7 +224,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_doc
     first_of = np.cumsum([0, *map(len, x)])
     features = np.concatenate(x).astype(float) if x else np.zeros((0, N_FEATURES))
     lengths = np.concatenate(n).astype(float) if n else np.zeros(0)
-    return fit_quality(features, lengths, first_of, np.array([int(r["label"] == 1) for r in got], dtype=int)) if got else fit_quality(features, lengths, first_of, np.zeros(1, int))
+    return fit_quality(features, lengths, first_of, np.array([int(r["label"] == 1) for r in got], dtype=int))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,8 +25,8 @@ from junctura.llm.scratch import materialize
 SAMPLE_DOCS = 20_000
 MAX_FEATURES = 20_000
 NGRAMS = (3, 4, 5, 6)
-#: Standard errors by which a log-count ratio must differ from 0.
-MIN_Z = 4.0
+#: Standard errors by which an n-gram's shares of the classes must differ, and in how many documents it must be.
+MIN_Z, MIN_COUNT, MIN_SHARE = 5.0, 5, 0.0005
 #: Distinct words remembered by one task, and the longest that are.
 MEMO, MEMO_CHARS = 300_000, 64
 
@@ -101,7 +101,10 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_do
     )
     p, q = F.col("p") + 0.5, F.col("q") + 0.5
     ratio = F.log(p / (bad + 1)) - F.log(q / (good + 1))
-    kept = grams.where(F.col("p") + F.col("q") >= 5).select("gram", ratio.alias("r"), (F.abs(ratio) / F.sqrt(1 / p + 1 / q)).alias("z"))
+    share = (F.col("p") + F.col("q")) / (bad + good)
+    apart = F.abs(F.col("p") / bad - F.col("q") / good) / F.sqrt(share * (1 - share) * (1 / bad + 1 / good))
+    often = F.col("p") + F.col("q") >= max(MIN_COUNT, MIN_SHARE * (bad + good))
+    kept = grams.where(often & (share < 1)).select("gram", ratio.alias("r"), apart.alias("z"))
     ratios = {r["gram"]: r["r"] for r in kept.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "gram").limit(max_features).collect()}
     index = {g: k for k, g in enumerate(sorted(ratios))}
 
