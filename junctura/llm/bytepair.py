@@ -144,19 +144,37 @@ class TreeBPE:
 
 
 class _Rendered(dict):
-    """Piece -> (its ids in decimal, joined by spaces; the bytes its ids decode to), made when first asked for."""
+    """Stretch -> (its ids in decimal, joined by spaces; the bytes its ids decode to), made when first asked for.
+
+    A stretch is what stands between two single spaces. The pattern's matches don't cross from its last character into
+    the space behind it, so it is encoded alone, with the space before it. One that is empty or begins or ends with
+    white space is not independent of its neighbours, and its value is None.
+    """
 
     def __init__(self, model: TreeBPE):
         super().__init__()
         self.model = model
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
-        ids = self.model.reduce(piece.encode())
-        value = (" ".join(map(str, ids)), self.model.decode(ids))
-        if len(piece) <= 256:
-            self[piece] = value
+    def render(self, text: str) -> tuple[str, bytes]:
+        ids = self.model.encode(text)
+        return " ".join(map(str, ids)), self.model.decode(ids)
+
+    def __missing__(self, stretch: str) -> tuple[str, bytes] | None:
+        alone = stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
+        value = self.render(" " + stretch) if alone else None
+        if len(stretch) <= 256:
+            self[stretch] = value
         return value
 
+    def whole(self, text: str) -> tuple[str, bytes]:
+        """The same for a whole text."""
+        first, *rest = text.split(" ")
+        found = [self[s] for s in rest]
+        if None in found or (rest and (first == "" or first[-1].isspace())):
+            return self.render(text)
+        head = self.render(first)
+        return " ".join([head[0], *[x[0] for x in found]]), b"".join([head[1], *[x[1] for x in found]])
+
 
 def encode_column(df: DataFrame, ranks_data: bytes, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with an array column of ids; null texts count as empty and have no ids. Other columns pass through."""
@@ -197,15 +215,14 @@ def roundtrip_digests(docs: DataFrame, ranks_data: bytes, pattern: str, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = TreeBPE(parse_ranks(shipped.value), pattern)
-        split, rendered = model.pattern.findall, _Rendered(model)
+        rendered = _Rendered(model)
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1):
-                found = [rendered[p] for p in split(text.as_py())]
-                joined = " ".join([x[0] for x in found])
+                joined, decoded = rendered.whole(text.as_py())
                 counts.append(joined.count(" ") + 1 if joined else 0)
                 ids_digests.append(hashlib.sha256(joined.encode()).hexdigest())
-                text_digests.append(hashlib.sha256(b"".join([x[1] for x in found])).hexdigest())
+                text_digests.append(hashlib.sha256(decoded).hexdigest())
                 if len(rendered) > MEMO:
                     rendered.clear()
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from junctura.llm.bytepair import TreeBPE, decode_column, encode_column, parse_ranks, roundtrip_digests
+from junctura.llm.bytepair import TreeBPE, _Rendered, decode_column, encode_column, parse_ranks, roundtrip_digests
 
 DATA = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
 RANKS = parse_ranks(DATA)
@@ -30,6 +30,17 @@ def test_long_pieces_match(model):
         assert model.decode(model.encode(text)) == text.encode()
 
 
+def test_whole_texts_by_stretches(model):
+    rng = random.Random(11)
+    rendered = _Rendered(model)
+    parts = ["the", "it's", " ", "  ", "\n", "a.b", "\t", "ßé", "12", "\u00a0", "\u2003", "!!", "x\ny", "\x1c", ""]
+    for _ in range(3000):
+        text = rng.choice(["", " "]).join(rng.choices(parts, k=rng.randint(0, 8)))
+        ids, data = rendered.whole(text)
+        assert ids == " ".join(map(str, ORACLE.encode_ordinary(text))), repr(text)
+        assert data == text.encode()
+
+
 def test_join_is_associative(model):
     rng = random.Random(3)
     for _ in range(200):
