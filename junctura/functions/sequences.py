@@ -20,10 +20,9 @@ def oriented(s: Column, reverse: Column) -> Column:
 
 
 def kmers(s: Column, k: int) -> Column:
-    """Array of ``(pos, kmer)`` for every position with a whole k-mer; empty for shorter texts."""
-    last = F.length(s) - F.lit(k)
-    positions = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(positions, lambda p: F.struct(p.alias("pos"), F.substring(s, p + 1, F.lit(k)).alias("kmer")))
+    """Array of the k-mers at every position, in order; empty for shorter texts. Null gives null."""
+    # One pass of the regex engine: a lookahead matches at each position without using it up.
+    return F.regexp_extract_all(s, F.lit(rf"(?s)(?<![\x{{D800}}-\x{{DBFF}}])(?=(.{{{k}}}))"), F.lit(1))
 
 
 def seed_keys(kmer: Column, k: int = 18, block: int = 3) -> Column:

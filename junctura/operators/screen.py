@@ -14,8 +14,8 @@ def seed_index(references: DataFrame, cfg: JunctionConfig, seq: str = "seq", str
     text = F.upper(F.col(seq))
     both = F.array(text, reverse_complement(text)) if strands else F.array(F.col(seq))
     each = references.select(F.explode(both).alias("s"))
-    keyed = each.select(F.explode(kmers(F.col("s"), cfg.seed_length)).alias("k"))
-    keyed = keyed.select(F.explode(seed_keys(F.col("k.kmer"), cfg.seed_length, cfg.seed_block)).alias("x")).select("x.mask", "x.seed")
+    keyed = each.select(F.explode(kmers(F.col("s"), cfg.seed_length)).alias("kmer"))
+    keyed = keyed.select(F.explode(seed_keys(F.col("kmer"), cfg.seed_length, cfg.seed_block)).alias("x")).select("x.mask", "x.seed")
     if informative:
         keyed = keyed.where(max_base_count(F.col("seed")) < cfg.max_seed_base)
     return keyed.distinct()
@@ -24,7 +24,7 @@ def seed_index(references: DataFrame, cfg: JunctionConfig, seq: str = "seq", str
 def seed_hits(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str = "seq") -> DataFrame:
     """``keys, hits``: positions of each read at which one of the masked seeds is in the index; reads without any are absent."""
     k, block = cfg.seed_length, cfg.seed_block
-    at = reads.select(*keys, F.explode(kmers(F.col(seq), k)).alias("k")).select(*keys, "k.pos", F.explode(seed_keys(F.col("k.kmer"), k, block)).alias("x"))
+    at = reads.select(*keys, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer")).select(*keys, "pos", F.explode(seed_keys(F.col("kmer"), k, block)).alias("x"))
     found = at.select(*keys, "pos", "x.mask", "x.seed").join(index, ["mask", "seed"], "left_semi")
     return found.groupBy(*keys).agg(F.count_distinct("pos").alias("hits"))
 

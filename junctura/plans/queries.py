@@ -55,8 +55,8 @@ SELECT item_id, count(*) AS n_seeds, count(*) FILTER (greatest(15 - length(repla
 def seed_low_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bound 7 where the operator's default is 13, as letters drawn from prose are seldom nearly one base."""
     seqs = table(spark, sf_dir, "benchmark").select("item_id", V.dna(F.col("text")).alias("s"))
-    seeds = seqs.select("item_id", F.explode(S.kmers(F.col("s"), 15)).alias("k"))
-    return seeds.groupBy("item_id").agg(F.count("*").alias("n_seeds"), F.count_if(S.max_base_count(F.col("k.kmer")) >= 7).alias("n_low"))
+    seeds = seqs.select("item_id", F.explode(S.kmers(F.col("s"), 15)).alias("kmer"))
+    return seeds.groupBy("item_id").agg(F.count("*").alias("n_seeds"), F.count_if(S.max_base_count(F.col("kmer")) >= 7).alias("n_low"))
 
 
 @query(f"""SELECT doc_id, md5(translate(reverse({V.DNA.format("text")}), 'ACGT', 'TGCA')) AS rc_md5, length({V.DNA.format("text")}) AS n FROM documents""")
@@ -531,8 +531,8 @@ def _hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = V.dna_lines(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select("item_id", V.dna(F.col("text")).alias("ref"))
     k = CFG.seed_length
-    seeds = items.select("item_id", F.explode(S.kmers(F.col("ref"), k)).alias("k")).select("item_id", F.col("k.kmer").alias("kmer")).distinct()
-    at = lines.select("doc_id", "line", F.explode(S.kmers(F.col("s"), k)).alias("k")).select("doc_id", "line", F.col("k.kmer").alias("kmer"))
+    seeds = items.select("item_id", F.explode(S.kmers(F.col("ref"), k)).alias("kmer")).distinct()
+    at = lines.select("doc_id", "line", F.explode(S.kmers(F.col("s"), k)).alias("kmer"))
     pairs = at.join(seeds, "kmer").select("doc_id", "line", "item_id").distinct()
     return pairs.join(lines, ["doc_id", "line"]).join(items, "item_id")
 
