@@ -12,13 +12,15 @@ What keeps lists short without losing links:
   6.5 standard deviations below the mean, where fewer than one pair in ten thousand million is missed. A passage that a
   third of all documents carry is thus left out, unless it makes up nearly all of a document;
 * in a list longer than LONG_LIST every member is first compared with one pivot, and after the links so found only
-  members of different components with each other. Copies by the thousand meet their pivot and not each other.
+  members of different components with each other. Copies by the thousand meet their pivot and not each other;
+* larger sets that meet in such lists without being joined are listed again by their whole sets, without a sample's
+  margin.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,8 @@ from junctura.llm.scratch import materialize, shuffle_partitions
 WORDS, PERCENT = 5, 85
 #: Values in a sketch.
 K = 256
+#: As a sketch size: sets are kept whole.
+NO_SKETCH = 1 << 30
 #: Standard deviations that sampling may be off.
 SIGMAS = 6.5
 #: Members from which a list goes by a pivot.
@@ -101,7 +105,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
-    """``value, rep, n, pos, size``: the lists that each class enters, its place ``pos`` in the class's order by rarity."""
+    """``value, rep, n, pos, size``: the lists that each class enters, its place ``pos`` in the class's order by rarity.
+
+    For each class that enters any list there is one more row, with its ``sketch`` (else null), so that later joins carry
+    the sketches of such classes alone.
+    """
     spark = classes.sparkSession
     total = classes.agg(F.sum(F.least(F.col("n"), F.lit(k))).alias("s")).first()["s"] or 0
     buckets = max(shuffle_partitions(spark), -(-total // BUCKET_KEYS))
@@ -115,6 +123,7 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     def rank(key: tuple, own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         keys, sums = lookup(replies)
         out: dict[str, list[np.ndarray]] = {"value": [], "rep": [], "n": [], "pos": [], "size": []}
+        sketches: list[tuple] = []
         for rep, n, sketch in zip(own["rep"], own["n"], own["sketch"], strict=True):
             values = np.frombuffer(sketch, dtype=np.uint64)
             often = find(keys, sums, values)  # 0 stands for once
@@ -126,12 +135,15 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
             ordered = shared[np.lexsort((values[shared], often[shared]))][:room]
             for name, column in (("value", values[ordered].view(np.int64)), ("rep", np.full(len(ordered), rep)), ("n", np.full(len(ordered), n)), ("pos", np.arange(alone, alone + len(ordered))), ("size", np.full(len(ordered), len(values)))):
                 out[name].append(column)
-        return pd.DataFrame({name: np.concatenate(parts) if parts else np.zeros(0, np.int64) for name, parts in out.items()})
+            sketches.append((0, rep, n, 0, len(values), sketch))
+        entries = pd.DataFrame({name: np.concatenate(parts) if parts else np.zeros(0, np.int64) for name, parts in out.items()})
+        entries["sketch"] = None
+        return pd.concat([entries, pd.DataFrame(sketches, columns=entries.columns)]) if sketches else entries
 
     asked = classes.select("chunk", "sketch").mapInArrow(ask, REQUEST_SCHEMA)
     replies = sum_by_key(asked, least=2).where("chunk >= 0")
     own = classes.select("chunk", "rep", "n", "sketch")
-    return own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(rank, "value long, rep long, n long, pos long, size long")
+    return own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(rank, "value long, rep long, n long, pos long, size long, sketch binary")
 
 
 def _may_link(x: str, y: str, k: int, percent: int) -> Column:
@@ -200,22 +212,14 @@ def verified_links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col
     return sure.union(checked)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept``, one row per input row.
-
-    ``component_id`` is the smallest id that links lead to, the row's own included; ``kept`` marks the row of that id.
+def list_links(classes: DataFrame, judge: Callable[[DataFrame, DataFrame], DataFrame], k: int, percent: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Links ``a, b`` found through the lists of ``classes``, and the ``rep`` of classes for which the lists may be too wide.
 
-    * rows without words (null, empty and blank texts) are linked with nothing and kept;
-    * rows that repeat an id count as one document, so links of any of their texts are links of all;
-    * rows with a null id can't be named: they have a null component, take no part in links and are kept;
-    * an empty table gives an empty result; only the two named columns are read.
+    judge: of pairs, and the classes with their sketches, keeps the pairs that are links. whole: sets up to so many values are in their sketch as they are; in lists
+    with a pivot, larger ones are compared with the pivot only and returned as open where that hasn't joined them all.
     """
-    signed = materialize(signatures(docs, id_col, text_col, k, words), "signatures")
-    keys = ["n_shingles", "d1", "d2"]
-    grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
-    numbered = grouped.select(F.spark_partition_id().alias("chunk"), "rep", F.col("n_shingles").alias("n"), "d1", "d2", "sketch")
-    classes = materialize(numbered, "classes")
-    entries = materialize(list_entries(classes, k, percent), "list-entries")
+    found = materialize(list_entries(classes, k, percent), "list-entries")
+    entries, listed_classes = found.where("sketch IS NULL").drop("sketch"), found.where("sketch IS NOT NULL").select("rep", "n", "sketch")
     # A list's length, and as its pivot the member with the fewest values of its own.
     pivot = F.min(F.struct("pos", "rep", "n", "size")).alias("p")
     lists = materialize(entries.groupBy("value").agg(F.count("*").alias("members"), pivot).where("members > 1"), "lists")
@@ -226,18 +230,58 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     long = listed.where(F.col("members") > LONG_LIST)
     stars = long.select(F.struct("rep", "n", "pos", "size").alias("x"), F.col("p").alias("y")).where(F.col("x.rep") != F.col("y.rep")).where(_may_link("x", "y", k, percent)).select(*_pairs("x", "y"))
     first = materialize(met.union(stars).distinct(), "pairs")
-    links = materialize(verified_links(first, classes, docs, id_col, text_col, k, percent, words), "links")
+    links = materialize(judge(first, listed_classes), "links")
     labels = connected_components(links)
     # Members of long lists that no pivot has brought together.
     named = long.join(labels, long["rep"] == labels["node"], "left").select("value", "rep", "n", "pos", "size", F.coalesce("component", "rep").alias("component"))
     named = materialize(named, "long-lists")
     mixed = named.groupBy("value").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("value")
     apart = materialize(named.join(mixed, "value", "left_semi"), "mixed-lists")
-    rest = apart.alias("x").join(apart.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", k, percent))
+    exact = apart.where(F.col("n") <= whole)
+    rest = exact.alias("x").join(exact.alias("y"), (F.col("x.value") == F.col("y.value")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.component") != F.col("y.component")) & _may_link("x", "y", k, percent))
     second = materialize(rest.select(*_pairs("x", "y")).distinct().join(first, ["a", "b"], "left_anti"), "more-pairs")
-    more = materialize(verified_links(second, classes, docs, id_col, text_col, k, percent, words), "more-links")
-    if more.limit(1).count():
-        labels = connected_components(links.union(more))
+    more = materialize(judge(second, listed_classes), "more-links")
+    return links.union(more), apart.where(F.col("n") * 100 > whole * percent).select("rep").distinct()
+
+
+def whole_sets(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``chunk, rep, n, sketch`` with the whole shingle sets of the named documents in place of sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                sets = shingle_sets(part.column(1), words)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "n", "sketch"])
+
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(reps, "rep", "left_semi")
+    sets = texts.mapInArrow(run, "rep long, n long, sketch binary").where("n > 0")
+    return materialize(sets.select(F.spark_partition_id().alias("chunk"), "rep", "n", "sketch"), "whole-sets")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept``, one row per input row.
+
+    ``component_id`` is the smallest id that links lead to, the row's own included; ``kept`` marks the row of that id.
+
+    * rows without words (null, empty and blank texts) are linked with nothing and kept;
+    * rows that repeat an id count as one document, so links of any of their texts are links of all;
+    * rows with a null id can't be named: they have a null component, take no part in links and are kept;
+    * an empty table gives an empty result; only the two named columns are read.
+    """
+    signed = materialize(signatures(docs, id_col, text_col, k, words), "signatures")
+    keys = ["n_shingles", "d1", "d2"]
+    grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
+    numbered = grouped.select(F.spark_partition_id().alias("chunk"), "rep", F.col("n_shingles").alias("n"), "d1", "d2", "sketch")
+    classes = materialize(numbered, "classes")
+    links, wide = list_links(classes, lambda pairs, listed: verified_links(pairs, listed, docs, id_col, text_col, k, percent, words), k, percent, k)
+    if wide.limit(1).count():
+        # A sample's margin lets documents into lists of values that are common to much less than PERCENT of them;
+        # the lists of whole sets have no margin.
+        sets = whole_sets(wide, docs, id_col, text_col, words)
+        exact, _ = list_links(sets, lambda pairs, listed: verified_links(pairs, listed, docs, id_col, text_col, NO_SKETCH, percent, words), NO_SKETCH, percent, NO_SKETCH)
+        links = links.union(exact)
+    labels = connected_components(links)
     # Ids that stand for several classes (rows that repeat an id) are joined by being one node.
     component = classes.join(labels, classes["rep"] == labels["node"], "left").select(F.col("n").alias("n_"), F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), F.coalesce("component", "rep").alias("found"))
     component = materialize(component, "class-components")
