@@ -382,7 +382,7 @@ def unique_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.unique_reads(_edge_reads(spark, sf_dir), V.EDGE)
 
 
-@query(f"""WITH {V.EDGES}, s AS (SELECT *, frag_id // 2 AS read_id, CASE WHEN frag_id % 3 = 0 THEN 1 + frag_id % 2 END AS seg FROM edge_reads),
+@query(f"""WITH {V.EDGES}, s AS (SELECT DISTINCT {_E}, frag_id // 2 AS read_id, CASE WHEN frag_id % 3 = 0 THEN 1 + frag_id % 2 END AS seg FROM edge_reads),
 w AS (SELECT *, CASE WHEN seg IS NOT NULL AND count(*) OVER (PARTITION BY {_E}, read_id) > 1 THEN 0.5 ELSE 1.0 END AS x FROM s)
 SELECT {_E}, CAST(sum(x) + max(CASE WHEN seg IS NULL THEN 0 ELSE 1 END) AS DOUBLE) AS effective FROM w GROUP BY ALL HAVING sum(x) + max(CASE WHEN seg IS NULL THEN 0 ELSE 1 END) >= 4""")
 def effective_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
