@@ -19,10 +19,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.counting import BUCKET_KEYS, CHUNK_BYTES, REQUEST_SCHEMA, chunk_count, lookup, requests, sum_by_key
+from junctura.llm.counting import BUCKET_KEYS, CHUNK_BYTES, REQUEST_SCHEMA, chunk_count, requests, sum_by_key
 from junctura.llm.kernels import combine, mix, word_hashes
 from junctura.llm.labelled import remainder
 from junctura.llm.scratch import materialize, shuffle_partitions
@@ -105,10 +106,20 @@ def traverse(counts: list[np.ndarray], tokens: np.ndarray, first_of: np.ndarray,
     return np.add.reduceat(known.astype(np.int64), at), np.add.reduceat(base, at), np.add.reduceat(np.log10(p), at)
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are about to be shuffled twice."""
+    press = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        texts = pa.array([press(t.as_py().encode()) for t in batch.column("text")], pa.binary())
+        yield batch.set_column(2, "text", texts)
+
+
 def _chunk_tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All tokens of a chunk's texts, and the first of each text (one entry more than texts)."""
+    decompress = zstandard.ZstdDecompressor().decompress
     parts, first_of, count = [], [np.zeros(1, np.int64)], 0
-    for _, _, tokens, firsts in token_hashes(table.column("text")):
+    texts = pa.array([decompress(t.as_py()) for t in table.column("text")], pa.binary())
+    for _, _, tokens, firsts in token_hashes(texts.cast(pa.string())):
         parts.append(tokens)
         first_of.append(firsts[1:] + count)
         count += len(tokens)
@@ -136,38 +147,39 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     # A row's chunk depends on the row alone, so both passes, and tasks that are run again, make the same chunks.
     chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks)).cast("int")
-    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out")
+    id_type = rows.schema["doc_id"].dataType.simpleString()
+    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").mapInArrow(_compressed, f"chunk int, doc_id {id_type}, text binary, held_out boolean")
 
-    def counts_of(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        tokens, first_of = _chunk_tokens(table)
+    def counts_of(table: pa.Table, tokens: np.ndarray, first_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         counted = np.repeat(~np.asarray(table.column("held_out")), np.diff(first_of))
         for keys in gram_keys(tokens, first_of, order):
             yield distinct_weights(keys, counted)
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        asked = [requests(key[0].as_py(), distinct, weights, buckets, n * buckets) for n, (distinct, weights, _) in enumerate(counts_of(table))]
+        asked = [requests(key[0].as_py(), distinct, weights, buckets, n * buckets) for n, (distinct, weights, _) in enumerate(counts_of(table, *_chunk_tokens(table)))]
         return pa.Table.from_batches(asked)
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, REQUEST_SCHEMA)
-    answers = materialize(sum_by_key(asked, news_only=True), "ngram-counts")
+    answers = materialize(sum_by_key(asked, aligned=True), "ngram-counts")
     corpus = _corpus(answers.where((F.col("chunk") < 0) & (F.col("bucket") < buckets)))
-    id_type = rows.schema["doc_id"].dataType
 
     def score(key: tuple, table: pa.Table, news: pa.Table) -> pa.Table:
         tokens, first_of = _chunk_tokens(table)
         news = news.to_pandas()
         counts = []
-        for n, (distinct, weights, at) in enumerate(counts_of(table)):
-            keys, sums = lookup(news[news["bucket"] // buckets == n])
-            weights[np.searchsorted(distinct, keys)] = sums
-            counts.append(weights[at])
+        for n, (distinct, weights, at) in enumerate(counts_of(table, tokens, first_of)):
+            own = news[news["bucket"] // buckets == n].sort_values("bucket")  # a bucket is a range of keys
+            sums = np.frombuffer(b"".join(own["sums"]), dtype=np.uint64)
+            if len(sums) != len(distinct):
+                raise RuntimeError(f"chunk {key[0]}: {len(distinct)} n-grams, but {len(sums)} answers")
+            counts.append(np.where(sums > 0, sums, weights)[at])
         known, base, score = traverse(counts, tokens, first_of, corpus)
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": np.diff(first_of), "n_known": known,
             "train_tokens": np.full(len(known), corpus.tokens), "base_score": base, "score": score,
         })
 
-    schema = f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     told = answers.where("chunk >= 0")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(score, schema)
 

@@ -31,6 +31,16 @@ def chunk_count(docs: DataFrame, text_col: str = "text") -> int:
     return max(shuffle_partitions(docs.sparkSession), -(-total // CHUNK_BYTES))
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as their differences, byte by byte of all keys, which leaves the high bytes to compression."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def requests(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int, first: int = 0) -> pa.RecordBatch:
     """A chunk's request rows; ``keys`` are distinct and in ascending order. Buckets are numbered from ``first``."""
     width = (1 << 64) // buckets + 1
@@ -40,22 +50,23 @@ def requests(chunk: int, keys: np.ndarray, weights: np.ndarray, buckets: int, fi
     return pa.RecordBatch.from_pydict({
         "bucket": pa.array([first + b for b in filled], pa.int32()),
         "chunk": pa.array([chunk] * len(filled), pa.int32()),
-        "keys": pa.array([keys[cuts[b] : cuts[b + 1]].tobytes() for b in filled], pa.binary()),
+        "keys": pa.array([pack_keys(keys[cuts[b] : cuts[b + 1]]) for b in filled], pa.binary()),
         "weights": pa.array([weights[cuts[b] : cuts[b + 1]].astype(np.uint32).tobytes() for b in filled], pa.binary()),
     })
 
 
-def sum_by_key(asked: DataFrame, least: int = 1, news_only: bool = False) -> DataFrame:
+def sum_by_key(asked: DataFrame, least: int = 1, aligned: bool = False) -> DataFrame:
     """For each request row the keys whose sum over all chunks is at least ``least``, and those sums.
 
-    news_only: without the keys whose sum is the weight that the chunk gave itself.
+    aligned: without the keys, but with the sums of all keys in the order they were asked in, 0 where the sum is what
+    the chunk itself gave; for chunks that can make the same keys again.
 
     Rows with chunk -1 describe a bucket: ``keys`` is empty and ``sums`` holds, as four 64-bit numbers, the sum of all
     its weights, its distinct keys with any weight, and those of weight 1 and 2.
     """
 
     def answer(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, dtype=np.uint64) for k in rows["keys"]]
+        keys = [unpack_keys(k) for k in rows["keys"]]
         weights = np.concatenate([np.frombuffer(w, dtype=np.uint32) for w in rows["weights"]]).astype(np.uint64)
         distinct, at = np.unique(np.concatenate(keys), return_inverse=True)
         sums = np.zeros(len(distinct), np.uint64)
@@ -65,9 +76,13 @@ def sum_by_key(asked: DataFrame, least: int = 1, news_only: bool = False) -> Dat
         stops = np.cumsum([len(k) for k in keys])
         for chunk, own, stop in zip(rows["chunk"], keys, stops, strict=True):
             found = sums[at[stop - len(own) : stop]]
-            kept = found >= least
-            if kept.any():
-                for name, value in (("chunk", chunk), ("bucket", key[0]), ("keys", own[kept].tobytes()), ("sums", found[kept].tobytes())):
+            if aligned:
+                row = (chunk, key[0], b"", np.where(found == weights[stop - len(own) : stop], np.uint64(0), found).tobytes())
+            else:
+                kept = found >= least
+                row = (chunk, key[0], pack_keys(own[kept]), found[kept].tobytes())
+            if aligned or kept.any():
+                for name, value in zip(out, row, strict=True):
                     out[name].append(value)
         return pd.DataFrame(out)
 
@@ -79,7 +94,8 @@ def lookup(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if not len(replies):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     ordered = replies.sort_values("bucket")  # a bucket is a range of keys
-    return np.frombuffer(b"".join(ordered["keys"]), dtype=np.uint64), np.frombuffer(b"".join(ordered["sums"]), dtype=np.uint64)
+    keys = np.concatenate([unpack_keys(k) for k in ordered["keys"]])
+    return keys, np.frombuffer(b"".join(ordered["sums"]), dtype=np.uint64)
 
 
 def find(keys: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:
