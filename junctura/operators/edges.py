@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SIDES = ("chr", "strand", "left", "right")
+from junctura.sources.shared import materialize
 
 
 def enumerate_edges(members: DataFrame, region: list[str]) -> DataFrame:
@@ -50,10 +50,14 @@ def containers(edges: DataFrame) -> DataFrame:
 
 
 def subsume(edge_reads: DataFrame) -> DataFrame:
-    """Edge reads with contained edges' reads moved to their containers, once each."""
+    """Edge reads with contained edges' reads moved to their containers, once each.
+
+    The reads are written first, as they are needed for the edges and again to be moved.
+    """
+    edge_reads = materialize(edge_reads, "edge-reads")
     keys = ["h_chr", "h_strand", "v_chr", "v_strand"]
     spans = ["h_left", "h_right", "v_left", "v_right"]
-    to = containers(edge_reads.select(*keys, *spans).distinct())
+    to = containers(materialize(edge_reads.select(*keys, *spans).distinct(), "edges"))
     moved = edge_reads.join(to, [*keys, *spans])
     return moved.select(*keys, *[F.col(f"to_{c}").alias(c) for c in spans], "frag_id").distinct()
 

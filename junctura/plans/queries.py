@@ -14,6 +14,7 @@ from junctura.operators import align, clean, cluster, dust, edgeproc, edges, ran
 from junctura.operators import calls as edgestats
 from junctura.plans import views as V
 from junctura.plans.views import table
+from junctura.sources.shared import materialize
 
 CFG = JunctionConfig()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,7 +322,7 @@ _E = ", ".join(V.EDGE)
 
 def _edge_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, members = V.regions(V.candidates(spark, sf_dir))
-    reads = edges.enumerate_edges(members, ["chr", "strand", "left", "right"])
+    reads = materialize(edges.enumerate_edges(members, ["chr", "strand", "left", "right"]), "edge-reads")
     return reads.join(edges.supported_edges(reads, V.EDGE, V.EDGE_SUPPORT).select(*V.EDGE), V.EDGE, "left_semi")
 
 
