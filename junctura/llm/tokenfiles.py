@@ -28,8 +28,8 @@ from junctura.llm.scratch import new_path, shuffle_partitions
 BLOCK = 1024
 #: Ids after which a group is closed; one document may exceed it, as documents are not cut.
 GROUP_IDS = 1 << 18
-#: Distinct strings remembered by one Python worker.
-MEMO = 1_000_000
+#: Distinct strings in each of the two generations that a Python worker remembers.
+MEMO = 600_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -105,6 +105,7 @@ class ChunkedTokenizer:
         self.model.encode_special_tokens = True
         self.mark_ids = self._ids(self.MARK.decode())
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
@@ -146,11 +147,13 @@ class ChunkedTokenizer:
     def encode_many(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
         """The ids of each text (in UTF-8), followed by ``end_id``."""
         split = [t.split() for t in texts]  # at ASCII white space alone; the library sees any other kind
-        new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*split)
-        self.learn(list(new))
+        words = set().union(*split)
+        new = words.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:  # what comes back from here on stays, the rest goes next time
+            self.memo, self.older, new = {}, self.memo, words
+        back = new.intersection(self.older)
+        self.memo.update((w, self.older[w]) for w in back)
+        self.learn(list(new.difference(back)))
         end, get = np.uint32(end_id).tobytes(), self.memo.__getitem__
         return [np.frombuffer(b"".join(map(get, words)) + end, dtype=np.uint32) for words in split]
 
