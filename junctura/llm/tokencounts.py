@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.bytepair import TreeBPE, parse_ranks
+from junctura.llm.bytepair import MEMO, TreeBPE, parse_ranks
 
 #: Pre-tokens in a leaf when it is made, and from how many a tree is built anew.
 LEAF_PIECES, FULL_LEAF = 32, 512
@@ -27,15 +27,59 @@ EDITS_AT_ONCE = 5_000
 EDITS = "array<struct<start: long, deleted: long, inserted: string>>"
 
 
+class StretchCounts(dict):
+    """Stretch between two single spaces -> its tokens together with the space before it, counted when first asked for.
+
+    None for a stretch that is empty or begins or ends with white space, which its neighbours may change.
+    """
+
+    def __init__(self, model: TreeBPE):
+        super().__init__()
+        self.model = model
+
+    @classmethod
+    def of(cls, model: TreeBPE) -> StretchCounts:
+        """The one that goes with a model, emptied when it has grown large."""
+        counts = model.__dict__.setdefault("stretch_counts", cls(model))
+        if len(counts) > MEMO:
+            counts.clear()
+        return counts
+
+    def __missing__(self, stretch: str) -> int | None:
+        alone = stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
+        value = len(self.model.encode(" " + stretch)) if alone else None
+        if len(stretch) <= 256:
+            self[stretch] = value
+        return value
+
+
 class CountTree:
     """Characters and tokens of a text's leaves, and of every node above them."""
 
     def __init__(self, model: TreeBPE, text: str, leaves: tuple[list[int], list[int]] | None = None):
         self.model, self.text = model, text
         self.reencoded = 0
-        chars, tokens = leaves if leaves is not None else self.measure(self.pieces(text))
+        chars, tokens = leaves if leaves is not None else self.measure_text(text)
         self._build(chars, tokens)
 
+    def measure_text(self, text: str) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves of a whole text.
+
+        Where all stretches between single spaces are independent (see ``StretchCounts``) they serve as pre-tokens, as
+        their borders are borders of pre-tokens.
+        """
+        counts = StretchCounts.of(self.model)
+        first, *rest = text.split(" ")
+        found = [counts[s] for s in rest]
+        if None in found or (rest and (first == "" or first[-1].isspace())):
+            return self.measure(self.pieces(text))
+        if not text:
+            return [], []
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest)) + 1
+        cuts = np.arange(0, len(rest) + 1, LEAF_PIECES)
+        tokens = np.append(len(self.model.encode(first)), np.array(found, dtype=np.int64)).astype(np.int64)
+        return np.add.reduceat(np.append(len(first), sizes), cuts).tolist(), np.add.reduceat(tokens, cuts).tolist()
+
     def pieces(self, text: str) -> list[str]:
         return self.model.pattern.findall(text)
 
