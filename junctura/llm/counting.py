@@ -21,7 +21,7 @@ from junctura.llm.scratch import shuffle_partitions
 REQUEST_SCHEMA = "bucket int, chunk int, keys binary, weights binary"
 REPLY_SCHEMA = "chunk int, bucket int, keys binary, sums binary"
 #: Bytes of text in a chunk, about; and distinct keys in a bucket, about.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 BUCKET_KEYS = 1 << 20
 
 
