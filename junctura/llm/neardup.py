@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from junctura.llm.components import connected_components
 from junctura.llm.counting import BUCKET_KEYS, REQUEST_SCHEMA, by_chunk, find, lookup, requests, sum_by_key
-from junctura.llm.kernels import combine, mix, word_hashes
+from junctura.llm.kernels import combine, mix, release_memory, word_hashes
 from junctura.llm.scratch import materialize, shuffle_partitions
 
 #: Words in a shingle, and the similarity in hundredths from which documents are linked.
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array([s[:k].tobytes() for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "d1", "d2", "sketch"],
                 )
+        release_memory()
 
     return rows.mapInArrow(run, _SIGNATURE)
 
@@ -119,6 +120,7 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
             values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64)
             keys, counts = np.unique(values, return_counts=True)
             yield requests(chunk, keys, counts, buckets)
+        release_memory()
 
     def rank(key: tuple, own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         keys, sums = lookup(replies)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from junctura.llm.kernels import hash_words, slices, split_words, text_bytes
+from junctura.llm.kernels import hash_words, release_memory, slices, split_words, text_bytes
 from junctura.llm.labelled import labelled_sample, remainder
 from junctura.llm.scratch import materialize
 
@@ -255,6 +255,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> D
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
                 yield part.filter(pa.array(model.scores(part.column(text_col)) >= 0.5))
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

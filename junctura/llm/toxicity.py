@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.llm.kernels import release_memory
 from junctura.llm.labelled import labelled_sample, remainder
 from junctura.llm.scratch import materialize
 
@@ -28,7 +29,7 @@ NGRAMS = (3, 4, 5, 6)
 #: Standard errors by which an n-gram's shares of the classes must differ, and in how many documents it must be.
 MIN_Z, MIN_COUNT, MIN_SHARE = 5.0, 5, 0.0005
 #: Distinct words remembered by one task, and the longest that are.
-MEMO, MEMO_CHARS = 300_000, 64
+MEMO, MEMO_CHARS = 200_000, 40
 
 
 def word_ngrams(word: str) -> set[str]:
@@ -139,6 +140,8 @@ def score_toxicity(docs: DataFrame, model: NgramModel, id_col: str = "doc_id", t
         local = NgramModel(*shipped.value)
         for texts in batches:
             yield texts.map(local.score).astype(float)
+        del local
+        release_memory()
 
     out = rows.select(F.col("doc_id").cast(id_type), scored("text").alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
@@ -151,7 +154,11 @@ def drop_toxic(docs: DataFrame, model: NgramModel, text_col: str = "text") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         local = NgramModel(*shipped.value)
         for batch in batches:
-            yield batch.filter(pa.array([local.score(t.as_py() or "") < 0.5 for t in batch.column(text_col)], pa.bool_()))
+            for k in range(0, batch.num_rows, 1000):
+                part = batch.slice(k, 1000)
+                yield part.filter(pa.array([local.score(t.as_py() or "") < 0.5 for t in part.column(text_col)], pa.bool_()))
+        del local
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
 
