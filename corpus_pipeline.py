@@ -17,6 +17,8 @@ from junctura.llm.scratch import materialize
 from junctura.llm.toxicity import drop_toxic, train_toxicity
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Similarity in hundredths from which the near-dedup stage links documents; the query op7 has its own.
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(docs, percent=NEAR_PERCENT)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -293,9 +293,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component_id.alias("component_id"), F.coalesce(F.col("doc_id") == component_id, F.lit(True)).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows without near-duplicates; columns as given."""
-    dropped = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct()
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """The input rows without near-duplicates; columns as given. percent: as in ``near_duplicates``."""
+    dropped = near_duplicates(docs, id_col, text_col, percent=percent).where("NOT kept").select(F.col("doc_id").alias("__dropped_id")).distinct()
     return docs.join(dropped, F.col(id_col) == F.col("__dropped_id"), "left_anti")
 
 
