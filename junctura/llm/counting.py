@@ -90,12 +90,20 @@ def sum_by_key(asked: DataFrame, least: int = 1, aligned: bool = False) -> DataF
 
 
 def lookup(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """All keys that a chunk was answered, ascending, and their sums."""
+    """All keys that a chunk was answered, ascending and each once, and their sums.
+
+    A chunk that is read by several tasks asks in parts: a bucket then gives it several replies, in which a key has the
+    same sum over all chunks.
+    """
     if not len(replies):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     ordered = replies.sort_values("bucket")  # a bucket is a range of keys
     keys = np.concatenate([unpack_keys(k) for k in ordered["keys"]])
-    return keys, np.frombuffer(b"".join(ordered["sums"]), dtype=np.uint64)
+    sums = np.frombuffer(b"".join(ordered["sums"]), dtype=np.uint64)
+    if (keys[1:] <= keys[:-1]).any():
+        keys, first = np.unique(keys, return_index=True)
+        sums = sums[first]
+    return keys, sums
 
 
 def find(keys: np.ndarray, sums: np.ndarray, wanted: np.ndarray) -> np.ndarray:

@@ -14,7 +14,7 @@ from junctura.llm.components import connected_components
 from junctura.llm.counting import pack_keys, unpack_keys
 from junctura.llm.digests import DigestIndex, exact_dedup, keep_first_copies
 from junctura.llm.labelled import remainder
-from junctura.llm.neardup import keep_one_of_each, least_shared, near_duplicates
+from junctura.llm.neardup import keep_one_of_each, least_shared, list_entries, near_duplicates
 from junctura.llm.nra import quantized, top_k_inner_product
 from junctura.llm.quality import score_quality, train_quality
 from junctura.llm.toxicity import score_toxicity, train_toxicity
@@ -125,6 +125,30 @@ def test_least_shared_bounds():
                 assert len(np.intersect1d(a[:256], b[:256])) >= max(least_shared(len(a)), least_shared(len(b)))
 
 
+def test_lists_of_a_chunk_that_asks_in_parts(spark):
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sketches = [np.unique(rng.choice(pool, 30)) for _ in range(12)]
+    rows = [(0, rep, len(s), bytearray(s.tobytes())) for rep, s in enumerate(sketches)]
+    df = spark.createDataFrame(rows, "chunk int, rep long, n long, sketch binary")
+
+    def entries(classes):
+        return sorted((r.value, r.rep, r.pos, r.size) for r in list_entries(classes, percent=50).where("sketch IS NULL").collect())
+
+    whole, parts = df.coalesce(1), df.repartitionByRange(2, "rep")
+    assert parts.rdd.getNumPartitions() == 2
+    assert entries(parts) == entries(whole)
+    # The rarest values that several sketches hold, up to the room that each has.
+    held = Counter(int(v) for s in sketches for v in s)
+    want = []
+    for rep, s in enumerate(sketches):
+        shared = sorted((held[int(v)], int(v)) for v in s if held[int(v)] > 1)
+        alone = len(s) - len(shared)
+        room = max(0, len(s) - least_shared(len(s), percent=50) + 1 - alone)
+        want += [(v, rep, alone + k, len(s)) for k, (_, v) in enumerate(shared[:room])]
+    assert entries(whole) == sorted(want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(170)] + [(k, k + 1) for k in range(1000, 1060)]
