@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.operators.align import sw_align
-from junctura.operators.ranges import range_join
+from junctura.operators.ranges import range_join, union_all
+from junctura.sources.shared import materialize
+
+#: Candidate pairs that a task settles in memory, about.
+PAIR_ROWS = 200_000
 
 
 def call_statistics(reads: DataFrame, edge: list[str], cfg: JunctionConfig) -> DataFrame:
@@ -76,31 +80,69 @@ def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
 def pair_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """``call_id, paired_with``: greedy one-to-one pairing; accepted calls first among themselves, then with rejected ones.
 
-    Calls take turns by id and choose their nearest free partner. Candidates are found by a range join; only they, not
-    the calls, are gathered by contig.
+    Calls take turns by id and choose their nearest free partner. That equals going through all candidate pairs in the
+    order of (both accepted first, the call whose turn it is, distance, partner) and taking each whose calls are free.
+    The candidates are cut into tiles of about PAIR_ROWS by place, however dense a contig is. A tile settles every pair
+    that no earlier pair outside of it can change; the next round cuts what is left into fewer tiles. The first of all
+    pairs is always settled, and a single tile settles everything.
     """
     d = mate_distances(calls, cfg)
-    ok = calls.select("call_id", "accepted")
-    both = d.join(ok.toDF("a", "a_ok"), "a").join(ok.toDF("b", "b_ok"), "b").where("a_ok OR b_ok")
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        partner: dict = {}
-        for both_ok in (True, False):
-            part = rows[(rows["a_ok"] & rows["b_ok"]) == both_ok]
-            options: dict = {}
-            for a, b, dist, a_ok, b_ok in part[["a", "b", "dist", "a_ok", "b_ok"]].itertuples(index=False, name=None):
-                if a_ok:
-                    options.setdefault(a, []).append((abs(dist), b))
-                if b_ok:
-                    options.setdefault(b, []).append((abs(dist), a))
-            for one in sorted(options):
-                if one not in partner:
-                    free = sorted(o for o in options[one] if o[1] not in partner)
-                    if free:
-                        partner[one], partner[free[0][1]] = free[0][1], one
-        return pd.DataFrame(sorted(partner.items()), columns=["call_id", "paired_with"]).astype("int64")
-
-    return both.groupBy("host_chr").applyInPandas(choose, "call_id long, paired_with long")
+    a_side = calls.select(F.col("call_id").alias("a"), F.col("accepted").alias("a_ok"), F.col("host_pos").alias("place"))
+    b_side = calls.select(F.col("call_id").alias("b"), F.col("accepted").alias("b_ok"))
+    both = d.join(a_side, "a").join(b_side, "b").where("a_ok OR b_ok")
+    a, b = F.col("a").cast("long"), F.col("b").cast("long")
+    one = F.when(F.col("a_ok") & F.col("b_ok"), F.least(a, b)).when(F.col("a_ok"), a).otherwise(b)
+    turn = F.struct((~(F.col("a_ok") & F.col("b_ok"))).alias("late"), one.alias("one"), F.abs("dist").cast("long").alias("far"), (a + b - one).alias("other"))
+    columns = ["host_chr", "place", "a", "b", "turn"]
+    pool = materialize(both.select("host_chr", "place", a.alias("a"), b.alias("b"), turn.alias("turn")), "pair-pool")
+    done = []
+    while True:
+        tiles = -(-pool.count() // PAIR_ROWS)
+        if not tiles:
+            break
+        tiled = materialize(pool.repartitionByRange(tiles, "host_chr", "place", "a", "b").withColumn("tile", F.spark_partition_id()), "pair-tiles")
+        asked = tiled.select(*columns, "tile", F.lit(False).alias("a_waits"), F.lit(False).alias("b_waits"))
+        for side in ("a", "b") if tiles > 1 else ():
+            # A call's first pair in each tile, for calls that have pairs in several: the least of other tiles counts.
+            firsts = tiled.groupBy(F.col(side).alias("call"), "tile").agg(F.min("turn").alias("turn"))
+            first = F.sort_array(F.collect_list(F.struct("turn", "tile")))
+            spread = firsts.groupBy("call").agg(F.slice(first, 1, 2).alias("f")).where(F.size("f") > 1)
+            asked = asked.join(spread, F.col(side) == F.col("call"), "left")
+            outside = F.when(F.col("f")[0]["tile"] != F.col("tile"), F.col("f")[0]["turn"]).otherwise(F.col("f")[1]["turn"])
+            asked = asked.withColumn(f"{side}_waits", F.coalesce(F.col("f").isNotNull() & (outside < F.col("turn")), F.lit(False))).drop("call", "f")
+        order = [F.col(f"turn.{c}").alias(c) for c in ("late", "one", "far", "other")]
+        rows = asked.select("tile", "a", "b", *order, "a_waits", "b_waits")
+        found = materialize(rows.groupBy("tile").applyInPandas(_settle, "a long, b long, taken boolean"), "settled")
+        taken = found.where("taken").select("a", "b")
+        done.append(taken)
+        left = pool.join(found.where("NOT taken").select("a", "b"), ["a", "b"], "left_semi")
+        left = left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti")
+        pool = materialize(left.select(*columns), "pair-pool")
+    if not done:
+        return pool.select(F.col("a").alias("call_id"), F.col("b").alias("paired_with"))
+    pairs = union_all(*done)
+    return pairs.toDF("call_id", "paired_with").unionByName(pairs.select(F.col("b").alias("call_id"), F.col("a").alias("paired_with")))
+
+
+def _settle(rows: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of a tile that are taken, and those that are left open; pairs of taken calls are gone.
+
+    ``a_waits, b_waits``: whether the call has an earlier pair in another tile.
+    """
+    taken: set = set()
+    unsure: set = set()
+    out = []
+    ordered = rows.sort_values(["late", "one", "far", "other"])
+    for a, b, a_waits, b_waits in ordered[["a", "b", "a_waits", "b_waits"]].itertuples(index=False, name=None):
+        if a in taken or b in taken:
+            continue
+        if a_waits or b_waits or a in unsure or b in unsure:
+            unsure |= {a, b}
+            out.append((a, b, False))
+        else:
+            taken |= {a, b}
+            out.append((a, b, True))
+    return pd.DataFrame(out, columns=["a", "b", "taken"]).astype({"a": "int64", "b": "int64", "taken": "bool"})
 
 
 def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:

@@ -210,6 +210,29 @@ def test_pairing_and_duplicate_calls(spark):
     assert [r.call_id for r in calls.duplicate_calls(dup, CFG).collect()] == [2]
 
 
+@pytest.mark.parametrize("bound", [10**6, 40])
+def test_pairing_in_tiles(spark, monkeypatch, bound):
+    monkeypatch.setattr(calls, "PAIR_ROWS", bound)
+    rng = random.Random(9)
+    ids = rng.sample(range(1000), 90)
+    rows = [(i, rng.choice(["h0", "h1"]), rng.random() < 0.5, rng.randint(0, 6000), rng.random() < 0.5) for i in ids]
+    df = spark.createDataFrame(rows, "call_id long, host_chr string, host_rev boolean, host_pos long, accepted boolean")
+    by_turn = sorted(rows)
+    partner: dict = {}
+    for both in (True, False):
+        for i, c, rev, pos, ok in by_turn:
+            options = []
+            for j, c2, rev2, pos2, ok2 in rows:
+                dist = (pos - pos2) if rev else (pos2 - pos)
+                if c == c2 and rev != rev2 and -50 <= dist <= 1000 and ok and ok2 == both and j not in partner:
+                    options.append((abs(dist), j))
+            if options and i not in partner:
+                partner[i], partner[min(options)[1]] = min(options)[1], i
+    got = [(r.call_id, r.paired_with) for r in calls.pair_calls(df, CFG).collect()]
+    assert sorted(got) == sorted(partner.items()) and len(got) > 20
+    assert calls.pair_calls(df.limit(0), CFG).count() == 0
+
+
 def test_dust():
     rng = random.Random(0)
     plain = "".join(rng.choices("ACGT", k=80))
