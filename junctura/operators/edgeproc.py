@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
+from junctura.operators.ranges import union_all
 from junctura.sources.shared import materialize
 
 #: Rows of one component that a task may pack in memory.
@@ -93,6 +94,54 @@ def split_edge(labels: list, seqs: list[str], mates: dict, split: set, cfg: Junc
     return [parent, *(p for p in parts if enough(p))]
 
 
+def split_edges(rows: DataFrame, edge: list[str], cfg: JunctionConfig | None = None) -> DataFrame:
+    """``edge, part, frag_id``: ``split_edge`` for every edge; part 0 is the edge itself, others what was split off.
+
+    ``rows``: ``edge, frag_id, seq``, and where there are split reads ``read_id, is_split`` as in ``pack_edges``; an edge's
+    sequences start together. A round splits all edges that are still open: letters are counted by column, rows that leave
+    are joined with the later rows of their edge, and nothing is gathered by edge.
+    """
+    cfg = cfg or JunctionConfig()
+    split, unit = F.lit(False), F.concat(F.lit("f"), F.col("frag_id").cast("string"))
+    if {"read_id", "is_split"} <= set(rows.columns):
+        split = F.coalesce("is_split", F.lit(False))
+        unit = F.when(split & F.col("read_id").isNotNull(), F.concat(F.lit("r"), F.col("read_id").cast("string"))).otherwise(unit)
+    columns = [*edge, "frag_id", "seq", "is_split", "unit"]
+    current = materialize(rows.select(*edge, "frag_id", F.coalesce("seq", F.lit("")).alias("seq"), split.alias("is_split"), unit.alias("unit")), "split-rows")
+
+    def enough(part: DataFrame) -> DataFrame:
+        weight = F.count_distinct("unit") + F.max(F.col("is_split").cast("int"))
+        return part.groupBy(*edge).agg(weight.alias("w"), F.count("*").alias("n")).where(F.col("w") >= cfg.edge_reads)
+
+    parts, level = [], 0
+    while True:
+        diffs = difference_counts(current, consensus(current, edge, "frag_id"), edge, "frag_id")
+        filled = F.length(F.replace("seq", F.lit("N"), F.lit("")))
+        marked = current.join(diffs, [*edge, "frag_id"], "left").withColumn("leaves", (filled > 0) & (F.coalesce("diffs", F.lit(0)) / filled >= cfg.diff_rate))
+        marked = materialize(marked.withColumn("leaves", F.coalesce("leaves", F.lit(False))).select(*columns, "leaves"), "split-marked")
+        stays = marked.where("NOT leaves")
+        if level:
+            stays = stays.join(enough(stays).select(*edge), edge, "left_semi")
+        parts.append(materialize(stays.select(*edge, F.lit(level).alias("part"), "frag_id"), "split-part"))
+        leaving = marked.where("leaves").select(*edge, F.col("frag_id").alias("__id"), F.col("seq").alias("__seq"))
+        at = F.sequence(F.lit(1), F.greatest(F.least(F.length("seq"), F.length("__seq")), F.lit(1)))
+
+        def differs(p):
+            x, y = F.substring(F.col("seq"), p, F.lit(1)), F.substring(F.col("__seq"), p, F.lit(1))
+            return (x != y) & (x != "N") & (y != "N") & (x != "") & (y != "")
+
+        # Rows that leave agree with themselves.
+        child = marked.join(leaving, edge).where(F.col("frag_id") >= F.col("__id")).where(~F.exists(at, differs)).select(*columns).distinct()
+        child = materialize(child, "split-child")
+        sizes = materialize(current.groupBy(*edge).agg(F.count("*").alias("before")).join(enough(child), edge).select(*edge, (F.col("n") < F.col("before")).alias("shrinks")), "split-sizes")
+        level += 1
+        # A new edge that is as large as the one it comes from is not split again.
+        parts.append(child.join(sizes.where("NOT shrinks"), edge, "left_semi").select(*edge, F.lit(level).alias("part"), "frag_id"))
+        current = materialize(child.join(sizes.where("shrinks"), edge, "left_semi").select(*columns), "split-rows")
+        if not current.limit(1).count():
+            return union_all(*parts)
+
+
 def remove_duplicates(reads: DataFrame, edge: list[str]) -> DataFrame:
     """``edge, frag_id, h_distal, v_distal`` without duplicates: of reads with the same distal end on either side, the
     first by id stays, as if reads were taken one by one.
@@ -159,44 +208,57 @@ def pack_component(edges: dict, mates: dict, split: set, need: float) -> dict:
 def pack_edges(reads: DataFrame, edge: list[str], cfg: JunctionConfig | None = None) -> DataFrame:
     """``edge, frag_id``: each fragment on one edge at most, the highest-scoring edges first.
 
-    ``reads``: ``edge, frag_id, score``. Edges that share no fragment, directly or through others, are independent and
-    are packed in parallel. While a component has more than PACK_ROWS rows it is worked down in rounds: an edge that
-    scores highest for all of its fragments is taken or dropped now, as it would be before its neighbours anyway.
+    ``reads``: ``edge, frag_id, score``, and where there are split reads ``read_id, is_split``: two split fragments of one
+    read are mates. Mates on one edge count half each, an edge with a split fragment counts one more, and the mates of a
+    taken edge's fragments leave all other edges. Edges that share no unit (a fragment, or a read's split fragments),
+    directly or through others, are independent and are packed in parallel. While a component has more than PACK_ROWS
+    rows it is worked down in rounds: an edge that scores highest for all of its units is taken or dropped now, as it
+    would be before its neighbours anyway.
     """
     cfg = cfg or JunctionConfig()
     key = F.struct(*edge)
-    pool = materialize(reads.groupBy(key.alias("edge"), "frag_id").agg(F.sum("score").alias("score")), "edge-pool")
+    split, unit = F.lit(False), F.concat(F.lit("f"), F.col("frag_id").cast("string"))
+    if {"read_id", "is_split"} <= set(reads.columns):
+        split = F.coalesce("is_split", F.lit(False))
+        unit = F.when(split & F.col("read_id").isNotNull(), F.concat(F.lit("r"), F.col("read_id").cast("string"))).otherwise(unit)
+    given = reads.select(key.alias("edge"), "frag_id", "score", split.alias("is_split"), unit.alias("unit"))
+    columns = ["edge", "frag_id", "score", "is_split", "unit"]
+    facts = [F.sum("score").alias("score"), F.bool_or("is_split").alias("is_split"), F.max("unit").alias("unit")]
+    pool = materialize(given.groupBy("edge", "frag_id").agg(*facts), "edge-pool")
     done = []
     while True:
         component = _components(pool)
         sizes = component.groupBy("component").agg(F.count("*").alias("rows"))
-        small = component.join(sizes.where(F.col("rows") <= PACK_ROWS), "component").select("component", "edge", "frag_id", "score")
+        small = component.join(sizes.where(F.col("rows") <= PACK_ROWS), "component").select("component", *columns)
 
         def pack(rows: pd.DataFrame) -> pd.DataFrame:
             groups: dict = defaultdict(dict)
-            for e, frag, score in zip(rows["edge"], rows["frag_id"], rows["score"], strict=True):
+            units: dict = defaultdict(set)
+            for e, frag, score, unit in zip(rows["edge"], rows["frag_id"], rows["score"], rows["unit"], strict=True):
                 groups[tuple(e.values()) if isinstance(e, dict) else tuple(e)][frag] = score
-            taken = pack_component(groups, {}, set(), cfg.edge_reads)
+                units[unit].add(frag)
+            mates = {x: y for found in units.values() if len(found) == 2 for x, y in (tuple(found), tuple(found)[::-1])}
+            taken = pack_component(groups, mates, set(rows["frag_id"][rows["is_split"]]), cfg.edge_reads)
             out = [(*e, frag) for e, found in taken.items() for frag in found]
             return pd.DataFrame(out, columns=[*edge, "frag_id"])
 
         fields = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
         schema = ", ".join(f"{c} {fields[c]}" for c in [*edge, "frag_id"])
         done.append(small.groupBy("component").applyInPandas(pack, schema))
-        large = component.join(sizes.where(F.col("rows") > PACK_ROWS), "component", "left_semi").select("edge", "frag_id", "score")
+        large = component.join(sizes.where(F.col("rows") > PACK_ROWS), "component", "left_semi").select(*columns)
         pool = materialize(large, "edge-pool")
         if not pool.limit(1).count():
             break
-        scored = pool.groupBy("edge").agg(F.sum("score").alias("total"), F.count("*").alias("n"))
+        scored = pool.groupBy("edge").agg(F.sum("score").alias("total"), (F.count_distinct("unit") + F.max(F.col("is_split").cast("int"))).alias("n"))
         ranked = pool.join(scored, "edge")
         # Highest score, then the smaller edge: the least of (-score, edge).
-        first = ranked.groupBy("frag_id").agg(F.min(F.struct((-F.col("total")).alias("t"), "edge")).alias("f"))
-        leads = ranked.join(first, "frag_id").groupBy("edge", "n").agg(F.bool_and(F.col("f.edge") == F.col("edge")).alias("all")).where("all")
+        first = ranked.groupBy("unit").agg(F.min(F.struct((-F.col("total")).alias("t"), "edge")).alias("f"))
+        leads = ranked.join(first, "unit").groupBy("edge", "n").agg(F.bool_and(F.col("f.edge") == F.col("edge")).alias("all")).where("all")
         leads = materialize(leads.select("edge", (F.col("n") >= cfg.edge_reads).alias("takes")), "leading-edges")
-        taken = materialize(pool.join(leads.where("takes"), "edge", "left_semi").select("edge.*", "frag_id"), "taken")
-        done.append(taken)
-        rest = pool.join(leads, "edge", "left_anti").join(taken.select("frag_id").distinct(), "frag_id", "left_anti")
-        pool = materialize(rest.select("edge", "frag_id", "score"), "edge-pool")
+        taken = materialize(pool.join(leads.where("takes"), "edge", "left_semi").select("edge.*", "frag_id", "unit"), "taken")
+        done.append(taken.drop("unit"))
+        rest = pool.join(leads, "edge", "left_anti").join(taken.select("unit").distinct(), "unit", "left_anti")
+        pool = materialize(rest.select(*columns), "edge-pool")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part.select(*out.columns))
@@ -204,11 +266,11 @@ def pack_edges(reads: DataFrame, edge: list[str], cfg: JunctionConfig | None = N
 
 
 def _components(pool: DataFrame) -> DataFrame:
-    """``pool`` with ``component``, the smallest edge that shared fragments lead to."""
+    """``pool`` with ``component``, the smallest edge that shared units lead to."""
     label = materialize(pool.select("edge").distinct().withColumn("component", F.col("edge")), "labels")
     while True:
-        on_frag = pool.select("edge", "frag_id").join(label, "edge").groupBy("frag_id").agg(F.min("component").alias("low"))
-        reached = pool.select("edge", "frag_id").join(on_frag, "frag_id").groupBy("edge").agg(F.min("low").alias("low"))
+        on_unit = pool.select("edge", "unit").join(label, "edge").groupBy("unit").agg(F.min("component").alias("low"))
+        reached = pool.select("edge", "unit").join(on_unit, "unit").groupBy("edge").agg(F.min("low").alias("low"))
         hop = label.join(reached, "edge").select("edge", "component", F.least("component", "low").alias("next"))
         jumped = hop.join(hop.select(F.col("edge").alias("e2"), F.col("next").alias("n2")), F.col("next") == F.col("e2")).select("edge", "component", F.least("next", "n2").alias("next"))
         jumped = materialize(jumped, "hops")

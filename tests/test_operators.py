@@ -173,6 +173,58 @@ def test_packing(spark, monkeypatch, bound):
     assert got == plain_pack(rows, CFG.edge_reads)
 
 
+@pytest.mark.parametrize("bound", [10**6, 10])
+def test_packing_of_split_mates(spark, monkeypatch, bound):
+    monkeypatch.setattr(edgeproc, "PACK_ROWS", bound)
+    fields = "e int, frag_id int, score int, read_id int, is_split boolean"
+    # Edge 1: three reads and split support; 2: 31 is the mate of 30 and leaves; 3: mates count half each, too few.
+    rows = [(1, f, 9, f, False) for f in (10, 11)] + [(1, 30, 9, 7, True)]
+    rows += [(2, 31, 5, 7, True)] + [(2, f, 4, f, False) for f in (20, 21, 22)]
+    rows += [(3, 40, 2, 8, True), (3, 41, 2, 8, True), (3, 42, 2, 42, False), (3, 22, 1, 22, False)]
+    rows += [(4, 50, 2, 9, True), (4, 51, 2, 9, True), (4, 52, 2, 52, False), (4, 42, 1, 42, False)]
+    found: dict = {}
+    for r in edgeproc.pack_edges(spark.createDataFrame(rows, fields), ["e"]).collect():
+        found.setdefault(r.e, set()).add(r.frag_id)
+    assert found == {1: {10, 11, 30}, 3: {40, 41, 42, 22}}
+    rng = random.Random(4)
+    read = {f: (f // 2, True) if f < 30 else (f, False) for f in range(60)}
+    rows = sorted({(rng.randint(0, 11), rng.randint(0, 59)) for _ in range(110)})
+    rows = [(e, f, rng.randint(1, 9), *read[f]) for e, f in rows]
+    left, want = {}, {}
+    for e, f, s, *_ in rows:
+        left.setdefault(e, {})[f] = s
+    while left:
+        e = min(left, key=lambda x: (-sum(left[x].values()), x))
+        gone = left.pop(e)
+        if len({read[f] for f in gone}) + any(read[f][1] for f in gone) >= CFG.edge_reads:
+            want[e] = set(gone)
+            used = {read[f] for f in gone}
+            left = {k: {f: s for f, s in v.items() if read[f] not in used} for k, v in left.items()}
+        left = {k: v for k, v in left.items() if v}
+    found = {}
+    for r in edgeproc.pack_edges(spark.createDataFrame(rows, fields), ["e"]).collect():
+        found.setdefault(r.e, set()).add(r.frag_id)
+    assert found == want
+
+
+def test_split_of_all_edges(spark):
+    rng = random.Random(11)
+    rows, want = [], set()
+    for e in range(6):
+        alleles = ["".join(rng.choices("ACGT", k=30)) for _ in range(1 + e % 3)]
+        reads = [(f, "".join(c if rng.random() > 0.03 else rng.choice("ACGTN") for c in alleles[rng.randrange(len(alleles))][: rng.randint(24, 30)])) for f in range(18)]
+        read = {f: (f // 2, True) if f < 6 else (f, False) for f, _ in reads}
+        rows += [(e, f, s, *read[f]) for f, s in reads]
+        mates = {f: f ^ 1 for f in range(6)}
+        parts = edgeproc.split_edge([f for f, _ in reads], [s for _, s in reads], mates, set(range(6)), CFG)
+        want |= {(e, k > 0, frozenset(p)) for k, p in enumerate(parts) if p}
+    df = spark.createDataFrame(rows, "e int, frag_id int, seq string, read_id int, is_split boolean")
+    found: dict = {}
+    for r in edgeproc.split_edges(df, ["e"]).collect():
+        found.setdefault((r.e, r.part), set()).add(r.frag_id)
+    assert {(e, k > 0, frozenset(p)) for (e, k), p in found.items()} == want and any(k for _, k in found)
+
+
 def test_consensus_and_split(spark):
     rows = [(1, k, s) for k, s in enumerate(["ACGT", "ACGA", "ANGTT", "TCNT"])]
     df = spark.createDataFrame(rows, "g int, k int, seq string")
