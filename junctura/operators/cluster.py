@@ -39,17 +39,19 @@ def region_members(candidates: DataFrame, assigned: DataFrame, keys: tuple[str,
     return members.groupBy(*keys, "label_pos", "is_virus", "frag_id").agg(split.alias("is_split"))
 
 
-def filter_fixpoint(members: DataFrame, region: list[str], support: int = 4, max_rounds: int = 100) -> DataFrame:
+def filter_fixpoint(members: DataFrame, region: list[str], support: int = 4, max_rounds: int | None = None) -> DataFrame:
     """Drops weak regions and fragments that lost a side, in turn.
 
     A round drops the regions with fewer than ``support`` fragments (a split one counting once more); if it dropped any,
     it drops the fragments that are no longer on both a host and a virus region; rounds end when one drops no fragment.
     A round without weak regions ends without looking at fragments. Every round's members are a written table, so plans
-    don't grow and a lost executor loses no round.
+    don't grow and a lost executor loses no round. If ``max_rounds`` is given and they don't suffice, that is an error.
     """
     current = materialize(members, "members")
     count = current.count()
-    for _ in range(max_rounds):
+    rounds = 0
+    while max_rounds is None or rounds < max_rounds:
+        rounds += 1
         strong = current.groupBy(*region).agg((F.count_distinct("frag_id") + F.max(F.col("is_split").cast("int"))).alias("n")).where(F.col("n") >= support)
         kept = current.join(strong.select(*region), region, "left_semi")
         kept = materialize(kept, "strong")
@@ -62,4 +64,4 @@ def filter_fixpoint(members: DataFrame, region: list[str], support: int = 4, max
         count = current.count()
         if count == left:
             return current
-    return current
+    raise RuntimeError(f"regions and fragments have not settled after {max_rounds} rounds")

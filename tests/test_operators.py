@@ -84,6 +84,15 @@ def test_fixpoint_rounds(spark):
     assert got == now
 
 
+def test_fixpoint_does_not_end_early(spark):
+    # Region k has fragments k and k + 1, the last one k alone; each round the last region falls and takes that with it.
+    rows = [(k, k % 2 == 0, f, False) for k in range(8) for f in (k, k + 1) if f < 8]
+    df = spark.createDataFrame(rows, "region int, is_virus boolean, frag_id int, is_split boolean")
+    assert cluster.filter_fixpoint(df, ["region"], 2).count() == 0
+    with pytest.raises(RuntimeError):
+        cluster.filter_fixpoint(df, ["region"], 2, max_rounds=2)
+
+
 def gotoh(q, r, cfg):
     """Textbook local score, without a deletion straight after an insertion."""
     low = -(10**9)
