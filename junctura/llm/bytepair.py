@@ -4,7 +4,8 @@ Encodings form a monoid: two encoded halves are joined by encoding again a windo
 until the tokens next to it stay as they are, and that is provable locally: a token sequence is the BPE encoding of its
 bytes exactly when each pair of neighbours is the encoding of the pair's own bytes. A piece (one match of the
 pre-tokenizer's pattern) is reduced as a balanced tree over its bytes, so a piece of any length costs n log n and not n^2;
-pieces of a text are independent and are concatenated. Decoding concatenates token bytes up the same tree.
+pieces of a text are independent, so joining them, up a balanced tree, is concatenation. Decoding concatenates up the
+same tree.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,10 +22,15 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces up to so many bytes are merged directly; longer ones are halved.
-LEAF = 48
-#: Distinct pieces remembered by one task.
-MEMO = 300_000
+from junctura.llm.kernels import release_memory
+from junctura.llm.remembered import Remembered, per_worker
+
+#: Bytes up to which a window is merged by looking at all its neighbours again; longer ones use a queue.
+SHORT_WINDOW = 48
+#: The longest byte strings whose encodings are kept, and how many of these and of windows are.
+KEPT_BYTES, MEMO = 8, 300_000
+#: Tokens that are decoded, and stretches that are put together, at a leaf of a text's tree.
+LEAF = 64
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -33,21 +40,25 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 
 
 class TreeBPE:
-    """Encodes and decodes by a rank table; pieces are remembered, as words come back."""
+    """Encodes and decodes by a rank table.
+
+    Encodings of short byte strings and of windows are kept: the halves of different words are often the same.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.reduced: dict[bytes, tuple[int, ...]] = {}
+        self.windows: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.joins = self.grown = 0  # joins of two encodings, and those that had to encode a window again
 
     # -- one piece ---------------------------------------------------------------------------------------------
 
     def merge(self, data: bytes) -> list[int]:
         """Direct merging: again and again join the neighbours whose union has the lowest rank, leftmost first."""
         ranks = self.ranks
-        if len(data) > LEAF:
+        if len(data) > SHORT_WINDOW:
             return self.merge_queue(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
@@ -82,98 +93,129 @@ class TreeBPE:
                 heapq.heappush(queue, (r, b, stop))
         return [ranks[data[i:e]] for i, e in enumerate(end) if e]
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether tokens ``a`` and ``b`` may stand side by side."""
-        key = (a, b)
-        if key not in self.pairs:
-            if len(self.pairs) > MEMO:
-                self.pairs.clear()
-            self.pairs[key] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
-        return self.pairs[key]
+    def window(self, tokens: tuple[int, ...]) -> tuple[int, ...]:
+        """The encoding of the bytes of neighbouring tokens; two tokens may stand side by side if it is themselves."""
+        found = self.windows.get(tokens)
+        if found is None:
+            found = tuple(self.merge(b"".join([self.tokens[t] for t in tokens])))
+            if len(self.windows) > MEMO:
+                self.windows.clear()
+            if len(tokens) <= KEPT_BYTES:
+                self.windows[tokens] = found
+        return found
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def join(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
         """The encoding of the bytes of ``left`` and ``right`` together."""
-        if not left or not right or self.stable(left[-1], right[0]):
+        if not left or not right:
+            return left or right
+        self.joins += 1
+        seam = (left[-1], right[0])
+        middle = self.window(seam)
+        if middle == seam:
             return left + right
-        take_l, take_r = 1, 1
+        self.grown += 1
+        first, stop, step_l, step_r = len(left) - 1, 1, 1, 1
         while True:
-            take_l, take_r = min(take_l, len(left)), min(take_r, len(right))
-            window = b"".join(self.tokens[t] for t in (*left[-take_l:], *right[:take_r]))
-            middle = self.merge(window)
-            outer_l, outer_r = left[:-take_l], right[take_r:]
-            ok_l = not outer_l or self.stable(outer_l[-1], middle[0])
-            ok_r = not outer_r or self.stable(middle[-1], outer_r[0])
+            ok_l = not first or self.window(pair := (left[first - 1], middle[0])) == pair
+            ok_r = stop == len(right) or self.window(pair := (middle[-1], right[stop])) == pair
             if ok_l and ok_r:
-                return outer_l + middle + outer_r
-            take_l, take_r = take_l * (1 if ok_l else 2), take_r * (1 if ok_r else 2)
-
-    def reduce(self, data: bytes) -> list[int]:
-        """The encoding of one piece by halving."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        if len(data) <= LEAF:
-            return self.merge(data)
-        half = len(data) // 2
-        return self.join(self.reduce(data[:half]), self.reduce(data[half:]))
-
-    # -- whole texts -------------------------------------------------------------------------------------------
-
-    def piece(self, text: str) -> list[int]:
-        found = self.known.get(text)
+                return left[:first] + middle + right[stop:]
+            if not ok_l:
+                first, step_l = max(0, first - step_l), 2 * step_l
+            if not ok_r:
+                stop, step_r = min(len(right), stop + step_r), 2 * step_r
+            middle = self.window(left[first:] + right[:stop])
+
+    def reduce(self, data: bytes) -> tuple[int, ...]:
+        """The encoding of one piece by halving, down to what is a token or a byte."""
+        found = self.reduced.get(data)
         if found is None:
-            found = self.reduce(text.encode())
-            if len(self.known) > MEMO:
-                self.known.clear()
-            if len(text) <= 256:
-                self.known[text] = found
+            rank = self.ranks.get(data)
+            if rank is not None:
+                return (rank,)
+            half = len(data) // 2
+            found = self.join(self.reduce(data[:half]), self.reduce(data[half:])) if data else ()
+            if len(data) <= KEPT_BYTES:
+                if len(self.reduced) > MEMO:
+                    self.reduced.clear()
+                self.reduced[data] = found
         return found
 
+    # -- whole texts -------------------------------------------------------------------------------------------
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text."""
+        """The ids of a text. Matches of the pattern are encoded apart, so joining them is concatenation."""
         out: list[int] = []
         for p in self.pattern.findall(text):
-            out += self.piece(p)
+            out += self.reduce(p.encode())
         return out
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids, concatenated up a balanced tree."""
-        if len(ids) <= 64:
+        if len(ids) <= LEAF:
             return b"".join([self.tokens[i] for i in ids])
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-class _Rendered(dict):
-    """Stretch -> (its ids in decimal, joined by spaces; the bytes its ids decode to), made when first asked for.
+def shared_model(ranks_data: bytes, pattern: str) -> TreeBPE:
+    """The model that all tasks of a Python worker use, with what it remembers."""
+    return per_worker("byte-pairs", (zlib.crc32(ranks_data), pattern), lambda: TreeBPE(parse_ranks(ranks_data), pattern))
+
+
+def stretches(text: str) -> list[str] | None:
+    """A text in stretches whose encodings don't depend on each other; None where it can't be cut so.
 
-    A stretch is what stands between two single spaces. The pattern's matches don't cross from its last character into
-    the space behind it, so it is encoded alone, with the space before it. One that is empty or begins or ends with
-    white space is not independent of its neighbours, and its value is None.
+    The pattern's matches never cross from a character that isn't white space into one space or line feed behind it, if
+    what follows isn't white space either. The first stretch is the start of the text; one that begins with a line feed
+    stands as it is; every other stands with a space before it.
     """
+    if "\n" in text:
+        if " \n" in text or text[0] == "\n":
+            return None
+        if "\n\n" not in text:
+            text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
+def stands_alone(stretch: str) -> bool:
+    """Whether a stretch has no white space at its ends, but for the line feed that it may begin with."""
+    body = stretch.removeprefix("\n")
+    return body != "" and not body[0].isspace() and not body[-1].isspace()
+
+
+def in_place(stretch: str) -> str:
+    return stretch if stretch[0] == "\n" else " " + stretch
+
+
+class Rendered:
+    """Texts' ids in decimal, joined by spaces, and the bytes that the ids decode to."""
 
     def __init__(self, model: TreeBPE):
-        super().__init__()
         self.model = model
+        self.known = Remembered(lambda s: self.render(in_place(s)) if stands_alone(s) else None)
 
     def render(self, text: str) -> tuple[str, bytes]:
         ids = self.model.encode(text)
         return " ".join(map(str, ids)), self.model.decode(ids)
 
-    def __missing__(self, stretch: str) -> tuple[str, bytes] | None:
-        alone = stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
-        value = self.render(" " + stretch) if alone else None
-        if len(stretch) <= 256:
-            self[stretch] = value
-        return value
+    def combined(self, parts: list[tuple[str, bytes]]) -> tuple[str, bytes]:
+        """Both of neighbouring stretches, put together up a balanced tree."""
+        if len(parts) <= LEAF:
+            ids, data = zip(*parts, strict=True)
+            return " ".join(ids), b"".join(data)
+        half = len(parts) // 2
+        (ids_l, data_l), (ids_r, data_r) = self.combined(parts[:half]), self.combined(parts[half:])
+        return f"{ids_l} {ids_r}", data_l + data_r
 
     def whole(self, text: str) -> tuple[str, bytes]:
-        """The same for a whole text."""
-        first, *rest = text.split(" ")
-        found = [self[s] for s in rest]
-        if None in found or (rest and (first == "" or first[-1].isspace())):
+        """Both of a whole text."""
+        parts = stretches(text)
+        if parts is None or len(parts) == 1 or parts[0] == "" or parts[0][-1].isspace():
             return self.render(text)
-        head = self.render(first)
-        return " ".join([head[0], *[x[0] for x in found]]), b"".join([head[1], *[x[1] for x in found]])
+        self.known.turn()
+        found = [self.render(parts[0]), *map(self.known.__getitem__, parts[1:])]
+        return self.render(text) if None in found else self.combined(found)
 
 
 def encode_column(df: DataFrame, ranks_data: bytes, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
@@ -182,7 +224,7 @@ def encode_column(df: DataFrame, ranks_data: bytes, pattern: str, text_col: str
 
     @F.pandas_udf("array<int>")
     def ids_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = TreeBPE(parse_ranks(shipped.value), pattern)
+        model = shared_model(shipped.value, pattern)
         for texts in batches:
             yield texts.fillna("").map(model.encode)
 
@@ -195,7 +237,7 @@ def decode_column(df: DataFrame, ranks_data: bytes, ids_col: str = "ids", out: s
 
     @F.pandas_udf("binary")
     def bytes_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = TreeBPE(parse_ranks(shipped.value), "")
+        model = shared_model(shipped.value, "")
         for ids in batches:
             yield ids.map(lambda x: b"" if x is None else model.decode(list(x)))
 
@@ -214,8 +256,8 @@ def roundtrip_digests(docs: DataFrame, ranks_data: bytes, pattern: str, id_col:
     id_type = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = TreeBPE(parse_ranks(shipped.value), pattern)
-        rendered = _Rendered(model)
+        model = shared_model(shipped.value, pattern)
+        rendered = per_worker("rendered", model, lambda: Rendered(model))
         for batch in batches:
             counts, ids_digests, text_digests = [], [], []
             for text in batch.column(1):
@@ -223,12 +265,11 @@ def roundtrip_digests(docs: DataFrame, ranks_data: bytes, pattern: str, id_col:
                 counts.append(joined.count(" ") + 1 if joined else 0)
                 ids_digests.append(hashlib.sha256(joined.encode()).hexdigest())
                 text_digests.append(hashlib.sha256(decoded).hexdigest())
-                if len(rendered) > MEMO:
-                    rendered.clear()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_digests, pa.string()), pa.array(text_digests, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release_memory()
 
     return rows.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
