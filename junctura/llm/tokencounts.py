@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from junctura.llm.bytepair import MEMO, TreeBPE, parse_ranks
+from junctura.llm.bytepair import TreeBPE, in_place, shared_model, stands_alone, stretches
+from junctura.llm.kernels import release_memory
+from junctura.llm.remembered import GENERATION, Remembered, per_worker
+from junctura.llm.scratch import materialize
 
 #: Pre-tokens in a leaf when it is made, and from how many a tree is built anew.
 LEAF_PIECES, FULL_LEAF = 32, 512
@@ -27,30 +30,9 @@ EDITS_AT_ONCE = 5_000
 EDITS = "array<struct<start: long, deleted: long, inserted: string>>"
 
 
-class StretchCounts(dict):
-    """Stretch between two single spaces -> its tokens together with the space before it, counted when first asked for.
-
-    None for a stretch that is empty or begins or ends with white space, which its neighbours may change.
-    """
-
-    def __init__(self, model: TreeBPE):
-        super().__init__()
-        self.model = model
-
-    @classmethod
-    def of(cls, model: TreeBPE) -> StretchCounts:
-        """The one that goes with a model, emptied when it has grown large."""
-        counts = model.__dict__.setdefault("stretch_counts", cls(model))
-        if len(counts) > MEMO:
-            counts.clear()
-        return counts
-
-    def __missing__(self, stretch: str) -> int | None:
-        alone = stretch != "" and not stretch[0].isspace() and not stretch[-1].isspace()
-        value = len(self.model.encode(" " + stretch)) if alone else None
-        if len(stretch) <= 256:
-            self[stretch] = value
-        return value
+def stretch_counts(model: TreeBPE) -> Remembered:
+    """Stretch (see ``bytepair.stretches``) -> its tokens in its place, None for one that its neighbours may change."""
+    return per_worker("stretch-counts", model, lambda: Remembered(lambda s: len(model.encode(in_place(s))) if stands_alone(s) else None, 2 * GENERATION))
 
 
 class CountTree:
@@ -65,20 +47,21 @@ class CountTree:
     def measure_text(self, text: str) -> tuple[list[int], list[int]]:
         """Characters and tokens of the leaves of a whole text.
 
-        Where all stretches between single spaces are independent (see ``StretchCounts``) they serve as pre-tokens, as
-        their borders are borders of pre-tokens.
+        Where all stretches between single spaces and line feeds are independent they serve as pre-tokens, as their
+        borders are borders of pre-tokens.
         """
-        counts = StretchCounts.of(self.model)
-        first, *rest = text.split(" ")
-        found = [counts[s] for s in rest]
-        if None in found or (rest and (first == "" or first[-1].isspace())):
+        parts = stretches(text)
+        if parts is None or parts[0] == "" or parts[0][-1].isspace():
             return self.measure(self.pieces(text))
-        if not text:
-            return [], []
-        sizes = np.fromiter(map(len, rest), np.int64, len(rest)) + 1
-        cuts = np.arange(0, len(rest) + 1, LEAF_PIECES)
-        tokens = np.append(len(self.model.encode(first)), np.array(found, dtype=np.int64)).astype(np.int64)
-        return np.add.reduceat(np.append(len(first), sizes), cuts).tolist(), np.add.reduceat(tokens, cuts).tolist()
+        known, rest = stretch_counts(self.model), parts[1:]
+        known.turn()
+        found = list(map(known.__getitem__, rest))
+        if None in found:
+            return self.measure(self.pieces(text))
+        sizes = np.fromiter(map(len, rest), np.int64, len(rest)) + np.fromiter([s[0] != "\n" for s in rest], np.int64, len(rest))
+        cuts = np.arange(0, len(parts), LEAF_PIECES)
+        tokens = np.append(len(self.model.encode(parts[0])), np.array(found, dtype=np.int64)).astype(np.int64)
+        return np.add.reduceat(np.append(len(parts[0]), sizes), cuts).tolist(), np.add.reduceat(tokens, cuts).tolist()
 
     def pieces(self, text: str) -> list[str]:
         return self.model.pattern.findall(text)
@@ -87,9 +70,9 @@ class CountTree:
         """Characters and tokens of leaves made of ``pieces``."""
         if not pieces:
             return [], []
-        piece = self.model.piece
+        reduce = self.model.reduce
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        counts = np.fromiter([len(piece(p)) for p in pieces], np.int64, len(pieces))
+        counts = np.fromiter([len(reduce(p.encode())) for p in pieces], np.int64, len(pieces))
         cuts = np.arange(0, len(pieces), LEAF_PIECES)
         return np.add.reduceat(sizes, cuts).tolist(), np.add.reduceat(counts, cuts).tolist()
 
@@ -172,6 +155,24 @@ class CountTree:
 
 
 STATE = "text string, leaf_chars array<int>, leaf_tokens array<int>, n_tokens long"
+EDITED = f"doc_id long, {STATE}, n_before long, n_reencoded long"
+
+
+def _documents(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *more)
+
+
+def _edited(doc_id: int | None, tree: CountTree, todo: list | None) -> tuple:
+    """A row of EDITED: the tree's state after some edits."""
+    before = tree.n_tokens
+    for edit in todo if todo is not None else ():
+        tree.edit(int(edit["start"] or 0), int(edit["deleted"] or 0), edit["inserted"] or "")
+    return (doc_id, tree.text, *tree.leaves(), tree.n_tokens, before, tree.reencoded)
+
+
+def _rows(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    """A batch in parts that keep what is held at once small."""
+    return (batch.iloc[k : k + 500] for k in range(0, len(batch), 500))
 
 
 def count_tokens(docs: DataFrame, ranks_data: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,18 +181,16 @@ def count_tokens(docs: DataFrame, ranks_data: bytes, pattern: str, id_col: str =
     Null texts count as empty and have no leaf; null and repeated ids are passed on; other columns are not read.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(ranks_data)  # the vocabulary file, fixed in size
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = TreeBPE(parse_ranks(shipped.value), pattern)
+        model = shared_model(shipped.value, pattern)
         for batch in batches:
-            for k in range(0, len(batch), 1000):
-                part = batch.iloc[k : k + 1000]
+            for part in _rows(batch):
                 trees = [CountTree(model, t) for t in part["text"]]
                 leaves = [t.leaves() for t in trees]
                 yield part.assign(leaf_chars=[x[0] for x in leaves], leaf_tokens=[x[1] for x in leaves], n_tokens=[t.n_tokens for t in trees])
 
-    return rows.mapInPandas(run, f"doc_id long, {STATE}")
+    return _documents(docs, id_col, text_col).mapInPandas(run, f"doc_id long, {STATE}")
 
 
 def apply_edits(state: DataFrame, edits: Column, ranks_data: bytes, pattern: str) -> DataFrame:
@@ -204,35 +203,52 @@ def apply_edits(state: DataFrame, edits: Column, ranks_data: bytes, pattern: str
     rows = state.select("doc_id", "text", "leaf_chars", "leaf_tokens", edits.cast(EDITS).alias("edits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = TreeBPE(parse_ranks(shipped.value), pattern)
+        model = shared_model(shipped.value, pattern)
+        for batch in batches:
+            for part in _rows(batch):
+                out = [
+                    _edited(doc_id, CountTree(model, text, ([int(x) for x in chars], [int(x) for x in tokens])), todo)
+                    for doc_id, text, chars, tokens, todo in part.astype({"doc_id": "Int64"}).itertuples(index=False, name=None)
+                ]
+                yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
+
+    return rows.mapInPandas(run, EDITED)
+
+
+_COLUMNS = ["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "n_before", "n_reencoded"]
+
+
+def count_edited(docs: DataFrame, edits: Column, ranks_data: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`count_tokens` and :func:`apply_edits` in one pass; ``edits`` may refer to ``doc_id`` and ``text``."""
+    shipped = docs.sparkSession.sparkContext.broadcast(ranks_data)
+    rows = _documents(docs, id_col, text_col).withColumn("edits", edits.cast(EDITS))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared_model(shipped.value, pattern)
         for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text, chars, tokens, todo in batch.itertuples(index=False, name=None):
-                tree = CountTree(model, text, ([int(x) for x in chars], [int(x) for x in tokens]))
-                before = tree.n_tokens
-                for edit in todo if todo is not None else ():
-                    tree.edit(int(edit["start"] or 0), int(edit["deleted"] or 0), edit["inserted"] or "")
-                chars, tokens = tree.leaves()
-                out.append((doc_id, tree.text, chars, tokens, tree.n_tokens, before, tree.reencoded))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "leaf_chars", "leaf_tokens", "n_tokens", "n_before", "n_reencoded"])
+            for part in _rows(batch):
+                out = [_edited(doc_id, CountTree(model, text), todo) for doc_id, text, todo in part.astype({"doc_id": "Int64"}).itertuples(index=False, name=None)]
+                yield pd.DataFrame(out, columns=_COLUMNS).astype({"doc_id": "Int64"})
+        release_memory()
 
-    return rows.mapInPandas(run, f"doc_id long, {STATE}, n_before long, n_reencoded long")
+    return rows.mapInPandas(run, EDITED)
 
 
 def apply_edit_table(state: DataFrame, edits: DataFrame, ranks_data: bytes, pattern: str) -> DataFrame:
     """The state after a table of edits: ``doc_id, seq, start, deleted, inserted``, applied by ``seq``.
 
-    A document's edits are applied EDITS_AT_ONCE at a time, so no row gathers an unbounded list; edits with the same
-    ``seq`` are applied in the order of their parts; edits of unknown or null ids are left out.
+    A document's edits are applied EDITS_AT_ONCE at a time and the state is written in between, so neither a row nor the
+    plan grows with the busiest document; edits with the same ``seq`` are applied in the order of their parts; edits of
+    unknown or null ids are left out.
     """
     order = Window.partitionBy("doc_id").orderBy("seq", "start", "deleted", "inserted")
-    numbered = edits.withColumn("turn", F.floor((F.row_number().over(order) - 1) / EDITS_AT_ONCE))
+    numbered = materialize(edits.withColumn("turn", F.floor((F.row_number().over(order) - 1) / EDITS_AT_ONCE)), "edits")
     turns = numbered.agg(F.max("turn").alias("n")).first()["n"]
     for turn in range(0 if turns is None else int(turns) + 1):
         part = numbered.where(F.col("turn") == turn).groupBy("doc_id")
         one = F.struct("seq", "start", "deleted", "inserted")
         lists = part.agg(F.transform(F.sort_array(F.collect_list(one)), lambda e: F.struct(e["start"].alias("start"), e["deleted"].alias("deleted"), e["inserted"].alias("inserted"))).alias("todo"))
-        state = apply_edits(state.join(lists, "doc_id", "left"), F.col("todo"), ranks_data, pattern)
+        state = materialize(apply_edits(state.join(lists, "doc_id", "left"), F.col("todo"), ranks_data, pattern), "edited")
     return state
 
 
@@ -243,7 +259,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         ranks_data = f.read()
     pattern = public_tokenizers.PATTERN
-    state = count_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), ranks_data, pattern)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
 
     def place(salt: str) -> Column:
         return F.pmod(F.crc32(F.encode(F.concat(F.lit(salt), F.col("doc_id").cast("string")), "UTF-8")), F.length("text") + 1)
@@ -254,5 +270,5 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(
         edit(place("a"), 0, F.concat(F.lit(" revision "), F.col("doc_id").cast("string"), F.lit(" "))), edit(place("b"), 40, F.lit("")), edit(place("c"), 12, F.lit("it's  new\n\n"))
     )
-    after = apply_edits(state, edits, ranks_data, pattern)
+    after = count_edited(docs, edits, ranks_data, pattern)
     return after.select("doc_id", "n_before", F.col("n_tokens").alias("n_after"), "n_reencoded", F.length("text").cast("long").alias("n_chars"))

@@ -4,9 +4,10 @@ import random
 
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from junctura.llm.bytepair import TreeBPE, parse_ranks
-from junctura.llm.tokencounts import CountTree, apply_edit_table, count_tokens
+from junctura.llm.tokencounts import CountTree, apply_edit_table, count_edited, count_tokens
 
 DATA = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
 RANKS = parse_ranks(DATA)
@@ -40,11 +41,16 @@ def test_edits_are_local():
     assert tree.n_tokens == len(ORACLE.encode_ordinary(tree.text))
 
 
-def test_tables(spark):
+def test_tables(spark, monkeypatch):
+    monkeypatch.setattr("junctura.llm.tokencounts.EDITS_AT_ONCE", 1)
     docs = spark.createDataFrame([(1, "one two", "c"), (2, None, "c"), (3, "", "c"), (None, "null id", "c"), (4, "w " * 30_000, "c")], "doc_id long, text string, n_tokens string")
     edits = spark.createDataFrame([(1, 2, 0, 3, "x"), (1, 1, 3, 0, " and"), (3, 1, 5, 5, "grown"), (4, 1, 10, None, None), (9, 1, 0, 0, "none")], "doc_id long, seq int, start long, deleted long, inserted string")
     state = count_tokens(docs, DATA, public_tokenizers.PATTERN)
     got = {r.doc_id: (r.text, r.n_tokens) for r in apply_edit_table(state, edits, DATA, public_tokenizers.PATTERN).collect()}
     texts = {1: "x and two", 2: "", 3: "grown", None: "null id", 4: "w " * 30_000}
     assert got == {i: (t, len(ORACLE.encode_ordinary(t))) for i, t in texts.items()}
+    one_by_one = apply_edit_table(state, edits.where("doc_id = 1"), DATA, public_tokenizers.PATTERN)
+    todo = F.expr("CASE WHEN doc_id = 1 THEN array(named_struct('start', 3L, 'deleted', 0L, 'inserted', ' and'), named_struct('start', 0L, 'deleted', 3L, 'inserted', 'x')) END")
+    at_once = count_edited(docs, todo, DATA, public_tokenizers.PATTERN)
+    assert {(r.doc_id, r.text, r.n_tokens) for r in one_by_one.collect()} == {(r.doc_id, r.text, r.n_tokens) for r in at_once.collect()}
     assert apply_edit_table(state.limit(0), edits, DATA, public_tokenizers.PATTERN).count() == 0
