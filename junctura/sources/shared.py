@@ -13,10 +13,15 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``, or a temporary folder where it names none."""
+    """The session's ``spark.checkpoint.dir``, or a temporary folder where a local session names none.
+
+    On a cluster that names none there is no folder that all executors see, which is an error.
+    """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
