@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm.components import connected_components
-from junctura.llm.counting import BUCKET_KEYS, REQUEST_SCHEMA, by_chunk, find, lookup, requests, sum_by_key
+from junctura.llm.counting import BUCKET_KEYS, REQUEST_SCHEMA, Routes, by_chunk, find, lookup, requests, sum_by_key
 from junctura.llm.kernels import combine, mix, release_memory, word_hashes
 from junctura.llm.scratch import materialize, shuffle_partitions
 
@@ -113,13 +113,13 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
     """
     spark = classes.sparkSession
     total = classes.agg(F.sum(F.least(F.col("n"), F.lit(k))).alias("s")).first()["s"] or 0
-    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_KEYS))
+    routes = Routes.to(max(shuffle_partitions(spark), -(-total // BUCKET_KEYS)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, table in by_chunk(batches):
             values = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64)
             keys, counts = np.unique(values, return_counts=True)
-            yield requests(chunk, keys, counts, buckets)
+            yield requests(chunk, keys, counts, routes.group_width)
         release_memory()
 
     def rank(key: tuple, own: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
@@ -143,7 +143,7 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
         return pd.concat([entries, pd.DataFrame(sketches, columns=entries.columns)]) if sketches else entries
 
     asked = classes.select("chunk", "sketch").mapInArrow(ask, REQUEST_SCHEMA)
-    replies = sum_by_key(asked, least=2).where("chunk >= 0")
+    replies = sum_by_key(asked, routes, least=2).where("chunk >= 0")
     own = classes.select("chunk", "rep", "n", "sketch")
     return own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(rank, "value long, rep long, n long, pos long, size long, sketch binary")
 
