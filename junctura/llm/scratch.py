@@ -13,10 +13,15 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The folder of ``spark.checkpoint.dir``; a temporary one where a local session names none (tests).
+
+    On a cluster that names none there is no folder that all executors see, which is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-shared-")
         atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)

@@ -1,66 +1,18 @@
 """Edge cases and plain versions of the operators that have no test module of their own."""
 
-import math
 import random
-import zlib
 from collections import Counter
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from junctura.llm.backoff import OWN_WEIGHT, score_texts
 from junctura.llm.components import connected_components
-from junctura.llm.counting import pack_keys, unpack_keys
-from junctura.llm.digests import DigestIndex, exact_dedup, keep_first_copies
-from junctura.llm.labelled import remainder
 from junctura.llm.neardup import keep_one_of_each, least_shared, list_entries, near_duplicates
-from junctura.llm.nra import quantized, top_k_inner_product
 from junctura.llm.quality import score_quality, train_quality
-from junctura.llm.toxicity import score_toxicity, train_toxicity
 
 DOCS = "doc_id long, text string, kept string"
 
 
-def test_top_k(spark):
-    rng = random.Random(1)
-    vectors = {i: [rng.uniform(-1, 1) for _ in range(6)] for i in range(300)}
-    vectors |= {400 + i: vectors[7] for i in range(40)}  # ties
-    bad = {900: None, 901: [float("nan")] * 6, 902: [None] * 6, 903: [float("inf")] + [0.0] * 5}
-    df = spark.createDataFrame([(i, v, 0) for i, v in (vectors | bad).items()], "vec_id long, embedding array<double>, score int")
-    q = quantized(df, "vec_id", "embedding", 1024)
-    got = top_k_inner_product(q, q.where("vec_id % 50 = 0"), k=5, candidate_block=64, query_block=3).collect()
-    ints = {i: [math.floor(1024 * x) for x in v] for i, v in vectors.items()}
-    want = set()
-    for i in (i for i in ints if i % 50 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(ints[i], v, strict=True)), j) for j, v in ints.items() if j != i)
-        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:5])}
-    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want and len(got) == len(want)
-    assert top_k_inner_product(q.limit(0), q.limit(0)).count() == 0
-    assert top_k_inner_product(q.limit(3), q.limit(1), k=10).count() == 2
-
-
-def test_exact_dedup(spark):
-    rows = [(3, "a  b", "x"), (1, "a\n\tb", "x"), (2, "a b ", "x"), (4, None, "x"), (5, "", "x"), (None, "a b", "x"), (None, "only", "x"), (1, "a b", "x")]
-    df = spark.createDataFrame(rows, DOCS)
-    got = sorted(((r.doc_id or 0, r.keep_id, r.group_size, r.kept) for r in exact_dedup(df).collect()), key=str)
-    want = sorted([(3, 1, 4, False), (1, 1, 4, True), (2, 2, 1, True), (4, 4, 2, True), (5, 4, 2, False), (0, 1, 4, False), (0, None, 1, True), (1, 1, 4, True)], key=str)
-    assert got == want
-    assert exact_dedup(df.limit(0)).count() == 0
-    assert sorted(str(r.doc_id) for r in keep_first_copies(df).collect()) == ["1", "1", "2", "4", "None"]
-
-
-def test_digest_index_keeps_earlier_batches(spark):
-    index = DigestIndex(spark, buckets=4)
-    first = spark.createDataFrame([(5, "a", ""), (6, "b", "")], DOCS)
-    second = spark.createDataFrame([(1, "a", ""), (2, "c", ""), (3, "c", "")], DOCS)
-    exact_dedup(first, index)
-    for _ in range(2):  # again, as after a failure
-        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup(second, index).collect()}
-        assert got == {1: (5, False), 2: (2, True), 3: (2, False)}
-    assert index.read().count() == 3
-
-
 def shingles(text):
     words = (text or "").encode().lower().split()
     return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} - {()}
@@ -160,44 +112,6 @@ def test_components(spark):
     assert got == low
 
 
-def test_key_packing():
-    keys = np.unique(np.random.default_rng(0).integers(0, 1 << 64, 1000, dtype=np.uint64))
-    assert (unpack_keys(pack_keys(keys)) == keys).all() and len(unpack_keys(pack_keys(keys[:0]))) == 0
-
-
-def test_scores_against_plain_counts(spark):
-    rng = random.Random(5)
-    vocabulary = [f"w{k}" for k in range(30)]
-    texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "Ünseen W1", "w1\x0bW2", "w1 " * 5_000]
-    df = spark.createDataFrame([(i, t, "") for i, t in enumerate(texts)], DOCS)
-    got = {r.doc_id: r for r in score_texts(df, remainder(F.col("doc_id"), 5) != 1).collect()}
-    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in enumerate(texts)}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    one = Counter(w for i in train for w in tokens[i])
-    two = Counter(p for i in train for p in zip([0, *tokens[i]], tokens[i], strict=False))
-    n, v, n1, n2 = sum(one.values()), len(one), sum(c == 1 for c in one.values()), sum(c == 2 for c in one.values())
-    d = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    total = 0.0
-    for i, words in tokens.items():
-        base = score = 0.0
-        before = 0
-        for w in words:
-            base += math.log10((one[w] + 0.5) / (n + 0.5 * (v + 1)))
-            p = (one[w] - d) / n if one[w] else d * v / n
-            seen = len(train) if before == 0 else one[before]
-            own = OWN_WEIGHT if seen else 0.0
-            score += math.log10(own * two[before, w] / max(seen, 1) + (1 - own) * p)
-            before = w
-        r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(words), sum(one[w] > 0 for w in words), n, i not in train)
-        assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
-        total += r.score
-    assert score_texts(df.limit(0), F.lit(True)).count() == 0
-    # Probabilities of all words and the unknown one after a context sum to 1.
-    after = sum(OWN_WEIGHT * two[b"w1", w] / one[b"w1"] + (1 - OWN_WEIGHT) * (one[w] - d) / n for w in one) + (1 - OWN_WEIGHT) * d * v / n
-    assert after == pytest.approx(1)
-
-
 def prose(rng, n):
     return " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "dogs", "ran"]) for _ in range(n)).capitalize() + "."
 
@@ -223,24 +137,3 @@ def test_quality_learns_lines(spark):
     nothing = train_quality(df, marks.limit(0), F.lit(True))
     assert {r.score for r in score_quality(df, nothing).collect()} == {0.5}
     assert score_quality(df.limit(0), model).count() == 0
-
-
-def test_toxicity_learns_words(spark):
-    rng = random.Random(7)
-    docs, labels = [], []
-    for i in range(600):
-        words = prose(rng, rng.randint(20, 60)).split()
-        if i % 5 == 0:
-            words.insert(rng.randrange(len(words)), rng.choice(["blorgish", "blorgly", "Snarfed!", "snarfing"]))
-        docs.append((i, " ".join(words), ""))
-        labels.append((i, 1, int(i % 5 == 0)))
-    docs += [(1000, None, ""), (1001, "", ""), (None, "blorgful", "")]
-    df, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = train_toxicity(df, marks, F.col("doc_id") % 2 == 0)
-    got = {r.doc_id: r for r in score_toxicity(df, model).collect()}
-    held = [i for i in range(600) if i % 2]
-    assert all(got[i].predicted == (i % 5 == 0) for i in held)
-    assert got[None].predicted == 1 and got[1000].predicted == got[1001].predicted == 0
-    nothing = train_toxicity(df, marks.where("toxic = 0"), F.lit(True))
-    assert all(r.predicted == 0 for r in score_toxicity(df, nothing).collect())
-    assert score_toxicity(df.limit(0), model).count() == 0
