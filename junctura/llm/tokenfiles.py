@@ -19,17 +19,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from junctura.llm.remembered import KEY_LENGTH, Remembered, per_worker
 from junctura.llm.scratch import new_path, shuffle_partitions
 
 BLOCK = 1024
 #: Ids after which a group is closed; one document may exceed it, as documents are not cut.
 GROUP_IDS = 1 << 18
-#: Distinct strings in each of the two generations that a Python worker remembers.
-MEMO = 600_000
+#: Texts encoded together.
+TOGETHER = 1_000
 
 
 def bits_for(vocab_size: int) -> int:
@@ -86,88 +88,68 @@ PLAIN = re.compile(f"([{LETTERS}]+)([!-@\\[-`{{-~]*)")
 class ChunkedTokenizer:
     """The ids that a ``tokenizers`` model gives a text, made from the ids of its stretches without white space.
 
-    Valid for models that drop white space before their merges and let no token span it. Each distinct stretch is
-    encoded by the library once while it is remembered: new ones are handed over together, a mark between them that the
-    model gives an id of its own, so that the ids can be told apart.
+    Valid for models that drop white space before their merges, let no token span it and mark the last token of a word.
+    The distinct stretches of some texts are found by Arrow; new ones are encoded by the library and remembered.
     """
 
-    MARK = b"\x01"
+    WORD_END = "</w>"
 
     def __init__(self, model_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
-        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        plain = (chr(c) for c in range(256) if re.match(f"[{LETTERS}]", chr(c)))
-        self.letters = {ord(c): as_bytes.pre_tokenize_str(c)[0][0] for c in plain}
         self.model = Tokenizer.from_str(model_json)
-        self.model.encode_special_tokens = True
-        self.mark_ids = self._ids(self.MARK.decode())
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        vocab = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(self.WORD_END)]] = True
+        self.known: Remembered = Remembered(lambda s: self._ids(s).tobytes())
+        self.tails: Remembered = Remembered(lambda s: self._ids(s).tobytes(), 50_000)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Remember the ids of new stretches.
+    def learn(self, words: list[str]) -> None:
+        """Remember the ids of new stretches; those that are plain letters and a tail without letters all at once.
 
-        A stretch of plain letters and a tail without letters is two lots of the model's words; the letters go straight
-        to the merges, written as the library writes their bytes.
+        Such a stretch is two lots of the model's words, as letters are one word to it, which the last of their ids
+        shows to end. Others are encoded by themselves when they are asked for.
         """
-        merge, lasting, others = self.model.model.tokenize, {}, []
-        for word in words:
-            found = PLAIN.fullmatch(word.decode())
-            if not found:
-                others.append(word)
-                continue
-            stem, tail = found.groups()
-            ids = np.array([t.id for t in merge(stem.lower().translate(self.letters))], dtype=np.uint32).tobytes()
-            if tail and tail not in lasting:
-                lasting[tail] = self._ids(tail).tobytes()
-            self.memo[word] = ids + lasting[tail] if tail else ids
-        words = others
-        together = [w for w in words if self.MARK not in w] if len(self.mark_ids) == 1 else []
-        for k in range(0, len(together), 1024):
-            part = together[k : k + 1024]
-            ids = self._ids((b" " + self.MARK + b" ").join(part).decode())
-            marks = np.flatnonzero(ids == self.mark_ids[0])
-            if len(marks) != len(part) - 1:  # a stretch that the model gives the mark's id
-                words = [*words, *part]
-                continue
-            data, start = ids.tobytes(), 0
-            for word, stop in zip(part, [*marks.tolist(), len(ids)], strict=True):
-                self.memo[word] = data[4 * start : 4 * stop]
-                start = stop + 1
-        for word in words:
-            if word not in self.memo:
-                self.memo[word] = self._ids(word.decode()).tobytes()
-
-    def encode_many(self, texts: list[bytes], end_id: int) -> list[np.ndarray]:
-        """The ids of each text (in UTF-8), followed by ``end_id``."""
-        split = [t.split() for t in texts]  # at ASCII white space alone; the library sees any other kind
-        words = set().union(*split)
-        new = words.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:  # what comes back from here on stays, the rest goes next time
-            self.memo, self.older, new = {}, self.memo, words
-        back = new.intersection(self.older)
-        self.memo.update((w, self.older[w]) for w in back)
-        self.learn(list(new.difference(back)))
-        end, get = np.uint32(end_id).tobytes(), self.memo.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)) + end, dtype=np.uint32) for words in split]
-
-
-_loaded: dict[int, ChunkedTokenizer] = {}
+        plain = [(word, *found.groups()) for word in words if (found := PLAIN.fullmatch(word)) and len(word) <= KEY_LENGTH]
+        self.tails.turn()
+        for k in range(0, len(plain), 4096):
+            part, stems, tails = zip(*plain[k : k + 4096], strict=True)
+            ids = self._ids(" ".join(stems))
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) == len(part):
+                data, cuts = ids.tobytes(), [0, *(4 * stops).tolist()]
+                encoded = [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                self.known.update(zip(part, map(bytes.__add__, encoded, map(self.tails.__getitem__, tails)), strict=True))
+
+    def encode_many(self, texts: pa.Array, end_id: int) -> list[np.ndarray]:
+        """The ids of each text, followed by ``end_id``. It is cut at ASCII white space; the library sees any other kind."""
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.known.turn()
+        found = list(map(self.known.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        self.learn([words[k] for k in new if words[k] not in self.known.older])
+        for k in new:
+            found[k] = self.known[words[k]]
+        found.append(np.uint32(end_id).tobytes())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(found), dtype=np.uint32)
+        after = split.offsets.to_numpy()[1:] - split.offsets[0].as_py()
+        at = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), after, len(words))
+        taken = sizes[at]
+        stops = np.cumsum(taken)
+        flat = ids[np.repeat(starts[at] - stops + taken, taken) + np.arange(stops[-1] if len(stops) else 0)]
+        return np.split(flat, stops[after + np.arange(len(after))][:-1]) if len(after) else []
 
 
 def tokenizer_for(model_json: str) -> ChunkedTokenizer:
     """One tokenizer for all tasks that a Python worker runs, with what it remembers."""
-    key = zlib.crc32(model_json.encode())
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = ChunkedTokenizer(model_json)
-    return _loaded[key]
+    return per_worker("words", zlib.crc32(model_json.encode()), lambda: ChunkedTokenizer(model_json))
 
 
 FILE_SCHEMA = (
@@ -207,9 +189,9 @@ def write_token_files(
 
         held = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                for doc_id, got in zip(part.column(0).to_pylist(), tokenizer.encode_many(part.column(1).cast(pa.binary()).to_pylist(), end_id), strict=True):
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
+                for doc_id, got in zip(part.column(0).to_pylist(), tokenizer.encode_many(part.column(1), end_id), strict=True):
                     if arrays and held + len(got) > GROUP_IDS:
                         yield group()
                         seq, held, ids, arrays = seq + 1, 0, [], []

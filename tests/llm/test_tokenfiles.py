@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -30,14 +31,20 @@ def test_least_bits():
 
 def test_stretches_match_whole_texts():
     whole, ours = Tokenizer.from_str(JSON), ChunkedTokenizer(JSON)
-    whole.encode_special_tokens = True
     rng = random.Random(5)
-    parts = ["The", "don't", "it's,", "ÉTÉ", "Straße", "naïve.", "x1y", "12", "!!", "\x01", "a\x01b", " ", "é", "日本", "ΣΑΣ", "İx", "\x1c!", "_a_", "×", "ÿ", "Ñandú;"]
+    parts = ["The", "don't", "it's,", "ÉTÉ", "Straße", "naïve.", "x1y", "12", "!!", "\x01", "a\x01b", " ", "é", "日本", "ΣΑΣ", "İx", "\x1c!", "_a_", "×", "ÿ", "Ñandú;", "<|endoftext|>", "x<|startoftext|>y", "<|ENDOFTEXT|>"]
     texts = [rng.choice(["", " ", "\n", " "]).join(rng.choices(parts, k=rng.randint(0, 9))) for _ in range(2500)]
-    for text, got in zip(texts, ours.encode_many([t.encode() for t in texts], 2), strict=True):
+    for text, got in zip(texts, ours.encode_many(pa.array(texts), 2), strict=True):
         assert got.tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2], repr(text)
 
 
+def test_special_tokens_as_the_library_has_them():
+    texts = ["hello <|endoftext|> world", "<|startoftext|>", "a<|endoftext|>'s\tb"]
+    got = [x.tolist() for x in ChunkedTokenizer(JSON).encode_many(pa.array(texts), 2)]
+    assert got == [[*Tokenizer.from_str(JSON).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got[0] == [3306, 49407, 1002, 2]
+
+
 def test_files(spark, tmp_path):
     texts = ["b c", None, "", "long " * 200_000, "b c", "a"]
     rows = [(5, texts[0]), (3, texts[1]), (9, texts[2]), (7, texts[3]), (5, texts[4]), (None, texts[5])]
