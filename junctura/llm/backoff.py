@@ -228,9 +228,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     held = ~F.coalesce(train, F.lit(False))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), held.alias("held_out"))
     # A row's chunk depends on the row alone, so both passes, and tasks that are run again, make the same chunks.
-    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks)).cast("int")
+    chunk = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(chunks))
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").mapInArrow(_compressed, f"chunk int, doc_id {id_type}, text binary, held_out boolean")
+    dealt = rows.select(chunk.alias("chunk"), "doc_id", "text", "held_out").mapInArrow(_compressed, f"chunk long, doc_id {id_type}, text binary, held_out boolean")
 
     def counts_of(table: pa.Table, tokens: np.ndarray, first_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         counted = np.repeat(~np.asarray(table.column("held_out")), np.diff(first_of))

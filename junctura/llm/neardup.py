@@ -144,7 +144,7 @@ def list_entries(classes: DataFrame, k: int = K, percent: int = PERCENT) -> Data
 
     asked = classes.select("chunk", "sketch").mapInArrow(ask, REQUEST_SCHEMA)
     replies = sum_by_key(asked, routes, least=2).where("chunk >= 0")
-    own = classes.select("chunk", "rep", "n", "sketch")
+    own = classes.select(F.col("chunk").cast("long").alias("chunk"), "rep", "n", "sketch")  # of the replies' type, as both are dealt by it
     return own.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInPandas(rank, "value long, rep long, n long, pos long, size long, sketch binary")
 
 
@@ -258,7 +258,7 @@ def whole_sets(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
 
     texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).join(reps, "rep", "left_semi")
     sets = texts.mapInArrow(run, "rep long, n long, sketch binary").where("n > 0")
-    return materialize(sets.select(F.spark_partition_id().alias("chunk"), "rep", "n", "sketch"), "whole-sets")
+    return materialize(sets.select(F.spark_partition_id().cast("long").alias("chunk"), "rep", "n", "sketch"), "whole-sets")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = materialize(signatures(docs, id_col, text_col, k, words), "signatures")
     keys = ["n_shingles", "d1", "d2"]
     grouped = signed.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*keys).agg(F.min("doc_id").alias("rep"), F.min_by("sketch", "doc_id").alias("sketch"))
-    numbered = grouped.select(F.spark_partition_id().alias("chunk"), "rep", F.col("n_shingles").alias("n"), "d1", "d2", "sketch")
+    numbered = grouped.select(F.spark_partition_id().cast("long").alias("chunk"), "rep", F.col("n_shingles").alias("n"), "d1", "d2", "sketch")
     classes = materialize(numbered, "classes")
     links, wide = list_links(classes, lambda pairs, listed: verified_links(pairs, listed, docs, id_col, text_col, k, percent, words), k, percent, k)
     if wide.limit(1).count():

@@ -23,10 +23,24 @@ def grams(tokens, n):
     return list(zip(*(padded[k:] for k in range(n)), strict=False))
 
 
+def apart(spark, monkeypatch):
+    """Partitions as they are dealt, so that both sides of a join must be dealt alike."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    monkeypatch.setattr(backoff, "CHUNK_BYTES", 500)
+    monkeypatch.setattr(counting, "CHUNK_BYTES", 500)
+
+
+@pytest.fixture(autouse=True)
+def together(spark):
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 @pytest.mark.parametrize(("order", "direct"), [(1, 1024), (2, 1024), (3, 2)])
 def test_scores_against_plain_counts(spark, monkeypatch, order, direct):
     monkeypatch.setattr(counting, "DIRECT", direct)  # 2: chunks write to groups of buckets
     monkeypatch.setattr(backoff, "PIECE", 7)
+    apart(spark, monkeypatch)
     rng = random.Random(5)
     vocabulary = [f"w{k}" for k in range(30)]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(0, 40))) for _ in range(60)] + [None, "", "Ünseen W1", "w1\x0bW2", "w1 " * 5_000]

@@ -37,7 +37,9 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     rng.shuffle(texts)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, " ".join(base), "x")]
     df = spark.createDataFrame(rows, DOCS)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # both sides of a join must be dealt alike
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, k=64).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     sets = [shingles(t) for t in texts]
     root = list(range(len(texts)))
 
@@ -82,7 +84,7 @@ def test_lists_of_a_chunk_that_asks_in_parts(spark):
     pool = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
     sketches = [np.unique(rng.choice(pool, 30)) for _ in range(12)]
     rows = [(0, rep, len(s), bytearray(s.tobytes())) for rep, s in enumerate(sketches)]
-    df = spark.createDataFrame(rows, "chunk int, rep long, n long, sketch binary")
+    df = spark.createDataFrame(rows, "chunk long, rep long, n long, sketch binary")
 
     def entries(classes):
         return sorted((r.value, r.rep, r.pos, r.size) for r in list_entries(classes, percent=50).where("sketch IS NULL").collect())
