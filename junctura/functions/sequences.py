@@ -19,6 +19,18 @@ def oriented(s: Column, reverse: Column) -> Column:
     return F.when(reverse, reverse_complement(s)).otherwise(s)
 
 
+def oriented_qualities(qual: Column, reverse: Column) -> Column:
+    """Qualities in the order in which the read was sequenced."""
+    return F.when(reverse, F.reverse(qual)).otherwise(qual)
+
+
+def mean_quality(qual: Column, cigar: Column) -> Column:
+    """Mean base quality (characters from ``!`` on) of the part of a read that isn't soft-clipped; null if nothing is left."""
+    inner = F.substring(qual, left_clip(cigar) + 1, F.length(qual) - left_clip(cigar) - right_clip(cigar))
+    letters = F.filter(F.split(inner, ""), lambda c: c != "")
+    return F.aggregate(letters, F.lit(0), lambda acc, c: acc + F.ascii(c) - 33) / F.nullif(F.size(letters), F.lit(0))
+
+
 def kmers(s: Column, k: int) -> Column:
     """Array of the k-mers at every position, in order; empty for shorter texts. Null gives null."""
     # One pass of the regex engine: a lookahead matches at each position without using it up.
@@ -82,7 +94,14 @@ def cigar_parts(cigar: Column) -> Column:
 
 def reference_length(cigar: Column) -> Column:
     """Bases of reference that an alignment spans."""
-    return F.aggregate(cigar_parts(cigar), F.lit(0), lambda acc, p: acc + F.when(F.instr(F.lit(ON_REFERENCE), p["op"]) > 0, p["n"]).otherwise(0))
+    runs = F.regexp_extract_all(cigar, F.lit(rf"(\d+)[{ON_REFERENCE}]"), F.lit(1))
+    return F.aggregate(runs, F.lit(0), lambda acc, n: acc + n.cast("int"))
+
+
+def query_length(cigar: Column) -> Column:
+    """Bases of the read that an alignment accounts for, soft clips included."""
+    runs = F.regexp_extract_all(cigar, F.lit(r"(\d+)[MIS=X]"), F.lit(1))
+    return F.aggregate(runs, F.lit(0), lambda acc, n: acc + n.cast("int"))
 
 
 def end_position(pos: Column, cigar: Column) -> Column:
@@ -110,17 +129,63 @@ def is_full_length(cigar: Column) -> Column:
 
 def collapse_matches(cigar: Column) -> Column:
     """``=`` and ``X`` as M, neighbouring runs joined."""
-    parts = F.transform(cigar_parts(cigar), lambda p: F.struct(p["n"].alias("n"), F.when(p["op"].isin("=", "X"), "M").otherwise(p["op"]).alias("op")))
-    empty = F.array().cast("array<struct<n:int,op:string>>")
+    plain = F.translate(cigar, "=X", "MM")
+    groups = F.regexp_extract_all(plain, F.lit(r"((?:\d+M)+|\d+[^M\d])"), F.lit(1))
+
+    def joined(g: Column) -> Column:
+        total = F.aggregate(F.split(F.regexp_replace(g, "M$", ""), "M"), F.lit(0), lambda acc, n: acc + n.cast("int"))
+        return F.when(g.rlike(r"M\d"), F.concat(total.cast("string"), F.lit("M"))).otherwise(g)
+
+    return F.when(plain.rlike(r"M\d+M"), F.array_join(F.transform(groups, joined), "")).otherwise(plain)
+
+
+def operations(cigar: Column) -> Column:
+    """Array of a CIGAR's operations as text, such as ``12M``."""
+    return F.regexp_extract_all(cigar, F.lit(r"(\d+[MIDNSHP=X])"), F.lit(1))
+
+
+def joint_cigar(host: Column, virus: Column, host_reversed: Column, virus_reversed: Column) -> Column:
+    """Both alignments of a fragment as one CIGAR, through the junction: a soft clip next to it counts one base."""
+    h, v = (F.when(r, F.reverse(operations(c))).otherwise(operations(c)) for c, r in ((host, host_reversed), (virus, virus_reversed)))
+    last, first = F.try_element_at(h, F.lit(-1)), F.try_element_at(v, F.lit(1))
+    h = F.when(last.endswith("S"), F.concat(F.slice(h, F.lit(1), F.greatest(F.size(h) - 1, F.lit(0))), F.array(F.lit("1S")))).otherwise(h)
+    v = F.when(first.endswith("S"), F.concat(F.array(F.lit("1S")), F.slice(v, F.lit(2), F.size(v)))).otherwise(v)
+    return collapse_matches(F.concat(F.array_join(h, ""), F.array_join(v, "")))
+
+
+def consistent_cigars(a: Column, b: Column, from_back: Column) -> Column:
+    """Whether two CIGARs agree from one end on: as many operations, all equal but for the length of the last."""
+    x, y = (F.when(from_back, F.reverse(operations(c))).otherwise(operations(c)) for c in (a, b))
+    n = F.size(x)
+    but_last = F.slice(x, F.lit(1), F.greatest(n - 1, F.lit(0))) == F.slice(y, F.lit(1), F.greatest(n - 1, F.lit(0)))
+    kind = F.right(F.try_element_at(x, F.lit(-1)), F.lit(1)) == F.right(F.try_element_at(y, F.lit(-1)), F.lit(1))
+    return (n == F.size(y)) & ((n == 0) | (but_last & F.coalesce(kind, F.lit(False))))
 
-    def joined(acc: Column, p: Column) -> Column:
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["op"] == p["op"])
-        head = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
-        grown = F.concat(head, F.array(F.struct((F.try_element_at(acc, F.lit(-1))["n"] + p["n"]).alias("n"), p["op"].alias("op"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(p["n"].alias("n"), p["op"].alias("op")))))
 
-    runs = F.aggregate(parts, empty, joined)
-    return F.array_join(F.transform(runs, lambda p: F.concat(p["n"].cast("string"), p["op"])), "")
+def gapped_sequence(seq: Column, offset: Column, width: Column, cigar: Column) -> Column:
+    """A read laid over its reference of ``width`` bases from ``offset`` on: N where it says nothing, ``-`` for deleted
+    bases; inserted bases take places like matched ones, and what goes beyond the reference is cut."""
+    state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(acc: Column, p: Column) -> Column:
+        n, op = p["n"], p["op"]
+        piece = F.when(op.isin("M", "=", "X", "I"), F.substring(seq, acc["at"] + 1, n)).when(op == "D", F.repeat(F.lit("-"), n)).otherwise("")
+        used = F.when(op.isin("M", "=", "X", "I", "S", "H"), n).otherwise(0)
+        return F.struct(F.concat(acc["out"], piece).alias("out"), (acc["at"] + used).alias("at"))
+
+    laid = F.aggregate(cigar_parts(cigar), state, step)["out"]
+    return F.rpad(F.concat(F.repeat(F.lit("N"), offset), laid), width, "N")
+
+
+def consistent_sequences(a: Column, b: Column) -> Column:
+    """Whether two sequences of one length agree wherever neither has N."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
+
+    def differs(p: Column) -> Column:
+        x, y = F.substring(a, p, F.lit(1)), F.substring(b, p, F.lit(1))
+        return (x != y) & (x != "N") & (y != "N")
+
+    return (F.length(a) == F.length(b)) & ~F.exists(places, differs)
 
 
 def clip_sequence(seq: Column, cigar: Column, side: Column) -> Column:
@@ -215,6 +280,13 @@ def slop(start: Column, end: Column, by: Column, length: Column) -> tuple[Column
     return F.greatest(start - by, F.lit(0)), F.least(end + by, length)
 
 
+def strand_slop(start: Column, end: Column, strand_col: Column, upstream: Column, downstream: Column, length: Column) -> tuple[Column, Column]:
+    """An interval widened along its own strand, within its contig: on ``-`` upstream is to the right."""
+    minus = strand_col == "-"
+    left, right = F.when(minus, downstream).otherwise(upstream), F.when(minus, upstream).otherwise(downstream)
+    return F.greatest(start - left, F.lit(0)), F.least(end + right, length)
+
+
 def trim_unknown(s: Column) -> Column:
     """Without N at either end."""
     return F.regexp_replace(s, "^N+|N+$", "")
@@ -233,6 +305,23 @@ def lacks_bits(flag: Column, bits: int) -> Column:
     return flag.bitwiseAND(F.lit(bits)) == 0
 
 
+#: Bits of rows that coverage leaves out: unmapped, secondary, failed quality checks, duplicate.
+NOT_IN_DEPTH = 4 + 256 + 512 + 1024
+#: Bits of rows that are not a read's first alignment: secondary, supplementary.
+NOT_PRIMARY = 256 + 2048
+
+
+def is_discordant(chrom: Column, mate_chrom: Column, tlen: Column, span: int = 100_000) -> Column:
+    """Whether a read's mate lies on another contig or further away than ``span``."""
+    return (chrom != mate_chrom) | (F.abs(tlen) > span)
+
+
+def with_flag(flag: Column, name: str, value: Column) -> Column:
+    """``flag`` with one bit set or cleared."""
+    bit = FLAG_BITS[name]
+    return F.when(value, flag.bitwiseOR(F.lit(bit))).otherwise(flag.bitwiseAND(F.lit(~bit)))
+
+
 def has_one_segment(flag: Column) -> Column:
     """Whether exactly one of the read1 and read2 bits is set."""
     return has_flag(flag, "read1") != has_flag(flag, "read2")

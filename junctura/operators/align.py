@@ -128,6 +128,36 @@ def align_both_strands(df: DataFrame, query: str, ref: str, cfg: JunctionConfig
     return both.withColumn("__c", chosen).withColumn("q_strand", F.when(plus, "+").otherwise("-")).select(*df.columns, "__c.*", "q_strand")
 
 
+def align_segments(members: DataFrame, regions: DataFrame, segments: DataFrame, cfg: JunctionConfig | None = None) -> DataFrame:
+    """``region_id, frag_id, is_virus`` and the alignment of each fragment's segment to each of its regions.
+
+    ``members``: ``region_id, frag_id``; ``regions``: ``region_id, is_virus, seq``; ``segments``: ``frag_id, is_virus, seq`` as
+    they were read. Kept are alignments that are acceptable and near the fragment's best on the organism; as the joins
+    spread a fragment's regions, that best is found by a window over fragments.
+    """
+    cfg = cfg or JunctionConfig()
+    at = members.join(regions.select("region_id", "is_virus", F.col("seq").alias("ref")), "region_id")
+    both = at.join(segments.select("frag_id", "is_virus", F.col("seq").alias("query")), ["frag_id", "is_virus"])
+    found = accepted(align_both_strands(both, "query", "ref", cfg), cfg).drop("ref", "query")
+    return relative(found, ["frag_id", "is_virus"], cfg)
+
+
+def on_both_sides(edge_reads: DataFrame, alignments: DataFrame, facts: list[str]) -> DataFrame:
+    """``edge_reads`` (``h_region, v_region, frag_id, ...``) with ``h_`` and ``v_`` facts of both alignments; reads that lack
+    either are left out."""
+    out = edge_reads
+    for side, region in (("h", "h_region"), ("v", "v_region")):
+        mine = alignments.select(F.col("region_id").alias(region), "frag_id", *[F.col(c).alias(f"{side}_{c}") for c in facts])
+        out = out.join(mine, [region, "frag_id"])
+    return out
+
+
+def reads_on_both_organisms(alignments: DataFrame, read: str = "read_id") -> DataFrame:
+    """Alignments of reads that have some on the host and some on the virus."""
+    both = alignments.groupBy(read).agg(F.count_distinct("is_virus").alias("n")).where("n = 2").select(read)
+    return alignments.join(both, read, "left_semi")
+
+
 def accepted(df: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """Alignments long and good enough that are not clipped at both ends."""
     both_clipped = F.col("cigar").rlike(r"^\d+S.*\d+S$")

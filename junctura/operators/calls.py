@@ -70,11 +70,36 @@ def mate_distances(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
 
 
 def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
-    """``call_id, mate_id, dist``: each call's nearest partner, the smaller id of equally near ones."""
-    d = mate_distances(calls, cfg)
-    both = d.select(F.col("a").alias("call_id"), F.col("b").alias("mate_id"), "dist").unionByName(d.select(F.col("b").alias("call_id"), F.col("a").alias("mate_id"), "dist"))
-    order = Window.partitionBy("call_id").orderBy(F.abs("dist"), "mate_id")
-    return both.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    """``call_id, mate_id, dist``: each call's nearest partner, the smaller id of equally near ones; calls without are left out.
+
+    Calls of both strands are laid side by side in bins, with copies of those that the neighbouring bins can reach; the
+    nearest call of the other strand on either side is then the last or first one seen in the order of places. No pair
+    that isn't the nearest is made.
+    """
+    low, high = cfg.pair_band
+    reach = max(abs(low), abs(high))
+    width = 8 * reach
+    at = F.col("host_pos")
+    bins = F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))
+    rows = calls.where(at.isNotNull() & F.col("host_rev").isNotNull()).select("host_chr", "host_rev", "call_id", "host_pos", F.explode(bins).alias("bin"))
+    place = Window.partitionBy("host_chr", "bin").orderBy("host_pos")
+    so_far, from_here = place.rangeBetween(Window.unboundedPreceding, Window.currentRow), place.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def last(of_rev: bool) -> Column:  # the smallest id of the places that come last
+        return F.max(F.when(F.col("host_rev") == F.lit(of_rev), F.struct(at.alias("at"), (-F.col("call_id")).alias("id")))).over(so_far)
+
+    def first(of_rev: bool) -> Column:
+        return F.min(F.when(F.col("host_rev") == F.lit(of_rev), F.struct(at.alias("at"), F.col("call_id").alias("id")))).over(from_here)
+
+    rev = F.col("host_rev")
+    seen = rows.select("*", F.when(rev, last(False)).otherwise(last(True)).alias("b"), F.when(rev, first(False)).otherwise(first(True)).alias("a"))
+
+    def candidate(found: Column, mate: Column) -> Column:
+        dist = F.when(rev, at - found["at"]).otherwise(found["at"] - at)
+        return F.when(dist.between(low, high), F.struct(F.abs(dist).alias("far"), mate.alias("mate_id"), dist.alias("dist")))
+
+    near = seen.where(F.col("bin") == F.floor(at / width)).select("call_id", F.least(candidate(F.col("b"), -F.col("b.id")), candidate(F.col("a"), F.col("a.id"))).alias("m"))
+    return near.where("m IS NOT NULL").select("call_id", "m.mate_id", "m.dist")
 
 
 def pair_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
@@ -169,6 +194,30 @@ def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     return pairs.where(same("host")).where(same("virus")).select(F.col("l_call_id").alias("call_id")).distinct()
 
 
+def last_masks(masks: DataFrame, order: str = "ord") -> DataFrame:
+    """``call_id, side, start, end``: of several rows of a sequence the last one, as masks are read by name."""
+    latest = masks.groupBy("call_id", "side").agg(F.max_by(F.struct("start", "end"), order).alias("m"))
+    return latest.select("call_id", "side", "m.start", "m.end")
+
+
+def with_sequences_and_masks(calls: DataFrame, sequences: DataFrame, masks: DataFrame) -> DataFrame:
+    """``calls`` with ``host_len, virus_len, host_masked, virus_masked``, 0 where a call has no sequence or no mask.
+
+    ``sequences``: ``call_id, side ('host' or 'virus'), seq``; ``masks``: ``call_id, side, start, end``, summed by their union.
+    """
+    lengths = sequences.select("call_id", "side", F.length("seq").cast("long").alias("len"))
+    facts = lengths.join(masked_lengths(masks), ["call_id", "side"], "full")
+    sides = [F.max(F.when(F.col("side") == s, F.coalesce(c, F.lit(0)))).alias(f"{s}_{n}") for s in ("host", "virus") for c, n in (("len", "len"), ("masked", "masked"))]
+    each = facts.groupBy("call_id").agg(*sides)
+    names = [f"{s}_{n}" for s in ("host", "virus") for n in ("len", "masked")]
+    return calls.join(each, "call_id", "left").withColumns({n: F.coalesce(n, F.lit(0)) for n in names})
+
+
+def reported(calls: DataFrame, rejected: bool = False) -> DataFrame:
+    """The calls to report: accepted ones, or ``rejected`` ones, that aren't removed as duplicates (column ``removed``)."""
+    return calls.where((F.col("accepted") != F.lit(rejected)) & ~F.coalesce("removed", F.lit(False)))
+
+
 def masked_lengths(masks: DataFrame) -> DataFrame:
     """``call_id, side, masked``: bases under the union of a sequence's masked spans (``start, end``)."""
     from junctura.operators.ranges import merged

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from junctura.functions.sequences import is_full_length, is_homopolymer, left_clip, pair_strands, right_clip, split_strands
+from junctura.functions.sequences import end_position, is_full_length, is_homopolymer, left_clip, pair_strands, right_clip, split_strands
 
 
 def extract_clips(aln: DataFrame, min_clip: int = 20) -> DataFrame:
@@ -70,6 +70,58 @@ def split_candidates(anchors: DataFrame, clips: DataFrame) -> DataFrame:
     return out.select("s.chr", "s.pos", "s.strand", F.col("read_id").alias("frag_id"), "s.is_virus", "seg").distinct()
 
 
+def all_places(rows: DataFrame, contigs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, own_is_virus, chr, pos, end, rev, is_virus``: each row's own alignment and its alternatives, once each.
+
+    ``rows``: ``keys, is_virus, chr, pos, rev, cigar, alts`` (array of ``chr, rev, pos, cigar, nm``); ``contigs``: ``chr,
+    is_virus``. Alternatives on contigs that the catalogue lacks are left out.
+    """
+    own = F.array(F.struct("chr", "rev", F.col("pos").cast("long").alias("pos"), "cigar"))
+    others = F.transform(F.coalesce("alts", F.array().cast(rows.schema["alts"].dataType)), lambda a: F.struct(a["chr"].alias("chr"), a["rev"].alias("rev"), a["pos"].cast("long").alias("pos"), a["cigar"].alias("cigar")))
+    each = rows.select(*keys, F.col("is_virus").alias("own_is_virus"), F.inline(F.concat(own, others)))
+    placed = each.select(*keys, "own_is_virus", "chr", "pos", end_position(F.col("pos"), F.col("cigar")).alias("end"), "rev").distinct()
+    return placed.join(contigs.select("chr", "is_virus"), "chr")
+
+
+def alternative_pair_candidates(segments: DataFrame, contigs: DataFrame) -> DataFrame:
+    """``chr, pos, strand, frag_id, is_virus`` of pairs, every place of one mate with every place of the other.
+
+    ``segments``: one row for each ``read_id, seg`` as for :func:`all_places`. A junction's side depends on its own mate's
+    place alone, so all combinations give just the places of each: nothing is multiplied. Pairs whose mates aren't on
+    different organisms, or one of whose places isn't on its mate's organism, give none.
+    """
+    places = all_places(segments, contigs, ["read_id", "seg"])
+    usable = places.groupBy("read_id").agg(
+        F.count_distinct("seg").alias("segs"), F.count_distinct("own_is_virus").alias("organisms"), F.bool_and(F.col("own_is_virus") == F.col("is_virus")).alias("pure")
+    )
+    kept = places.join(usable.where("segs = 2 AND organisms = 2 AND pure").select("read_id"), "read_id", "left_semi")
+    host, virus = pair_strands(F.col("rev"), F.col("rev"))
+    at, strand = F.when(F.col("is_virus"), F.col("pos")).otherwise(F.col("end")), F.when(F.col("is_virus"), virus).otherwise(host)
+    return kept.select("chr", at.alias("pos"), strand.alias("strand"), F.col("read_id").alias("frag_id"), "is_virus").distinct()
+
+
+def alternative_split_candidates(anchors: DataFrame, clips: DataFrame, contigs: DataFrame) -> DataFrame:
+    """The same of clipped reads: every place of the anchor with every place of the clip on the other organism.
+
+    ``anchors, clips``: ``read_id, seg, side`` and what :func:`all_places` needs. Anchor places on the other organism are
+    ignored; reads whose clip has no place give none.
+    """
+    keys = ["read_id", "seg", "side"]
+    a = all_places(anchors, contigs, keys).where("own_is_virus = is_virus")
+    anchor_of = anchors.select(*keys, F.col("is_virus").alias("anchor_is_virus"))
+    c = all_places(clips, contigs, keys).join(anchor_of, keys).where("is_virus <> anchor_is_virus")
+    a = a.withColumn("anchor_is_virus", F.col("own_is_virus")).join(c.select(*keys).distinct(), keys, "left_semi")
+    c = c.join(a.select(*keys).distinct(), keys, "left_semi")
+    left = F.col("side") == "L"
+
+    def sides(places: DataFrame, is_anchor: bool) -> DataFrame:
+        host, virus = split_strands(F.col("anchor_is_virus"), F.col("side"), F.col("rev"))
+        at = F.when(left == F.lit(is_anchor), F.col("pos")).otherwise(F.col("end"))
+        return places.select("chr", at.alias("pos"), F.when(F.col("is_virus"), virus).otherwise(host).alias("strand"), F.col("read_id").alias("frag_id"), "is_virus", "seg")
+
+    return sides(a, True).unionByName(sides(c, False)).distinct()
+
+
 def usable_pairs(pairs: DataFrame, split_reads: DataFrame, alts: DataFrame | None = None, seqs: DataFrame | None = None) -> DataFrame:
     """Pairs whose read has no good clip, no alternative on the other organism and no sequence that is nearly one base."""
     kept = pairs.join(split_reads.select("read_id").distinct(), "read_id", "left_anti")

@@ -9,6 +9,16 @@ from junctura.operators.ranges import range_join
 from junctura.sources.shared import materialize
 
 
+def label_tiers(labels: DataFrame, keys: tuple[str, ...] = ("chr", "strand")) -> DataFrame:
+    """``labels`` (``keys, n, ...``) with ``tier``: 1 for the most frequent count of a key, and so on without gaps.
+
+    Counts are ranked once each, so the window sees the different counts of a contig and not its labels.
+    """
+    counts = labels.select(*keys, "n").distinct()
+    ranked = counts.withColumn("tier", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"))))
+    return labels.join(ranked, [*keys, "n"])
+
+
 def assign_labels(labels: DataFrame, reach: int, keys: tuple[str, ...] = ("chr", "strand")) -> DataFrame:
     """``keys, pos, label_pos``: each label's densest label in range, itself included; all of equally dense ones.
 

@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
+from junctura.functions.sequences import consistent_cigars, is_low_complexity, left_clip, right_clip
 from junctura.operators.ranges import union_all
 from junctura.sources.shared import materialize
 
-#: Rows of one component that a task may pack in memory.
-PACK_ROWS = 200_000
+#: Rows of one component that a task may pack in memory, and reads of one edge that it may go through in order.
+PACK_ROWS, DEDUP_ROWS = 200_000, 200_000
 
 
 def consensus(rows: DataFrame, by: list[str], order: str, seq: str = "seq") -> DataFrame:
@@ -142,27 +144,113 @@ def split_edges(rows: DataFrame, edge: list[str], cfg: JunctionConfig | None = N
             return union_all(*parts)
 
 
-def remove_duplicates(reads: DataFrame, edge: list[str]) -> DataFrame:
-    """``edge, frag_id, h_distal, v_distal`` without duplicates: of reads with the same distal end on either side, the
-    first by id stays, as if reads were taken one by one.
+def remove_duplicates(reads: DataFrame, edge: list[str], exploratory: bool = False) -> DataFrame:
+    """``edge, frag_id, h_distal, v_distal`` without duplicates, as if an edge's reads were taken one by one by id.
 
-    In each round the reads that are first at both their ends stay and all others at those ends go; that settles the
-    same reads as going one by one, and no end's reads are gathered in one place.
+    A read is a duplicate if a read that was kept has its distal end on the host side, or one has it on the virus side.
+    exploratory: if only one side has been seen, the read is one only if its joint CIGAR (column ``joint``, see
+    ``sequences.joint_cigar``) is consistent with that of a kept read there, from the side that has been seen on.
+
+    Edges of up to DEDUP_ROWS reads are gone through in one task each. Larger ones are settled in rounds, in which the
+    reads that are first at both their ends are decided by those kept before them.
     """
-    open_ = materialize(reads.select(*edge, "frag_id", "h_distal", "v_distal").distinct(), "undecided")
+    columns = [*edge, "frag_id", "h_distal", "v_distal"]
+    joint = F.col("joint") if exploratory else F.lit(None).cast("string").alias("joint")
+    rows = materialize(reads.select(*columns, joint).distinct(), "undecided")
+    sizes = rows.groupBy(*edge).agg(F.count("*").alias("n"))
+    large = materialize(sizes.where(F.col("n") > DEDUP_ROWS).select(*edge), "large-edges")
+    types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def in_order(group: pd.DataFrame) -> pd.DataFrame:
+        ordered = group.sort_values("frag_id", kind="stable")
+        kept = _first_seen(ordered["h_distal"].tolist(), ordered["v_distal"].tolist(), ordered["joint"].tolist() if exploratory else None)
+        return ordered.loc[kept, columns]
+
+    small = rows.join(large, edge, "left_anti").groupBy(*edge).applyInPandas(in_order, ", ".join(f"{c} {types[c]}" for c in columns))
+    open_ = materialize(rows.join(large, edge, "left_semi"), "undecided")
     kept = []
     while open_.limit(1).count():
         first_h = open_.groupBy(*edge, "h_distal").agg(F.min("frag_id").alias("h_first"))
         first_v = open_.groupBy(*edge, "v_distal").agg(F.min("frag_id").alias("v_first"))
-        stay = open_.join(first_h, [*edge, "h_distal"]).join(first_v, [*edge, "v_distal"]).where("frag_id = h_first AND frag_id = v_first")
-        stay = materialize(stay.select(*edge, "frag_id", "h_distal", "v_distal"), "stay")
+        first = open_.join(first_h, [*edge, "h_distal"]).join(first_v, [*edge, "v_distal"]).where("frag_id = h_first AND frag_id = v_first")
+        turn = materialize(first.select(*columns, "joint"), "first-reads")
+        if exploratory and kept:
+            stay = turn.join(_duplicates_of(turn, union_all(*kept), edge), [*edge, "frag_id"], "left_anti")
+        else:
+            stay = turn
+        stay = materialize(stay, "stay")
         kept.append(stay)
-        rest = open_.join(stay.select(*edge, "h_distal"), [*edge, "h_distal"], "left_anti").join(stay.select(*edge, "v_distal"), [*edge, "v_distal"], "left_anti")
-        open_ = materialize(rest.select(*open_.columns), "undecided")
-    out = open_
-    for part in kept:
-        out = out.unionByName(part)
-    return out
+        rest = open_.join(turn.select(*edge, "frag_id"), [*edge, "frag_id"], "left_anti")
+        if not exploratory:  # all others at these ends go at once
+            rest = rest.join(stay.select(*edge, "h_distal"), [*edge, "h_distal"], "left_anti").join(stay.select(*edge, "v_distal"), [*edge, "v_distal"], "left_anti")
+        open_ = materialize(rest.select(*columns, "joint"), "undecided")
+    return union_all(small, *[part.select(*columns) for part in kept])
+
+
+def _first_seen(host: list, virus: list, joint: list | None) -> np.ndarray:
+    """Which of an edge's reads stay, taken in the order given."""
+    kept = np.zeros(len(host), dtype=bool)
+    on_host: dict = defaultdict(list)
+    on_virus: dict = defaultdict(list)
+    parts = [re.findall(r"\d+[A-Z=]", c or "") for c in joint] if joint else []
+
+    def agree(a: list[str], b: list[str]) -> bool:
+        return len(a) == len(b) and (not a or (a[:-1] == b[:-1] and a[-1][-1] == b[-1][-1]))
+
+    for k, (h, v) in enumerate(zip(host, virus, strict=True)):
+        seen_h, seen_v = h in on_host, v in on_virus
+        if seen_h or seen_v:
+            if joint is None or (seen_h and seen_v):
+                continue
+            others = on_host[h] if seen_h else on_virus[v]
+            if any(agree(parts[o], parts[k]) if seen_h else agree(parts[o][::-1], parts[k][::-1]) for o in others):
+                continue
+        kept[k] = True
+        on_host[h].append(k)
+        on_virus[v].append(k)
+    return kept
+
+
+def _duplicates_of(turn: DataFrame, kept: DataFrame, edge: list[str]) -> DataFrame:
+    """``edge, frag_id`` of reads that are duplicates of kept ones, in the exploratory way."""
+    facts = []
+    for side, back in (("h_distal", False), ("v_distal", True)):
+        before = kept.select(*edge, side, F.col("joint").alias("other"))
+        met = turn.join(before, [*edge, side]).groupBy(*edge, "frag_id").agg(F.bool_or(consistent_cigars(F.col("other"), F.col("joint"), F.lit(back))).alias("agrees"))
+        facts.append(met.withColumn("side", F.lit(side)))
+    each = facts[0].unionByName(facts[1]).groupBy(*edge, "frag_id").agg(F.count("*").alias("sides"), F.bool_or("agrees").alias("agrees"))
+    return each.where("sides = 2 OR agrees").select(*edge, "frag_id")
+
+
+def is_suspicious(is_virus: bool, side: str, cfg: JunctionConfig) -> Column:
+    """Whether one side of a read's alignment can't be trusted.
+
+    Columns, after ``side_``: ``seq`` (the segment as aligned), ``q_begin, q_end, ref`` (the region's sequence), ``begin, end,
+    cigar`` and ``bp``, the edge's breakpoint in the region. It can't where the aligned part of read or region is of low
+    complexity, or where the read is clipped at the junction by more than ``max_clip_distance`` and its alignment ends
+    further than that from the breakpoint.
+    """
+
+    def c(name: str) -> Column:
+        return F.col(f"{side}_{name}")
+
+    low = is_low_complexity(c("seq"), c("q_begin"), c("q_end"), cfg.dinucleotide_share) | is_low_complexity(c("ref"), c("begin"), c("end"), cfg.dinucleotide_share)
+    clip = left_clip(c("cigar")) if is_virus else right_clip(c("cigar"))
+    miss = F.abs(c("bp") - (c("begin") if is_virus else c("end")))
+    return low | ((clip > cfg.max_clip_distance) & (miss > cfg.max_clip_distance))
+
+
+def without_suspicious(reads: DataFrame, cfg: JunctionConfig) -> DataFrame:
+    """``reads`` without those of which either side is suspicious; null facts don't speak against a read."""
+    return reads.where(~F.coalesce(is_suspicious(False, "h", cfg), F.lit(False)) & ~F.coalesce(is_suspicious(True, "v", cfg), F.lit(False)))
+
+
+def with_parts(edge_reads: DataFrame, parts: DataFrame, edge: list[str]) -> DataFrame:
+    """Edges and what was split off them as one table of edges: ``edge, part, ...``, a row for each part a read is in.
+
+    ``parts``: ``edge, part, frag_id`` as from :func:`split_edges`; reads that no part names are left out.
+    """
+    return edge_reads.join(parts, [*edge, "frag_id"])
 
 
 def within_insert_size(reads: DataFrame, max_is: int) -> DataFrame:

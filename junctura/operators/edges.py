@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from junctura.operators.ranges import islands, overlap_join
 from junctura.sources.shared import materialize
 
 
@@ -23,25 +24,22 @@ def supported_edges(edge_reads: DataFrame, edge: list[str], support: int = 3) ->
 def edge_blocks(edges: DataFrame) -> DataFrame:
     """``edges`` with ``block``: runs, by host and virus contigs and strands, whose host spans overlap."""
     keys = ["h_chr", "h_strand", "v_chr", "v_strand"]
-    order = Window.partitionBy(*keys).orderBy("h_left", "h_right", "v_left", "v_right")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max("h_right").over(before)
-    opens = F.when(reach.isNull() | (F.col("h_left") > reach), 1).otherwise(0)
-    return edges.withColumn("__o", opens).withColumn("block", F.sum("__o").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__o")
+    return islands(edges, keys, "h_left", "h_right", "block", ("v_left", "v_right"))
 
 
 def containers(edges: DataFrame) -> DataFrame:
     """Each edge with the edge that swallows it: ``h_*, v_*`` and ``to_h_left, to_h_right, to_v_left, to_v_right``.
 
-    An edge contains another if both its spans contain the other's. Only edges of one block can, so the join is on the
-    block. The container that nothing else contains is chosen, of several the one with the smallest place; an edge that
-    nothing contains maps to itself.
+    An edge contains another if both its spans contain the other's, so an edge is joined, bin by bin, with those over whose
+    host span it begins. The container that nothing else contains is chosen, of several the one with the smallest place;
+    an edge that nothing contains maps to itself.
     """
     keys = ["h_chr", "h_strand", "v_chr", "v_strand"]
     spans = ["h_left", "h_right", "v_left", "v_right"]
-    blocked = edge_blocks(edges).select(*keys, "block", *spans)
-    outer = blocked.select(*keys, "block", *[F.col(c).alias(f"to_{c}") for c in spans])
-    inside = blocked.join(outer, [*keys, "block"]).where("to_h_left <= h_left AND h_right <= to_h_right AND to_v_left <= v_left AND v_right <= to_v_right")
+    inside = edges.select(*keys, *spans, (F.col("h_left") + 1).alias("__stop"))
+    outer = edges.select(*keys, *[F.col(c).alias(f"to_{c}") for c in spans], (F.col("h_right") + 1).alias("__to_stop"))
+    inside = overlap_join(inside, outer, keys, ("h_left", "__stop"), ("to_h_left", "__to_stop")).drop("__stop", "__to_stop")
+    inside = materialize(inside.where("h_right <= to_h_right AND to_v_left <= v_left AND v_right <= to_v_right"), "contained-edges")
     proper = inside.where("to_h_left <> h_left OR to_h_right <> h_right OR to_v_left <> v_left OR to_v_right <> v_right")
     inner = proper.select(*keys, *[F.col(c).alias(f"to_{c}") for c in spans]).distinct()
     maximal = inside.join(inner, [*keys, *[f"to_{c}" for c in spans]], "left_anti")

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from junctura.sources.shared import materialize
+
 
 def range_join(left: DataFrame, right: DataFrame, keys: list[str], left_pos: str, right_pos: str, reach: int) -> DataFrame:
     """All pairs with equal ``keys`` whose positions differ by at most ``reach``.
@@ -44,18 +46,48 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], left_span:
     return joined.where((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)) & (F.col("__bin") == F.floor(begins / width))).drop("__bin")
 
 
-def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island") -> DataFrame:
-    """Numbers the groups of half-open spans that overlap or touch, within ``keys``."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0)
-    return df.withColumn("__opens", opens).withColumn(name, F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__opens")
-
+def islands(df: DataFrame, keys: list[str], start: str, end: str, name: str = "island", more: tuple[str, ...] = (), touching: bool = True, width: int = 1 << 14) -> DataFrame:
+    """Numbers the groups of half-open spans that overlap (or touch), within ``keys``, in the order of start, end, ``more``.
 
-def merged(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """The union of the spans of each key, as disjoint spans."""
-    grouped = islands(df, keys, start, end).groupBy(*keys, "island")
-    return grouped.agg(F.min(start).alias(start), F.max(end).alias(end)).drop("island")
+    Spans are cut into bins by their start, and a task sorts one bin; what reaches into a bin from those before it, and
+    how many groups these open, are running totals over one row a bin. So the spans of a contig are never in one task.
+    """
+    binned = materialize(df.withColumn("__bin", F.floor(F.col(start) / width)), "binned-spans")
+    whole = Window.partitionBy(*keys).orderBy("__bin")
+    before = whole.rowsBetween(Window.unboundedPreceding, -1)
+    tops = binned.groupBy(*keys, "__bin").agg(F.max(end).alias("__top")).select(*keys, "__bin", F.max("__top").over(before).alias("__from"))
+    order = Window.partitionBy(*keys, "__bin").orderBy(start, end, *more)
+    reach = F.greatest(F.col("__from"), F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)))
+    beyond = F.col(start) > reach if touching else F.col(start) >= reach
+    opens = F.when(reach.isNull() | beyond, 1).otherwise(0)
+    # A bin is small beside the task that holds it, so its rows are sorted once and written with their marks.
+    marked = materialize(_with_nulls(binned, tops, [*keys, "__bin"]).withColumn("__opens", opens).withColumn("__n", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__from"), "marked-spans")
+    opened = marked.groupBy(*keys, "__bin").agg(F.sum("__opens").alias("__o")).select(*keys, "__bin", F.coalesce(F.sum("__o").over(before), F.lit(0)).alias("__past"))
+    return _with_nulls(marked, opened, [*keys, "__bin"]).withColumn(name, F.col("__past") + F.col("__n")).select(*df.columns, name)
+
+
+def _with_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join in which null keys are equal."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"__r_{k}" for k in keys])
+
+
+def merged(df: DataFrame, keys: list[str], start: str, end: str, width: int = 1 << 14) -> DataFrame:
+    """The union of the spans of each key, as disjoint spans.
+
+    Spans that begin in one bin are merged there first, so that the pass over a whole key sees a few rows of each bin,
+    however deep the spans lie.
+    """
+    order = Window.partitionBy(*keys, "__bin").orderBy(start, end)
+    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    binned = df.select(*keys, start, end).withColumn("__bin", F.floor(F.col(start) / width))
+    opens = binned.withColumn("__opens", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
+    runs = opens.withColumn("__run", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__bin", "__run").agg(F.min(start).alias(start), F.max(end).alias(end))
+    past = F.max(end).over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
+    joined = runs.select(*keys, start, end).withColumn("__opens", F.when(past.isNull() | (F.col(start) > past), 1).otherwise(0))
+    numbered = joined.withColumn("__run", F.sum("__opens").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 
 def exclude(df: DataFrame, excluded: DataFrame, key: str = "chr", start: str = "start", end: str = "end", trim: bool = False) -> DataFrame:

@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.functions.sequences import kmers, max_base_count, reverse_complement, seed_keys
+from junctura.sources.shared import materialize
+
+#: Seeds up to which an index is shipped to the tasks (8 bytes each), and places of a read that are hashed at a time.
+SMALL_INDEX, PLACES = 4_000_000, 1 << 18
+_POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], dtype=np.uint64)
 
 
 def seed_index(references: DataFrame, cfg: JunctionConfig, seq: str = "seq", strands: bool = True, informative: bool = True) -> DataFrame:
@@ -21,12 +31,84 @@ def seed_index(references: DataFrame, cfg: JunctionConfig, seq: str = "seq", str
     return keyed.distinct()
 
 
-def seed_hits(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str = "seq") -> DataFrame:
-    """``keys, hits``: positions of each read at which one of the masked seeds is in the index; reads without any are absent."""
+def seed_hits(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str = "seq", small: int = SMALL_INDEX) -> DataFrame:
+    """``keys, hits``: positions of each read at which one of the masked seeds is in the index; reads without any are absent.
+
+    An index of up to ``small`` seeds is shipped to the tasks as sorted 64-bit hashes, and reads are looked up where they
+    lie. A larger one is joined: positions are first reduced to those of which one half at least, which no mask touches,
+    is half of an indexed seed.
+    """
+    index = materialize(index, "seed-index")
+    if index.limit(small + 1).count() <= small:
+        return _hits_by_lookup(reads, index, cfg, keys, seq)
+    return _hits_by_join(reads, index, cfg, keys, seq)
+
+
+def _hits_by_join(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str) -> DataFrame:
+    k, block = cfg.seed_length, cfg.seed_block
+    half = k // block // 2 * block  # a mask lies in one half of the seed
+    at = reads.select(*keys, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer"))
+    left, right = F.substring("seed", -(k - half), k - half), F.substring("seed", 1, half)
+    halves = index.select(F.when(F.col("mask") < half // block, F.struct(F.lit(1).alias("part"), left.alias("text"))).otherwise(F.struct(F.lit(0).alias("part"), right.alias("text"))).alias("h")).select("h.part", "h.text").distinct()
+    parts = F.array(F.struct(F.lit(0).alias("part"), F.substring("kmer", 1, half).alias("text")), F.struct(F.lit(1).alias("part"), F.substring("kmer", half + 1, k).alias("text")))
+    likely = at.select(*keys, "pos", "kmer", F.inline(parts)).join(halves, ["part", "text"], "left_semi").select(*keys, "pos", "kmer").distinct()
+    masked = likely.select(*keys, "pos", F.inline(seed_keys(F.col("kmer"), k, block)))
+    return masked.join(index, ["mask", "seed"], "left_semi").groupBy(*keys).agg(F.count_distinct("pos").alias("hits"))
+
+
+def _hits_by_lookup(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str) -> DataFrame:
     k, block = cfg.seed_length, cfg.seed_block
-    at = reads.select(*keys, F.posexplode(kmers(F.col(seq), k)).alias("pos", "kmer")).select(*keys, "pos", F.explode(seed_keys(F.col("kmer"), k, block)).alias("x"))
-    found = at.select(*keys, "pos", "x.mask", "x.seed").join(index, ["mask", "seed"], "left_semi")
-    return found.groupBy(*keys).agg(F.count_distinct("pos").alias("hits"))
+    masks = k // block
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            letters = np.frombuffer("".join(batch["seed"]).encode("utf-32-le"), np.uint32).reshape(len(batch), k - block).astype(np.uint64)
+            mask, place = batch["mask"].to_numpy(), np.arange(k - block)
+            power = _POWERS[:k][place[None, :] + np.where(place[None, :] >= (mask * block)[:, None], block, 0)]
+            yield pd.DataFrame({"key": _spread((letters * power).sum(1), mask.astype(np.uint64)).view(np.int64)})
+
+    known = np.unique(index.mapInPandas(hashed, "key long").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
+    shipped = reads.sparkSession.sparkContext.broadcast(known)  # ``small`` hashes at most
+    types = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index_keys = shipped.value
+        table = np.zeros(1 << 22, dtype=bool)
+        table[(index_keys >> np.uint64(42)).astype(np.int64)] = True
+        for batch in batches:
+            hits = np.zeros(batch.num_rows, np.int64)
+            for row, text in enumerate(batch.column(len(keys))):
+                letters = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
+                for start in range(0, len(letters) - k + 1, PLACES):
+                    hits[row] += _hit_places(letters[start : start + PLACES + k - 1].astype(np.uint64), index_keys, table, masks, block)
+            kept = pa.array(hits > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits)], names=[*keys, "hits"]).filter(kept)
+
+    return reads.select(*keys, seq).mapInArrow(count, ", ".join([*(f"{c} {types[c]}" for c in keys), "hits long"]))
+
+
+def _spread(sums: np.ndarray, mask: np.ndarray | np.uint64) -> np.ndarray:
+    """Mixes every bit of a sum, and the mask, into a hash."""
+    x = sums + (mask + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def _hit_places(letters: np.ndarray, known: np.ndarray, table: np.ndarray, masks: int, block: int) -> int:
+    """Places at which one of the masked seeds is known."""
+    k = masks * block
+    n = len(letters) - k + 1
+    blocks = [sum(letters[m * block + i : m * block + i + n] * _POWERS[m * block + i] for i in range(block)) for m in range(masks)]
+    total, hit = sum(blocks), np.zeros(n, dtype=bool)
+    for m in range(masks):
+        keys = _spread(total - blocks[m], np.uint64(m))
+        likely = np.flatnonzero(table[(keys >> np.uint64(42)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(known, keys[likely]), max(len(known) - 1, 0))
+        if len(known):
+            hit[likely[known[at] == keys[likely]]] = True
+    return int(hit.sum())
 
 
 def screen_reads(reads: DataFrame, references: DataFrame, cfg: JunctionConfig) -> DataFrame:

@@ -277,10 +277,7 @@ def excluded_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {V.LAB} SELECT chr, strand, pos, n, CAST(dense_rank() OVER (PARTITION BY chr, strand ORDER BY n DESC) AS INTEGER) AS tier FROM lab")
 def label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    labels = V.labels(V.candidates(spark, sf_dir))
-    return labels.withColumn("tier", F.dense_rank().over(Window.partitionBy("chr", "strand").orderBy(F.desc("n"))))
+    return cluster.label_tiers(V.labels(V.candidates(spark, sf_dir))).select("chr", "strand", "pos", "n", "tier")
 
 
 @query(f"WITH {V.ASSIGN} SELECT * FROM assigned")
@@ -415,8 +412,7 @@ def relative_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted alignments near their read's best on an organism, of reads that have some on both."""
     aln = _cigar(V.alignments(spark, sf_dir)).withColumn("ref_begin", F.col("pos")).withColumn("ref_end", F.col("pos") + F.col("rlen") - 1)
     good = align.relative(align.accepted(aln, CFG), ["read_id", "is_virus"], CFG)
-    both = good.groupBy("read_id").agg(F.count_distinct("is_virus").alias("n")).where("n = 2").select("read_id")
-    return good.join(both, "read_id", "left_semi").select("read_id", "seg", "is_virus", "chr", "pos", "score")
+    return align.reads_on_both_organisms(good).select("read_id", "seg", "is_virus", "chr", "pos", "score")
 
 
 @query(f"WITH {V.EDGES}, {_EDGE_ALN} SELECT {_E}, CAST(sum(h_score + v_score) AS BIGINT) AS score FROM edge_aln GROUP BY ALL")
@@ -454,7 +450,17 @@ def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edgeproc.consensus(V.dna_lines(spark, sf_dir), ["doc_id"], "line", "s")
 
 
-@query()
+def _first_rounds(n: int) -> str:
+    """Reads that stay, in rounds: those first at both their ends stay, all others there go."""
+    parts = [f"u0 AS (SELECT DISTINCT {_E}, frag_id, h_begin AS h_distal, v_end AS v_distal FROM edge_aln)"]
+    for k in range(n):
+        parts.append(f"f{k} AS (SELECT * FROM u{k} QUALIFY frag_id = min(frag_id) OVER (PARTITION BY {_E}, h_distal) AND frag_id = min(frag_id) OVER (PARTITION BY {_E}, v_distal))")
+        parts.append(f"u{k + 1} AS (SELECT * FROM u{k} ANTI JOIN f{k} USING ({_E}, h_distal) ANTI JOIN f{k} g USING ({_E}, v_distal))")
+    return ", ".join(parts)
+
+
+@query(f"""WITH {V.EDGES}, {_EDGE_ALN}, {_first_rounds(8)}
+{" UNION ALL ".join(f"SELECT {_E}, frag_id, h_distal, v_distal FROM f{k}" for k in range(8))} UNION ALL SELECT {_E}, frag_id, h_distal, v_distal FROM u8""")
 def dedup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _edge_alignments(spark, sf_dir)
     return edgeproc.remove_duplicates(reads.select(*V.EDGE, "frag_id", F.col("h_begin").alias("h_distal"), F.col("v_end").alias("v_distal")), V.EDGE)

@@ -11,18 +11,29 @@ ALIGNMENT_TAGS = {"AS": "as_score int", "NM": "nm int", "XA": "xa string", "SA":
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_no, value``: lines with their number in the file, gzip included.
 
-    A compressed file is one task, and so is the numbering of one file; files are numbered side by side.
+    Lines are numbered within the blocks that Spark reads a file in, and blocks are laid end to end by the sizes of those
+    before them, so one large file is many tasks. A compressed file is one block.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("id"), "value")
-    return lines.select("file", (F.row_number().over(Window.partitionBy("file").orderBy("id")) - 1).alias("line_no"), "value")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    counted = lines.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
+    return counted.join(sizes, ["file", "block"]).select("file", (F.col("past") + F.col("at")).alias("line_no"), "value")
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, read_id, seq, qual``: records of four lines; an unfinished last record is left out."""
+    """``ord, read_id, seq, qual``: records of four lines; an unfinished last record is left out.
+
+    ``path`` may be a folder of part files, which are taken in the order of their names; none splits a record.
+    """
     lines = numbered_lines(spark, path).withColumn("ord", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
     record = lines.groupBy("file", "ord").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
+    whole = record.where("name IS NOT NULL AND qual IS NOT NULL")
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # files, not records
+    past = whole.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
     name = F.regexp_extract("name", r"^@(\S+)", 1)
-    return record.where("name IS NOT NULL AND qual IS NOT NULL").select("ord", name.alias("read_id"), "seq", "qual")
+    return whole.join(past, "file").select((F.col("past") + F.col("ord")).alias("ord"), name.alias("read_id"), "seq", "qual")
 
 
 def read_fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:
@@ -137,6 +148,6 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_settings(spark: SparkSession, path: str) -> dict[str, str]:
-    """Lines ``key value`` of a settings file (a handful)."""
-    pairs = (row.value.split(None, 1) for row in spark.read.text(path).limit(1_000).collect())
+    """Lines ``key value`` of a settings file, which the driver holds; of several lines with one key the last counts."""
+    pairs = (row.value.split(None, 1) for row in numbered_lines(spark, path).orderBy("file", "line_no").collect())
     return {p[0]: p[1].strip() for p in pairs if len(p) == 2}

@@ -28,9 +28,14 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[0]}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table that outlives the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

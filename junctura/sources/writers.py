@@ -30,8 +30,38 @@ def write_bed(df: DataFrame, path: str) -> None:
     write_tsv(df.select("chr", "start", "end", "name", F.lit(".").alias("dot"), "strand"), path, "chr", "start", "end", "name")
 
 
+def write_edges(edge_reads: DataFrame, path: str) -> None:
+    """A line for each edge: both regions as ``chr,left,right,strand``, its fragments, and how many these are; best first."""
+    region = [F.concat_ws(",", *[F.col(f"{s}_{c}").cast("string") for c in ("chr", "left", "right", "strand")]) for s in "hv"]
+    lines = edge_reads.select(F.concat_ws(":", *region).alias("regions"), F.col("frag_id").cast("string").alias("frag_id")).groupBy("regions")
+    each = lines.agg(F.array_sort(F.collect_set("frag_id")).alias("f")).select("regions", F.array_join("f", ",").alias("frags"), F.size("f").alias("n"))
+    each.orderBy(F.desc("n"), "regions").write.csv(path, sep="\t")
+
+
+def write_sam(aln: DataFrame, path: str, *order: str) -> None:
+    """Records as SAM lines without a header: places from 1 on, ``*`` for what is null, tags as given in ``tags``."""
+
+    def text(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("string"), F.lit("*"))
+
+    def place(c: str) -> Column:
+        return (F.coalesce(c, F.lit(-1)) + 1).cast("string")
+
+    fields = [text("read_id"), text("flag"), text("chr"), place("pos"), text("mapq"), text("cigar"), text("mate_chr"), place("mate_pos"), F.coalesce(F.col("tlen").cast("string"), F.lit("0")), text("seq"), text("qual"), F.nullif(F.col("tags"), F.lit(""))]
+    write_lines(aln.orderBy(*order) if order else aln, F.concat_ws("\t", *fields), path)
+
+
+def write_by_contig(aln: DataFrame, path: str) -> None:
+    """Alignments in a folder for each contig, by place, so that a scan of one contig reads nothing else.
+
+    A contig's rows are dealt to tasks by bins of 16 Mb, so a large one is many files.
+    """
+    binned = aln.withColumn("__bin", F.floor(F.col("pos") / (1 << 24)))
+    binned.repartition("chr", "__bin").sortWithinPartitions("chr", "pos").drop("__bin").write.partitionBy("chr").parquet(path)
+
+
 def write_names(reads: DataFrame, path: str) -> None:
-    write_lines(reads.select("read_id").distinct(), F.col("read_id"), path)
+    write_lines(reads.select("read_id").distinct(), F.col("read_id").cast("string"), path)
 
 
 def write_call_reads(reads: DataFrame, path: str) -> None:
