@@ -135,7 +135,7 @@ def best_fit_packing(items: DataFrame, capacity: int = CAPACITY, shard_rows: int
         F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"),
     )
     shards = max(1, -(-rows.count() // shard_rows))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "cluster"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "length", "source", "cluster"), F.lit(shards)).cast("int"))
 
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         packed = pack_shard(rows.astype({"doc_id": "Int64"}), capacity)

@@ -15,15 +15,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.kernels import hash_words, release_memory, slices, split_words, text_bytes
 from junctura.llm.labelled import labelled_sample, remainder
 from junctura.llm.scratch import materialize
 
-#: Labelled documents that training looks at, at most.
-SAMPLE_DOCS = 4_000
+#: Labelled documents that training looks at, at most; lines of all of them, which the driver holds the features of, and
+#: lines of one (documents with more are not taken for training).
+SAMPLE_DOCS, SAMPLE_LINES, DOC_LINES = 4_000, 400_000, 20_000
 
 _CLASSES = ("upper", "letter", "digit", "bang", "mark", "bar", "punct")
 N_OWN = 10
@@ -52,7 +53,7 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         breaks = np.flatnonzero(part == 10)
         starts = np.union1d(at[:-1], breaks + 1)
         starts = starts[starts < len(part)]
-        stops = np.append(starts[1:], len(part))
+        stops = np.append(starts[1:], len(part))[: len(starts)]
         stops = stops - (part[stops - 1] == 10)  # without the line feed
         filled = stops > starts
         starts, stops = starts[filled], stops[filled]
@@ -207,7 +208,8 @@ def fit_quality(features: np.ndarray, lengths: np.ndarray, first_of: np.ndarray,
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Fit on at most ``sample_docs`` labelled documents; the driver gets the features of their lines, not their texts."""
+    """Fit on at most ``sample_docs`` labelled documents; the driver gets the features of at most SAMPLE_LINES of their lines,
+    not their texts."""
     sample = labelled_sample(docs, labels, "quality", usable, sample_docs)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,8 +219,12 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_doc
             sizes = [lengths[a:b].astype(np.float32).tobytes() for a, b in zip(first_of[:-1], first_of[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "label", "x", "n"])
 
-    got = materialize(sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id long, label int, x binary, n binary"), "quality-sample").collect()
-    got = sorted(got, key=lambda r: r["doc_id"])
+    lines = materialize(sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id long, label int, x binary, n binary"), "quality-sample")
+    # At most sample_docs rows, so one task may order them.
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "x").rowsBetween(Window.unboundedPreceding, 0))
+    sized = lines.withColumn("lines", F.length("n") / 4).where(F.col("lines") <= DOC_LINES)
+    got = sized.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_LINES).select("doc_id", "label", "x", "n").collect()
+    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     n = [np.frombuffer(r["n"], dtype=np.float32) for r in got]
     first_of = np.cumsum([0, *map(len, x)])
@@ -248,7 +254,11 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text") -> DataFrame:
-    """The input rows that the model accepts, columns as given; see :func:`score_quality` for texts without lines."""
+    """The input rows that the model accepts, columns as given, whatever their names.
+
+    Null texts, empty ones and those of line feeds alone are accepted if most of the training documents were good; rows that
+    repeat each other share their fate; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

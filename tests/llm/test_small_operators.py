@@ -4,11 +4,9 @@ import random
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from junctura.llm.components import connected_components
 from junctura.llm.neardup import keep_one_of_each, least_shared, list_entries, near_duplicates
-from junctura.llm.quality import score_quality, train_quality
 
 DOCS = "doc_id long, text string, kept string"
 
@@ -112,30 +110,3 @@ def test_components(spark):
         for a, b in pairs:
             low[a] = low[b] = min(low[a], low[b])
     assert got == low
-
-
-def prose(rng, n):
-    return " ".join(rng.choice(["the", "cat", "sat", "on", "a", "mat", "and", "dogs", "ran"]) for _ in range(n)).capitalize() + "."
-
-
-def test_quality_learns_lines(spark):
-    rng = random.Random(6)
-    docs, labels = [], []
-    for i in range(400):
-        lines = [prose(rng, rng.randint(5, 20)) for _ in range(rng.randint(1, 8))]
-        if i % 3 == 0:
-            junk = rng.choice([lambda: "BUY NOW!! " * 12, lambda: "word | " * 15, lambda: "same same " * 12])
-            lines[rng.randrange(len(lines)) :] = [junk() for _ in range(rng.randint(2, 9))]
-        docs.append((i, "\n".join(lines), ""))
-        labels.append((i, int(i % 3 != 0), 0))
-    docs += [(1000, None, ""), (1001, "", ""), (1002, "\n\n", ""), (None, prose(rng, 9), ""), (1003, "x" * 200_000, "")]
-    df, marks = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    model = train_quality(df, marks, F.col("doc_id") % 2 == 0)
-    got = {r.doc_id: r for r in score_quality(df, model).collect()}
-    held = [i for i in range(400) if i % 2]
-    assert sum(got[i].predicted == (i % 3 != 0) for i in held) / len(held) > 0.95
-    assert len(got) == len(docs) and all(0 <= r.score <= 1 for r in got.values())
-    assert got[1000].score == got[1001].score == got[1002].score
-    nothing = train_quality(df, marks.limit(0), F.lit(True))
-    assert {r.score for r in score_quality(df, nothing).collect()} == {0.5}
-    assert score_quality(df.limit(0), model).count() == 0
