@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
@@ -11,38 +12,49 @@ from pyspark.sql import DataFrame
 WINDOW, THRESHOLD = 64, 2.0
 
 
+def dust_spans_of(seqs: list[str], window: int = WINDOW, threshold: float = THRESHOLD) -> list[list[tuple[int, int]]]:
+    """For each sequence the half-open spans under a perfect interval: one that scores above the threshold and no less
+    than any part of it. The score of an interval is the number of pairs of equal triplets in it by its triplets less one.
+
+    All sequences are laid end to end, and intervals of one length are scored together, the shortest first: those that
+    begin at a place and end one triplet further have one more row of pairs than those that begin one place later.
+    """
+    gap = "\0" * 3
+    text = gap.join(s.upper() for s in seqs)
+    letters = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    n = len(letters) - 2
+    if n <= 0:
+        return [[] for _ in seqs]
+    triplets = (letters[:-2] << 42) | (letters[1:-1] << 21) | letters[2:]  # code points have 21 bits
+    starts = np.cumsum([0, *(len(s.upper()) + 3 for s in seqs[:-1])])
+    stops = starts + np.array([len(s.upper()) for s in seqs])
+    of = np.searchsorted(starts, np.arange(n), side="right") - 1
+    room = stops[of] - 3 - np.arange(n)  # triplets that may follow within the sequence; negative between sequences
+    equal, pairs, best = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n)
+    reach = np.zeros(n, np.int64)  # of the longest perfect interval from a place on
+    for d in range(1, min(window - 2, n)):
+        m = n - d
+        equal[:m] += triplets[:m] == triplets[d:]
+        pairs[:m] = pairs[1 : m + 1] + equal[:m]
+        inner = np.maximum(best[:m], best[1 : m + 1])
+        score = pairs[:m] / d
+        best[:m] = np.maximum(inner, score)
+        reach[:m][(score > threshold) & (score >= inner) & (room[:m] >= d)] = d + 3
+    edges = np.zeros(len(letters) + 1, np.int64)
+    begins = np.flatnonzero(reach)
+    np.add.at(edges, begins, 1)
+    np.add.at(edges, begins + reach[begins], -1)
+    covered = np.diff(np.concatenate([[0], (np.cumsum(edges[:-1]) > 0).astype(np.int8), [0]]))
+    out: list[list[tuple[int, int]]] = [[] for _ in seqs]
+    for a, b in zip(np.flatnonzero(covered == 1).tolist(), np.flatnonzero(covered == -1).tolist(), strict=True):
+        k = int(of[a])
+        out[k].append((a - int(starts[k]), b - int(starts[k])))
+    return out
+
+
 def dust_spans(seq: str, window: int = WINDOW, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
-    """Half-open spans of ``seq`` under a perfect interval: one that scores above the threshold and no less than any
-    part of it. The score of an interval is the number of pairs of equal triplets in it by its triplets less one."""
-    seq = seq.upper()
-    triplets = [seq[i : i + 3] for i in range(len(seq) - 2)]
-    most = window - 2
-    spans: list[tuple[int, int]] = []
-    best_from: list[float] = [0.0] * len(triplets)  # by start: the best score of an interval from here on that ends so far
-    for end in range(len(triplets)):
-        counts: dict[str, int] = {}
-        pairs, inner = 0, 0.0
-        for start in range(end, max(-1, end - most), -1):
-            t = triplets[start]
-            n = counts.get(t, 0)
-            pairs += n
-            counts[t] = n + 1
-            length = end - start
-            score = pairs / length if length else 0.0
-            # Parts that start later, whether they end here or before, are in ``inner``.
-            inner = max(inner, best_from[start])
-            if score > threshold and score >= inner:
-                spans.append((start, end + 3))
-            if length:
-                best_from[start] = max(best_from[start], score)
-                inner = max(inner, score)
-    merged: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if merged and a <= merged[-1][1]:
-            merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-        else:
-            merged.append((a, b))
-    return merged
+    """The same for one sequence."""
+    return dust_spans_of([seq], window, threshold)[0]
 
 
 def dust_mask(seqs: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -51,7 +63,9 @@ def dust_mask(seqs: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(*row[:-1], a, b) for row in batch.itertuples(index=False, name=None) for a, b in dust_spans(row[-1] or "")]
-            yield pd.DataFrame(rows, columns=[*keys, "start", "end"])
+            for part in (batch.iloc[k : k + 1000] for k in range(0, len(batch), 1000)):
+                found = dust_spans_of([s or "" for s in part[seq]])
+                rows = [(*row, a, b) for row, spans in zip(part[keys].itertuples(index=False, name=None), found, strict=True) for a, b in spans]
+                yield pd.DataFrame(rows, columns=[*keys, "start", "end"])
 
     return seqs.select(*keys, seq).mapInPandas(run, ", ".join([*(f"{k} {types[k]}" for k in keys), "start long", "end long"]))
