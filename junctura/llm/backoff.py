@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.llm.counting import BUCKET_KEYS, CHUNK_BYTES, REQUEST_SCHEMA, Routes, chunk_count, requests, sum_by_key
-from junctura.llm.kernels import combine, mix, word_hashes
+from junctura.llm.kernels import combine, mix, release_memory, word_hashes
 from junctura.llm.labelled import remainder
 from junctura.llm.scratch import materialize, shuffle_partitions
 
@@ -239,6 +239,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
         asked = [requests(key[0].as_py(), distinct, weights, routes.group_width, n * routes.groups) for n, (distinct, weights, _) in enumerate(counts_of(table, *_chunk_tokens(table)))]
+        release_memory()
         return pa.Table.from_batches(asked)
 
     asked = dealt.groupBy("chunk").applyInArrow(ask, REQUEST_SCHEMA)
@@ -259,6 +260,8 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         known, base = base_scores(counts[0][places[0]], first_of, corpus)
         end = places[0][first_of[1] - 1]  # a text's last token
         score = Automaton(places, counts, first_of, end, corpus).walk(places[0], first_of)
+        del places, counts, news, own, sums
+        release_memory()  # a worker goes on to the next chunk
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": np.diff(first_of), "n_known": known,
             "train_tokens": np.full(len(known), corpus.tokens), "base_score": base, "score": score,
