@@ -60,15 +60,22 @@ def is_homopolymer(s: Column, share: float = 0.8) -> Column:
 
 
 def dinucleotide_counts(s: Column) -> Column:
-    """Counts of the 16 dinucleotides, overlaps included, by string lengths alone."""
-    counts = []
-    for a in "ACGT":
-        for b in "ACGT":
-            if a == b:  # a run of n letters has n - 1
-                counts.append(letter_count(s, a) - letter_count(F.regexp_replace(s, f"{a}+", a), a))
-            else:
-                counts.append((F.length(s) - F.length(F.replace(s, F.lit(a + b), F.lit("")))) / 2)
-    return F.array(*[c.cast("int") for c in counts])
+    """Counts of the 16 dinucleotides, overlaps included, by string lengths alone.
+
+    Lambdas bind the sequence once and keep the generated code small, wherever and however often this is used.
+    """
+    mixed = F.array(*[F.lit(a + b) for a in "ACGT" for b in "ACGT" if a != b])
+    bound = F.array(F.struct(s.alias("s"), F.regexp_replace(s, r"(.)\1+", "$1").alias("runs")))
+
+    def counts(t: Column) -> Column:
+        def less(of: Column, without: Column) -> Column:
+            return F.length(of) - F.length(F.replace(of, without, F.lit("")))
+
+        pairs = F.transform(mixed, lambda d: (less(t["s"], d) / 2).cast("int"))
+        # A run of n letters has n - 1; collapsed, it counts one.
+        return F.concat(pairs, F.transform(F.array(*map(F.lit, "ACGT")), lambda x: less(t["s"], x) - less(t["runs"], x)))
+
+    return F.transform(bound, counts)[0]
 
 
 def top_dinucleotides(s: Column, start: Column, end: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
+from junctura.functions.sequences import kmers
 
 RESULT = "struct<score:int,ref_begin:int,ref_end:int,q_begin:int,q_end:int,cigar:string>"
 REVERSED = bytes.maketrans(b"ACGT", b"TGCA")
@@ -128,6 +129,16 @@ def align_both_strands(df: DataFrame, query: str, ref: str, cfg: JunctionConfig
     return both.withColumn("__c", chosen).withColumn("q_strand", F.when(plus, "+").otherwise("-")).select(*df.columns, "__c.*", "q_strand")
 
 
+def sharing_seeds(reads: DataFrame, references: DataFrame, keys: list[str], ref: str, k: int) -> DataFrame:
+    """``keys, ref`` of reads (``keys, seq``) and references (``ref, seq``) that have a k-mer in common, each pair once.
+
+    For references small enough to be searched without an aligner's index; alignments of large ones are an input.
+    """
+    seeds = references.select(ref, F.explode(kmers(F.col("seq"), k)).alias("kmer")).distinct()
+    at = reads.select(*keys, F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer"))
+    return at.join(seeds, "kmer").select(*keys, ref).distinct()
+
+
 def align_segments(members: DataFrame, regions: DataFrame, segments: DataFrame, cfg: JunctionConfig | None = None) -> DataFrame:
     """``region_id, frag_id, is_virus`` and the alignment of each fragment's segment to each of its regions.
 

@@ -398,11 +398,14 @@ _EDGE_ALN = """edge_aln AS (
 
 
 def _edge_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge reads with the alignments of both sides; the best alignment on an organism serves for all its regions."""
     best = V.best(V.alignments(spark, sf_dir))
-    side = F.struct("pos", "rlen", "score")
-    both = best.groupBy("read_id").agg(F.max(F.when(~F.col("is_virus"), side)).alias("h"), F.max(F.when(F.col("is_virus"), side)).alias("v"))
-    cols = [c for s in "hv" for c in (F.col(f"{s}.score").alias(f"{s}_score"), F.col(f"{s}.pos").alias(f"{s}_begin"), (F.col(f"{s}.pos") + F.col(f"{s}.rlen") - 1).alias(f"{s}_end"), F.col(f"{s}.rlen").alias(f"{s}_len"))]
-    return _edge_reads(spark, sf_dir).join(both.select(F.col("read_id").alias("frag_id"), *cols), "frag_id")
+    side = F.when(F.col("is_virus"), "v").otherwise("h")
+    found = best.groupBy(side.alias("region_id"), F.col("read_id").alias("frag_id")).agg(F.max(F.struct("pos", "rlen", "score")).alias("a"))
+    facts = found.select("region_id", "frag_id", "a.score", F.col("a.pos").alias("begin"), (F.col("a.pos") + F.col("a.rlen") - 1).alias("end"), F.col("a.rlen").alias("len"))
+    reads = _edge_reads(spark, sf_dir).withColumns({"h_region": F.lit("h"), "v_region": F.lit("v")})
+    both = align.on_both_sides(reads, facts, ["score", "begin", "end", "len"])
+    return both.select(*V.EDGE, "frag_id", *[f"{s}_{c}" for s in "hv" for c in ("score", "begin", "end", "len")])
 
 
 @query(f"""WITH {V.ALN}, t AS (SELECT *, max(score) OVER (PARTITION BY read_id, is_virus) AS top FROM aln WHERE score >= 30 AND rlen >= 30 AND NOT (left_clip > 0 AND right_clip > 0))
@@ -466,6 +469,23 @@ def dedup_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edgeproc.remove_duplicates(reads.select(*V.EDGE, "frag_id", F.col("h_begin").alias("h_distal"), F.col("v_end").alias("v_distal")), V.EDGE)
 
 
+@query()
+def dedup_edges_exploratory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads that share one end only are duplicates only where their joint CIGARs are consistent."""
+    reads = _edge_alignments(spark, sf_dir)
+    joint = S.joint_cigar(F.concat(F.col("h_len").cast("string"), F.lit("=")), F.concat(F.col("v_len").cast("string"), F.lit("=3S")), F.lit(False), F.lit(False))
+    rows = reads.select(*V.EDGE, "frag_id", F.col("h_begin").alias("h_distal"), F.col("v_end").alias("v_distal"), joint.alias("joint"))
+    return edgeproc.remove_duplicates(rows, V.EDGE, exploratory=True)
+
+
+@query()
+def split_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's lines as the reads of an edge: what is left of each, and what is split off as consistent parts."""
+    rows = V.dna_lines(spark, sf_dir).select("doc_id", F.col("line").alias("frag_id"), F.col("s").alias("seq"))
+    parts = edgeproc.split_edges(rows, ["doc_id"], CFG)
+    return edgeproc.with_parts(rows.select("doc_id", "frag_id"), parts, ["doc_id"])
+
+
 @query()
 def pack_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _edge_alignments(spark, sf_dir).select(*V.EDGE, "frag_id", (F.col("h_score") + F.col("v_score")).alias("score"))
@@ -537,10 +557,7 @@ def _hit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines and benchmark items that share a seed, both as bases."""
     lines = V.dna_lines(spark, sf_dir)
     items = table(spark, sf_dir, "benchmark").select("item_id", V.dna(F.col("text")).alias("ref"))
-    k = CFG.seed_length
-    seeds = items.select("item_id", F.explode(S.kmers(F.col("ref"), k)).alias("kmer")).distinct()
-    at = lines.select("doc_id", "line", F.explode(S.kmers(F.col("s"), k)).alias("kmer"))
-    pairs = at.join(seeds, "kmer").select("doc_id", "line", "item_id").distinct()
+    pairs = align.sharing_seeds(lines.withColumnRenamed("s", "seq"), items.withColumnRenamed("ref", "seq"), ["doc_id", "line"], "item_id", CFG.seed_length)
     return pairs.join(lines, ["doc_id", "line"]).join(items, "item_id")
 
 

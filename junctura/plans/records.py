@@ -386,6 +386,31 @@ def call_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.reported(calls).select("call_id", "accepted").unionByName(K.reported(calls, rejected=True).select("call_id", "accepted"))
 
 
+_ENTRIES = f"""{V.EDGES}, {Q._EDGE_ALN}, e AS (
+    SELECT *, h_chr || h_left || v_left || h_strand || v_strand || frag_id AS frag, frag_id % 2 = 0 AS h_turned, frag_id % 3 = 0 AS v_turned FROM edge_aln
+), both_sides AS (
+    SELECT *, h_turned <> (h_strand = '-') AS h_rev, v_turned <> (v_strand = '-') AS v_rev, CASE WHEN h_strand = '-' THEN h_left + 2000 - h_end - 1 ELSE h_left + h_begin END AS h_pos,
+        CASE WHEN v_strand = '-' THEN v_left + 2000 - v_end - 1 ELSE v_left + v_begin END AS v_pos FROM e
+)"""
+
+
+def _entry_sql(me: str, mate: str, bit: int) -> str:
+    return f"""SELECT frag AS frag_id, {"true" if me == "v" else "false"} AS is_virus, CAST(1 + {bit} + CASE WHEN {me}_rev THEN 16 ELSE 0 END + CASE WHEN {mate}_rev THEN 32 ELSE 0 END AS INTEGER) AS flag, {me}_chr AS chr, {me}_pos AS pos,
+        CASE WHEN {me}_strand = '-' THEN '5S' || {me}_len || '=' ELSE {me}_len || '=5S' END AS cigar, {mate}_chr AS mate_chr, {mate}_pos AS mate_pos, CASE WHEN {me}_rev THEN 'AACGT' ELSE 'ACGTT' END AS seq FROM both_sides"""
+
+
+@query(f"WITH {_ENTRIES} {_entry_sql('h', 'v', 64)} UNION ALL {_entry_sql('v', 'h', 128)}")
+def call_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of every edge's reads on both sides, as they are written for a call."""
+    reads = Q._edge_alignments(spark, sf_dir)
+    name = F.concat(*[F.col(c).cast("string") for c in ("h_chr", "h_left", "v_left", "h_strand", "v_strand", "frag_id")])
+    facts = {}
+    for side, by in (("h", 2), ("v", 3)):
+        facts |= {f"{side}_cigar": F.concat(F.col(f"{side}_len").cast("string"), F.lit("=5S")), f"{side}_q_strand": F.when(F.col("frag_id") % by == 0, "-").otherwise("+"), f"{side}_seq": F.lit("ACGTT")}
+    rows = reads.withColumns(facts).withColumn("frag_id", name).withColumns({"h_len": F.lit(2000), "v_len": F.lit(2000)})
+    return records.alignment_entries(rows)
+
+
 @query(f"WITH {V.EDGES} SELECT {Q._E}, CASE WHEN h_strand = '-' THEN h_right - 3 ELSE h_left + 3 END AS h_at, CASE WHEN v_strand = '-' THEN v_right - 5 ELSE v_left + 5 END AS v_at FROM edges")
 def breakpoint_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Q._edge_reads(spark, sf_dir).select(*V.EDGE).distinct()

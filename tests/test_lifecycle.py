@@ -1,0 +1,102 @@
+"""From read files to a report, over one planted junction."""
+
+import random
+
+from pyspark.sql import functions as F
+
+from junctura.config import JunctionConfig
+from junctura.functions import sequences as S
+from junctura.operators import align, calls, candidates, cluster, dust, edgeproc, edges, ranges, screen, windows
+from junctura.sources import readers, writers
+
+CFG = JunctionConfig()
+EDGE = ["h_chr", "h_strand", "h_left", "h_right", "v_chr", "v_strand", "v_left", "v_right"]
+
+
+def rc(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_from_reads_to_report(spark, tmp_path):
+    rng = random.Random(11)
+    host, virus = ("".join(rng.choices("ACGT", k=n)) for n in (4_000, 1_200))
+    joined = host[:2_000] + virus[300:]  # the junction: host up to 2000, virus from 300 on
+    reads, places, n = [], [], 0
+    for start in range(1_800, 1_896, 6):  # fragments of 300 bases over it, a mate on either side; one start twice: a duplicate
+        for _ in range(2 if start == 1_806 else 1):
+            fragment = joined[start : start + 300]
+            reads += [(f"j{n}", 1, fragment[:100], n), (f"j{n}", 2, rc(fragment[-100:]), n)]
+            places += [(f"j{n}", 1, False, "chrA", start, False), (f"j{n}", 2, True, "virX", 300 + start + 200 - 2_000, True)]
+            n += 1
+    for _ in range(30):  # and some that are all host
+        start = rng.randint(0, 3_600)
+        reads += [(f"b{n}", 1, host[start : start + 100], n), (f"b{n}", 2, rc(host[start + 200 : start + 300]), n)]
+        places += [(f"b{n}", 1, False, "chrA", start, False), (f"b{n}", 2, False, "chrA", start + 200, True)]
+        n += 1
+    folder = f"file://{tmp_path}"
+    given = spark.createDataFrame([(*r, "I" * len(r[2])) for r in reads], "read_id string, seg int, seq string, ord long, qual string")
+    for seg in (1, 2):
+        writers.write_fastq(given, f"{folder}/reads_{seg}", seg)
+    contigs = spark.createDataFrame([("chrA", host), ("virX", virus)], "chr string, seq string")
+    writers.write_fasta(contigs.where("chr = 'chrA'"), "chr", "seq", f"{folder}/host")
+    writers.write_fasta(contigs.where("chr = 'virX'"), "chr", "seq", f"{folder}/virus")
+    catalogue = readers.contig_catalog(spark, f"{folder}/host", f"{folder}/virus")
+    assert {(r.chr, r.len, r.is_virus) for r in catalogue.collect()} == {("chrA", 4_000, False), ("virX", 1_200, True)}
+
+    # Reads with viral seeds; an aligner's places for them; candidates, regions, edges.
+    pairs = readers.read_fastq_pairs(spark, f"{folder}/reads_1", f"{folder}/reads_2")
+    screened = screen.screen_reads(pairs, readers.read_fasta(spark, f"{folder}/virus"), CFG)
+    assert {r.read_id[0] for r in screened.collect()} == {"j"}
+    aligned = spark.createDataFrame(places, "read_id string, seg int, is_virus boolean, chr string, pos long, rev boolean").withColumn("rlen", F.lit(100)).join(screened.select("read_id", "seg"), ["read_id", "seg"])
+    cand = candidates.pair_candidates(candidates.chimeric_pairs(aligned))
+    labels = candidates.candidate_support(cand).withColumnRenamed("n_frags", "n")
+    assigned = cluster.assign_labels(labels, CFG.max_is)
+    members = cluster.filter_fixpoint(cluster.region_members(cand, assigned), ["chr", "strand", "label_pos"], CFG.region_support)
+    bounds = cluster.region_bounds(cand, assigned)
+    spans = members.join(bounds, ["chr", "strand", "label_pos"]).select("chr", "strand", "left", "right", "is_virus", "frag_id").distinct()
+    edge_reads = edges.enumerate_edges(spans, ["chr", "strand", "left", "right"])
+    edge_reads = edges.subsume(edge_reads.join(edges.supported_edges(edge_reads, EDGE, CFG.edge_support).select(*EDGE), EDGE, "left_semi"))
+
+    # Their regions' sequences, and both mates aligned to them.
+    around = windows.region_windows(edge_reads.select(*EDGE).distinct(), catalogue.select("chr", "len"), CFG.max_is)
+    sequences = windows.region_sequences(around, windows.contig_chunks(contigs, 512), 512)
+    name = F.concat_ws(",", "chr", F.col("left").cast("string"), F.col("right").cast("string"), "strand")
+    regions = sequences.join(catalogue.select("chr", "is_virus"), "chr").withColumn("region_id", name)
+    named = edge_reads.withColumns({f"{s}_region": F.concat_ws(",", f"{s}_chr", F.col(f"{s}_left").cast("string"), F.col(f"{s}_right").cast("string"), f"{s}_strand") for s in "hv"})
+    of_region = named.select(F.col("h_region").alias("region_id"), "frag_id").union(named.select("v_region", "frag_id")).distinct()
+    organism = aligned.select("read_id", "seg", "is_virus")
+    segments = screened.join(organism, ["read_id", "seg"]).select(F.col("read_id").alias("frag_id"), "is_virus", "seq")
+    found = align.align_segments(of_region, regions, segments, CFG)
+    both = align.on_both_sides(named, found, ["score", "ref_begin", "ref_end", "q_begin", "q_end", "cigar", "q_strand"])
+
+    # Duplicates, far and suspicious reads go; consensus, packing, statistics.
+    ends = both.withColumns({"h_distal": S.distal(F.lit(False), F.col("h_ref_begin"), F.col("h_ref_end")), "v_distal": S.distal(F.lit(True), F.col("v_ref_begin"), F.col("v_ref_end"))})
+    single = both.join(edgeproc.remove_duplicates(ends, EDGE).select(*EDGE, "frag_id"), [*EDGE, "frag_id"], "left_semi")
+    facts = single.withColumns({f"{s}_{a}": F.col(f"{s}_ref_{a}") for s in "hv" for a in ("begin", "end")}).withColumns({f"{s}_len": F.col(f"{s}_q_end") - F.col(f"{s}_q_begin") + 1 for s in "hv"})
+    bp = calls.call_statistics(facts, EDGE, CFG).select(*EDGE, "h_bp", "v_bp")
+    placed = facts.join(bp, EDGE).withColumns({"h_distal": F.col("h_begin"), "v_distal": F.col("v_end")})
+    near = edgeproc.within_insert_size(placed, CFG.max_is)
+    for s, virus_side in (("h", False), ("v", True)):
+        own = segments.where(F.col("is_virus") == virus_side).select("frag_id", F.col("seq").alias("read"))
+        near = near.join(own, "frag_id").withColumn(f"{s}_seq", S.oriented(F.col("read"), F.col(f"{s}_q_strand") == "-")).drop("read")
+        near = near.join(regions.select(F.col("region_id").alias(f"{s}_region"), F.col("seq").alias(f"{s}_ref"), F.col("start").alias(f"{s}_from")), f"{s}_region")
+    trusted = edgeproc.without_suspicious(near, CFG)
+    packed = edgeproc.pack_edges(trusted.select(*EDGE, "frag_id", (F.col("h_score") + F.col("v_score")).alias("score")), EDGE, CFG)
+    final = trusted.join(packed, [*EDGE, "frag_id"], "left_semi")
+    laid = {s: edgeproc.consensus(final.withColumn("row", F.substring("frag_id", 2, 9).cast("int")).withColumn("laid", S.gapped_sequence(F.col(f"{s}_seq"), F.col(f"{s}_begin"), F.length(f"{s}_ref"), F.col(f"{s}_cigar"))), EDGE, "row", "laid") for s in "hv"}
+    trimmed = {s: {r.h_left: r.c for r in laid[s].select("h_left", S.trim_unknown(F.col("consensus")).alias("c")).collect()} for s in "hv"}
+    (h_seq,), (v_seq,) = trimmed["h"].values(), trimmed["v"].values()
+    assert h_seq in host[:2_000] and v_seq in virus[300:]
+    assert sum(b - a for a, b in dust.dust_spans(h_seq)) < 0.2 * len(h_seq)
+    stats = calls.call_statistics(final, EDGE, CFG).join(final.select(*EDGE, "h_from", "v_from").distinct(), EDGE)
+    called = stats.select(
+        F.lit(0).alias("call_id"), F.col("h_chr").alias("host_chr"), (F.col("h_strand") == "-").alias("host_rev"), (F.col("h_from") + F.col("h_bp") - 1).alias("host_start"), (F.col("h_from") + F.col("h_bp") + 1).alias("host_end"),
+        F.col("v_chr").alias("virus_chr"), (F.col("v_strand") == "-").alias("virus_rev"), (F.col("v_from") + F.col("v_bp")).alias("virus_start"), (F.col("v_from") + F.col("v_bp")).alias("virus_end"),
+        F.col("reads").alias("good_pairs"), F.lit(0).alias("split_reads"), "host_pbs", "host_cov", "virus_cov", F.lit(len(h_seq)).alias("host_len"), F.lit(len(v_seq)).alias("virus_len"), F.lit(0).alias("host_masked"), F.lit(0).alias("virus_masked"),
+        F.lit(None).cast("long").alias("paired_with"),
+    )
+    (line,) = [r.line for r in calls.reported(calls.accept_calls(called, CFG).withColumn("removed", F.lit(False))).select(calls.report_line().alias("line")).collect()]
+    (h_end,), (v_begin,) = ({r[0] for r in final.select(F.max(F.col(c) + F.col(b))).collect()} for c, b in (("h_from", "h_end"), ("v_from", "v_begin")))
+    assert line.startswith("ID=0 chrA:+") and " virX:" in line and "SUPPORTING_PAIRS=16 " in line and "HOST_PBS=1.000000" in line
+    assert int(line.split("chrA:+")[1].split()[0]) == h_end + 1 <= 2_000 and v_begin >= 300
+    assert ranges.union_all(called, called).count() == 2
