@@ -59,6 +59,23 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch):
     assert kept == {i for i in range(len(texts)) if find(i) == i} | {None}
 
 
+def test_near_duplicates_of_long_texts(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randint(0, 9_999)}" for _ in range(60_000)]
+    edited = list(base)
+    for _ in range(800):  # some 8,000 of 64,000 shingles of the union differ: above 0.85
+        edited[rng.randrange(len(edited))] = f"e{rng.random()}"
+    other = list(base)
+    for _ in range(3_000):
+        other[rng.randrange(len(other))] = f"o{rng.random()}"
+    rows = [(1, " ".join(base), 7), (2, " ".join(edited), 7), (3, " ".join(other), 7), (4, "x" * 500_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
+    sets = {i: shingles(t) for i, t, _ in rows}
+    assert [100 * len(sets[1] & sets[k]) >= 85 * len(sets[1] | sets[k]) for k in (2, 3)] == [True, False]
+    assert sorted((r.doc_id, r.component_id) for r in near_duplicates(df).collect()) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert {r.doc_id: r.component_id for r in keep_one_of_each(df).collect()} == {1: 7, 3: 7, 4: 7}
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     rows = [(1, "a b c d e f", ""), (1, "u v w x y z", ""), (2, "A b c d e f", ""), (3, "u v w x y z", "")]
     got = sorted((r.doc_id, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, DOCS)).collect())
