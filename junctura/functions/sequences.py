@@ -129,6 +129,11 @@ def clip_side(cigar: Column) -> Column:
     return F.when(left_clip(cigar) > 0, 1).otherwise(0) + F.when(right_clip(cigar) > 0, 2).otherwise(0)
 
 
+def is_clipped(cigar: Column, side: str, least: int = 5) -> Column:
+    """Whether a read is soft-clipped by ``least`` bases or more at the end ``'L'`` or ``'R'``."""
+    return (left_clip(cigar) if side == "L" else right_clip(cigar)) >= least
+
+
 def is_full_length(cigar: Column) -> Column:
     """Whether all operations are M, = or X."""
     return cigar.rlike(r"^(\d+[M=X])+$")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,7 +95,7 @@ def low_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     CAST(least(ceil(floor(avg(s)) + 5 * sqrt(avg((s - m) * (s - m)) FILTER (s > m))), 1000) AS BIGINT) AS max_is_capped
 FROM (SELECT l_quantity * 10 AS s FROM lineitem) CROSS JOIN (SELECT floor(avg(l_quantity * 10)) AS m FROM lineitem)""")
 def insert_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return screen.insert_size_stats(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 10).alias("size")))
+    return screen.insert_size_stats(table(spark, sf_dir, "lineitem").select((F.col("l_quantity") * 10).alias("size")), bound=CFG.max_insert_bound)
 
 
 # -- strings of alignments --------------------------------------------------------------------------------------------
@@ -475,7 +476,7 @@ def dedup_edges_exploratory(spark: SparkSession, sf_dir: str) -> DataFrame:
     reads = _edge_alignments(spark, sf_dir)
     joint = S.joint_cigar(F.concat(F.col("h_len").cast("string"), F.lit("=")), F.concat(F.col("v_len").cast("string"), F.lit("=3S")), F.lit(False), F.lit(False))
     rows = reads.select(*V.EDGE, "frag_id", F.col("h_begin").alias("h_distal"), F.col("v_end").alias("v_distal"), joint.alias("joint"))
-    return edgeproc.remove_duplicates(rows, V.EDGE, exploratory=True)
+    return edgeproc.remove_duplicates(rows, V.EDGE, replace(CFG, exploratory=True).exploratory)
 
 
 @query()
@@ -568,6 +569,16 @@ def sw_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line", "item_id", "score", "ref_begin", "ref_end", "q_begin", "q_end", "cigar", "q_strand")
 
 
+@query()
+def aligned_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as virus segments, aligned to the benchmark items that they share a seed with as regions."""
+    lines, items = V.dna_lines(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", V.dna(F.col("text")).alias("ref"))
+    name = F.concat_ws(":", F.col("doc_id").cast("string"), F.col("line").cast("string"))
+    members = _hit_lines(spark, sf_dir).select(F.col("item_id").alias("region_id"), name.alias("frag_id"))
+    regions = items.select(F.col("item_id").alias("region_id"), F.lit(True).alias("is_virus"), F.col("ref").alias("seq"))
+    return align.align_segments(members, regions, lines.select(name.alias("frag_id"), F.lit(True).alias("is_virus"), F.col("s").alias("seq")), CFG)
+
+
 @query()
 def dup_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold benchmark text as calls: the line is one side, the item the other; an item's calls are compared."""

@@ -124,12 +124,12 @@ def read_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {REC} SELECT read_id, seg, chr || ',' || CASE WHEN rev THEN '-' ELSE '+' END || (pos + 1) || ',' || cigar || ',' || score || ';' AS own, 2 AS x2,
-    'v0,+' || (pos + 9) || ',' || cigar || ',3;' AS from_sa FROM rec""")
+    'v0,+' || (pos + 9) || ',' || cigar || ',3;' AS from_sa, left_clip >= 5 AS left_clipped, right_clip >= 5 AS right_clipped FROM rec""")
 def alternative_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = alignment_records(spark, sf_dir)
     own = S.alternative_text(F.col("chr"), F.col("rev"), F.col("pos"), F.col("cigar"), F.col("score"))
     sa = F.concat_ws(",", F.lit("v0"), (F.col("pos") + 9).cast("string"), F.lit("+"), F.col("cigar"), F.lit("60"), F.lit("3"))
-    return rec.select("read_id", "seg", own.alias("own"), S.alternative_count(own).alias("x2"), S.supplementary_to_alternative(F.concat(sa, F.lit(";"))).alias("from_sa"))
+    return rec.select("read_id", "seg", own.alias("own"), S.alternative_count(own).alias("x2"), S.supplementary_to_alternative(F.concat(sa, F.lit(";"))).alias("from_sa"), *[S.is_clipped(F.col("cigar"), e, CFG.min_clip_length).alias(n) for e, n in (("L", "left_clipped"), ("R", "right_clipped"))])
 
 
 @query(f"""WITH {V.ALN}, u AS (SELECT DISTINCT read_id, seg, chr, rev, pos FROM aln UNION SELECT DISTINCT read_id, seg, chr, NOT rev, pos + 7 FROM aln)
