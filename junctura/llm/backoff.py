@@ -124,6 +124,7 @@ class Automaton:
             target = base[n] + grams if n < self.order else base[m] + at[m - 1][where]
             arcs.append((state[where] * self.words + at[0][where], target, np.log10(p[where])))
         keys, targets, weights = (np.concatenate(x) for x in zip(*arcs, strict=True))
+        del arcs, p
         order = np.argsort(keys)
         self.arcs, self.targets, self.weights = keys[order], targets[order], weights[order]
 
@@ -257,10 +258,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
                 raise RuntimeError(f"chunk {key[0]}: {len(distinct)} n-grams, but {len(sums)} answers")
             places.append(at)
             counts.append(np.where(sums > 0, sums, weights).astype(np.int64))
+        del news, own, sums, distinct, weights, at  # what follows needs as much again
         known, base = base_scores(counts[0][places[0]], first_of, corpus)
         end = places[0][first_of[1] - 1]  # a text's last token
         score = Automaton(places, counts, first_of, end, corpus).walk(places[0], first_of)
-        del places, counts, news, own, sums
+        del places, counts
         release_memory()  # a worker goes on to the next chunk
         return pa.table({
             "doc_id": table.column("doc_id"), "held_out": table.column("held_out"), "n_tokens": np.diff(first_of), "n_known": known,
