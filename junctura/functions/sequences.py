@@ -64,16 +64,20 @@ def dinucleotide_counts(s: Column) -> Column:
 
     Lambdas bind the sequence once and keep the generated code small, wherever and however often this is used.
     """
-    mixed = F.array(*[F.lit(a + b) for a in "ACGT" for b in "ACGT" if a != b])
+    pairs = F.array(*[F.lit(a + b) for a in "ACGT" for b in "ACGT"])
     bound = F.array(F.struct(s.alias("s"), F.regexp_replace(s, r"(.)\1+", "$1").alias("runs")))
 
     def counts(t: Column) -> Column:
         def less(of: Column, without: Column) -> Column:
             return F.length(of) - F.length(F.replace(of, without, F.lit("")))
 
-        pairs = F.transform(mixed, lambda d: (less(t["s"], d) / 2).cast("int"))
-        # A run of n letters has n - 1; collapsed, it counts one.
-        return F.concat(pairs, F.transform(F.array(*map(F.lit, "ACGT")), lambda x: less(t["s"], x) - less(t["runs"], x)))
+        def one(pair: Column) -> Column:
+            letter = F.substring(pair, 1, 1)
+            # A run of n letters has n - 1; collapsed, it counts one.
+            in_runs = less(t["s"], letter) - less(t["runs"], letter)
+            return F.when(letter == F.substring(pair, 2, 1), in_runs).otherwise((less(t["s"], pair) / 2).cast("int"))
+
+        return F.transform(pairs, one)
 
     return F.transform(bound, counts)[0]
 
