@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from junctura.llm.backoff import op3_lm_scores
 from junctura.llm.bytepair import op9_byte_bpe
+from junctura.llm.crosstokens import op12_cross_tokens
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
 from junctura.llm.neardup import op7_near_duplicates
 from junctura.llm.nra import OP1_SQL, op1_top_k
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_cross_tokens": op12_cross_tokens,
 }
 
 ORACLES = {
