@@ -13,6 +13,7 @@ from junctura.llm.quality import op2_quality
 from junctura.llm.tokencounts import op8_token_counts
 from junctura.llm.tokenfiles import op6_token_files
 from junctura.llm.toxicity import op4_toxicity
+from junctura.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_top_k": op1_top_k,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_byte_bpe": op9_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_cross_tokens": op12_cross_tokens,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES = {
