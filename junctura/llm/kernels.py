@@ -83,9 +83,12 @@ def slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words, and the number of the first word of each row (one entry more than rows)."""
-    word = ~IS_SPACE[data]
+def split_words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words, and the number of the first word of each row (one entry more than rows).
+
+    ``between``: of each byte, whether it parts words.
+    """
+    word = ~between[data]
     before = np.zeros(len(data) + 1, dtype=bool)
     before[1:] = word
     after = before[1:].copy()

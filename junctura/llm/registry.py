@@ -6,6 +6,7 @@ from junctura.llm.backoff import op3_lm_scores
 from junctura.llm.bytepair import op9_byte_bpe
 from junctura.llm.crosstokens import op12_cross_tokens
 from junctura.llm.digests import OP5_SQL, op5_exact_dedup
+from junctura.llm.langtags import op11_language
 from junctura.llm.neardup import op7_near_duplicates
 from junctura.llm.nra import OP1_SQL, op1_top_k
 from junctura.llm.packing import op10_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_language": op11_language,
     "op12_cross_tokens": op12_cross_tokens,
     "op13_whitening": op13_whitening,
 }
