@@ -1,10 +1,15 @@
-"""Column functions on sequences, CIGARs and alternative-alignment strings; all run inside the JVM."""
+"""Column functions on sequences, CIGARs and alternative-alignment strings; all but one run inside the JVM."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+_BASE_CODES = np.full(256, 4, np.int64)
+_BASE_CODES[list(b"ACGT\n")] = [0, 1, 2, 3, 5]
+
 #: CIGAR operations that use up reference, query, or only the query's ends.
 ON_REFERENCE, CLIPS = "MDN=X", "SH"
 
@@ -83,10 +88,24 @@ def dinucleotide_counts(s: Column) -> Column:
 
 
 def top_dinucleotides(s: Column, start: Column, end: Column) -> Column:
-    """The summed counts of the two most frequent dinucleotides of the stretch from start + 1 to ``end``, exclusive."""
-    region = F.substring(s, start + 2, F.greatest(end - start - 1, F.lit(0)))
-    ordered = F.sort_array(dinucleotide_counts(region), asc=False)
-    return ordered[0] + ordered[1]
+    """The summed counts of the two most frequent dinucleotides of the stretch from start + 1 to ``end``, exclusive.
+
+    Counted by numpy for an Arrow batch of rows at a time: sixteen string replacements a row cost many times that.
+    """
+    return F.pandas_udf(_top_two, "int")(s, start.cast("int"), end.cast("int"))
+
+
+def _top_two(s: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
+    known = (s.notna() & start.notna() & end.notna()).to_numpy()
+    parts = [t[int(a) + 1 : max(int(b), int(a) + 1)] for t, a, b in zip(s[known], start[known], end[known], strict=True)]
+    code = _BASE_CODES[np.frombuffer("\n".join([*parts, ""]).encode("ascii", "replace"), np.uint8)]
+    row = np.cumsum(code == 5)[:-1]
+    pair = (code[:-1] < 4) & (code[1:] < 4)
+    counts = np.bincount(row[pair] * 16 + code[:-1][pair] * 4 + code[1:][pair], minlength=16 * len(parts)).reshape(-1, 16)
+    top = np.sort(counts, axis=1)[:, -2:].sum(1)
+    out = pd.Series([None] * len(s), dtype="Int32")
+    out[known] = top.astype(np.int32)
+    return out
 
 
 def is_low_complexity(s: Column, start: Column, end: Column, share: float = 0.75) -> Column:

@@ -258,15 +258,17 @@ def within_insert_size(reads: DataFrame, max_is: int) -> DataFrame:
     return reads.where(2 + F.abs(F.col("h_bp") - F.col("h_distal")) + F.abs(F.col("v_bp") - F.col("v_distal")) <= max_is)
 
 
-def pack_component(edges: dict, mates: dict, split: set, need: float) -> dict:
+def pack_component(edges: dict, unit: dict, split: set, need: float) -> dict:
     """Edges taken, with their reads: the highest score first (of equal ones the smaller key), each read once.
 
-    ``edges``: key -> {read: score}. An edge whose remaining reads are too few is dropped and its reads stay free.
+    ``edges``: key -> {read: score}; ``unit``: (key, read) -> unit, ``split``: the same pairs that are split. However many of
+    its reads an edge has, a unit counts once, and all of it leaves with the edge that is taken. An edge whose remaining
+    units are too few is dropped and its reads stay free.
     """
-    by_read = defaultdict(set)
+    by_unit = defaultdict(set)
     for key, reads in edges.items():
         for read in reads:
-            by_read[read].add(key)
+            by_unit[unit[key, read]].add((key, read))
     left = {key: dict(reads) for key, reads in edges.items()}
     queue = [(-sum(reads.values()), key) for key, reads in left.items()]
     heapq.heapify(queue)
@@ -279,17 +281,15 @@ def pack_component(edges: dict, mates: dict, split: set, need: float) -> dict:
             if reads:
                 heapq.heappush(queue, (now, key))
             continue
-        weight = sum(0.5 if mates.get(r) in reads else 1.0 for r in reads) + (1 if any(r in split for r in reads) else 0)
+        units = {unit[key, r] for r in reads}
         gone = dict(left.pop(key))
-        if weight < need:
-            for r in gone:
-                by_read[r].discard(key)
+        if len(units) + any((key, r) in split for r in gone) < need:
             continue
         taken[key] = gone
-        for r in {*gone, *(mates[r] for r in gone if r in mates)}:
-            for other in by_read.pop(r, ()):
+        for u in units:
+            for other, read in by_unit.pop(u):
                 if other in left:
-                    left[other].pop(r, None)
+                    left[other].pop(read, None)
     return taken
 
 
@@ -297,8 +297,8 @@ def pack_edges(reads: DataFrame, edge: list[str], cfg: JunctionConfig | None = N
     """``edge, frag_id``: each fragment on one edge at most, the highest-scoring edges first.
 
     ``reads``: ``edge, frag_id, score``, and where there are split reads ``read_id, is_split``: two split fragments of one
-    read are mates. Mates on one edge count half each, an edge with a split fragment counts one more, and the mates of a
-    taken edge's fragments leave all other edges. Edges that share no unit (a fragment, or a read's split fragments),
+    read are mates. All split fragments of a read are one unit, which counts once on an edge however many of them it has; an
+    edge with a split fragment counts one more, and all of a taken edge's units leave the other edges. Edges that share no unit (a fragment, or a read's split fragments),
     directly or through others, are independent and are packed in parallel. While a component has more than PACK_ROWS
     rows it is worked down in rounds: an edge that scores highest for all of its units is taken or dropped now, as it
     would be before its neighbours anyway.
@@ -321,12 +321,13 @@ def pack_edges(reads: DataFrame, edge: list[str], cfg: JunctionConfig | None = N
 
         def pack(rows: pd.DataFrame) -> pd.DataFrame:
             groups: dict = defaultdict(dict)
-            units: dict = defaultdict(set)
-            for e, frag, score, unit in zip(rows["edge"], rows["frag_id"], rows["score"], rows["unit"], strict=True):
-                groups[tuple(e.values()) if isinstance(e, dict) else tuple(e)][frag] = score
-                units[unit].add(frag)
-            mates = {x: y for found in units.values() if len(found) == 2 for x, y in (tuple(found), tuple(found)[::-1])}
-            taken = pack_component(groups, mates, set(rows["frag_id"][rows["is_split"]]), cfg.edge_reads)
+            units, halves = {}, set()
+            for e, frag, score, unit, is_split in zip(rows["edge"], rows["frag_id"], rows["score"], rows["unit"], rows["is_split"], strict=True):
+                at = tuple(e.values()) if isinstance(e, dict) else tuple(e)
+                groups[at][frag], units[at, frag] = score, unit
+                if is_split:
+                    halves.add((at, frag))
+            taken = pack_component(groups, units, halves, cfg.edge_reads)
             out = [(*e, frag) for e, found in taken.items() for frag in found]
             return pd.DataFrame(out, columns=[*edge, "frag_id"])
 

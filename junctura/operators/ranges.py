@@ -74,19 +74,8 @@ def _with_nulls(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame
 
 
 def merged(df: DataFrame, keys: list[str], start: str, end: str, width: int = 1 << 14) -> DataFrame:
-    """The union of the spans of each key, as disjoint spans.
-
-    Spans that begin in one bin are merged there first, so that the pass over a whole key sees a few rows of each bin,
-    however deep the spans lie.
-    """
-    order = Window.partitionBy(*keys, "__bin").orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    binned = df.select(*keys, start, end).withColumn("__bin", F.floor(F.col(start) / width))
-    opens = binned.withColumn("__opens", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    runs = opens.withColumn("__run", F.sum("__opens").over(order.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__bin", "__run").agg(F.min(start).alias(start), F.max(end).alias(end))
-    past = F.max(end).over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    joined = runs.select(*keys, start, end).withColumn("__opens", F.when(past.isNull() | (F.col(start) > past), 1).otherwise(0))
-    numbered = joined.withColumn("__run", F.sum("__opens").over(Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)))
+    """The union of the spans of each key, as disjoint spans: the islands' first and last places."""
+    numbered = islands(df.select(*keys, start, end), keys, start, end, "__run", width=width)
     return numbered.groupBy(*keys, "__run").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__run")
 
 

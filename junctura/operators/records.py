@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.functions.sequences import NOT_PRIMARY, has_flag, is_discordant, lacks_bits, with_flag
+from junctura.sources.shared import materialize
 
 
 def with_mate_fields(rows: DataFrame) -> DataFrame:
@@ -75,15 +76,27 @@ def sampling_regions(reads: DataFrame, least: int = 10) -> DataFrame:
 def random_positions(contigs: DataFrame, n: int, seed: int) -> DataFrame:
     """``n`` places ``chr, pos``, each base of the contigs (``chr, len``) being as likely as any other.
 
-    Drawn in parallel, and joined with the contigs by the running sum of their lengths; the same seed gives the same.
+    All bases are numbered, contig after contig by name: contigs are dealt into ranges of names, and only the ranges'
+    totals are summed up in one place. The numbers are cut into as many equal slices as there are contigs; a draw, a hash
+    of its number and the seed, finds its contig among those of its slice. So the same seed gives the same places
+    whatever the partitions are, and no draw meets all contigs.
     """
-    order = Window.orderBy("chr")  # contigs, not reads
-    ends = contigs.where("len > 0").select("chr", "len", F.sum("len").over(order).alias("stop")).select("chr", (F.col("stop") - F.col("len")).alias("first"), "stop")
-    total = contigs.agg(F.sum(F.greatest("len", F.lit(0)))).first()[0] or 0
+    spark = contigs.sparkSession
+    dealt = contigs.where("len > 0").select("chr", F.col("len").cast("long").alias("len")).repartitionByRange("chr").withColumn("range", F.spark_partition_id())
+    dealt = materialize(dealt, "contig-ranges")
+    sums = dealt.groupBy("range").agg(F.sum("len").alias("bases"), F.count("*").alias("contigs"), F.min("chr").alias("lowest"))
+    before = sums.select("range", (F.sum("bases").over(Window.orderBy("lowest")) - F.col("bases")).alias("before"))
+    total, many = sums.agg(F.sum("bases"), F.sum("contigs")).first()
     if not total:
         return contigs.select("chr", F.lit(0).cast("long").alias("pos")).limit(0)
-    drawn = contigs.sparkSession.range(n).select(F.floor(F.rand(seed) * total).alias("at"))
-    return drawn.join(ends, (F.col("at") >= F.col("first")) & (F.col("at") < F.col("stop"))).select("chr", (F.col("at") - F.col("first")).alias("pos"))
+    within = F.sum("len").over(Window.partitionBy("range").orderBy("chr", "len").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = dealt.withColumn("within", within).join(before, "range").select("chr", (F.col("before") + F.col("within")).alias("stop"), "len")
+    width = -(-total // many)
+    first = F.col("stop") - F.col("len")
+    slices = ends.select("chr", first.alias("first"), "stop", F.explode(F.sequence(F.floor(first / width), F.floor((F.col("stop") - 1) / width))).alias("slice"))
+    drawn = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed).cast("long")), F.lit(total)).alias("at"))
+    met = drawn.withColumn("slice", F.floor(F.col("at") / width)).join(slices, "slice")
+    return met.where((F.col("at") >= F.col("first")) & (F.col("at") < F.col("stop"))).select("chr", (F.col("at") - F.col("first")).alias("pos"))
 
 
 def alignment_entries(pairs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from junctura.config import JunctionConfig
 from junctura.functions.sequences import kmers, max_base_count, reverse_complement, seed_keys
 from junctura.sources.shared import materialize
 
-#: Seeds up to which an index is shipped to the tasks (8 bytes each), and places of a read that are hashed at a time.
+#: Seeds up to which an index is shipped to the tasks (about 24 bytes each), and places of a read that are hashed at a time.
 SMALL_INDEX, PLACES = 4_000_000, 1 << 18
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(64)], dtype=np.uint64)
 
@@ -34,8 +34,8 @@ def seed_index(references: DataFrame, cfg: JunctionConfig, seq: str = "seq", str
 def seed_hits(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, keys: list[str], seq: str = "seq", small: int = SMALL_INDEX) -> DataFrame:
     """``keys, hits``: positions of each read at which one of the masked seeds is in the index; reads without any are absent.
 
-    An index of up to ``small`` seeds is shipped to the tasks as sorted 64-bit hashes, and reads are looked up where they
-    lie. A larger one is joined: positions are first reduced to those of which one half at least, which no mask touches,
+    An index of up to ``small`` seeds is shipped to the tasks, sorted by a hash, and reads are looked up where they lie; the
+    letters are compared wherever a hash is found. A larger one is joined: positions are first reduced to those of which one half at least, which no mask touches,
     is half of an indexed seed.
     """
     index = materialize(index, "seed-index")
@@ -67,14 +67,20 @@ def _hits_by_lookup(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, key
             letters = np.frombuffer("".join(batch["seed"]).encode("utf-32-le"), np.uint32).reshape(len(batch), k - block).astype(np.uint64)
             mask, place = batch["mask"].to_numpy(), np.arange(k - block)
             power = _POWERS[:k][place[None, :] + np.where(place[None, :] >= (mask * block)[:, None], block, 0)]
-            yield pd.DataFrame({"key": _spread((letters * power).sum(1), mask.astype(np.uint64)).view(np.int64)})
-
-    known = np.unique(index.mapInPandas(hashed, "key long").toPandas()["key"].to_numpy(np.int64).view(np.uint64))
-    shipped = reads.sparkSession.sparkContext.broadcast(known)  # ``small`` hashes at most
+            mask_and_letters = np.hstack([mask[:, None].astype("<u4"), letters.astype("<u4")])
+            yield pd.DataFrame({"key": _spread((letters * power).sum(1), mask.astype(np.uint64)).view(np.int64), "seed": [x.tobytes() for x in mask_and_letters]})
+
+    table = index.mapInPandas(hashed, "key long, seed binary").toArrow()
+    hashes = table.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    seeds = np.frombuffer(b"".join(table.column("seed").to_pylist()), "<u4").reshape(len(hashes), k - block + 1)[order]
+    if seeds.max(initial=0) < 256:
+        seeds = seeds.astype(np.uint8)
+    shipped = reads.sparkSession.sparkContext.broadcast((hashes[order], seeds))  # ``small`` seeds at most
     types = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index_keys = shipped.value
+        index_keys, seeds = shipped.value
         table = np.zeros(1 << 22, dtype=bool)
         table[(index_keys >> np.uint64(42)).astype(np.int64)] = True
         for batch in batches:
@@ -82,7 +88,7 @@ def _hits_by_lookup(reads: DataFrame, index: DataFrame, cfg: JunctionConfig, key
             for row, text in enumerate(batch.column(len(keys))):
                 letters = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32)
                 for start in range(0, len(letters) - k + 1, PLACES):
-                    hits[row] += _hit_places(letters[start : start + PLACES + k - 1].astype(np.uint64), index_keys, table, masks, block)
+                    hits[row] += _hit_places(letters[start : start + PLACES + k - 1].astype(np.uint64), index_keys, seeds, table, masks, block)
             kept = pa.array(hits > 0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits)], names=[*keys, "hits"]).filter(kept)
 
@@ -96,7 +102,7 @@ def _spread(sums: np.ndarray, mask: np.ndarray | np.uint64) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
 
 
-def _hit_places(letters: np.ndarray, known: np.ndarray, table: np.ndarray, masks: int, block: int) -> int:
+def _hit_places(letters: np.ndarray, known: np.ndarray, seeds: np.ndarray, table: np.ndarray, masks: int, block: int) -> int:
     """Places at which one of the masked seeds is known."""
     k = masks * block
     n = len(letters) - k + 1
@@ -105,9 +111,18 @@ def _hit_places(letters: np.ndarray, known: np.ndarray, table: np.ndarray, masks
     for m in range(masks):
         keys = _spread(total - blocks[m], np.uint64(m))
         likely = np.flatnonzero(table[(keys >> np.uint64(42)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(known, keys[likely]), max(len(known) - 1, 0))
-        if len(known):
-            hit[likely[known[at] == keys[likely]]] = True
+        likely = likely[~hit[likely]]
+        at = np.searchsorted(known, keys[likely])
+        others = np.delete(np.arange(k), np.arange(m * block, (m + 1) * block))
+        while True:  # seeds that share a hash follow each other
+            same = np.flatnonzero(at < len(known))
+            same = same[known[at[same]] == keys[likely[same]]]
+            likely, at = likely[same], at[same]
+            if not len(likely):
+                break
+            found = (seeds[at, 0] == m) & (letters[likely[:, None] + others] == seeds[at, 1:]).all(axis=1)
+            hit[likely[found]] = True
+            likely, at = likely[~found], at[~found] + 1
     return int(hit.sum())
 
 

@@ -250,7 +250,7 @@ def _top2(text: str) -> str:
 
 @query(f"""WITH {V.DNA_LINES}, r AS (
     SELECT doc_id, line, length(s) AS n, line % 7 AS qb, length(s) - 1 - doc_id % 5 AS qe, doc_id % 11 AS rb, length(s) - 1 AS re, CAST(doc_id % 17 AS INTEGER) AS clip, CAST(line % 29 AS INTEGER) AS bp, s, reverse(s) AS ref
-    FROM dna_lines WHERE length(s) BETWEEN 20 AND 60
+    FROM dna_lines
 ), t AS (
     SELECT *, substring(s, CAST(qb + 2 AS BIGINT), CAST(greatest(qe - qb - 1, 0) AS BIGINT)) AS q1, substring(ref, CAST(rb + 2 AS BIGINT), CAST(greatest(re - rb - 1, 0) AS BIGINT)) AS r1 FROM r
 ), u AS (
@@ -260,7 +260,7 @@ SELECT doc_id, line FROM u WHERE NOT low AND NOT (clip > 10 AND abs(bp - re) > 1
 def suspicious_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as reads, reversed as regions; what is left once those that look wrong on either side are gone."""
     s = F.col("s")
-    lines = V.dna_lines(spark, sf_dir).where(F.length(s).between(20, 60))
+    lines = V.dna_lines(spark, sf_dir)
     clip = (F.col("doc_id") % 17).cast("string")
     facts = {
         "seq": s, "q_begin": F.col("line") % 7, "q_end": (F.length(s) - 1 - F.col("doc_id") % 5).cast("int"), "ref": F.reverse(s), "begin": (F.col("doc_id") % 11).cast("int"), "end": F.length(s) - 1,
@@ -314,17 +314,22 @@ def coverage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _call_windows(spark, sf_dir)
 
 
-_DEPTH = f"""{_CALL_SPANS}, {REC}, p AS (SELECT DISTINCT chr, unnest(range(pos, pos + rlen)) AS p FROM rec WHERE (flag & 1796) = 0 AND read_id % 50 = 0),
-cov AS (SELECT call_id, is_virus, count(p.p) AS covered, CASE WHEN w_end > w_start THEN count(p.p) / (w_end - w_start) ELSE 0.0 END AS share FROM win LEFT JOIN p ON win.chr = p.chr AND p.p >= w_start AND p.p < w_end GROUP BY call_id, is_virus, w_start, w_end)"""
+_LONG = 5_000_000
+_DEPTH = f"""{_CALL_SPANS}, long AS (SELECT call_id, is_virus, chr, w_start + call_id * 7919 % {_LONG} AS w_start, w_end + call_id * 7919 % {_LONG} AS w_end FROM win), {REC},
+p AS (SELECT DISTINCT chr, unnest(range(far, far + rlen)) AS p FROM (SELECT *, pos + read_id * 104729 % {_LONG} AS far FROM rec) WHERE (flag & 1796) = 0),
+cov AS (SELECT call_id, is_virus, count(p.p) AS covered, CASE WHEN w_end > w_start THEN count(p.p) / (w_end - w_start) ELSE 0.0 END AS share FROM long LEFT JOIN p ON long.chr = p.chr AND p.p >= w_start AND p.p < w_end GROUP BY call_id, is_virus, w_start, w_end)"""
 
 
 def _depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.depth_share(_call_windows(spark, sf_dir), alignment_records(spark, sf_dir).where(F.col("read_id") % 50 == 0))
+    """All reads and windows, spread over contigs that are long enough to leave something uncovered."""
+    apart = F.col("call_id") * 7919 % _LONG
+    wide = _call_windows(spark, sf_dir).withColumns({"w_start": F.col("w_start") + apart, "w_end": F.col("w_end") + apart})
+    return windows.depth_share(wide, alignment_records(spark, sf_dir).withColumn("pos", F.col("pos") + F.col("read_id") * 104729 % _LONG))
 
 
 @query(f"WITH {_DEPTH} SELECT call_id, is_virus, covered, round(share, 6) AS share FROM cov")
 def depth_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Depth of reads that count; every fiftieth read, as all of them leave nothing uncovered."""
+    """Depth of reads that count."""
     return _depth(spark, sf_dir).select("call_id", "is_virus", "covered", F.round("share", 6).alias("share"))
 
 
@@ -428,13 +433,13 @@ def top_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two mates for each document: the start of its letters as bases, and the same read backwards."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_id"), F.substring(V.dna(F.col("text")), 1, 60).alias("s")).where("s <> ''")
+    """Two mates for each document: its letters as bases, and the same read backwards."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("ord"), F.concat(F.lit("r"), F.col("doc_id").cast("string")).alias("read_id"), V.dna(F.col("text")).alias("s")).where("s <> ''")
     mates = F.array(F.struct(F.lit(1).alias("seg"), F.col("s").alias("seq")), F.struct(F.lit(2).alias("seg"), F.reverse("s").alias("seq")))
     return docs.select("ord", "read_id", F.inline(mates)).withColumn("qual", F.translate("seq", "ACGT", "I5+?"))
 
 
-_READS = f"""reads AS (SELECT 'r' || doc_id AS read_id, substring({V.DNA.format("text")}, 1, 60) AS s FROM documents WHERE {V.DNA.format("text")} <> '')"""
+_READS = f"""reads AS (SELECT 'r' || doc_id AS read_id, {V.DNA.format("text")} AS s FROM documents WHERE {V.DNA.format("text")} <> '')"""
 
 
 @query(f"""WITH {_READS} SELECT read_id, CAST(1 AS INTEGER) AS seg, s AS seq, translate(s, 'ACGT', 'I5+?') AS qual FROM reads

@@ -60,6 +60,9 @@ def test_complexity(spark):
     low = [one(spark, S.is_low_complexity(F.lit(s), F.lit(0), F.lit(len(s)))) for s in ("ACACACACACACACACACAC", "ACGTTGCAAGCTTAGGCTCA")]
     assert low == [True, False]
     brute = "AAACAAGGT"
+    rows = spark.createDataFrame([(brute_text, a, b) for brute_text, a, b in [("ACACGTNA", 0, 8), ("ACACGTNA", 2, 5), ("AAAA", -1, 4), ("", 0, 0), (None, 0, 3), ("ACGT", 3, 1), ("ACG", 0, 99)]], "s string, a int, b int")
+    got = [r[0] for r in rows.select(S.top_dinucleotides(F.col("s"), F.col("a"), F.col("b"))).collect()]
+    assert got == [2, 1, 3, 0, None, 0, 1]
     counts = one(spark, S.dinucleotide_counts(F.lit(brute)))
     assert counts == [sum(brute[i : i + 2] == a + b for i in range(len(brute) - 1)) for a in "ACGT" for b in "ACGT"]
 

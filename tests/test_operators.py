@@ -182,6 +182,21 @@ def test_packing(spark, monkeypatch, bound):
     assert got == plain_pack(rows, CFG.edge_reads)
 
 
+def test_packing_is_the_same_in_tasks_and_rounds(spark, monkeypatch):
+    """Any number of fragments of one split read is one unit, whichever way edges are packed."""
+    rng = random.Random(8)
+    fields = "e int, frag_id int, score int, read_id int, is_split boolean"
+    for size in (2, 3, 5):
+        read = {f: (f // size, True) if f < 40 else (f, False) for f in range(70)}
+        rows = [(e, f, rng.randint(1, 9), *read[f]) for e, f in sorted({(rng.randint(0, 14), rng.randint(0, 69)) for _ in range(150)})]
+        df = spark.createDataFrame(rows, fields)
+        found = []
+        for bound in (10**6, 0):
+            monkeypatch.setattr(edgeproc, "PACK_ROWS", bound)
+            found.append({tuple(r) for r in edgeproc.pack_edges(df, ["e"]).collect()})
+        assert found[0] == found[1] and found[0]
+
+
 @pytest.mark.parametrize("bound", [10**6, 10])
 def test_packing_of_split_mates(spark, monkeypatch, bound):
     monkeypatch.setattr(edgeproc, "PACK_ROWS", bound)

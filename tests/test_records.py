@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,38 @@ def test_seed_hits_by_lookup_and_by_join(spark):
     assert both[0] == {i: n for i, n in plain.items() if n}
 
 
+def test_seeds_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """With a hash that tells nothing apart, the letters alone decide."""
+    monkeypatch.setattr(screen, "_spread", lambda sums, mask: sums * np.uint64(0) + np.uint64(7))
+    rng = random.Random(12)
+    ref, other = ("".join(rng.choices("ACGT", k=40)) for _ in range(2))
+    index = screen.seed_index(spark.createDataFrame([(ref,)], "seq string"), CFG)
+    known = index.toPandas()
+    keys = np.full(len(known), 7, np.uint64)
+    letters = np.array([[m, *map(ord, s)] for m, s in zip(known["mask"], known["seed"], strict=True)], np.uint8)
+    table = np.ones(1 << 22, dtype=bool)
+    hits = [screen._hit_places(np.array(list(map(ord, t)), np.uint64), keys, letters, table, 6, 3) for t in (ref, other, ref[:18] + other[:5])]
+    assert hits == [23, 0, 1]
+
+
+def test_places_do_not_depend_on_partitions(spark):
+    contigs = spark.createDataFrame([(f"c{k:03}", 1 + k * k % 97) for k in range(200)] + [("huge", 30_000), ("none", 0), ("null", None)], "chr string, len long")
+    found = []
+    for n in (1, 7):
+        drawn = records.random_positions(contigs.repartition(n), 20_000, seed=3)
+        assert "NestedLoop" not in drawn._jdf.queryExecution().toString()
+        found.append(sorted(map(tuple, drawn.collect())))
+    assert found[0] == found[1] and len(found[0]) == 20_000
+    total = 30_000 + sum(1 + k * k % 97 for k in range(200))
+    lengths = {r.chr: r.len for r in contigs.collect() if r.len}
+    seen = Counter(c for c, _ in found[0])
+    assert set(seen) <= set(lengths) and all(0 <= p < lengths[c] for c, p in found[0])
+    halves = Counter(p // 3000 for c, p in found[0] if c == "huge")
+    chi = sum((seen[c] - 20_000 * n / total) ** 2 / (20_000 * n / total) for c, n in lengths.items())
+    assert chi < 300  # 200 degrees of freedom: 1 in 200,000
+    assert sum((n - seen["huge"] / 10) ** 2 / (seen["huge"] / 10) for n in halves.values()) < 35
+
+
 def test_islands_of_one_contig_are_spread(spark):
     rng = random.Random(5)
     spans = sorted((a, a + rng.choice([0, 5, 40, 900])) for a in (rng.randint(0, 5_000) for _ in range(300)))
