@@ -208,8 +208,8 @@ def fit_quality(features: np.ndarray, lengths: np.ndarray, first_of: np.ndarray,
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> QualityModel:
-    """Fit on at most ``sample_docs`` labelled documents; the driver gets the features of at most SAMPLE_LINES of their lines,
-    not their texts."""
+    """Fit on at most ``sample_docs`` labelled documents of at most DOC_LINES lines each; the driver gets the features of at
+    most SAMPLE_LINES of their lines, not their texts."""
     sample = labelled_sample(docs, labels, "quality", usable, sample_docs)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,10 +220,11 @@ def train_quality(docs: DataFrame, labels: DataFrame, usable: Column, sample_doc
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(blobs, pa.binary()), pa.array(sizes, pa.binary())], names=["doc_id", "label", "x", "n"])
 
     lines = materialize(sample.select("doc_id", "text", F.col("label").cast("int")).mapInArrow(extract, "doc_id long, label int, x binary, n binary"), "quality-sample")
-    # At most sample_docs rows, so one task may order them.
-    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "x").rowsBetween(Window.unboundedPreceding, 0))
-    sized = lines.withColumn("lines", F.length("n") / 4).where(F.col("lines") <= DOC_LINES)
-    got = sized.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_LINES).select("doc_id", "label", "x", "n").collect()
+    # At most sample_docs rows of three numbers each, so one task may order them; features are fetched for those chosen.
+    sized = lines.withColumn("lines", F.length("n") / 4).withColumn("h", F.xxhash64("x")).where(F.col("lines") <= DOC_LINES)
+    so_far = F.sum("lines").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sized.select("doc_id", "h", "lines").withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_LINES)
+    got = sized.join(F.broadcast(chosen.select("doc_id", "h")), ["doc_id", "h"], "left_semi").select("doc_id", "label", "x", "n").collect()
     got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
     x = [np.frombuffer(r["x"], dtype=np.float32).reshape(-1, N_FEATURES) for r in got]
     n = [np.frombuffer(r["n"], dtype=np.float32) for r in got]

@@ -1,47 +1,12 @@
-"""Tables written to the folder that the cluster shares, used to cut lineage."""
+"""Tables written to the folder that the cluster shares."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from junctura.sources.shared import materialize, new_path, shared_dir
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where a local session names none (tests).
-
-    On a cluster that names none there is no folder that all executors see, which is an error.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    if "dir" not in _LOCAL:
-        _LOCAL["dir"] = tempfile.mkdtemp(prefix="spark-shared-")
-        atexit.register(shutil.rmtree, _LOCAL["dir"], ignore_errors=True)
-    return "file://" + _LOCAL["dir"]
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the written table.
-
-    Spark commits task by task, so a lost executor costs the tasks it was running and nothing that is written.
-    """
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "new_path", "shared_dir", "shuffle_partitions"]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -16,15 +16,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.llm.kernels import mix, release_memory
 from junctura.llm.labelled import labelled_sample, remainder
 from junctura.llm.scratch import materialize
 
-#: Labelled documents that training looks at, at most.
-SAMPLE_DOCS = 20_000
+#: Labelled documents that training looks at, and bytes of their texts together, at most.
+SAMPLE_DOCS, SAMPLE_BYTES = 20_000, 100_000_000
 #: Lengths of n-grams, which all from the least to the greatest are.
 NGRAMS = (3, 4, 5, 6)
 #: Standard errors by which an n-gram's shares of the classes must differ, and in how many documents it must be.
@@ -155,13 +155,18 @@ def gram_ratios(sample: DataFrame, bad: int, good: int) -> DataFrame:
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> NgramModel:
-    """Fit on at most ``sample_docs`` labelled documents; n-grams are counted by Spark, the weights fitted on the driver.
+    """Fit on at most ``sample_docs`` labelled documents of SAMPLE_BYTES together; n-grams are counted by Spark, the weights fitted on the driver.
 
     The driver gets the n-grams that stand out, each in a share of the sample's documents or more, and which of them each
     document has, never a text. Without labelled documents of both classes the model knows no n-gram and scores every
     text with the labels' share.
     """
-    sample = materialize(labelled_sample(docs, labels, "toxic", usable, sample_docs), "toxicity-sample")
+    drawn = materialize(labelled_sample(docs, labels, "toxic", usable, sample_docs), "toxicity-sample")
+    # At most sample_docs rows of three numbers each, so one task may order them.
+    sized = drawn.select("doc_id", F.xxhash64("text").alias("h"), F.octet_length("text").alias("size"))
+    so_far = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = sized.withColumn("so_far", so_far).where(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "h")
+    sample = drawn.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"], "left_semi").drop("h")
     sizes = {r["c"]: r["n"] for r in sample.groupBy(F.when(F.col("label") == 1, 1).otherwise(0).alias("c")).agg(F.count("*").alias("n")).collect()}
     bad, good = sizes.get(1, 0), sizes.get(0, 0)
     if not bad or not good:

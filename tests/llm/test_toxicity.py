@@ -92,3 +92,15 @@ def test_sample_takes_equal_texts_once(spark):
     got = labelled_sample(docs, marks, "toxic", F.lit(True), 100)
     assert sorted((r.doc_id, r.text, r.label) for r in got.collect()) == [(1, "t", 0), (4, "u", 1), (4, "v", 1)]
     assert labelled_sample(docs, marks, "toxic", F.lit(True), 2).count() <= 3
+
+
+def test_bytes_of_the_sample_are_bounded(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, ("vile " if k % 2 else "kind ") * 20) for k in range(40)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.concat("text", F.col("doc_id").cast("string")))
+    labels = spark.createDataFrame([(k, k % 2, 1) for k in range(40)], "doc_id long, toxic int, quality int")
+    full = toxicity.train_toxicity(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)  # nine or ten of the documents
+    some = toxicity.train_toxicity(docs, labels, F.lit(True))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 10)
+    none = toxicity.train_toxicity(docs, labels, F.lit(True))
+    assert len(full.keys) and len(none.keys) == 0 and len(some.keys) <= len(full.keys)
