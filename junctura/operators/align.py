@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from junctura.functions.sequences import kmers
 RESULT = "struct<score:int,ref_begin:int,ref_end:int,q_begin:int,q_end:int,cigar:string>"
 REVERSED = bytes.maketrans(b"ACGT", b"TGCA")
 _LOW = -(1 << 28)
+#: Reference letters of the pairs that are filled together, and cells of the bands that are.
+BATCH_CELLS, BAND_CELLS = 1 << 16, 1 << 20
 
 
 def codes(s: str) -> np.ndarray:
@@ -46,28 +50,124 @@ def fill(q: np.ndarray, r: np.ndarray, cfg: JunctionConfig, local: bool = True)
     return best, diagonal, insertion
 
 
-def trace(q: np.ndarray, r: np.ndarray, cfg: JunctionConfig) -> list[tuple[int, str]]:
-    """Operations of the best end-to-end alignment, matches first, as runs."""
-    best, diagonal, insertion = fill(q, r, cfg, local=False)
+def ends(queries: np.ndarray, refs: np.ndarray, cfg: JunctionConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each pair of rows: the best local score, and how much of the reference and of the query it takes up to there.
+
+    All pairs are filled at once, a row of the query a step, and only the last row is kept. Of equal scores the one that ends
+    leftmost on the reference counts, then earliest on the query. Rows are filled up with 4, which matches nothing.
+    """
+    (pairs, n), m = queries.shape, refs.shape[1]
+    small = max(cfg.match * min(n, m), cfg.gap_extend * (m + 1) + cfg.gap_open) < 16_000  # two bytes a cell hold it
+    kind, low = (np.int16, -16_000) if small else (np.int32, _LOW)
+    steps = np.arange(m + 1, dtype=kind) * kind(cfg.gap_extend)
+    opened, match, mismatch = steps[:-1] + kind(cfg.gap_open), kind(cfg.match), kind(-cfg.mismatch)
+    best, insertion, deletion = np.zeros((pairs, m + 1), kind), np.full((pairs, m + 1), low, kind), np.full((pairs, m + 1), low, kind)
+    top, top_row = np.zeros((pairs, m + 1), kind), np.zeros((pairs, m + 1), np.int32)
+    start = np.zeros((pairs, m + 1), kind)
+    queries = np.where(queries == 4, np.int8(5), queries)  # no letter of a reference
+    for i in range(n):
+        np.maximum(best - kind(cfg.gap_open), insertion - kind(cfg.gap_extend), out=insertion)
+        np.add(best[:, :-1], np.where(refs == queries[:, i, None], match, mismatch), out=start[:, 1:])
+        np.maximum(start, 0, out=start)
+        np.maximum.accumulate(start[:, :-1] + steps[:-1], axis=1, out=deletion[:, 1:])
+        deletion[:, 1:] -= opened
+        np.maximum(start, insertion, out=best)
+        np.maximum(best, deletion, out=best)
+        better = best > top
+        if better.any():
+            np.copyto(top, best, where=better)
+            np.copyto(top_row, i + 1, where=better)
+    score = top.max(axis=1).astype(np.int32)
+    column = np.argmax(top == score[:, None], axis=1)
+    return score, column, top_row[np.arange(pairs), column]
+
+
+def band_of(n: int, m: int, cfg: JunctionConfig, score: int) -> tuple[int, int]:
+    """The diagonals (reference less query) that an end-to-end alignment of that score can reach.
+
+    To leave the shortest way by e diagonals and to come back costs two gaps of e letters and e matches.
+    """
+    off = 0
+    while cfg.match * (min(n, m) - off) - (2 * cfg.gap_open + 2 * (off - 1) * cfg.gap_extend if off else 0) >= score and off < max(n, m):
+        off += 1
+    return max(-n, min(0, m - n) - off), min(m, max(0, m - n) + off)
+
+
+def banded(queries: list[np.ndarray], refs: list[np.ndarray], bands: list[tuple[int, int]], cfg: JunctionConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """End-to-end scores as ``fill`` has them, by (pair, query prefix, place in the band), of each pair's own band alone.
+
+    Place c of row i is the reference's prefix of i + low + c letters; what a band doesn't hold is out of reach.
+    """
+    n, width = max(map(len, queries)), max(high - low + 1 for low, high in bands)
+    q = _stacked(queries)
+    letters, inside = np.full((len(refs), n + width + 1), 5, np.int8), np.zeros((len(refs), n + width + 1), bool)
+    best, diagonal, insertion = (np.full((len(refs), n + 1, width + 1), _LOW, np.int32) for _ in range(3))
+    steps = np.arange(width, dtype=np.int32) * cfg.gap_extend
+    for k, (r, (low, high)) in enumerate(zip(refs, bands, strict=True)):
+        first, last = max(0, -low), min(n + width, len(r) - low)  # places t with a prefix of t + low letters
+        inside[k, first : last + 1] = True
+        from_ = max(0, 1 - low)
+        letters[k, from_ : last + 1] = r[from_ + low - 1 : last + low]
+        zero = -low
+        best[k, 0, zero] = 0
+        best[k, 0, zero + 1 : min(high, len(r)) - low + 1] = -cfg.gap_open - steps[: max(0, min(high, len(r)))]
+    for i in range(1, n + 1):
+        here, r = inside[:, i : i + width], letters[:, i : i + width]
+        letter = q[:, i - 1, None]
+        diagonal[:, i, :width] = np.where(here & (r < 5), best[:, i - 1, :width] + np.where((r == letter) & (letter < 4), np.int32(cfg.match), np.int32(-cfg.mismatch)), _LOW)
+        insertion[:, i, :width] = np.where(here, np.maximum(best[:, i - 1, 1:] - cfg.gap_open, insertion[:, i - 1, 1:] - cfg.gap_extend), _LOW)
+        deletion = np.full((len(refs), width), _LOW, np.int32)
+        deletion[:, 1:] = np.maximum.accumulate(diagonal[:, i, : width - 1] + steps[:-1], axis=1) - cfg.gap_open - steps[:-1]
+        best[:, i, :width] = np.where(here, np.maximum(np.maximum(diagonal[:, i, :width], insertion[:, i, :width]), deletion), _LOW)
+    return best, diagonal, insertion
+
+
+def traces(queries: list[np.ndarray], refs: list[np.ndarray], scores: list[int], cfg: JunctionConfig) -> list[list[tuple[int, str]]]:
+    """Operations, as runs, of the best end-to-end alignments of pairs whose scores are known; matches first."""
+    out: list = [None] * len(queries)
+    open_: dict = {}
+    for k, (q, r, score) in enumerate(zip(queries, refs, scores, strict=True)):
+        if len(q) == len(r):
+            same = (q == r) & (q < 4)
+            if cfg.match * int(same.sum()) - cfg.mismatch * int((~same).sum()) == score:
+                out[k] = _runs(np.where(same, "=", "X").tolist())
+                continue
+        open_[k] = band_of(len(q), len(r), cfg, score)
+    order = sorted(open_, key=lambda k: (len(queries[k]) // 16, open_[k][1] - open_[k][0]))
+    batch: list[int] = []
+    for k in [*order, None]:
+        if batch and (k is None or (len(batch) + 1) * (len(queries[k]) + 16) * (open_[k][1] - open_[k][0] + 2) > BAND_CELLS or len(queries[k]) > len(queries[batch[0]]) + 16):
+            tables = banded([queries[x] for x in batch], [refs[x] for x in batch], [open_[x] for x in batch], cfg)
+            for x, *table in zip(batch, *tables, strict=True):
+                out[x] = _walk(queries[x], refs[x], open_[x][0], cfg, *table)
+            batch = []
+        batch.append(k)
+    return out
+
+
+def _walk(q: np.ndarray, r: np.ndarray, low: int, cfg: JunctionConfig, best: np.ndarray, diagonal: np.ndarray, insertion: np.ndarray) -> list[tuple[int, str]]:
     i, j, ops, state = len(q), len(r), [], "H"
     while i or j:
+        c = j - i - low
         if state == "I":
-            opened = i == 1 or insertion[i, j] == best[i - 1, j] - cfg.gap_open
+            opened = i == 1 or insertion[i, c] == best[i - 1, c + 1] - cfg.gap_open
             ops.append("I")
             i, state = i - 1, "H" if opened else "I"
-        elif i and j and best[i, j] == diagonal[i, j]:
+        elif i and j and best[i, c] == diagonal[i, c]:
             ops.append("=" if q[i - 1] == r[j - 1] and q[i - 1] < 4 else "X")
             i, j = i - 1, j - 1
-        elif i and best[i, j] == insertion[i, j]:
+        elif i and best[i, c] == insertion[i, c]:
             state = "I"
         else:  # a deletion: the nearest opening that explains the score
-            k = next((k for k in range(1, j + 1) if i == 0 and k == j or i and diagonal[i, j - k] - cfg.gap_open - (k - 1) * cfg.gap_extend == best[i, j]), j)
+            k = next((k for k in range(1, j + 1) if i == 0 and k == j or i and c - k >= 0 and diagonal[i, c - k] - cfg.gap_open - (k - 1) * cfg.gap_extend == best[i, c]), j)
             ops += ["D"] * k
             j -= k
-            if i == 0 and j == 0:
-                break
+    return _runs(ops[::-1])
+
+
+def _runs(ops: list[str]) -> list[tuple[int, str]]:
     runs: list[tuple[int, str]] = []
-    for op in reversed(ops):
+    for op in ops:
         if runs and runs[-1][1] == op:
             runs[-1] = (runs[-1][0] + 1, op)
         else:
@@ -75,30 +175,56 @@ def trace(q: np.ndarray, r: np.ndarray, cfg: JunctionConfig) -> list[tuple[int,
     return runs
 
 
-def align(query: str, ref: str, cfg: JunctionConfig) -> tuple[int, int, int, int, int, str] | None:
-    """Score, first and last base on the reference and on the query, and CIGAR; None if nothing matches.
+def _stacked(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(rows), max(map(len, rows))), 4, np.int8)
+    for k, row in enumerate(rows):
+        out[k, : len(row)] = row
+    return out
+
+
+def align_many(pairs: list[tuple[str, str]], cfg: JunctionConfig) -> list[tuple[int, int, int, int, int, str] | None]:
+    """For each pair of query and reference the score, first and last base on the reference and on the query, and CIGAR;
+    None if nothing matches.
 
     Of equal scores the one that ends leftmost on the reference, then earliest on the query; of its beginnings the
-    rightmost.
+    rightmost. Pairs of similar size are filled together, first forwards to find their ends, then backwards from there.
     """
-    q, r = codes(query), codes(ref)
-    if not len(q) or not len(r):
-        return None
-    best = fill(q, r, cfg)[0]
-    score = int(best.max())
-    if score <= 0:
-        return None
-    columns = best.max(axis=0)
-    r_end = int(np.argmax(columns == score))
-    q_end = int(np.argmax(best[:, r_end] == score))
-    back = fill(q[:q_end][::-1], r[:r_end][::-1], cfg)[0]
-    column = int(np.argmax(back.max(axis=0) == score))
-    row = int(np.argmax(back[:, column] == score))
-    r_begin, q_begin = r_end - column, q_end - row
-    runs = trace(q[q_begin:q_end], r[r_begin:r_end], cfg)
-    ends = [(q_begin, "S")] * (q_begin > 0), [(len(q) - q_end, "S")] * (q_end < len(q))
-    cigar = "".join(f"{n}{op}" for n, op in (*ends[0], *runs, *ends[1]))
-    return score, r_begin, r_end - 1, q_begin, q_end - 1, cigar
+    out: list = [None] * len(pairs)
+    coded = {k: (codes(q), codes(r)) for k, (q, r) in enumerate(pairs) if q and r}
+    order = sorted(coded, key=lambda k: (len(coded[k][0]) // 32, len(coded[k][1])))
+    for batch in _batches(order, coded):
+        q, r = zip(*[coded[k] for k in batch], strict=True)
+        score, r_end, q_end = ends(_stacked(q), _stacked(r), cfg)
+        hit = [x for x in range(len(batch)) if score[x] > 0]
+        if not hit:
+            continue
+        back = ends(_stacked([q[x][: q_end[x]][::-1] for x in hit]), _stacked([r[x][: r_end[x]][::-1] for x in hit]), cfg)
+        spans = [(int(q_end[x]) - row, int(q_end[x]), int(r_end[x]) - column, int(r_end[x])) for x, column, row in zip(hit, back[1].tolist(), back[2].tolist(), strict=True)]
+        runs = traces([q[x][a:b] for x, (a, b, _, _) in zip(hit, spans, strict=True)], [r[x][c:d] for x, (_, _, c, d) in zip(hit, spans, strict=True)], score[hit].tolist(), cfg)
+        for x, (q_begin, q_stop, r_begin, r_stop), ops in zip(hit, spans, runs, strict=True):
+            clips = [(q_begin, "S")] * (q_begin > 0), [(len(q[x]) - q_stop, "S")] * (q_stop < len(q[x]))
+            out[batch[x]] = int(score[x]), r_begin, r_stop - 1, q_begin, q_stop - 1, "".join(f"{c}{op}" for c, op in (*clips[0], *ops, *clips[1]))
+    return out
+
+
+def _batches(order: list[int], coded: dict) -> Iterator[list[int]]:
+    """Consecutive pairs whose rows together are BATCH_CELLS at most, and whose sizes are alike."""
+    batch: list[int] = []
+    for k in order:
+        n, m = map(len, coded[k])
+        if batch:
+            n0, m0 = map(len, coded[batch[0]])
+            if (len(batch) + 1) * m > BATCH_CELLS or n > n0 + 32 or m > m0 + m0 // 4 + 32:
+                yield batch
+                batch = []
+        batch.append(k)
+    if batch:
+        yield batch
+
+
+def align(query: str, ref: str, cfg: JunctionConfig) -> tuple[int, int, int, int, int, str] | None:
+    """:func:`align_many` of one pair."""
+    return align_many([(query, ref)], cfg)[0]
 
 
 def sw_align(query: Column, ref: Column, cfg: JunctionConfig | None = None) -> Column:
@@ -107,13 +233,10 @@ def sw_align(query: Column, ref: Column, cfg: JunctionConfig | None = None) -> C
 
     @F.pandas_udf(RESULT)
     def run(queries: pd.Series, refs: pd.Series) -> pd.DataFrame:
-        memo: dict = {}
-        rows = []
-        for q, r in zip(queries, refs, strict=True):
-            if (q, r) not in memo:
-                memo[q, r] = align(q, r, cfg) if q and r else None
-            rows.append(memo[q, r] or (None,) * 6)
-        out = pd.DataFrame(rows, columns=["score", "ref_begin", "ref_end", "q_begin", "q_end", "cigar"])
+        given = list(zip(queries, refs, strict=True))
+        distinct = list(dict.fromkeys(x for x in given if x[0] and x[1]))
+        found = dict(zip(distinct, align_many(distinct, cfg), strict=True))
+        out = pd.DataFrame([found.get(x) or (None,) * 6 for x in given], columns=["score", "ref_begin", "ref_end", "q_begin", "q_end", "cigar"])
         return out.astype({c: "Int32" for c in out.columns[:5]})
 
     return run(query, ref)
