@@ -13,7 +13,7 @@ from junctura.plans import queries as Q
 from junctura.plans import views as V
 from junctura.plans.queries import CFG, query
 from junctura.plans.views import table
-from junctura.sources import readers, writers
+from junctura.sources import bam, readers, writers
 from junctura.sources.shared import new_path
 
 # -- records ----------------------------------------------------------------------------------------------------------
@@ -532,6 +532,25 @@ def sam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_sam(spark, path).select("read_id", "seg", "flag", "chr", "pos", "rev", "cigar", "mate_chr", "mate_pos", "tlen", "as_score", "xa")
 
 
+def _bam(spark: SparkSession, sf_dir: str) -> str:
+    path, rec = new_path(spark, "bam"), alignment_records(spark, sf_dir)
+    facts = {"read_id": F.col("read_id").cast("string"), "mapq": F.lit(60), "seq": F.lit("ACGT"), "qual": F.lit("IIII"), "as_score": F.col("score"), "xa": F.when(F.col("score") % 2 == 0, F.concat(F.lit("v0,+"), (F.col("pos") + 1).cast("string"), F.lit(",20M,1;")))}
+    bam.write_bam(rec.withColumns(facts), [("h0", 1050), ("h1", 1050), ("v0", 500)], path)
+    return path
+
+
+@query(f"""WITH {REC} SELECT CAST(read_id AS VARCHAR) AS read_id, CAST(seg AS INTEGER) AS seg, flag, chr, pos, rev, cigar, mate_chr, mate_pos, tlen, score AS as_score, CASE WHEN score % 2 = 0 THEN 'v0,+' || (pos + 1) || ',20M,1;' END AS xa, 'ACGT' AS seq, 'IIII' AS qual FROM rec""")
+def bam_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignments written as BAM and read back in splits of 100 kB."""
+    return bam.read_bam(spark, _bam(spark, sf_dir), split=100_000).select("read_id", "seg", "flag", "chr", "pos", "rev", "cigar", "mate_chr", "mate_pos", "tlen", "as_score", "xa", "seq", "qual")
+
+
+@query(f"WITH {REC} SELECT CAST(read_id AS VARCHAR) AS read_id, CAST(seg AS INTEGER) AS seg, pos, flag FROM rec WHERE chr = 'h1' AND pos < 600 AND pos + rlen + 11 > 400")
+def bam_region_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies over a stretch of one contig, by the files' index."""
+    return bam.read_bam(spark, _bam(spark, sf_dir), contig="h1", first=400, last=600).select("read_id", "seg", "pos", "flag")
+
+
 @query(f"WITH {REC} SELECT read_id, seg, pos, flag FROM rec WHERE chr = 'h1'")
 def contig_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One contig of alignments that lie in a folder for each."""

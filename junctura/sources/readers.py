@@ -8,26 +8,33 @@ from pyspark.sql import functions as F
 ALIGNMENT_TAGS = {"AS": "as_score int", "NM": "nm int", "XA": "xa string", "SA": "sa string", "MC": "mc string", "X2": "x2 int", "Y2": "y2 int"}
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, blocked: bool = False) -> DataFrame:
     """``file, line_no, value``: lines with their number in the file, gzip included.
 
     Lines are numbered within the blocks that Spark reads a file in, and blocks are laid end to end by the sizes of those
-    before them, so one large file is many tasks. A compressed file is one block.
+    before them, so one large file is many tasks. A compressed file is one block, but for one that is compressed block by
+    block (BGZF), if ``blocked`` says so.
     """
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-    lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    if blocked:
+        from junctura.sources.bam import register
+
+        register(spark)
+        lines = spark.read.format("bgzf_text").load(path).withColumnRenamed("at", "id")
+    else:
+        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+        lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
     counted = lines.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
     return counted.join(sizes, ["file", "block"]).select("file", (F.col("past") + F.col("at")).alias("line_no"), "value")
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``ord, read_id, seq, qual``: records of four lines; an unfinished last record is left out.
+def read_fastq(spark: SparkSession, path: str, blocked: bool = False) -> DataFrame:
+    """``ord, read_id, seq, qual``: records of four lines; an unfinished last record is left out. ``blocked``: BGZF.
 
     ``path`` may be a folder of part files, which are taken in the order of their names; none splits a record.
     """
-    lines = numbered_lines(spark, path).withColumn("ord", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
+    lines = numbered_lines(spark, path, blocked).withColumn("ord", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
     record = lines.groupBy("file", "ord").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
     whole = record.where("name IS NOT NULL AND qual IS NOT NULL")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # files, not records
