@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.operators.align import sw_align
-from junctura.operators.ranges import range_join, union_all
+from junctura.operators.ranges import union_all
 from junctura.sources.shared import materialize
 
-#: Candidate pairs that a task settles in memory, about.
+#: Calls with a free partner that tasks may pair turn by turn, in memory.
 PAIR_ROWS = 200_000
 
 
@@ -59,16 +61,6 @@ def adjust_coverage(calls: DataFrame, measured: DataFrame) -> DataFrame:
     return both.withColumns(raised).drop("m_host", "m_virus")
 
 
-def mate_distances(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
-    """``a, b, dist``: calls on one host contig and opposite host strands within the band, ``a`` the reversed one."""
-    low, high = cfg.pair_band
-    reach = max(abs(low), abs(high))
-    rev = calls.where("host_rev").select("host_chr", F.col("call_id").alias("a"), F.col("host_pos").alias("a_pos"))
-    fwd = calls.where("NOT host_rev").select("host_chr", F.col("call_id").alias("b"), F.col("host_pos").alias("b_pos"))
-    near = range_join(rev, fwd, ["host_chr"], "a_pos", "b_pos", reach)
-    return near.select("host_chr", "a", "b", (F.col("a_pos") - F.col("b_pos")).alias("dist")).where(F.col("dist").between(low, high))
-
-
 def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """``call_id, mate_id, dist``: each call's nearest partner, the smaller id of equally near ones; calls without are left out.
 
@@ -102,72 +94,119 @@ def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     return near.where("m IS NOT NULL").select("call_id", "m.mate_id", "m.dist")
 
 
+def least_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
+    """``call_id, least_id``: the smallest id among the calls of the other strand within the band; calls without are left out.
+
+    Contigs are cut into blocks as long as the band, so that a call's partners are the end of one block and the beginning
+    of the next: two running minima answer it. Rows grow with calls, however dense they lie.
+    """
+    low, high = cfg.pair_band
+    width, at = high - low + 1, F.col("host_pos")
+    known = calls.where(at.isNotNull() & F.col("host_rev").isNotNull())
+    rev = F.col("host_rev")
+    first = F.when(rev, at - high).otherwise(at + low)
+    places = F.array(
+        F.struct(rev.alias("side"), at.alias("place"), F.col("call_id").alias("offer"), F.lit(0).alias("ask")),
+        F.struct((~rev).alias("side"), first.alias("place"), F.lit(None).cast("long").alias("offer"), F.lit(1).alias("ask")),
+        F.struct((~rev).alias("side"), (first + width - 1).alias("place"), F.lit(None).cast("long").alias("offer"), F.lit(2).alias("ask")),
+    )
+    laid = known.select("host_chr", "call_id", F.inline(places)).withColumn("block", F.floor(F.col("place") / width))
+    order = Window.partitionBy("host_chr", "side", "block").orderBy("place")
+    on, back = (F.min("offer").over(order.rangeBetween(*ends)) for ends in ((Window.currentRow, Window.unboundedFollowing), (Window.unboundedPreceding, Window.currentRow)))
+    told = laid.select("call_id", "ask", F.when(F.col("ask") == 1, on).when(F.col("ask") == 2, back).alias("least_id")).where("ask > 0")
+    return told.groupBy("call_id").agg(F.min("least_id").alias("least_id")).where("least_id IS NOT NULL")
+
+
 def pair_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """``call_id, paired_with``: greedy one-to-one pairing; accepted calls first among themselves, then with rejected ones.
 
-    Calls take turns by id and choose their nearest free partner. That equals going through all candidate pairs in the
-    order of (both accepted first, the call whose turn it is, distance, partner) and taking each whose calls are free.
-    The candidates are cut into tiles of about PAIR_ROWS by place, however dense a contig is. A tile settles every pair
-    that no earlier pair outside of it can change; the next round cuts what is left into fewer tiles. The first of all
-    pairs is always settled, and a single tile settles everything.
+    Calls take turns by id and choose their nearest free partner, of equally near ones the smaller id; in the second part
+    it is the accepted calls that choose. Candidate pairs are never made: a call whose turn comes before those of all its
+    free partners wants the nearest of them, any other the partner whose turn is first, and two calls that want each other
+    are paired now, as they would be in their turn. Such rounds go on while more than PAIR_ROWS calls have a free partner;
+    then a task a contig takes the turns of those left, which are PAIR_ROWS at most.
     """
-    d = mate_distances(calls, cfg)
-    a_side = calls.select(F.col("call_id").alias("a"), F.col("accepted").alias("a_ok"), F.col("host_pos").alias("place"))
-    b_side = calls.select(F.col("call_id").alias("b"), F.col("accepted").alias("b_ok"))
-    both = d.join(a_side, "a").join(b_side, "b").where("a_ok OR b_ok")
-    a, b = F.col("a").cast("long"), F.col("b").cast("long")
-    one = F.when(F.col("a_ok") & F.col("b_ok"), F.least(a, b)).when(F.col("a_ok"), a).otherwise(b)
-    turn = F.struct((~(F.col("a_ok") & F.col("b_ok"))).alias("late"), one.alias("one"), F.abs("dist").cast("long").alias("far"), (a + b - one).alias("other"))
-    columns = ["host_chr", "place", "a", "b", "turn"]
-    pool = materialize(both.select("host_chr", "place", a.alias("a"), b.alias("b"), turn.alias("turn")), "pair-pool")
-    done = []
-    while True:
-        tiles = -(-pool.count() // PAIR_ROWS)
-        if not tiles:
-            break
-        tiled = materialize(pool.repartitionByRange(tiles, "host_chr", "place", "a", "b").withColumn("tile", F.spark_partition_id()), "pair-tiles")
-        asked = tiled.select(*columns, "tile", F.lit(False).alias("a_waits"), F.lit(False).alias("b_waits"))
-        for side in ("a", "b") if tiles > 1 else ():
-            # A call's first pair in each tile, for calls that have pairs in several: the least of other tiles counts.
-            firsts = tiled.groupBy(F.col(side).alias("call"), "tile").agg(F.min("turn").alias("turn"))
-            first = F.sort_array(F.collect_list(F.struct("turn", "tile")))
-            spread = firsts.groupBy("call").agg(F.slice(first, 1, 2).alias("f")).where(F.size("f") > 1)
-            asked = asked.join(spread, F.col(side) == F.col("call"), "left")
-            outside = F.when(F.col("f")[0]["tile"] != F.col("tile"), F.col("f")[0]["turn"]).otherwise(F.col("f")[1]["turn"])
-            asked = asked.withColumn(f"{side}_waits", F.coalesce(F.col("f").isNotNull() & (outside < F.col("turn")), F.lit(False))).drop("call", "f")
-        order = [F.col(f"turn.{c}").alias(c) for c in ("late", "one", "far", "other")]
-        rows = asked.select("tile", "a", "b", *order, "a_waits", "b_waits")
-        found = materialize(rows.groupBy("tile").applyInPandas(_settle, "a long, b long, taken boolean"), "settled")
-        taken = found.where("taken").select("a", "b")
-        done.append(taken)
-        left = pool.join(found.where("NOT taken").select("a", "b"), ["a", "b"], "left_semi")
-        left = left.join(taken.select("a"), "a", "left_anti").join(taken.select("b"), "b", "left_anti")
-        pool = materialize(left.select(*columns), "pair-pool")
-    if not done:
-        return pool.select(F.col("a").alias("call_id"), F.col("b").alias("paired_with"))
+    ids = F.col("call_id").cast("long")
+    pool = calls.select(F.struct("host_chr", F.lit(False).alias("part")).alias("host_chr"), "host_rev", ids.alias("call_id"), "host_pos", F.col("accepted").alias("turn"))
+    pool, done = materialize(pool, "pair-pool"), []
+    for late in (False, True):
+        part = pool if late else pool.where("turn")
+        if late:
+            # Each accepted call with the rejected ones of the other strand, in two parts that do not touch.
+            part = pool.withColumn("host_chr", F.struct(F.col("host_chr.host_chr").alias("host_chr"), (F.col("turn") == F.col("host_rev")).alias("part")))
+        while True:
+            near = nearest_mates(part, cfg).select("call_id", "mate_id")
+            part = materialize(part.join(near, "call_id"), "pair-candidates")
+            if part.limit(PAIR_ROWS + 1).count() <= PAIR_ROWS:
+                found = part.drop("mate_id").groupBy("host_chr").applyInPandas(lambda rows: _take_turns(rows, cfg.pair_band), "a long, b long")
+                done.append(materialize(found, "pairs"))
+                break
+            asked = part.join(least_mates(part, cfg), "call_id")
+            waits = F.col("least_id") < F.col("call_id") if not late else ~F.col("turn")
+            wanted = asked.select("call_id", F.when(waits, F.col("least_id")).otherwise(F.col("mate_id")).alias("wants"))
+            other = wanted.select(F.col("call_id").alias("wants"), F.col("wants").alias("back"))
+            agreed = wanted.join(other, "wants").where((F.col("back") == F.col("call_id")) & (F.col("call_id") < F.col("wants")))
+            done.append(materialize(agreed.select(F.col("call_id").alias("a"), F.col("wants").alias("b")), "pairs"))
+            part = materialize(part.drop("mate_id").join(_both(done[-1]), "call_id", "left_anti"), "pair-pool")
+        if not late:
+            pool = materialize(pool.join(_both(union_all(*done)), "call_id", "left_anti"), "pair-pool")
     pairs = union_all(*done)
     return pairs.toDF("call_id", "paired_with").unionByName(pairs.select(F.col("b").alias("call_id"), F.col("a").alias("paired_with")))
 
 
-def _settle(rows: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of a tile that are taken, and those that are left open; pairs of taken calls are gone.
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("call_id"))
 
-    ``a_waits, b_waits``: whether the call has an earlier pair in another tile.
-    """
+
+class _Free:
+    """The free calls of one strand in the order of place and id; those that are gone are skipped by halving paths."""
+
+    def __init__(self, rows: pd.DataFrame):
+        ordered = rows.sort_values(["host_pos", "call_id"])
+        self.places, self.ids = ordered["host_pos"].tolist(), ordered["call_id"].tolist()
+        self.at = {c: k for k, c in enumerate(self.ids)}
+        self.up, self.down = list(range(len(self.ids) + 1)), list(range(len(self.ids) + 1))  # down: of k - 1, shifted by one
+
+    @staticmethod
+    def _root(parents: list[int], k: int) -> int:
+        while parents[k] != k:
+            parents[k] = parents[parents[k]]
+            k = parents[k]
+        return k
+
+    def take(self, call: int) -> None:
+        k = self.at[call]
+        self.up[k], self.down[k + 1] = k + 1, k
+
+    def beside(self, place: int) -> list[tuple[int, int]]:
+        """Place and id of the nearest free calls on either side, of equal places the smallest id."""
+        k, out = bisect.bisect_left(self.places, place), []
+        right = self._root(self.up, k)
+        if right < len(self.ids):
+            out.append((self.places[right], self.ids[right]))
+        left = self._root(self.down, k) - 1
+        if left >= 0:
+            first = self._root(self.up, bisect.bisect_left(self.places, self.places[left]))
+            out.append((self.places[first], self.ids[first]))
+        return out
+
+
+def _take_turns(rows: pd.DataFrame, band: tuple[int, int]) -> pd.DataFrame:
+    """Pairs of the calls of one contig, turn by turn."""
+    free = {bool(r): _Free(rows[rows["host_rev"] == r]) for r in (True, False)}
     taken: set = set()
-    unsure: set = set()
     out = []
-    ordered = rows.sort_values(["late", "one", "far", "other"])
-    for a, b, a_waits, b_waits in ordered[["a", "b", "a_waits", "b_waits"]].itertuples(index=False, name=None):
-        if a in taken or b in taken:
+    for call, rev, place in rows[rows["turn"]].sort_values("call_id")[["call_id", "host_rev", "host_pos"]].itertuples(index=False, name=None):
+        if call in taken:
             continue
-        if a_waits or b_waits or a in unsure or b in unsure:
-            unsure |= {a, b}
-            out.append((a, b, False))
-        else:
-            taken |= {a, b}
-            out.append((a, b, True))
-    return pd.DataFrame(out, columns=["a", "b", "taken"]).astype({"a": "int64", "b": "int64", "taken": "bool"})
+        found = [(abs(at - place), other) for at, other in free[not rev].beside(place) if band[0] <= (place - at if rev else at - place) <= band[1]]
+        if found:
+            other = min(found)[1]
+            taken |= {call, other}
+            free[bool(rev)].take(call)
+            free[not rev].take(other)
+            out.append((min(call, other), max(call, other)))
+    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
 
 def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:

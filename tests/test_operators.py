@@ -286,8 +286,8 @@ def test_pairing_and_duplicate_calls(spark):
     assert [r.call_id for r in calls.duplicate_calls(dup, CFG).collect()] == [2]
 
 
-@pytest.mark.parametrize("bound", [10**6, 40])
-def test_pairing_in_tiles(spark, monkeypatch, bound):
+@pytest.mark.parametrize("bound", [10**6, 40, 0])
+def test_pairing_in_rounds_and_tasks(spark, monkeypatch, bound):
     monkeypatch.setattr(calls, "PAIR_ROWS", bound)
     rng = random.Random(9)
     ids = rng.sample(range(1000), 90)
