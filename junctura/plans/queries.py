@@ -541,8 +541,8 @@ def _pair_rounds(name: str, n: int) -> str:
 
 @query(f"""WITH {_CALLS}, c AS (SELECT call_id, host_chr, host_rev, host_pos, {_ACCEPT} AS ok FROM calls),
 near AS (SELECT x.call_id AS a, y.call_id AS b, x.ok AS a_ok, y.ok AS b_ok, abs(x.host_pos - y.host_pos) AS far FROM c x JOIN c y ON x.host_chr = y.host_chr AND x.host_rev AND NOT y.host_rev AND x.host_pos - y.host_pos BETWEEN -50 AND 1000),
-p0 AS MATERIALIZED (SELECT a, b, least(a, b) AS one, far, greatest(a, b) AS other FROM near WHERE a_ok AND b_ok), {_pair_rounds("p", 8)},
-q0 AS MATERIALIZED (SELECT a, b, CASE WHEN a_ok THEN a ELSE b END AS one, far, CASE WHEN a_ok THEN b ELSE a END AS other FROM near WHERE a_ok <> b_ok AND a NOT IN (SELECT a FROM p) AND b NOT IN (SELECT b FROM p)), {_pair_rounds("q", 16)},
+p0 AS MATERIALIZED (SELECT a, b, least(a, b) AS one, far, greatest(a, b) AS other FROM near WHERE a_ok AND b_ok), {_pair_rounds("p", 24)},
+q0 AS MATERIALIZED (SELECT a, b, CASE WHEN a_ok THEN a ELSE b END AS one, far, CASE WHEN a_ok THEN b ELSE a END AS other FROM near WHERE a_ok <> b_ok AND a NOT IN (SELECT a FROM p) AND b NOT IN (SELECT b FROM p)), {_pair_rounds("q", 24)},
 u AS (SELECT * FROM p UNION ALL SELECT * FROM q) SELECT a AS call_id, b AS paired_with FROM u UNION ALL SELECT b, a FROM u""")
 def pair_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edgestats.pair_calls(edgestats.accept_calls(_calls(spark, sf_dir), CFG), CFG)
