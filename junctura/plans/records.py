@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from junctura.functions import sequences as S
@@ -123,13 +123,13 @@ def read_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {REC} SELECT read_id, seg, chr || ',' || CASE WHEN rev THEN '-' ELSE '+' END || (pos + 1) || ',' || cigar || ',' || score || ';' AS own, 2 AS x2,
+@query(f"""WITH {REC} SELECT read_id, seg, chr || ',' || CASE WHEN rev THEN '-' ELSE '+' END || (pos + 1) || ',' || cigar || ',' || score || ';' AS own, 1 + score % 3 AS x2,
     'v0,+' || (pos + 9) || ',' || cigar || ',3;' AS from_sa, left_clip >= 5 AS left_clipped, right_clip >= 5 AS right_clipped FROM rec""")
 def alternative_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rec = alignment_records(spark, sf_dir)
     own = S.alternative_text(F.col("chr"), F.col("rev"), F.col("pos"), F.col("cigar"), F.col("score"))
     sa = F.concat_ws(",", F.lit("v0"), (F.col("pos") + 9).cast("string"), F.lit("+"), F.col("cigar"), F.lit("60"), F.lit("3"))
-    return rec.select("read_id", "seg", own.alias("own"), S.alternative_count(own).alias("x2"), S.supplementary_to_alternative(F.concat(sa, F.lit(";"))).alias("from_sa"), *[S.is_clipped(F.col("cigar"), e, CFG.min_clip_length).alias(n) for e, n in (("L", "left_clipped"), ("R", "right_clipped"))])
+    return rec.withColumn("own", own).select("read_id", "seg", "own", S.alternative_count(F.expr("repeat(own, score % 3)")).alias("x2"), S.supplementary_to_alternative(F.concat(sa, F.lit(";"))).alias("from_sa"), *[S.is_clipped(F.col("cigar"), e, CFG.min_clip_length).alias(n) for e, n in (("L", "left_clipped"), ("R", "right_clipped"))])
 
 
 @query(f"""WITH {V.ALN}, u AS (SELECT DISTINCT read_id, seg, chr, rev, pos FROM aln UNION SELECT DISTINCT read_id, seg, chr, NOT rev, pos + 7 FROM aln)
@@ -221,12 +221,20 @@ def joint_cigars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.select("read_id", "seg", "chr", "pos", F.regexp_replace(host, "1D$", "").alias("head"), F.regexp_replace(virus, "^1D", "").alias("tail"))
 
 
-@query(f"""WITH {REC} SELECT read_id, seg, chr, pos, score % 2 = 0 AS front, score % 3 = 0 AS back FROM rec""")
+@query(f"""WITH {REC}, t AS (SELECT *, rlen || 'M' || (1 + score % 3) || 'D' AS a, (rlen + read_id % 2) || 'M' || (1 + score % 4) || CASE WHEN read_id % 3 = 0 THEN 'I' ELSE 'D' END AS b,
+    (1 + score % 4) || 'M2I' || rlen || 'M' AS c, (1 + score % 3) || CASE WHEN read_id % 5 = 0 THEN 'D' ELSE 'M' END || '2I' || (rlen + read_id % 2) || 'M' AS d FROM rec)
+SELECT read_id, seg, chr, pos, regexp_extract(a, '^\\d+M') = regexp_extract(b, '^\\d+M') AND right(a, 1) = right(b, 1) AS front,
+    regexp_extract(c, '2I\\d+M$') = regexp_extract(d, '2I\\d+M$') AND regexp_extract(c, '^\\d+(.)', 1) = regexp_extract(d, '^\\d+(.)', 1) AS back FROM t""")
 def cigar_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two CIGARs that differ in their first length, and in a last operation for odd scores."""
-    rec, score = alignment_records(spark, sf_dir), F.col("score")
-    a, b = F.lit("12M3D"), F.when(score % 2 == 0, "12M9D").otherwise("12M9I")
-    c, d = F.lit("8M2I5M"), F.when(score % 3 == 0, "6M2I5M").otherwise("6D2I5M")
+    """CIGARs made of each row's numbers, two by two: lengths or operations of some differ."""
+    rec = alignment_records(spark, sf_dir)
+    score, rlen, odd = F.col("score"), F.col("rlen"), F.col("rlen") + F.col("read_id") % 2
+
+    def cigar(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+    a, b = cigar(rlen, "M", 1 + score % 3, "D"), cigar(odd, "M", 1 + score % 4, F.when(F.col("read_id") % 3 == 0, "I").otherwise("D"))
+    c, d = cigar(1 + score % 4, "M2I", rlen, "M"), cigar(1 + score % 3, F.when(F.col("read_id") % 5 == 0, "D").otherwise("M"), "2I", odd, "M")
     return rec.select("read_id", "seg", "chr", "pos", S.consistent_cigars(a, b, F.lit(False)).alias("front"), S.consistent_cigars(c, d, F.lit(True)).alias("back"))
 
 
