@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from junctura.operators.ranges import islands, overlap_join
+from junctura.operators.containment import containers
+from junctura.operators.ranges import islands
 from junctura.sources.shared import materialize
 
 
@@ -27,26 +28,6 @@ def edge_blocks(edges: DataFrame) -> DataFrame:
     return islands(edges, keys, "h_left", "h_right", "block", ("v_left", "v_right"))
 
 
-def containers(edges: DataFrame) -> DataFrame:
-    """Each edge with the edge that swallows it: ``h_*, v_*`` and ``to_h_left, to_h_right, to_v_left, to_v_right``.
-
-    An edge contains another if both its spans contain the other's, so an edge is joined, bin by bin, with those over whose
-    host span it begins. The container that nothing else contains is chosen, of several the one with the smallest place;
-    an edge that nothing contains maps to itself.
-    """
-    keys = ["h_chr", "h_strand", "v_chr", "v_strand"]
-    spans = ["h_left", "h_right", "v_left", "v_right"]
-    inside = edges.select(*keys, *spans, (F.col("h_left") + 1).alias("__stop"))
-    outer = edges.select(*keys, *[F.col(c).alias(f"to_{c}") for c in spans], (F.col("h_right") + 1).alias("__to_stop"))
-    inside = overlap_join(inside, outer, keys, ("h_left", "__stop"), ("to_h_left", "__to_stop")).drop("__stop", "__to_stop")
-    inside = materialize(inside.where("h_right <= to_h_right AND to_v_left <= v_left AND v_right <= to_v_right"), "contained-edges")
-    proper = inside.where("to_h_left <> h_left OR to_h_right <> h_right OR to_v_left <> v_left OR to_v_right <> v_right")
-    inner = proper.select(*keys, *[F.col(c).alias(f"to_{c}") for c in spans]).distinct()
-    maximal = inside.join(inner, [*keys, *[f"to_{c}" for c in spans]], "left_anti")
-    order = Window.partitionBy(*keys, *spans).orderBy(*[f"to_{c}" for c in spans])
-    return maximal.withColumn("__r", F.row_number().over(order)).where("__r = 1").select(*keys, *spans, *[f"to_{c}" for c in spans])
-
-
 def subsume(edge_reads: DataFrame) -> DataFrame:
     """Edge reads with contained edges' reads moved to their containers, once each.
 

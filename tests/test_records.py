@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.functions import sequences as S
-from junctura.operators import align, calls, dust, edgeproc, edges, ranges, records, screen, windows
+from junctura.operators import align, calls, containment, dust, edgeproc, edges, ranges, records, screen, windows
 
 CFG = JunctionConfig()
 
@@ -212,17 +212,44 @@ def test_nearest_mates_against_all_pairs(spark):
     assert got == want
 
 
-def test_containers_against_all_pairs(spark):
-    rng = random.Random(7)
-    spans = {(a, a + rng.randint(0, 200), c, c + rng.randint(0, 200)) for a, c in ((rng.randint(0, 300), rng.randint(0, 300)) for _ in range(120))}
-    df = spark.createDataFrame([("h", "+", a, b, "v", "-", c, d) for a, b, c, d in spans], "h_chr string, h_strand string, h_left long, h_right long, v_chr string, v_strand string, v_left long, v_right long")
-    got = {((r.h_left, r.h_right, r.v_left, r.v_right), (r.to_h_left, r.to_h_right, r.to_v_left, r.to_v_right)) for r in edges.containers(df).collect()}
+def _edges_of(spark, spans):
+    return spark.createDataFrame([("h", "+", a, b, "v", "-", c, d) for a, b, c, d in spans], "h_chr string, h_strand string, h_left long, h_right long, v_chr string, v_strand string, v_left long, v_right long")
+
 
-    def holds(x, y):
-        return x[0] <= y[0] and y[1] <= x[1] and x[2] <= y[2] and y[3] <= x[3]
+def _holds(x, y):
+    return x[0] <= y[0] and y[1] <= x[1] and x[2] <= y[2] and y[3] <= x[3]
 
-    top = [x for x in spans if not any(holds(y, x) and y != x for y in spans)]
-    assert got == {(x, min(y for y in top if holds(y, x))) for x in spans}
+
+@pytest.mark.parametrize("dense,slice_rows", [(64, 200_000), (0, 40), (0, 1000), (1000, 1)])
+def test_containers_against_all_pairs(spark, dense, slice_rows):
+    rng = random.Random(7)
+    near = {(a, a + rng.randint(0, 200), c, c + rng.randint(0, 200)) for a, c in ((rng.randint(0, 300), rng.randint(0, 300)) for _ in range(120))}
+    wide = {(a, a + rng.choice([0, 900, 1024, 5000, 70_000]), c, c + rng.choice([0, 3, 1023, 4096, 9000])) for a, c in ((rng.randint(-20, 9000), rng.randint(0, 3000)) for _ in range(60))}
+    spans = near | wide
+    got = {((r.h_left, r.h_right, r.v_left, r.v_right), (r.to_h_left, r.to_h_right, r.to_v_left, r.to_v_right)) for r in edges.containers(_edges_of(spark, spans), dense, slice_rows).collect()}
+    top = [x for x in spans if not any(_holds(y, x) and y != x for y in spans)]
+    assert got == {(x, min(y for y in top if _holds(y, x))) for x in spans}
+
+
+def test_containers_of_repeated_null_and_no_edges(spark):
+    df = _edges_of(spark, [(0, 9, 0, 9), (0, 9, 0, 9), (2, 3, 4, 4), (None, 3, 4, 4)])
+    other = df.withColumn("h_strand", F.lit("-")).where("h_left = 2")
+    got = sorted((r.h_strand, r.h_left, r.to_h_left) for r in edges.containers(df.unionByName(other)).collect())
+    assert got == [("+", 0, 0), ("+", 2, 0), ("-", 2, 2)]
+    assert edges.containers(df.limit(0)).count() == 0
+
+
+def test_first_containers_on_dense_spans():
+    rng = np.random.default_rng(3)
+    for t in range(60):
+        outer, inner = (np.unique(np.stack([a := rng.integers(0, 25, n), a + rng.integers(0, 20, n), c := rng.integers(0, 25, n), c + rng.integers(0, 20, n)], 1), axis=0) for n in rng.integers(1, 90, 2))
+        inner = outer if t % 2 else inner
+        for proper in (False, True):
+            found = {int(k): tuple(x) for k, x in zip(*containment.first_containers(inner, outer, proper), strict=True)}
+            for k, x in enumerate(inner):
+                want = [tuple(y) for y in outer if _holds(y, x) and not (proper and tuple(x) == tuple(y))]
+                assert (k in found) == bool(want)
+                assert not want or (found[k] in want if proper else found[k] == min(want))
 
 
 def test_mates_and_extraction(spark):
