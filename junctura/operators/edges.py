@@ -36,7 +36,7 @@ def subsume(edge_reads: DataFrame) -> DataFrame:
     edge_reads = materialize(edge_reads, "edge-reads")
     keys = ["h_chr", "h_strand", "v_chr", "v_strand"]
     spans = ["h_left", "h_right", "v_left", "v_right"]
-    to = containers(materialize(edge_reads.select(*keys, *spans).distinct(), "edges"))
+    to = containers(edge_reads.select(*keys, *spans))
     moved = edge_reads.join(to, [*keys, *spans])
     return moved.select(*keys, *[F.col(f"to_{c}").alias(c) for c in spans], "frag_id").distinct()
 

@@ -475,6 +475,16 @@ def fasta_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.read_fasta(spark, path)
 
 
+@query(f"""WITH c AS (SELECT 'd' || doc_id AS chr, {V.DNA.format("text")} AS s FROM documents),
+k AS (SELECT chr, s, CAST(unnest(range(greatest((length(s) + 999) // 1000, 1))) AS BIGINT) AS chunk FROM c)
+SELECT chr, chunk, substring(s, chunk * 1000 + 1, 1000) AS part FROM k""")
+def fasta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as contigs in lines of 60 letters, read back as rows of 1,000 bases that no line's end meets."""
+    path = new_path(spark, "fasta-lines")
+    writers.write_fasta(_text_contigs(spark, sf_dir), "chr", "seq", path, 60)
+    return readers.read_fasta_chunks(spark, path, 1000)
+
+
 @query(f"""WITH b AS (SELECT 'h' || doc_id AS name, false AS is_virus, {V.DNA.format("text")} AS s FROM documents UNION ALL SELECT 'v' || item_id, true, {V.DNA.format("text")} FROM benchmark)
 SELECT name AS chr, CAST(row_number() OVER (ORDER BY is_virus, name) AS INTEGER) AS contig_id, length(s) AS len, is_virus FROM b""")
 def contig_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:

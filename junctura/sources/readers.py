@@ -5,9 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from junctura.operators.windows import CHUNK
+from junctura.sources.shared import materialize
+
 ALIGNMENT_TAGS = {"AS": "as_score int", "NM": "nm int", "XA": "xa string", "SA": "sa string", "MC": "mc string", "X2": "x2 int", "Y2": "y2 int"}
 
 
+def _lines(spark: SparkSession, path: str, blocked: bool) -> DataFrame:
+    """``file, block, id, value``: lines in the order of block and id."""
+    if blocked:
+        from junctura.sources.bam import register
+
+        register(spark)
+        return spark.read.format("bgzf_text").load(path).withColumnRenamed("at", "id")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+
+
 def numbered_lines(spark: SparkSession, path: str, blocked: bool = False) -> DataFrame:
     """``file, line_no, value``: lines with their number in the file, gzip included.
 
@@ -15,14 +29,7 @@ def numbered_lines(spark: SparkSession, path: str, blocked: bool = False) -> Dat
     before them, so one large file is many tasks. A compressed file is one block, but for one that is compressed block by
     block (BGZF), if ``blocked`` says so.
     """
-    if blocked:
-        from junctura.sources.bam import register
-
-        register(spark)
-        lines = spark.read.format("bgzf_text").load(path).withColumnRenamed("at", "id")
-    else:
-        place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
-        lines = spark.read.text(path).select(*place, F.monotonically_increasing_id().alias("id"), "value")
+    lines = _lines(spark, path, blocked)
     counted = lines.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
@@ -66,9 +73,54 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return blocks.select(name.alias("chr"), seq.alias("seq")).where("chr <> ''").withColumn("len", F.length("seq").cast("long"))
 
 
+def read_fasta_chunks(spark: SparkSession, path: str, width: int = CHUNK, blocked: bool = False) -> DataFrame:
+    """``chr, chunk, part``: contigs cut into rows of ``width`` upper-case bases as ``contig_chunks`` has them, but put together
+    from lines, so that no row ever holds a contig and one large file is many tasks.
+
+    A header is a line that begins with ``>``; its first word names the contig, and one without a name goes with its bases, as
+    do bases ahead of any header. Blank lines count nothing, a contig without bases is one empty chunk 0, and contigs that
+    share a name stay apart, each with its own chunks. A line is a row, so lines have to stay below 2 GB. ``blocked``: BGZF.
+
+    Within a block of the file running totals tell where a line lies; the contig and the bases that a block finds open at
+    its start are carried over one row a block.
+    """
+    lines = _lines(spark, path, blocked).withColumn("is_head", F.col("value").startswith(">"))
+    letters = F.when(F.col("is_head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s+", "")))
+    head = F.when(F.col("is_head"), F.struct("block", "id", F.regexp_extract("value", r"^>(\S*)", 1).alias("chr")))
+    lines = lines.select("file", "block", "id", "is_head", letters.alias("letters"), head.alias("head")).withColumn("n", F.length("letters").cast("long"))
+    order = Window.partitionBy("file", "block").orderBy("id")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("head", F.last("head", ignorenulls=True).over(upto))
+    since = F.coalesce(F.max(F.when(F.col("is_head"), F.col("before"))).over(upto), F.lit(0))
+    lines = materialize(lines.withColumn("at", F.col("before") - since).drop("before"), "fasta-lines")
+
+    over = Window.partitionBy("file").orderBy("block")
+    past = over.rowsBetween(Window.unboundedPreceding, -1)
+    ends = lines.groupBy("file", "block").agg(F.max_by("head", "id").alias("last"), F.max_by(F.col("at") + F.col("n"), "id").alias("tail"))
+    ends = ends.withColumn("sum", F.coalesce(F.sum("tail").over(past), F.lit(0)))
+    opened = F.coalesce(F.max(F.when(F.col("last").isNotNull(), F.col("sum"))).over(past), F.lit(0))
+    ends = ends.select("file", "block", F.last("last", ignorenulls=True).over(past).alias("open"), (F.col("sum") - opened).alias("carried"))
+
+    whole = lines.join(ends, ["file", "block"]).select(
+        "file", "letters", "n", F.coalesce("head", "open").alias("head"), F.when(F.col("head").isNull(), F.col("at") + F.col("carried")).otherwise(F.col("at")).alias("at"), "is_head"
+    )
+    whole = whole.where("head.chr <> '' AND (n > 0 OR is_head)")
+    touched = F.sequence(F.floor(F.col("at") / width), F.floor(F.greatest(F.col("at") + F.col("n") - 1, F.col("at")) / width))
+    cut = whole.withColumn("chunk", F.explode(touched)).withColumn("from", F.greatest(F.col("at"), F.col("chunk") * width))
+    size = F.least(F.col("at") + F.col("n"), (F.col("chunk") + 1) * width) - F.col("from")
+    piece = F.substring("letters", (F.col("from") - F.col("at") + 1).cast("int"), size.cast("int"))
+    pieces = cut.select("file", "head", "chunk", F.struct("from", piece.alias("p")).alias("piece"))
+    parts = pieces.groupBy("file", "head", "chunk").agg(F.sort_array(F.collect_list("piece")).alias("ps"))
+    return parts.select(F.col("head.chr").alias("chr"), "chunk", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("part"))
+
+
 def contig_catalog(spark: SparkSession, host: str, virus: str) -> DataFrame:
-    """``chr, contig_id, len, is_virus``: both references' contigs, numbered from 1 in the order of organism and name."""
-    both = read_fasta(spark, host).withColumn("is_virus", F.lit(False)).unionByName(read_fasta(spark, virus).withColumn("is_virus", F.lit(True)))
+    """``chr, contig_id, len, is_virus``: both references' contigs, numbered from 1 in the order of organism and name.
+
+    Lengths are sums over chunks, so contigs may have any; those of one organism that share a name count as one.
+    """
+    chunks = [read_fasta_chunks(spark, path).withColumn("is_virus", F.lit(v)) for path, v in ((host, False), (virus, True))]
+    both = chunks[0].unionByName(chunks[1]).groupBy("chr", "is_virus").agg(F.sum(F.length("part")).alias("len"))
     return both.select("chr", F.row_number().over(Window.orderBy("is_virus", "chr")).alias("contig_id"), "len", "is_virus")
 
 

@@ -16,8 +16,10 @@ def write_fastq(reads: DataFrame, path: str, seg: int) -> None:
     write_lines(reads.where(F.col("seg") == seg).orderBy("ord"), record, path)
 
 
-def write_fasta(df: DataFrame, name: str, seq: str, path: str) -> None:
-    write_lines(df, F.concat(F.lit(">"), F.col(name), F.lit("\n"), F.col(seq)), path)
+def write_fasta(df: DataFrame, name: str, seq: str, path: str, line: int | None = None) -> None:
+    """Each sequence in one line, or in lines of ``line`` letters."""
+    letters = F.col(seq) if line is None else F.rtrim(F.regexp_replace(seq, f"(.{{{line}}})", "$1\n"), F.lit("\n"))
+    write_lines(df, F.concat(F.lit(">"), F.col(name), F.lit("\n"), letters), path)
 
 
 def write_tsv(df: DataFrame, path: str, *order: str) -> None:

@@ -3,6 +3,8 @@
 import gzip
 import random
 
+import pytest
+
 from junctura.config import JunctionConfig
 from junctura.sources import readers, shared, writers
 from junctura.streaming.screening import screen_stream
@@ -31,6 +33,33 @@ def test_fasta_and_catalog(spark, tmp_path):
     assert [(r.chr, r.contig_id, r.is_virus) for r in readers.contig_catalog(spark, h, v).orderBy("contig_id").collect()] == [("c1", 1, False), ("c2", 2, False), ("v1", 3, True)]
 
 
+@pytest.mark.parametrize("split", ["61b", "128m"])
+def test_fasta_chunks_by_lines(spark, tmp_path, split):
+    rng = random.Random(5)
+    lines, want = ["ACGT"], {}
+    for k in range(40):
+        name = rng.choice([f"c{k} more words", f"c{k}", f"c{k}\tx>y"]) if k != 7 else ""
+        lines.append(f">{name}")
+        parts = ["".join(rng.choice("ACGTacgtn") for _ in range(rng.choice([0, 1, 7, 10, 33, 150]))) for _ in range(rng.choice([0, 1, 2, 9]))]
+        lines += [p + rng.choice(["", " ", "\r"]) for p in parts]
+        if name:
+            want[f"c{k}"] = "".join(parts).upper()
+    (tmp_path / "a.fa").write_text("\n".join(lines) + "\n")
+    (tmp_path / "b.fa").write_text(">c1\nGG\n>\nCC\n>e")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = sorted(tuple(r) for r in readers.read_fasta_chunks(spark, f"file://{tmp_path}/*.fa", 10).select("chr", "chunk", "part").collect())
+        catalogue = {r.chr: r.len for r in readers.contig_catalog(spark, f"file://{tmp_path}/a.fa", f"file://{tmp_path}/b.fa").where("NOT is_virus").collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    every = [*want.items(), ("c1", "GG"), ("e", "")]
+    assert got == sorted((c, i // 10, s[i : i + 10]) for c, s in every for i in range(0, max(len(s), 1), 10))
+    assert catalogue == {c: len(s) for c, s in want.items()}
+
+
 def test_sam(spark, tmp_path):
     (tmp_path / "x.sam").write_text("@HD\tx\nr1\t65\tc1\t11\t60\t5M\t=\t31\t25\tACGTA\tIIIII\tAS:i:5\tXA:Z:c2,-3,5M,0;\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n")
     one, two = readers.read_sam(spark, f"file://{tmp_path}/x.sam").orderBy("read_id").collect()
