@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from junctura.operators.windows import CHUNK
-from junctura.sources.shared import materialize
 
 ALIGNMENT_TAGS = {"AS": "as_score int", "NM": "nm int", "XA": "xa string", "SA": "sa string", "MC": "mc string", "X2": "x2 int", "Y2": "y2 int"}
 
@@ -82,26 +81,27 @@ def read_fasta_chunks(spark: SparkSession, path: str, width: int = CHUNK, blocke
     share a name stay apart, each with its own chunks. A line is a row, so lines have to stay below 2 GB. ``blocked``: BGZF.
 
     Within a block of the file running totals tell where a line lies; the contig and the bases that a block finds open at
-    its start are carried over one row a block.
+    its start are carried over one row a block. For these the files are read once more, which takes less than to keep lines.
     """
     lines = _lines(spark, path, blocked).withColumn("is_head", F.col("value").startswith(">"))
     letters = F.when(F.col("is_head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s+", "")))
     head = F.when(F.col("is_head"), F.struct("block", "id", F.regexp_extract("value", r"^>(\S*)", 1).alias("chr")))
     lines = lines.select("file", "block", "id", "is_head", letters.alias("letters"), head.alias("head")).withColumn("n", F.length("letters").cast("long"))
-    order = Window.partitionBy("file", "block").orderBy("id")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("head", F.last("head", ignorenulls=True).over(upto))
+    upto = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("head", F.last("head", ignorenulls=True).over(upto))
     since = F.coalesce(F.max(F.when(F.col("is_head"), F.col("before"))).over(upto), F.lit(0))
-    lines = materialize(lines.withColumn("at", F.col("before") - since).drop("before"), "fasta-lines")
+    placed = placed.withColumn("at", F.col("before") - since).drop("before")
 
     over = Window.partitionBy("file").orderBy("block")
     past = over.rowsBetween(Window.unboundedPreceding, -1)
-    ends = lines.groupBy("file", "block").agg(F.max_by("head", "id").alias("last"), F.max_by(F.col("at") + F.col("n"), "id").alias("tail"))
+    heads = lines.where("is_head").groupBy("file", "block").agg(F.max("head").alias("last"))
+    after = F.when(F.col("last").isNull() | (F.col("id") > F.col("last.id")), F.col("n")).otherwise(0)
+    ends = lines.join(heads, ["file", "block"], "left").groupBy("file", "block").agg(F.max("last").alias("last"), F.sum(after).alias("tail"))
     ends = ends.withColumn("sum", F.coalesce(F.sum("tail").over(past), F.lit(0)))
     opened = F.coalesce(F.max(F.when(F.col("last").isNotNull(), F.col("sum"))).over(past), F.lit(0))
     ends = ends.select("file", "block", F.last("last", ignorenulls=True).over(past).alias("open"), (F.col("sum") - opened).alias("carried"))
 
-    whole = lines.join(ends, ["file", "block"]).select(
+    whole = placed.join(ends, ["file", "block"]).select(
         "file", "letters", "n", F.coalesce("head", "open").alias("head"), F.when(F.col("head").isNull(), F.col("at") + F.col("carried")).otherwise(F.col("at")).alias("at"), "is_head"
     )
     whole = whole.where("head.chr <> '' AND (n > 0 OR is_head)")
