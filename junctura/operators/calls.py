@@ -64,34 +64,36 @@ def adjust_coverage(calls: DataFrame, measured: DataFrame) -> DataFrame:
 def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """``call_id, mate_id, dist``: each call's nearest partner, the smaller id of equally near ones; calls without are left out.
 
-    Calls of both strands are laid side by side in bins, with copies of those that the neighbouring bins can reach; the
-    nearest call of the other strand on either side is then the last or first one seen in the order of places. No pair
-    that isn't the nearest is made.
+    Calls of one place and strand have the same nearest partner, so the places are looked at and not the calls: those of
+    both strands are laid side by side in bins, with copies of those that the neighbouring bins can reach, and the nearest
+    place of the other strand on either side is the last one seen going up or down. No pair that isn't the nearest is
+    made, and a bin holds its places once, however many calls lie there.
     """
     low, high = cfg.pair_band
     reach = max(abs(low), abs(high))
     width = 8 * reach
-    at = F.col("host_pos")
+    at, rev = F.col("host_pos"), F.col("host_rev")
     bins = F.sequence(F.floor((at - reach) / width), F.floor((at + reach) / width))
-    rows = calls.where(at.isNotNull() & F.col("host_rev").isNotNull()).select("host_chr", "host_rev", "call_id", "host_pos", F.explode(bins).alias("bin"))
-    place = Window.partitionBy("host_chr", "bin").orderBy("host_pos")
-    so_far, from_here = place.rangeBetween(Window.unboundedPreceding, Window.currentRow), place.rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    place = ["host_chr", "host_rev", "host_pos"]
+    known = calls.where(at.isNotNull() & rev.isNotNull()).select(*place, "call_id")
+    rows = known.groupBy(*place).agg(F.min("call_id").alias("id")).select(*place, "id", F.explode(bins).alias("bin"))
+    within = Window.partitionBy("host_chr", "bin")
+    up, down = (within.orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (at.asc(), at.desc()))
 
-    def last(of_rev: bool) -> Column:  # the smallest id of the places that come last
-        return F.max(F.when(F.col("host_rev") == F.lit(of_rev), F.struct(at.alias("at"), (-F.col("call_id")).alias("id")))).over(so_far)
+    def last(of_rev: bool) -> Column:
+        return F.max(F.when(rev == F.lit(of_rev), F.struct(at.alias("at"), "id"))).over(up)
 
     def first(of_rev: bool) -> Column:
-        return F.min(F.when(F.col("host_rev") == F.lit(of_rev), F.struct(at.alias("at"), F.col("call_id").alias("id")))).over(from_here)
+        return F.min(F.when(rev == F.lit(of_rev), F.struct(at.alias("at"), "id"))).over(down)
 
-    rev = F.col("host_rev")
     seen = rows.select("*", F.when(rev, last(False)).otherwise(last(True)).alias("b"), F.when(rev, first(False)).otherwise(first(True)).alias("a"))
 
-    def candidate(found: Column, mate: Column) -> Column:
+    def candidate(found: Column) -> Column:
         dist = F.when(rev, at - found["at"]).otherwise(found["at"] - at)
-        return F.when(dist.between(low, high), F.struct(F.abs(dist).alias("far"), mate.alias("mate_id"), dist.alias("dist")))
+        return F.when(dist.between(low, high), F.struct(F.abs(dist).alias("far"), found["id"].alias("mate_id"), dist.alias("dist")))
 
-    near = seen.where(F.col("bin") == F.floor(at / width)).select("call_id", F.least(candidate(F.col("b"), -F.col("b.id")), candidate(F.col("a"), F.col("a.id"))).alias("m"))
-    return near.where("m IS NOT NULL").select("call_id", "m.mate_id", "m.dist")
+    near = seen.where(F.col("bin") == F.floor(at / width)).select(*place, F.least(candidate(F.col("b")), candidate(F.col("a"))).alias("m"))
+    return known.join(near.where("m IS NOT NULL"), place).select("call_id", "m.mate_id", "m.dist")
 
 
 def least_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:

@@ -212,6 +212,17 @@ def test_nearest_mates_against_all_pairs(spark):
     assert got == want
 
 
+def test_nearest_mates_of_many_calls_at_a_place(spark):
+    """Frames that reach to the end of a bin are gone through anew for each row; a bin holds each place once."""
+    df = spark.range(20_000).select("id", (F.col("id") % 3 == 0).alias("host_rev"), (F.col("id") % 7 * 40).alias("host_pos"))
+    df = df.select(F.col("id").alias("call_id"), F.lit("a").alias("host_chr"), "host_rev", "host_pos").union(spark.createDataFrame([(-1, None, True, 40)], df.sparkSession.createDataFrame([], "call_id long, host_chr string, host_rev boolean, host_pos long").schema))
+    near = calls.nearest_mates(df, CFG)
+    assert "unboundedfollowing" not in near._jdf.queryExecution().toString().lower()
+    got = {(r.rev, r.mate_id, r.dist): r.n for r in near.join(df, "call_id").groupBy(F.col("host_rev").alias("rev"), "mate_id", "dist").agg(F.count("*").alias("n")).collect()}
+    assert sum(got.values()) == 20_000 and {d for _, _, d in got} == {0}
+    assert {m for rev, m, _ in got if rev} == {min(i for i in range(50) if i % 3 and i % 7 == k) for k in range(7)}
+
+
 def _edges_of(spark, spans):
     return spark.createDataFrame([("h", "+", a, b, "v", "-", c, d) for a, b, c, d in spans], "h_chr string, h_strand string, h_left long, h_right long, v_chr string, v_strand string, v_left long, v_right long")
 
