@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+from array import array
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from junctura.sources.shared import materialize
 
 #: Calls with a free partner that tasks may pair turn by turn, in memory.
 PAIR_ROWS = 200_000
+#: Steps in a block of calls that a task pairs, and rows in it from which on there are fewer.
+PAIR_STEPS, BLOCK_ROWS = 8, 1_000_000
 
 
 def call_statistics(reads: DataFrame, edge: list[str], cfg: JunctionConfig) -> DataFrame:
@@ -96,60 +100,31 @@ def nearest_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     return known.join(near.where("m IS NOT NULL"), place).select("call_id", "m.mate_id", "m.dist")
 
 
-def least_mates(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
-    """``call_id, least_id``: the smallest id among the calls of the other strand within the band; calls without are left out.
-
-    Contigs are cut into blocks as long as the band, so that a call's partners are the end of one block and the beginning
-    of the next: two running minima answer it. Rows grow with calls, however dense they lie.
-    """
-    low, high = cfg.pair_band
-    width, at = high - low + 1, F.col("host_pos")
-    known = calls.where(at.isNotNull() & F.col("host_rev").isNotNull())
-    rev = F.col("host_rev")
-    first = F.when(rev, at - high).otherwise(at + low)
-    places = F.array(
-        F.struct(rev.alias("side"), at.alias("place"), F.col("call_id").alias("offer"), F.lit(0).alias("ask")),
-        F.struct((~rev).alias("side"), first.alias("place"), F.lit(None).cast("long").alias("offer"), F.lit(1).alias("ask")),
-        F.struct((~rev).alias("side"), (first + width - 1).alias("place"), F.lit(None).cast("long").alias("offer"), F.lit(2).alias("ask")),
-    )
-    laid = known.select("host_chr", "call_id", F.inline(places)).withColumn("block", F.floor(F.col("place") / width))
-    order = Window.partitionBy("host_chr", "side", "block").orderBy("place")
-    on, back = (F.min("offer").over(order.rangeBetween(*ends)) for ends in ((Window.currentRow, Window.unboundedFollowing), (Window.unboundedPreceding, Window.currentRow)))
-    told = laid.select("call_id", "ask", F.when(F.col("ask") == 1, on).when(F.col("ask") == 2, back).alias("least_id")).where("ask > 0")
-    return told.groupBy("call_id").agg(F.min("least_id").alias("least_id")).where("least_id IS NOT NULL")
-
-
 def pair_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     """``call_id, paired_with``: greedy one-to-one pairing; accepted calls first among themselves, then with rejected ones.
 
     Calls take turns by id and choose their nearest free partner, of equally near ones the smaller id; in the second part
-    it is the accepted calls that choose. Candidate pairs are never made: a call whose turn comes before those of all its
-    free partners wants the nearest of them, any other the partner whose turn is first, and two calls that want each other
-    are paired now, as they would be in their turn. Such rounds go on while more than PAIR_ROWS calls have a free partner;
-    then a task a contig takes the turns of those left, which are PAIR_ROWS at most.
+    it is the accepted calls that choose. Candidate pairs are never made. While more than PAIR_ROWS calls have a free
+    partner, contigs are cut into blocks, and a task takes the turns of one block and of what surrounds it; it keeps the
+    pairs that are the same whatever happens beyond. Taking these out changes no other call's choice, so the next round
+    goes on with the rest, its blocks moved by half. The turn that comes first is settled in any round, most others in the
+    first one. A task a contig takes the turns of those left, which are PAIR_ROWS at most.
     """
     ids = F.col("call_id").cast("long")
-    pool = calls.select(F.struct("host_chr", F.lit(False).alias("part")).alias("host_chr"), "host_rev", ids.alias("call_id"), "host_pos", F.col("accepted").alias("turn"))
+    pool = calls.select(F.struct("host_chr", F.lit(False).alias("part")).alias("host_chr"), "host_rev", ids.alias("call_id"), F.col("host_pos").cast("long").alias("host_pos"), F.col("accepted").alias("turn"))
     pool, done = materialize(pool, "pair-pool"), []
     for late in (False, True):
-        part = pool if late else pool.where("turn")
+        part, rounds = pool if late else pool.where("turn"), 0
         if late:
             # Each accepted call with the rejected ones of the other strand, in two parts that do not touch.
             part = pool.withColumn("host_chr", F.struct(F.col("host_chr.host_chr").alias("host_chr"), (F.col("turn") == F.col("host_rev")).alias("part")))
         while True:
-            near = nearest_mates(part, cfg).select("call_id", "mate_id")
-            part = materialize(part.join(near, "call_id"), "pair-candidates")
+            part = materialize(part.join(nearest_mates(part, cfg).select("call_id"), "call_id", "left_semi"), "pair-candidates")
             if part.limit(PAIR_ROWS + 1).count() <= PAIR_ROWS:
-                found = part.drop("mate_id").groupBy("host_chr").applyInPandas(lambda rows: _take_turns(rows, cfg.pair_band), "a long, b long")
-                done.append(materialize(found, "pairs"))
+                done.append(materialize(_pairs_in_blocks(part.withColumn("block", F.lit(0).cast("long")), cfg.pair_band), "pairs"))
                 break
-            asked = part.join(least_mates(part, cfg), "call_id")
-            waits = F.col("least_id") < F.col("call_id") if not late else ~F.col("turn")
-            wanted = asked.select("call_id", F.when(waits, F.col("least_id")).otherwise(F.col("mate_id")).alias("wants"))
-            other = wanted.select(F.col("call_id").alias("wants"), F.col("wants").alias("back"))
-            agreed = wanted.join(other, "wants").where((F.col("back") == F.col("call_id")) & (F.col("call_id") < F.col("wants")))
-            done.append(materialize(agreed.select(F.col("call_id").alias("a"), F.col("wants").alias("b")), "pairs"))
-            part = materialize(part.drop("mate_id").join(_both(done[-1]), "call_id", "left_anti"), "pair-pool")
+            done.append(materialize(_settled_pairs(part, cfg.pair_band, rounds % 2 == 1), "pairs"))
+            part, rounds = part.join(_both(done[-1]), "call_id", "left_anti"), rounds + 1
         if not late:
             pool = materialize(pool.join(_both(union_all(*done)), "call_id", "left_anti"), "pair-pool")
     pairs = union_all(*done)
@@ -160,55 +135,110 @@ def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("call_id"))
 
 
+def _settled_pairs(part: DataFrame, band: tuple[int, int], moved: bool) -> DataFrame:
+    """``a, b``: pairs that are sure from the calls around them, by blocks with two steps of their surroundings on either side.
+
+    A step is as long as two calls can be apart, twice; blocks have as many steps as the densest step allows, two at least.
+    """
+    reach = max(map(abs, band))
+    step = 2 * reach
+    at = F.col("host_pos")
+    densest = part.groupBy("host_chr", F.floor(at / step)).count().agg(F.max("count")).first()[0]
+    width = step * max(2, min(PAIR_STEPS, BLOCK_ROWS // densest))
+    start, halo = (width // 2 if moved else 0), 2 * step
+    blocks = F.sequence(F.floor((at - start - halo) / width), F.floor((at - start + halo) / width))
+    return _pairs_in_blocks(part.withColumn("block", F.explode(blocks)), band, (start, width, halo - reach))
+
+
+def _pairs_in_blocks(rows: DataFrame, band: tuple[int, int], cut: tuple[int, int, int] | None = None) -> DataFrame:
+    """``a, b``: pairs of each ``block``; with ``cut`` (where blocks begin, their width, how far around them no call beyond
+    what the task has can reach) the sure ones whose chooser lies in the block itself."""
+
+    def pair(table: pa.Table) -> pa.Table:
+        ids, rev, place, turn = (table.column(c).to_numpy() for c in ("call_id", "host_rev", "host_pos", "turn"))
+        rev, turn, sure, own = rev.astype(bool), turn.astype(bool), np.ones(len(ids), bool), np.ones(len(ids), bool)
+        if cut:
+            first = cut[0] + table.column("block")[0].as_py() * cut[1]
+            sure = (place >= first - cut[2]) & (place < first + cut[1] + cut[2])
+            own = (place >= first) & (place < first + cut[1])
+        found = _take_turns(ids, rev, place, turn, sure, own, band)
+        return pa.table({"a": pa.array([min(p) for p in found], pa.int64()), "b": pa.array([max(p) for p in found], pa.int64())})
+
+    flat = rows.select(F.col("host_chr.host_chr").alias("contig"), F.col("host_chr.part").alias("part"), "block", "call_id", "host_rev", "host_pos", F.coalesce("turn", F.lit(False)).alias("turn"))
+    return flat.groupBy("contig", "part", "block").applyInArrow(pair, "a long, b long")
+
+
 class _Free:
-    """The free calls of one strand in the order of place and id; those that are gone are skipped by halving paths."""
+    """The calls of one strand in the order of place and id; those that are gone are skipped by halving paths."""
 
-    def __init__(self, rows: pd.DataFrame):
-        ordered = rows.sort_values(["host_pos", "call_id"])
-        self.places, self.ids = ordered["host_pos"].tolist(), ordered["call_id"].tolist()
-        self.at = {c: k for k, c in enumerate(self.ids)}
-        self.up, self.down = list(range(len(self.ids) + 1)), list(range(len(self.ids) + 1))  # down: of k - 1, shifted by one
+    def __init__(self, places: list[int], ids: list[int], there: np.ndarray):
+        self.places, self.ids = places, ids
+        self.up, self.down = array("q", range(len(ids) + 1)), array("q", range(len(ids) + 1))  # down: of k - 1, shifted by one
+        for k in np.flatnonzero(~there).tolist():
+            self.take(k)
 
     @staticmethod
-    def _root(parents: list[int], k: int) -> int:
+    def _root(parents: array, k: int) -> int:
         while parents[k] != k:
             parents[k] = parents[parents[k]]
             k = parents[k]
         return k
 
-    def take(self, call: int) -> None:
-        k = self.at[call]
+    def take(self, k: int) -> None:
         self.up[k], self.down[k + 1] = k + 1, k
 
-    def beside(self, place: int) -> list[tuple[int, int]]:
-        """Place and id of the nearest free calls on either side, of equal places the smallest id."""
-        k, out = bisect.bisect_left(self.places, place), []
+    def nearest(self, place: int, low: int, high: int) -> tuple[int, int, int] | None:
+        """Distance, id and number of the nearest call from ``low`` to ``high``, of equally near ones the smallest id."""
+        k, out = bisect.bisect_left(self.places, place), None
         right = self._root(self.up, k)
-        if right < len(self.ids):
-            out.append((self.places[right], self.ids[right]))
+        if right < len(self.ids) and self.places[right] <= high:
+            out = (self.places[right] - place, self.ids[right], right)
         left = self._root(self.down, k) - 1
-        if left >= 0:
+        if left >= 0 and self.places[left] >= low:
             first = self._root(self.up, bisect.bisect_left(self.places, self.places[left]))
-            out.append((self.places[first], self.ids[first]))
+            other = (place - self.places[first], self.ids[first], first)
+            out = min(out, other) if out else other
         return out
 
 
-def _take_turns(rows: pd.DataFrame, band: tuple[int, int]) -> pd.DataFrame:
-    """Pairs of the calls of one contig, turn by turn."""
-    free = {bool(r): _Free(rows[rows["host_rev"] == r]) for r in (True, False)}
-    taken: set = set()
+def _take_turns(ids: np.ndarray, rev: np.ndarray, place: np.ndarray, turn: np.ndarray, sure: np.ndarray, own: np.ndarray, band: tuple[int, int]) -> list[tuple[int, int]]:
+    """Pairs of calls turn by turn: those that hold whatever becomes of the calls that aren't ``sure``, and whose chooser is ``own``.
+
+    A call that isn't sure may have been taken by its turn or not. It makes unsure the nearest sure partner that it may
+    take, as does a sure call that may take an unsure one instead. Behind its turn a call is gone: it is paired, or has no
+    free partner left that could still choose it.
+    """
+    strands, at = {}, np.zeros(len(ids), np.int64)
+    for side in (True, False):
+        mine = np.flatnonzero(rev == side)
+        mine = mine[np.lexsort((ids[mine], place[mine]))]
+        at[mine] = np.arange(len(mine))
+        places, names = place[mine].tolist(), ids[mine].tolist()
+        strands[side] = (_Free(places, names, np.ones(len(mine), bool)), _Free(places, names, sure[mine]), bytearray(sure[mine].tobytes()), bytearray(len(mine)))
     out = []
-    for call, rev, place in rows[rows["turn"]].sort_values("call_id")[["call_id", "host_rev", "host_pos"]].itertuples(index=False, name=None):
-        if call in taken:
+    turns = np.flatnonzero(turn)
+    turns = turns[np.argsort(ids[turns], kind="stable")]
+    for call, side, here, k, mine in zip(ids[turns].tolist(), rev[turns].tolist(), place[turns].tolist(), at[turns].tolist(), own[turns].tolist(), strict=True):
+        free, firm, known, gone = strands[side]
+        if gone[k]:
             continue
-        found = [(abs(at - place), other) for at, other in free[not rev].beside(place) if band[0] <= (place - at if rev else at - place) <= band[1]]
-        if found:
-            other = min(found)[1]
-            taken |= {call, other}
-            free[bool(rev)].take(call)
-            free[not rev].take(other)
-            out.append((min(call, other), max(call, other)))
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        others, firm_others, known_others, gone_others = strands[not side]
+        span = (here - band[1], here - band[0]) if side else (here + band[0], here + band[1])
+        partner = firm_others.nearest(here, *span)
+        if partner:
+            other = partner[2]
+            firm_others.take(other)
+            if known[k] and others.nearest(here, *span) == partner:
+                others.take(other)
+                gone_others[other] = 1
+                if mine:
+                    out.append((call, partner[1]))
+            else:
+                known_others[other] = 0
+        gone[k] = 1
+        free.take(k)
+        firm.take(k)
+    return out
 
 
 def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against plain Python on small random inputs."""
 
+import bisect
 import random
 
 import pytest
@@ -309,6 +310,33 @@ def test_pairing_in_rounds_and_tasks(spark, monkeypatch, bound):
     assert calls.pair_calls(df.limit(0), CFG).count() == 0
 
 
+@pytest.mark.parametrize("steps", [2, 4])
+def test_pairing_of_dense_calls_needs_few_rounds(spark, monkeypatch, steps):
+    """Every call has hundreds of partners, over many blocks; the rounds do not grow with that."""
+    monkeypatch.setattr(calls, "PAIR_ROWS", 300)
+    monkeypatch.setattr(calls, "PAIR_STEPS", steps)
+    rng = random.Random(4)
+    rows = [(i, "h0", rng.random() < 0.4, rng.randint(0, 60_000), rng.random() < 0.4) for i in rng.sample(range(10**6), 20_000)]
+    df = spark.createDataFrame(rows, "call_id long, host_chr string, host_rev boolean, host_pos long, accepted boolean")
+    made = []
+    monkeypatch.setattr(calls, "materialize", lambda d, name, f=calls.materialize: made.append(name) or f(d, name))
+    got = {(r.call_id, r.paired_with) for r in calls.pair_calls(df, CFG).collect()}
+    partner: dict = {}
+    for both in (True, False):
+        places = {side: sorted((p, i) for i, _, rev, p, ok in rows if rev == side and (both is ok or not both) and i not in partner) for side in (True, False)}
+        accepted = {r[0]: r[4] for r in rows}
+        for i, _, rev, pos, ok in sorted(rows):
+            if not ok or i in partner:
+                continue
+            low, high = (pos - 1000, pos + 50) if rev else (pos - 50, pos + 1000)
+            there = places[not rev]
+            options = [(abs(p - pos), j) for p, j in there[bisect.bisect_left(there, (low, -1)) : bisect.bisect_left(there, (high + 1, -1))] if j not in partner and accepted[j] == both]
+            if options:
+                partner[i], partner[min(options)[1]] = min(options)[1], i
+    assert got == set(partner.items()) and len(got) > 9_000
+    assert made.count("pairs") <= 8
+
+
 def test_dust():
     rng = random.Random(0)
     plain = "".join(rng.choices("ACGT", k=80))
