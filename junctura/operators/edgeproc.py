@@ -5,11 +5,15 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from junctura.config import JunctionConfig
 from junctura.functions.sequences import consistent_cigars, is_low_complexity, left_clip, right_clip
@@ -18,33 +22,120 @@ from junctura.sources.shared import materialize
 
 #: Rows of one component that a task may pack in memory, and reads of one edge that it may go through in order.
 PACK_ROWS, DEDUP_ROWS = 200_000, 200_000
+#: Columns of sequences that are counted together; the place of rows that have none.
+STRETCH, _LAST = 1024, (1 << 63) - 1
 
 
 def consensus(rows: DataFrame, by: list[str], order: str, seq: str = "seq") -> DataFrame:
     """``by, consensus``: the majority letter of each column of sequences that start together.
 
     N never wins unless nothing else stands in the column; of letters that are equally frequent the one wins that
-    reached the count first in the order given. A group is spread over its columns, never gathered by row.
+    reached the count first in the order given, a number. Sequences are moved once, in stretches of columns, and a task
+    goes through those of a group as they come and keeps its counts alone, so no group is gathered.
     """
-    letters = rows.select(*by, order, F.posexplode(F.split(F.col(seq), "")).alias("at", "letter")).where("letter <> ''")
-    counts = letters.groupBy(*by, "at", "letter").agg(F.count("*").alias("n"), F.max(order).alias("last"))
-    rank = F.struct((F.col("letter") != "N").cast("int").alias("known"), F.col("n"), (-F.col("last")).alias("early"), F.col("letter"))
-    best = counts.groupBy(*by, "at").agg(F.max(rank).alias("r"))
-    ordered = F.sort_array(F.collect_list(F.struct("at", F.col("r.letter").alias("letter"))))
-    return best.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["letter"]), "").alias("consensus"))
+    pieces = rows.where(F.length(seq) > 0).select(*by, F.coalesce(F.col(order).cast("long"), F.lit(_LAST)).alias("__order"), F.col(seq).alias("__seq"))
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.length("__seq") - 1) / STRETCH).cast("long"))
+    pieces = pieces.select("*", F.explode(stretches).alias("__stretch"))
+    pieces = pieces.select(*by, "__stretch", "__order", F.substring("__seq", (F.col("__stretch") * STRETCH + 1).cast("int"), F.lit(STRETCH)).alias("__piece"))
+    keys = [*by, "__stretch"]
+    schema = T.StructType([*(pieces.schema[k] for k in keys), T.StructField("__piece", T.StringType())])
+    parts = pieces.repartition(*keys).sortWithinPartitions(*keys, "__order").mapInArrow(lambda batches: _majorities(batches, keys), schema)
+    ordered = F.sort_array(F.collect_list(F.struct("__stretch", "__piece")))
+    return parts.groupBy(*by).agg(F.array_join(F.transform(ordered, lambda x: x["__piece"]), "").alias("consensus"))
+
+
+def _majorities(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """``keys, __piece``: the majority letters of each run of rows with equal keys; runs may go on in the next batch."""
+    kept: tuple | None = None  # the last run: its keys in a table of one row, its counts and last places by letter
+
+    def flush(key: pa.Table, letters: list[str]) -> pa.RecordBatch:
+        return pa.Table.from_arrays([*(c.combine_chunks() for c in key.columns), pa.array(letters, pa.string())], names=[*keys, "__piece"]).combine_chunks().to_batches()[0]
+
+    for table in _slices(batches):
+        n = len(table)
+        starts = np.zeros(n, bool)
+        starts[0] = True
+        for k in keys:
+            at = table.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts[1:] |= at[1:] != at[:-1]
+        run = np.cumsum(starts) - 1
+        firsts = np.flatnonzero(starts)
+        heads = table.select(keys).take(pa.array(firsts))
+        texts = table.column("__piece").to_pylist()
+        lengths = np.fromiter(map(len, texts), np.int64, n)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+        alphabet = np.unique(codes)
+        widths = np.maximum.reduceat(lengths, firsts)
+        goes_on = kept is not None and kept[0].to_pylist() == heads.slice(0, 1).to_pylist()
+        if goes_on:
+            alphabet = np.union1d(alphabet, np.array(list(kept[1]), np.uint32))
+            widths[0] = max(widths[0], *(len(c) for c, _ in kept[1].values()))
+        elif kept is not None:
+            yield flush(kept[0], [_winners(kept[1])])
+        base = np.concatenate([[0], np.cumsum(widths)])
+        column = np.repeat(base[run] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(len(codes))
+        cell = np.searchsorted(alphabet, codes) * base[-1] + column
+        counts = np.bincount(cell, minlength=len(alphabet) * base[-1]).reshape(len(alphabet), -1)
+        last = np.full(len(alphabet) * base[-1], -1 << 63, np.int64)
+        last[cell] = np.repeat(table.column("__order").to_numpy(), lengths)  # rows come in order, so the last one stays
+        last = last.reshape(len(alphabet), -1)
+        if goes_on:
+            for code, (c, at) in kept[1].items():
+                x = int(np.searchsorted(alphabet, code))
+                counts[x, : len(c)] += c
+                last[x, : len(c)] = np.maximum(last[x, : len(c)], at)
+        tally = {int(code): (counts[x], last[x]) for x, code in enumerate(alphabet)}
+        letters = _winners(tally)
+        if len(firsts) > 1:
+            yield flush(heads.slice(0, len(firsts) - 1), [letters[base[r] : base[r + 1]] for r in range(len(firsts) - 1)])
+        kept = heads.slice(len(firsts) - 1), {code: (c[base[-2] :].copy(), at[base[-2] :].copy()) for code, (c, at) in tally.items()}
+    if kept is not None:
+        yield flush(kept[0], [_winners(kept[1])])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches in slices of about a million letters."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        step = max(1, int(len(table) * 1_000_000 / max(1, table.column("__piece").nbytes)))
+        for at in range(0, len(table), step):
+            yield table.slice(at, step)
+
+
+def _winners(tally: dict) -> str:
+    """The letter of each column with the highest count, of equal ones the one that was last seen earliest."""
+    width = len(next(iter(tally.values()))[0])
+    top, since, letter = np.zeros(width, np.int64), np.zeros(width, np.int64), np.full(width, ord("N"), np.uint32)
+    for code in sorted(tally):
+        n, last = tally[code]
+        n = np.minimum(n, 1) if code == ord("N") else np.where(n > 0, n + 1, 0)
+        better = (n > top) | ((n == top) & (n > 0) & (last <= since))
+        top, since, letter = np.where(better, n, top), np.where(better, last, since), np.where(better, np.uint32(code), letter)
+    return letter.astype("<u4").tobytes().decode("utf-32-le")
+
+
+def differences(row: Column, agreed: Column) -> Column:
+    """Letters of a row that differ from a consensus, N in either counting as equal."""
+
+    @F.pandas_udf("int")
+    def count(rows: pd.Series, consensuses: pd.Series) -> pd.Series:
+        out: list[int | None] = []
+        for a, b in zip(rows, consensuses, strict=True):
+            if a is None or b is None:
+                out.append(None)
+                continue
+            x, y = (np.frombuffer(s.encode("utf-32-le"), np.uint32) for s in (a, b))
+            m = min(len(x), len(y))
+            differ = (x[:m] != y[:m]) & (x[:m] != ord("N")) & (y[:m] != ord("N"))
+            out.append(int(differ.sum()) + int((x[m:] != ord("N")).sum()))
+        return pd.Series(out, dtype="Int32")
+
+    return count(row, agreed)
 
 
 def difference_counts(rows: DataFrame, agreed: DataFrame, by: list[str], order: str, seq: str = "seq") -> DataFrame:
     """``by, order, diffs``: columns in which a row differs from its group's consensus, N in either counting as equal."""
-    both = rows.join(agreed, by)
-    a, b = F.col(seq), F.col("consensus")
-    at = F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1)))
-
-    def differs(p):
-        x, y = F.substring(a, p, F.lit(1)), F.substring(b, p, F.lit(1))
-        return (x != y) & (x != "N") & (y != "N") & (x != "")
-
-    return both.select(*by, order, F.size(F.filter(at, differs)).alias("diffs"))
+    return rows.join(agreed, by).select(*by, order, differences(F.col(seq), F.col("consensus")).alias("diffs"))
 
 
 def split_edge(labels: list, seqs: list[str], mates: dict, split: set, cfg: JunctionConfig) -> list[set]:

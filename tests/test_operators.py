@@ -262,6 +262,31 @@ def test_consensus_and_split(spark):
     assert parts == [set(range(6)), set(range(6, 11))]
 
 
+@pytest.mark.parametrize("stretch", [5, 1024])
+def test_consensus_in_stretches_and_batches(spark, monkeypatch, stretch):
+    """Groups that go over many batches, against counting by the letter; letters are not rows."""
+    monkeypatch.setattr(edgeproc, "STRETCH", stretch)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    rng = random.Random(8)
+    rows = [(g, f"x{g % 2}" if g else None, k, "".join(rng.choices("ACGTNé", k=rng.randint(0, 12)))) for g in range(9) for k in range(rng.choice([1, 3, 40]))]
+    df = spark.createDataFrame(rows, "g int, h string, k int, seq string").repartition(3)
+    agreed = edgeproc.consensus(df, ["g", "h"], "k")
+    got = {(r.g, r.h): r.consensus for r in agreed.collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want: dict = {}
+    for g, h in {r[:2] for r in rows}:
+        mine = [(k, s) for a, b, k, s in rows if (a, b) == (g, h)]
+        text = ""
+        for at in range(max(len(s) for _, s in mine)):
+            seen = [(k, s[at]) for k, s in mine if len(s) > at]
+            rank = {c: (c != "N", sum(x == c for _, x in seen), -max(k for k, x in seen if x == c)) for _, c in seen}
+            text += max(rank, key=rank.get)
+        if text:
+            want[g, h] = text
+    assert got == want
+    assert "posexplode" not in agreed._jdf.queryExecution().toString().lower()
+
+
 def test_effective_and_unique_reads(spark):
     rows = [("e", 1, 1, 1), ("e", 1, 2, 2), ("e", 2, None, 3), ("f", 2, None, 3)]
     df = spark.createDataFrame(rows, "edge string, read_id int, seg int, frag_id int")
