@@ -208,23 +208,28 @@ def split_edges(rows: DataFrame, edge: list[str], cfg: JunctionConfig | None = N
 
     parts, level = [], 0
     while True:
-        diffs = difference_counts(current, consensus(current, edge, "frag_id"), edge, "frag_id")
         filled = F.length(F.replace("seq", F.lit("N"), F.lit("")))
-        marked = current.join(diffs, [*edge, "frag_id"], "left").withColumn("leaves", (filled > 0) & (F.coalesce("diffs", F.lit(0)) / filled >= cfg.diff_rate))
+        agreed = current.join(consensus(current, edge, "frag_id"), edge, "left").withColumn("diffs", differences(F.col("seq"), F.col("consensus")))
+        marked = agreed.withColumn("leaves", (filled > 0) & (F.coalesce("diffs", F.lit(0)) / filled >= cfg.diff_rate))
         marked = materialize(marked.withColumn("leaves", F.coalesce("leaves", F.lit(False))).select(*columns, "leaves"), "split-marked")
         stays = marked.where("NOT leaves")
         if level:
             stays = stays.join(enough(stays).select(*edge), edge, "left_semi")
         parts.append(materialize(stays.select(*edge, F.lit(level).alias("part"), "frag_id"), "split-part"))
         leaving = marked.where("leaves").select(*edge, F.col("frag_id").alias("__id"), F.col("seq").alias("__seq"))
-        at = F.sequence(F.lit(1), F.greatest(F.least(F.length("seq"), F.length("__seq")), F.lit(1)))
+        mine, other = F.col("seq"), F.col("__seq")
+        at = F.sequence(F.lit(1), F.greatest(F.least(F.length(mine), F.length(other)), F.lit(1)))
 
         def differs(p):
-            x, y = F.substring(F.col("seq"), p, F.lit(1)), F.substring(F.col("__seq"), p, F.lit(1))
+            x, y = F.substring(mine, p, F.lit(1)), F.substring(other, p, F.lit(1))
             return (x != y) & (x != "N") & (y != "N") & (x != "") & (y != "")
 
+        plain = ~F.contains(mine, F.lit("N")) & ~F.contains(other, F.lit("N"))
+        agree = F.when(plain, F.startswith(mine, other) | F.startswith(other, mine)).otherwise(~F.exists(at, differs))
         # Rows that leave agree with themselves.
-        child = marked.join(leaving, edge).where(F.col("frag_id") >= F.col("__id")).where(~F.exists(at, differs)).select(*columns).distinct()
+        same = [F.col(c) == F.col(f"__{c}") for c in edge]
+        named = leaving.withColumnsRenamed({c: f"__{c}" for c in edge})
+        child = marked.join(named, reduce(Column.__and__, [*same, F.col("frag_id") >= F.col("__id"), agree]), "left_semi").select(*columns).distinct()
         child = materialize(child, "split-child")
         sizes = materialize(current.groupBy(*edge).agg(F.count("*").alias("before")).join(enough(child), edge).select(*edge, (F.col("n") < F.col("before")).alias("shrinks")), "split-sizes")
         level += 1
