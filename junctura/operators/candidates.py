@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.functions.sequences import end_position, is_full_length, is_homopolymer, left_clip, pair_strands, right_clip, split_strands
@@ -70,8 +70,8 @@ def split_candidates(anchors: DataFrame, clips: DataFrame) -> DataFrame:
     return out.select("s.chr", "s.pos", "s.strand", F.col("read_id").alias("frag_id"), "s.is_virus", "seg").distinct()
 
 
-def all_places(rows: DataFrame, contigs: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, own_is_virus, chr, pos, end, rev, is_virus``: each row's own alignment and its alternatives, once each.
+def all_places(rows: DataFrame, contigs: DataFrame, keys: list[str], distinct: bool = True) -> DataFrame:
+    """``keys, own_is_virus, chr, pos, end, rev, is_virus``: each row's own alignment and its alternatives, once each if ``distinct``.
 
     ``rows``: ``keys, is_virus, chr, pos, rev, cigar, alts`` (array of ``chr, rev, pos, cigar, nm``); ``contigs``: ``chr,
     is_virus``. Alternatives on contigs that the catalogue lacks are left out.
@@ -79,7 +79,8 @@ def all_places(rows: DataFrame, contigs: DataFrame, keys: list[str]) -> DataFram
     own = F.array(F.struct("chr", "rev", F.col("pos").cast("long").alias("pos"), "cigar"))
     others = F.transform(F.coalesce("alts", F.array().cast(rows.schema["alts"].dataType)), lambda a: F.struct(a["chr"].alias("chr"), a["rev"].alias("rev"), a["pos"].cast("long").alias("pos"), a["cigar"].alias("cigar")))
     each = rows.select(*keys, F.col("is_virus").alias("own_is_virus"), F.inline(F.concat(own, others)))
-    placed = each.select(*keys, "own_is_virus", "chr", "pos", end_position(F.col("pos"), F.col("cigar")).alias("end"), "rev").distinct()
+    placed = each.select(*keys, "own_is_virus", "chr", "pos", end_position(F.col("pos"), F.col("cigar")).alias("end"), "rev")
+    placed = placed.distinct() if distinct else placed
     return placed.join(contigs.select("chr", "is_virus"), "chr")
 
 
@@ -90,11 +91,13 @@ def alternative_pair_candidates(segments: DataFrame, contigs: DataFrame) -> Data
     place alone, so all combinations give just the places of each: nothing is multiplied. Pairs whose mates aren't on
     different organisms, or one of whose places isn't on its mate's organism, give none.
     """
-    places = all_places(segments, contigs, ["read_id", "seg"])
-    usable = places.groupBy("read_id").agg(
-        F.count_distinct("seg").alias("segs"), F.count_distinct("own_is_virus").alias("organisms"), F.bool_and(F.col("own_is_virus") == F.col("is_virus")).alias("pure")
-    )
-    kept = places.join(usable.where("segs = 2 AND organisms = 2 AND pure").select("read_id"), "read_id", "left_semi")
+    places = all_places(segments, contigs, ["read_id", "seg"], distinct=False)
+    of = Window.partitionBy("read_id")
+    seg, own = F.col("seg"), F.col("own_is_virus")
+    told = {
+        "__segs": F.min(seg).over(of) < F.max(seg).over(of), "__organisms": F.min(own).over(of) < F.max(own).over(of), "__pure": F.bool_and(own == F.col("is_virus")).over(of),
+    }
+    kept = places.withColumns(told).where("__segs AND __organisms AND __pure")
     host, virus = pair_strands(F.col("rev"), F.col("rev"))
     at, strand = F.when(F.col("is_virus"), F.col("pos")).otherwise(F.col("end")), F.when(F.col("is_virus"), virus).otherwise(host)
     return kept.select("chr", at.alias("pos"), strand.alias("strand"), F.col("read_id").alias("frag_id"), "is_virus").distinct()

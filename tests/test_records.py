@@ -263,6 +263,17 @@ def test_first_containers_on_dense_spans():
                 assert not want or (found[k] in want if proper else found[k] == min(want))
 
 
+@pytest.mark.parametrize("name", ["alt_candidates", "coverage_windows"])
+def test_rows_are_not_dealt_by_contig_to_meet_a_short_list(spark, name):
+    """The contigs' list is shipped; nothing is hashed by contig alone, which would put a contig into one task."""
+    from junctura.plans.queries import QUERIES
+
+    import junctura.plans.records  # noqa: F401
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(chr#\d+L?, \d+\)", plan)
+
+
 def test_mates_and_extraction(spark):
     rows = [("a", 1, 65 + 256, "h", 10, True, "5M", "v", 7, 99), ("a", 2, 129 + 32, "v", 7, False, "6M", "h", 10, -99), ("b", 1, 65, "h", 1, False, "5M", None, None, 0)]
     df = spark.createDataFrame(rows, "read_id string, seg int, flag int, chr string, pos long, rev boolean, cigar string, mate_chr string, mate_pos long, tlen long")
