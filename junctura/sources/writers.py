@@ -56,10 +56,11 @@ def write_sam(aln: DataFrame, path: str, *order: str) -> None:
 def write_by_contig(aln: DataFrame, path: str) -> None:
     """Alignments in a folder for each contig, by place, so that a scan of one contig reads nothing else.
 
-    A contig's rows are dealt to tasks by bins of 16 Mb, so a large one is many files.
+    Tasks get ranges of contig and place, and where many rows share a place parts of these, so that a large contig is many
+    files and no task's share grows with a contig or a place.
     """
-    binned = aln.withColumn("__bin", F.floor(F.col("pos") / (1 << 24)))
-    binned.repartition("chr", "__bin").sortWithinPartitions("chr", "pos").drop("__bin").write.partitionBy("chr").parquet(path)
+    dealt = aln.repartitionByRange("chr", "pos", F.xxhash64("read_id"))
+    dealt.sortWithinPartitions("chr", "pos").write.partitionBy("chr").parquet(path)
 
 
 def write_names(reads: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.sources import readers, shared, writers
@@ -102,3 +103,14 @@ def test_stream(spark, tmp_path):
     query = screen_stream(spark, f"file://{tmp_path}/in", refs, f"file://{tmp_path}/out", f"file://{tmp_path}/ck", JunctionConfig())
     query.awaitTermination(60)
     assert {r.read_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()} == {"hit"}
+
+
+def test_a_contig_with_few_places_is_many_files(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    rows = spark.range(4000).select(F.col("id").alias("read_id"), F.lit("h0").alias("chr"), (F.col("id") % 2 * 25).alias("pos"))
+    writers.write_by_contig(rows, str(tmp_path / "by-contig"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    back = spark.read.parquet(str(tmp_path / "by-contig")).where("chr = 'h0'")
+    sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 3 and max(sizes) < 2000
+    assert back.select("read_id").distinct().count() == 4000
