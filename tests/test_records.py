@@ -274,6 +274,21 @@ def test_rows_are_not_dealt_by_contig_to_meet_a_short_list(spark, name):
     assert not re.search(r"hashpartitioning\(chr#\d+L?, \d+\)", plan)
 
 
+def test_mate_fields_do_not_depend_on_the_order_of_rows(spark, tmp_path):
+    """Two rows of a segment that differ in their flags alone."""
+    from junctura.plans.records import mate_fields
+
+    base = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").limit(1).drop("l_orderkey", "l_suppkey", "l_linenumber", "l_linestatus")
+    rows = spark.createDataFrame([(1, 27, 2), (1, 23, 2), (1, 11, 4), (1, 11, 1), (1, 0, 3)], "l_orderkey long, l_suppkey long, l_linenumber int")
+    rows = rows.union(spark.createDataFrame([(1, s, n) for s, n in ((22, 2), (2, 2))], rows.schema)).crossJoin(base).withColumn("l_linestatus", F.lit("X"))
+    seen = set()
+    for k, order in enumerate((F.col("l_suppkey").asc(), F.col("l_suppkey").desc())):
+        rows.coalesce(1).sortWithinPartitions(order).write.parquet(str(tmp_path / f"{k}" / "lineitem.parquet"))
+        seen.add(tuple(sorted(map(tuple, mate_fields(spark, str(tmp_path / f"{k}")).collect()))))
+    assert len(seen) == 1
+    assert {row[1]: row[2] & 4 for row in next(iter(seen))}[1] == 0  # of equal rows the smaller flag, which is mapped
+
+
 def test_mates_and_extraction(spark):
     rows = [("a", 1, 65 + 256, "h", 10, True, "5M", "v", 7, 99), ("a", 2, 129 + 32, "v", 7, False, "6M", "h", 10, -99), ("b", 1, 65, "h", 1, False, "5M", None, None, 0)]
     df = spark.createDataFrame(rows, "read_id string, seg int, flag int, chr string, pos long, rev boolean, cigar string, mate_chr string, mate_pos long, tlen long")
