@@ -79,3 +79,11 @@ def test_small_helpers(spark):
     assert one(spark, F.array(S.distal(F.lit(True), F.lit(1), F.lit(9)), S.proximal(F.lit(True), F.lit(1), F.lit(9)))) == [9, 1]
     assert one(spark, F.array(S.has_one_segment(F.lit(64)), S.has_one_segment(F.lit(192)), S.has_one_segment(F.lit(0)))) == [True, False, False]
     assert one(spark, F.array(S.clip_sequence(F.lit("ABCDEFG"), F.lit("2S5M"), F.lit("L")), S.clip_sequence(F.lit("ABCDEFG"), F.lit("4M3S"), F.lit("R")))) == ["AB", "EFG"]
+
+
+def test_clips_ask_no_regex_of_unclipped_cigars(spark):
+    df = spark.createDataFrame([("40M",), ("3S40M",), ("40M2I7S",), ("5S30M6S",), ("0S9M",), ("4H9M",), ("9S",), ("",), ("2M3S4M",), (None,), ("99999999999S4M",)], "cigar string")
+    got = [tuple(r) for r in df.select(S.left_clip(F.col("cigar")), S.right_clip(F.col("cigar")), S.clip_side(F.col("cigar"))).collect()]
+    assert got == [(0, 0, 0), (3, 0, 1), (0, 7, 2), (5, 6, 3), (0, 0, 0), (0, 0, 0), (9, 9, 3), (0, 0, 0), (0, 0, 0), (0, 0, 0), (0, 0, 0)]
+    for c in (S.left_clip, S.right_clip):  # the regex is behind a condition
+        assert "CASE WHEN" in df.select(c(F.col("cigar")))._jdf.queryExecution().optimizedPlan().toString()
