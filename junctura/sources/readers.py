@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +33,69 @@ def numbered_lines(spark: SparkSession, path: str, blocked: bool = False) -> Dat
     before them, so one large file is many tasks. A compressed file is one block, but for one that is compressed block by
     block (BGZF), if ``blocked`` says so.
     """
+    return _numbered(spark, path, blocked).select("file", "line_no", "value")
+
+
+def _numbered(spark: SparkSession, path: str, blocked: bool) -> DataFrame:
+    """``file, block, line_no, value``. Ids of a block's lines follow each other, so a line's number is told by the block's
+    first; one row a block is shipped and no line is moved."""
     lines = _lines(spark, path, blocked)
-    counted = lines.withColumn("at", F.row_number().over(Window.partitionBy("file", "block").orderBy("id")) - 1)
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n")).select("file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
-    return counted.join(sizes, ["file", "block"]).select("file", (F.col("past") + F.col("at")).alias("line_no"), "value")
+    sizes = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    sizes = sizes.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
+    return lines.join(F.broadcast(sizes), ["file", "block"]).select("file", "block", (F.col("past") + F.col("id") - F.col("first")).alias("line_no"), "value")
+
+
+def _records(spark: SparkSession, path: str, blocked: bool) -> DataFrame:
+    """``file, ord, name, seq, qual``: four lines a row. Lines of a record follow each other in a task but for those that a
+    block's end parts; only these meet by a shuffle."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows]).combine_chunks()
+            yield from _assembled(rows, False)
+            held = rows.slice(_whole(rows))
+        if held is not None:
+            yield from _assembled(held, True)
+
+    # The same lines for both, whole records and parts of such.
+    pieces = _numbered(spark, path, blocked).mapInArrow(run, "file string, ord long, whole boolean, name string, seq string, qual string")
+    parts = pieces.where("NOT whole").groupBy("file", "ord").agg(*[F.max(c).alias(c) for c in ("name", "seq", "qual")])
+    return pieces.where("whole").drop("whole").unionByName(parts).where("name IS NOT NULL AND qual IS NOT NULL")
+
+
+def _whole(rows: pa.Table) -> int:
+    """How many rows there are ahead of the last record, which the next batch may go on with."""
+    n, number = rows.num_rows, rows.column("line_no").to_numpy()
+    if not n:
+        return 0
+    file, block = (rows.column(c) for c in ("file", "block"))
+    same = pc.and_(pc.equal(file, file[n - 1]), pc.equal(block, block[n - 1])).to_numpy()
+    last = same & (number // 4 == number[-1] // 4) & (np.arange(n) >= n - 4)
+    return n if last.sum() == 4 else n - int(last.sum())
+
+
+def _assembled(rows: pa.Table, all_: bool) -> Iterator[pa.RecordBatch]:
+    rows = rows if all_ else rows.slice(0, _whole(rows))
+    n = rows.num_rows
+    if not n:
+        return
+    number = rows.column("line_no").to_numpy()
+    block = rows.column("block").to_numpy()
+    file = pc.dictionary_encode(rows.column("file").combine_chunks()).indices.to_numpy()
+    opens = np.append(True, (number[1:] // 4 != number[:-1] // 4) | (block[1:] != block[:-1]) | (file[1:] != file[:-1]))
+    first = np.flatnonzero(opens)
+    of = np.cumsum(opens) - 1
+    value = rows.column("value").combine_chunks()
+    columns = {"file": rows.column("file").take(pa.array(first)), "ord": pa.array(number[first] // 4), "whole": pa.array(np.bincount(of) == 4)}
+    for k, c in ((0, "name"), (1, "seq"), (3, "qual")):
+        at = np.full(len(first), -1)
+        mine = np.flatnonzero(number % 4 == k)
+        at[of[mine]] = mine
+        columns[c] = value.take(pa.array(at, mask=at < 0))
+    yield from pa.table(columns).to_batches()
 
 
 def read_fastq(spark: SparkSession, path: str, blocked: bool = False) -> DataFrame:
@@ -40,13 +103,12 @@ def read_fastq(spark: SparkSession, path: str, blocked: bool = False) -> DataFra
 
     ``path`` may be a folder of part files, which are taken in the order of their names; none splits a record.
     """
-    lines = numbered_lines(spark, path, blocked).withColumn("ord", F.floor(F.col("line_no") / 4)).withColumn("part", F.col("line_no") % 4)
-    record = lines.groupBy("file", "ord").agg(*[F.max(F.when(F.col("part") == k, F.col("value"))).alias(c) for k, c in ((0, "name"), (1, "seq"), (3, "qual"))])
-    whole = record.where("name IS NOT NULL AND qual IS NOT NULL")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # files, not records
-    past = whole.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
+    # A record is whole where its fourth line is.
+    sizes = _lines(spark, path, blocked).groupBy("file").agg(F.floor(F.count("*") / 4).alias("n"))
+    past = sizes.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("past"))
     name = F.regexp_extract("name", r"^@(\S+)", 1)
-    return whole.join(past, "file").select((F.col("past") + F.col("ord")).alias("ord"), name.alias("read_id"), "seq", "qual")
+    return _records(spark, path, blocked).join(F.broadcast(past), "file").select((F.col("past") + F.col("ord")).alias("ord"), name.alias("read_id"), "seq", "qual")
 
 
 def read_fastq_pairs(spark: SparkSession, first: str, second: str) -> DataFrame:

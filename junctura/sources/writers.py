@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def write_lines(df: DataFrame, line: Column, path: str) -> None:
-    df.select(line.alias("value")).write.text(path)
+def write_lines(df: DataFrame, line: Column, path: str, compression: str = "none") -> None:
+    df.select(line.alias("value")).write.text(path, compression=compression)
 
 
-def write_fastq(reads: DataFrame, path: str, seg: int) -> None:
-    """One mate's records in the order of ``ord``."""
+def write_fastq(reads: DataFrame, path: str, seg: int, compression: str = "none", in_order: bool = False) -> None:
+    """One mate's records in the order of ``ord``; ``in_order``: rows come in it, as out of a sort, and are not sorted again."""
     record = F.concat_ws("\n", F.concat(F.lit("@"), F.col("read_id")), F.col("seq"), F.lit("+"), F.col("qual"))
-    write_lines(reads.where(F.col("seg") == seg).orderBy("ord"), record, path)
+    mine = reads.where(F.col("seg") == seg)
+    write_lines(mine if in_order else mine.orderBy("ord"), record, path, compression)
 
 
 def write_fasta(df: DataFrame, name: str, seq: str, path: str, line: int | None = None) -> None:

@@ -26,6 +26,28 @@ def test_fastq(spark, tmp_path):
     assert sorted(r.read_id for r in readers.read_fastq(spark, f"file://{tmp_path}/out/*.txt").collect())[:1] == ["r0"]
 
 
+@pytest.mark.parametrize("split", ["37b", "128m"])
+def test_fastq_moves_no_whole_record(spark, tmp_path, split):
+    rng = random.Random(3)
+    want, files = [], {}
+    for name in ("a", "b", "c"):
+        rows = [(f"{name}{i}", "".join(rng.choices("ACGT", k=rng.randint(0, 40))), "".join(rng.choices("@+I#", k=rng.randint(0, 40)))) for i in range(rng.randint(1, 12))]
+        want += rows
+        files[name] = "".join(f"@{n} x\n{s}\n+\n{q}\n" for n, s, q in rows) + "@unfinished\nAC\n" * (name == "b")
+        (tmp_path / f"{name}.fq").write_text(files[name])
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        for k, v in zip(before, (split, "1b", "3"), strict=True):
+            spark.conf.set(k, v)
+        frame = readers.read_fastq(spark, f"file://{tmp_path}/*.fq")
+        assert sorted(tuple(r) for r in frame.collect()) == [(i, *r) for i, r in enumerate(want)]
+        pieces = readers._records(spark, f"file://{tmp_path}/*.fq", False)
+        assert not any("SortMergeJoin" in x._jdf.queryExecution().toString() for x in (frame, pieces))  # lines are not dealt by block
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_fasta_and_catalog(spark, tmp_path):
     (tmp_path / "h.fa").write_text(">c1 first\nacgt\nAC\n>c2\nGG\n")
     (tmp_path / "v.fa").write_text(">v1\nTTT\n")
