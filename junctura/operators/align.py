@@ -6,17 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
 from junctura.functions.sequences import kmers
+from junctura.sources.shared import materialize
 
 RESULT = "struct<score:int,ref_begin:int,ref_end:int,q_begin:int,q_end:int,cigar:string>"
 REVERSED = bytes.maketrans(b"ACGT", b"TGCA")
+_OTHER = dict(zip("ACGT", "TGCA", strict=True))
 _LOW = -(1 << 28)
 #: Reference letters of the pairs that are filled together, and cells of the bands that are.
 BATCH_CELLS, BAND_CELLS = 1 << 16, 1 << 20
+#: Seeds whose hashes are shipped to the tasks (8 bytes each), and letters that are hashed at a time.
+SMALL_SEEDS, SEED_LETTERS = 4_000_000, 1 << 20
 
 
 def codes(s: str) -> np.ndarray:
@@ -227,6 +232,47 @@ def align(query: str, ref: str, cfg: JunctionConfig) -> tuple[int, int, int, int
     return align_many([(query, ref)], cfg)[0]
 
 
+def turned(s: str) -> str:
+    """The other strand, read forwards, as ``reverse_complement`` has it."""
+    return "".join(_OTHER.get(c, "N") for c in reversed(s.upper()))
+
+
+def spans_query(pairs: list[tuple[str, str]], share: float, cfg: JunctionConfig) -> np.ndarray:
+    """Whether the best alignment of each pair of query and reference, as :func:`align_many` finds it, has its last base on the
+    query at least ``share`` of the query's length behind its first.
+
+    Backwards are filled only those that end far enough on the query; nothing is traced. A text that equals the other lies in
+    it as a whole.
+    """
+    out = np.zeros(len(pairs), bool)
+    places: dict[tuple[str, str], list[int]] = {}
+    for k, (q, r) in enumerate(pairs):
+        places.setdefault((q, r), []).append(k)
+    held, coded, known = [], {}, {}
+    for pair in places:
+        q, r = pair
+        if not q or not r or len(q) - 1 < share * len(q):
+            continue
+        for s in pair:
+            if s not in known:
+                known[s] = codes(s)
+        if q == r and known[q].max() < 4:
+            held.append(pair)
+        else:
+            coded[pair] = known[q], known[r]
+    order = sorted(coded, key=lambda p: (len(coded[p][0]) // 32, len(coded[p][1])))
+    for batch in _batches(order, coded):
+        q, r = zip(*[coded[p] for p in batch], strict=True)
+        score, r_end, q_end = ends(_stacked(q), _stacked(r), cfg)
+        far = [x for x in range(len(batch)) if score[x] > 0 and q_end[x] - 1 >= share * len(q[x])]
+        if far:
+            back = ends(_stacked([q[x][: q_end[x]][::-1] for x in far]), _stacked([r[x][: r_end[x]][::-1] for x in far]), cfg)
+            held += [batch[x] for x, row in zip(far, back[2].tolist(), strict=True) if row - 1 >= share * len(q[x])]
+    for pair in held:
+        out[places[pair]] = True
+    return out
+
+
 def sw_align(query: Column, ref: Column, cfg: JunctionConfig | None = None) -> Column:
     """The alignment of two sequences as a RESULT struct; null where nothing matches or an input is null."""
     cfg = cfg or JunctionConfig()
@@ -246,22 +292,88 @@ def align_both_strands(df: DataFrame, query: str, ref: str, cfg: JunctionConfig
     """``df`` with ``score, ref_begin, ref_end, q_begin, q_end, cigar, q_strand``; the other strand wins ties."""
     from junctura.functions.sequences import reverse_complement
 
+    # A given number of partitions, as few bytes are much work.
+    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = df.withColumn("__m", sw_align(reverse_complement(F.col(query)), F.col(ref), cfg)).withColumn("__p", sw_align(F.col(query), F.col(ref), cfg))
     plus = F.coalesce(F.col("__p.score"), F.lit(0)) > F.coalesce(F.col("__m.score"), F.lit(0))
     chosen = F.when(plus, F.col("__p")).otherwise(F.col("__m"))
     return both.withColumn("__c", chosen).withColumn("q_strand", F.when(plus, "+").otherwise("-")).select(*df.columns, "__c.*", "q_strand")
 
 
-def sharing_seeds(reads: DataFrame, references: DataFrame, keys: list[str], ref: str, k: int) -> DataFrame:
+def sharing_seeds(reads: DataFrame, references: DataFrame, keys: list[str], ref: str, k: int, small: int = SMALL_SEEDS) -> DataFrame:
     """``keys, ref`` of reads (``keys, seq``) and references (``ref, seq``) that have a k-mer in common, each pair once.
 
-    For references small enough to be searched without an aligner's index; alignments of large ones are an input.
+    For references small enough to be searched without an aligner's index; alignments of large ones are an input. Hashes of up
+    to ``small`` seeds are shipped, so that of reads only k-mers go on whose hash is among them; their letters decide.
     """
-    seeds = references.select(ref, F.explode(kmers(F.col("seq"), k)).alias("kmer")).distinct()
-    at = reads.select(*keys, F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer"))
+    seeds = materialize(references.select(ref, F.explode(kmers(F.col("seq"), k)).alias("kmer")).distinct(), "seeds")
+    if seeds.limit(small + 1).count() <= small:
+        at = _likely_kmers(reads, seeds, keys, k)
+    else:
+        at = reads.select(*keys, F.explode(F.array_distinct(kmers(F.col("seq"), k))).alias("kmer"))
     return at.join(seeds, "kmer").select(*keys, ref).distinct()
 
 
+def _likely_kmers(reads: DataFrame, seeds: DataFrame, keys: list[str], k: int) -> DataFrame:
+    """``keys, kmer``: the k-mers of reads that have the hash of a seed."""
+    hashed = np.unique(_rolling(_letters("".join(seeds.select("kmer").distinct().toArrow().column("kmer").to_pylist())), k)[::k])  # ``small`` at most
+    shipped = reads.sparkSession.sparkContext.broadcast(hashed)
+    types = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shipped.value
+        table = np.zeros(1 << 22, bool)
+        table[(known >> np.uint64(42)).astype(np.int64)] = True
+        for batch in batches:
+            texts = [s or "" for s in batch.column(len(keys)).to_pylist()]
+            row, kmer = [], []
+            for first, last in _stretches(texts):
+                sizes = np.array([len(s) for s in texts[first:last]], np.int64)
+                stops = np.cumsum(sizes)
+                letters = _letters(whole := "".join(texts[first:last]))
+                found = _rolling(letters, k)
+                at = np.flatnonzero(table[(found >> np.uint64(42)).astype(np.int64)])
+                spot = np.searchsorted(known, found[at])
+                at = at[known[np.minimum(spot, len(known) - 1)] == found[at]] if len(known) else at[:0]
+                of = np.searchsorted(stops, at, side="right")
+                inside = at + k <= stops[of]
+                for x, a in dict.fromkeys(zip(of[inside].tolist(), (whole[a : a + k] for a in at[inside].tolist()), strict=True)):
+                    row.append(first + x)
+                    kmer.append(a)
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(row, pa.int64())) for c in batch.columns[:-1]), pa.array(kmer, pa.string())], names=[*keys, "kmer"])
+
+    return reads.select(*keys, "seq").mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in keys), "kmer string"]))
+
+
+def _stretches(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Neighbouring texts of some SEED_LETTERS together."""
+    first, size = 0, 0
+    for k, s in enumerate(texts):
+        size += len(s)
+        if size >= SEED_LETTERS or k + 1 == len(texts):
+            yield first, k + 1
+            first, size = k + 1, 0
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _rolling(letters: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k letters from each place on: hashes of stretches twice as long from those of shorter ones."""
+    if len(letters) < k:
+        return np.zeros(0, np.uint64)
+    total, done, part, size, base = np.zeros(len(letters) - k + 1, np.uint64), 0, letters + np.uint64(1), 1, 0x9E3779B97F4A7C15
+    while done < k:
+        if k & size:
+            total = total * np.uint64(pow(base, size, 1 << 64)) + part[done : done + len(total)]
+            done += size
+        part = part[:-size] * np.uint64(pow(base, size, 1 << 64)) + part[size:]
+        size *= 2
+    x = (total ^ (total >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
 def align_segments(members: DataFrame, regions: DataFrame, segments: DataFrame, cfg: JunctionConfig | None = None) -> DataFrame:
     """``region_id, frag_id, is_virus`` and the alignment of each fragment's segment to each of its regions.
 

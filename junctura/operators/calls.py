@@ -6,12 +6,13 @@ import bisect
 from array import array
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from junctura.config import JunctionConfig
-from junctura.operators.align import sw_align
+from junctura.operators.align import spans_query, turned
 from junctura.operators.ranges import union_all
 from junctura.sources.shared import materialize
 
@@ -19,6 +20,8 @@ from junctura.sources.shared import materialize
 PAIR_ROWS = 200_000
 #: Steps in a block of calls that a task pairs, and rows in it from which on there are fewer.
 PAIR_STEPS, BLOCK_ROWS = 8, 1_000_000
+#: Calls of a pair of contigs in a block whose calls are compared with those of another.
+DUPLICATE_BLOCK = 256
 
 
 def call_statistics(reads: DataFrame, edge: list[str], cfg: JunctionConfig) -> DataFrame:
@@ -247,22 +250,50 @@ def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     ``calls``: ``call_id, host_chr, virus_chr, host_rev, virus_rev, host_seq, virus_seq``. The shorter sequence is aligned
     to the longer, turned where the strands differ, and has to lie in it for ``duplicate_span`` of its length. Calls are
     compared within their pair of contigs; empty sequences are never duplicates.
-    """
-    from junctura.functions.sequences import reverse_complement
-
-    keys = ["host_chr", "virus_chr"]
-    cols = [c for c in calls.columns if c not in keys]
-    early, late = calls.select(*keys, *[F.col(c).alias(f"e_{c}") for c in cols]), calls.select(*keys, *[F.col(c).alias(f"l_{c}") for c in cols])
-    pairs = early.join(late, keys).where("e_call_id < l_call_id AND e_host_seq <> '' AND l_host_seq <> '' AND e_virus_seq <> '' AND l_virus_seq <> ''")
 
-    def same(side: str) -> Column:
-        e, other = F.col(f"e_{side}_seq"), F.col(f"l_{side}_seq")
-        ref, query = F.when(F.length(e) >= F.length(other), e).otherwise(other), F.when(F.length(e) >= F.length(other), other).otherwise(e)
-        turned = F.when(F.col(f"e_{side}_rev") != F.col(f"l_{side}_rev"), reverse_complement(query)).otherwise(query)
-        a = sw_align(turned, ref, cfg)
-        return F.coalesce(a["q_end"] - a["q_begin"] >= cfg.duplicate_span * F.length(query), F.lit(False))
-
-    return pairs.where(same("host")).where(same("virus")).select(F.col("l_call_id").alias("call_id")).distinct()
+    Calls with the same sequences and strands are compared once, for the first of them. All others of a pair of contigs meet,
+    dealt into blocks of about ``DUPLICATE_BLOCK`` by as many, so pairs are made and judged where their block is.
+    """
+    spark, keys = calls.sparkSession, ["host_chr", "virus_chr"]
+    cols = ["host_rev", "virus_rev", "host_seq", "virus_seq"]
+    given = materialize(calls.where("host_seq <> '' AND virus_seq <> ''").select("call_id", *keys, *cols), "calls")
+    kinds = given.groupBy(*keys, *cols).agg(F.min("call_id").alias("first"), F.max("call_id").alias("last"))
+    sizes = kinds.groupBy(*keys).agg(F.ceil(F.count("*") / DUPLICATE_BLOCK).cast("int").alias("blocks"))
+    dealt = kinds.join(sizes, keys).withColumn("block", F.expr("CAST(pmod(xxhash64(first), blocks) AS INT)"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+
+    def side(s: str, own: str, other: str, *more: str) -> DataFrame:
+        each = dealt.withColumn("other", others).select(*keys, F.col("block").alias(own), F.col("other").alias(other), *[F.col(c).alias(f"{s}_{c}") for c in (*cols, *more)])
+        # A given number of partitions, as few bytes are much work.
+        return each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "eb", "lb")
+
+    pairs = side("e", "eb", "lb", "first").join(side("l", "lb", "eb", "first", "last"), [*keys, "eb", "lb"]).where("e_first < l_last")
+    facts = [F.col(f"{s}_{c}") for c in cols for s in "el"]
+    found = pairs.where(_same_on_both_sides(cfg)(*facts)).groupBy(*keys, F.col("l_first").alias("first")).agg(F.min("e_first").alias("since"))
+    late = kinds.join(found, [*keys, "first"]).select(*[F.col(c).alias(f"k_{c}") for c in (*keys, *cols)], "since")  # a kind is told by its first call
+    same_kind = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*keys, *cols)]
+    return given.join(late, same_kind).where("call_id > since").select("call_id").distinct()
+
+
+def _same_on_both_sides(cfg: JunctionConfig):
+    """Whether of each pair of calls both sides are the same; the virus is looked at where the host is."""
+
+    @F.pandas_udf("boolean")
+    def same(e_hr: pd.Series, l_hr: pd.Series, e_vr: pd.Series, l_vr: pd.Series, e_h: pd.Series, l_h: pd.Series, e_v: pd.Series, l_v: pd.Series) -> pd.Series:
+        out = np.zeros(len(e_h), bool)
+        host = [_shorter_first(*x) for x in zip(e_h, l_h, e_hr, l_hr, strict=True)]
+        left = np.flatnonzero(spans_query(host, cfg.duplicate_span, cfg))
+        virus = [_shorter_first(e_v.iat[k], l_v.iat[k], e_vr.iat[k], l_vr.iat[k]) for k in left.tolist()]
+        out[left[spans_query(virus, cfg.duplicate_span, cfg)]] = True
+        return pd.Series(out)
+
+    return same
+
+
+def _shorter_first(early: str, late: str, early_rev: bool, late_rev: bool) -> tuple[str, str]:
+    """Query and reference: the shorter one, turned where strands differ, and the longer; of one length, the later and the earlier."""
+    query, ref = (late, early) if len(early) >= len(late) else (early, late)
+    return (turned(query) if {early_rev, late_rev} == {False, True} else query), ref
 
 
 def last_masks(masks: DataFrame, order: str = "ord") -> DataFrame:

@@ -384,3 +384,65 @@ def test_subsumption(spark):
     df = spark.createDataFrame(rows, "h_chr string, h_strand string, h_left int, h_right int, v_chr string, v_strand string, v_left int, v_right int, frag_id int")
     got = sorted((r.h_left, r.h_right, r.frag_id) for r in edges.subsume(df).collect())
     assert got == [(10, 50, 1), (10, 50, 2), (45, 80, 3), (200, 210, 4)]
+
+
+def _letters_with(rng, k, changes):
+    s = list("".join(rng.choices("ACGT", k=k)))
+    return "".join(s), "".join(rng.choice("ACGT") if rng.random() < changes else c for c in s)
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_duplicate_calls_as_all_pairs_have_them(spark, monkeypatch, block):
+    monkeypatch.setattr(calls, "DUPLICATE_BLOCK", block)
+    rng = random.Random(21)
+    base = [rng.choice(_letters_with(rng, rng.randint(40, 70), 0.1)) for _ in range(5)]
+    turned = str.maketrans("ACGT", "TGCA")
+
+    def text(rev):
+        s = rng.choice(base)
+        s = "".join(rng.choice("ACGTN") if rng.random() < rng.choice([0, 0, 0.05, 0.15]) else c for c in s)[rng.randint(0, 9) : rng.randint(30, 70)]
+        return s[::-1].translate(turned) if rev else s
+
+    rows = [(i, rng.choice("hg"), "v", a := rng.random() < 0.3, b := rng.random() < 0.3, text(a) if rng.random() > 0.05 else "", text(b)) for i in rng.sample(range(1000), 45)]
+    rows += [(2000 + i, *r[1:]) for i, r in enumerate(rows[::4])]
+
+    def same(e, other, e_rev, other_rev):
+        ref, query = (e, other) if len(e) >= len(other) else (other, e)
+        a = align.align("".join(dict(zip("ACGT", "TGCA", strict=True)).get(c, "N") for c in query[::-1]) if e_rev != other_rev else query, ref, CFG)
+        return a is not None and a[4] - a[3] >= CFG.duplicate_span * len(query)
+
+    want = {x[0] for e in rows for x in rows if e[0] < x[0] and e[1] == x[1] and all((e[5], e[6], x[5], x[6])) and same(e[5], x[5], e[3], x[3]) and same(e[6], x[6], e[4], x[4])}
+    df = spark.createDataFrame(rows, "call_id long, host_chr string, virus_chr string, host_rev boolean, virus_rev boolean, host_seq string, virus_seq string")
+    assert {r.call_id for r in calls.duplicate_calls(df, CFG).collect()} == want and len(want) > 11
+
+
+def test_spans_query_traces_nothing(monkeypatch):
+    def unwanted(*_):
+        raise AssertionError
+
+    monkeypatch.setattr(align, "traces", unwanted)
+    assert align.spans_query([("ACGTACGTAC", "TTACGTACGTACTT"), ("ACGTTTTTTT", "ACGTCCCC"), ("", "A"), ("NNNNNNNN", "NNNNNNNN")], 0.8, CFG).tolist() == [True, False, False, False]
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_sharing_seeds_looks_seeds_up(spark, small):
+    rng = random.Random(4)
+    refs = [(i, "".join(rng.choices("ACGTñ𝔸", k=30))) for i in range(6)]
+    reads = [(i, (s := rng.choice(refs)[1])[rng.randint(0, 12) :][: rng.choice([9, 10, 18])] + "".join(rng.choices("ACGT", k=rng.randint(0, 8)))) for i in range(40)] + [(90, ""), (91, None), (92, refs[0][1][:5]), (93, refs[0][1][5:15])]
+    got = align.sharing_seeds(spark.createDataFrame(reads, "k int, seq string"), spark.createDataFrame(refs, "r int, seq string"), ["k"], "r", 10, small).collect()
+    want = {(k, r) for k, s in reads for r, t in refs if any(s[i : i + 10] in t for i in range(len(s or "") - 9))}
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_aligned_segments_reads_lines_once(spark, tmp_path, monkeypatch):
+    from junctura.plans import queries
+
+    rng = random.Random(6)
+    items = ["".join(rng.choices("abghmnst", k=60)) for _ in range(4)]
+    docs = [(k, "\n".join(["zz" + rng.choice(items)[5:55], "".join(rng.choices("agmt", k=30))])) for k in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    made, given = [], queries.V.dna_lines
+    monkeypatch.setattr(queries.V, "dna_lines", lambda *a: made.append(a) or given(*a))
+    got = queries.aligned_segments(spark, f"file://{tmp_path}").collect()
+    assert {r.frag_id for r in got} == {f"{k}:0" for k in range(6)} and len(made) == 1
