@@ -31,6 +31,8 @@ K, W = 15, 6
 #: How far diagonals, and places along one, of neighbouring hits of a chain may lie apart.
 MAX_GAP = 60
 BUCKETS = 64
+#: Minimizers of reads up to which they are shipped to the index (about 50 bytes each) and not both dealt by their hash.
+SMALL_READS = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -84,19 +86,37 @@ def minimizer_index(chunks: DataFrame, width: int = CHUNK, k: int = K, w: int =
     return at.distinct()  # what two chunks see of their border
 
 
+def contig_minimizers(contigs: DataFrame, width: int = CHUNK, k: int = K, w: int = W) -> DataFrame:
+    """:func:`minimizer_index` of contigs as rows (``chr, seq``), made where they lie: each stretch of ``width`` letters is seen with
+    the letters around it that its k-mers' windows reach into and keeps the minimizers that begin in it, so nothing is moved.
+
+    Chunks whose last one is shorter than a window may give some more, which are no minimizers of the contig.
+    """
+    last = F.greatest(F.ceil(F.length("seq") / width) - 1, F.lit(0))
+    each = contigs.select("chr", "seq", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("chunk"))
+    lead = F.when(F.col("chunk") > 0, w - 1).otherwise(0)
+    begin = F.col("chunk") * width - lead
+    around = each.select("chr", "chunk", F.substring("seq", (begin + 1).cast("int"), (lead + width + k + w - 2).cast("int")).alias("seq"))
+    found = _with_minimizers(around, ["chr", "chunk"], "seq", k, w).withColumn("at", F.col("pos") - lead)
+    return found.where((F.col("at") >= 0) & (F.col("at") < width)).select("key", "chr", (F.col("chunk") * width + F.col("at")).alias("r_pos"), F.col("rev").alias("r_rev"))
+
+
 def write_index(index: DataFrame, table: str, buckets: int = BUCKETS) -> DataFrame:
     """The index as a table of the session's catalogue, in sorted buckets of its key, for any number of later jobs."""
     index.write.bucketBy(buckets, "key").sortBy("key").mode("overwrite").saveAsTable(table)
     return index.sparkSession.table(table)
 
 
-def chains(reads: DataFrame, index: DataFrame, keys: list[str], seq: str = "seq", k: int = K, w: int = W, max_gap: int = MAX_GAP) -> DataFrame:
+def chains(reads: DataFrame, index: DataFrame, keys: list[str], seq: str = "seq", k: int = K, w: int = W, max_gap: int = MAX_GAP, ship: int = 0) -> DataFrame:
     """``keys, chr, rev, start, end, letters, size``: places of the reference that a read may come from.
 
     Of a read as it would lie on the reference, ``start`` and ``end`` are where its first and last letter would be if the
-    chain's outermost diagonals went on; ``letters``: how many of its letters the chain's hits spell at least.
+    chain's outermost diagonals went on; ``letters``: how many of its letters the chain's hits spell at least. Up to ``ship``
+    minimizers of reads are shipped to an index that isn't written.
     """
     mine = _with_minimizers(reads, keys, seq, k, w)
+    if ship and mine.limit(ship + 1).count() <= ship:
+        mine = F.broadcast(mine)  # the index stays where it is
     met = mine.join(index, "key")
     rev = F.col("rev") != F.col("r_rev")
     # On the other strand the read is turned round, so that diagonals of both kinds are reference less read.
@@ -131,12 +151,19 @@ def chain_windows(found: DataFrame, lengths: DataFrame, slack: int = MAX_GAP) ->
 def aligned_chains(windows: DataFrame, reads: DataFrame, chunks: DataFrame, keys: list[str], cfg: JunctionConfig, seq: str = "seq", width: int = CHUNK) -> DataFrame:
     """``keys, chr, rev, pos, end, score, q_begin, q_end, cigar``: reads aligned to their windows, equal places once.
 
-    Windows are put together once, however many reads share them; of equal places the one with the best score stays.
+    Windows that reach over chunks are put together once, however many reads share them; of equal places the one with the best
+    score stays.
     """
-    spots = windows.select("chr", F.col("w_start").alias("start"), F.col("w_end").alias("end"), F.lit("+").alias("strand")).distinct()
-    texts = region_sequences(spots, chunks, width).select("chr", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.col("seq").alias("__ref"))
     text = F.when(F.col("rev"), reverse_complement(F.upper(F.col(seq)))).otherwise(F.upper(F.col(seq)))
-    both = windows.join(reads.select(*keys, F.col(seq)), keys).withColumn("__q", text).join(texts, ["chr", "w_start", "w_end"])
+    own = windows.join(reads.select(*keys, F.col(seq)), keys).withColumn("__q", text).drop(seq)
+    first, last = F.floor(F.col("w_start") / width), F.floor((F.col("w_end") - 1) / width)
+    # A window within a chunk is cut out where it meets the chunk, and aligned there.
+    cut = F.substring("part", (F.col("w_start") - F.col("chunk") * width + 1).cast("int"), (F.col("w_end") - F.col("w_start")).cast("int"))
+    within = own.where(first == last).withColumn("chunk", first).join(chunks, ["chr", "chunk"]).withColumn("__ref", cut).drop("chunk", "part")
+    across = own.where(first != last)
+    spots = across.select("chr", F.col("w_start").alias("start"), F.col("w_end").alias("end"), F.lit("+").alias("strand")).distinct()
+    texts = region_sequences(spots, chunks, width).select("chr", F.col("start").alias("w_start"), F.col("end").alias("w_end"), F.col("seq").alias("__ref"))
+    both = within.unionByName(across.join(texts, ["chr", "w_start", "w_end"]))
     row = both.select(*keys, "chr", "rev", "w_start", _aligned(F.col("__q"), F.col("__ref"), cfg).alias("a")).where("a IS NOT NULL AND a.score IS NOT NULL")
     at = row.select(*keys, "chr", "rev", (F.col("w_start") + F.col("a.ref_begin")).alias("pos"), (F.col("w_start") + F.col("a.ref_end") + 1).alias("end"), "a.score", "a.q_begin", "a.q_end", "a.cigar")
     facts = F.max(F.struct("score", "end", "q_begin", "q_end", "cigar")).alias("m")
@@ -181,9 +208,11 @@ def map_reads(
     * places that overlap a better one of the same read and strand (chains of one repeat) are alternatives like others.
     """
     cfg = cfg or JunctionConfig()
-    chunks = contig_chunks(contigs.select("chr", F.upper("seq").alias("seq")), width)
+    upper = contigs.select("chr", F.upper("seq").alias("seq"))
+    chunks = contig_chunks(upper, width)
     lengths = contigs.select("chr", F.length("seq").cast("long").alias("len"))
-    found = chains(reads, index if index is not None else minimizer_index(chunks, width), keys, seq).where(F.col("letters") >= min_chain)
+    met = {"index": index} if index is not None else {"index": contig_minimizers(upper, width), "ship": SMALL_READS}
+    found = chains(reads, keys=keys, seq=seq, **met).where(F.col("letters") >= min_chain)
     placed = aligned_chains(chain_windows(found, lengths), reads, chunks, keys, cfg, seq, width).where(F.col("score") >= cfg.min_score)
     return best_and_alternatives(placed, keys, cfg.relative_score)
 

@@ -36,7 +36,7 @@ def exact_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where items stand letter by letter: the first place of each strand on each document among all chains' alignments."""
     items, contigs = _items(spark, sf_dir), _documents(spark, sf_dir)
     chunks = contig_chunks(contigs)
-    found = mapping.chains(items, mapping.minimizer_index(chunks), ["item_id"])
+    found = mapping.chains(items, mapping.contig_minimizers(contigs), ["item_id"], ship=mapping.SMALL_READS)
     windows = mapping.chain_windows(found, contigs.select("chr", F.length("seq").cast("long").alias("len")))
     placed = mapping.aligned_chains(windows, items, chunks, ["item_id"], CFG)
     whole = placed.join(items, "item_id").where((F.col("score") == F.length("seq") * CFG.match) & (F.col("score") >= CFG.min_score))

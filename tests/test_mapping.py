@@ -146,3 +146,23 @@ def test_edges(spark):
     ties = spark.createDataFrame([(1, "b", False, 5, 40, "9="), (1, "a", True, 9, 40, "9="), (1, "a", True, 3, 31, "8=1X"), (1, "z", True, 3, 29, "9="), (2, "a", False, 0, 30, "9=")], "id int, chr string, rev boolean, pos long, score int, cigar string")
     got = {r["id"]: (r["chr"], r["pos"], r["n_alternatives"], r["xa"]) for r in best_and_alternatives(ties, ["id"], 0.75).collect()}
     assert got == {1: ("a", 9, 2, "b,+6,9=,0;a,-4,8=1X,1;"), 2: ("a", 0, 0, "")}
+
+
+@pytest.mark.parametrize("width", [64, 50, 1000])
+def test_contig_minimizers_are_those_of_the_whole_contig_and_move_nothing(spark, width):
+    rng = random.Random(12)
+    contigs = [(f"c{n}", "".join(rng.choices("ACGTN", [9, 9, 9, 9, 1], k=n))) for n in (0, 5, 16, 63, 64, 65, 66, 80, 128, 131, 333)]
+    frame = mapping.contig_minimizers(spark.createDataFrame(contigs, "chr string, seq string"), width)
+    want = sorted((int(key), c, int(pos), bool(rev)) for c, s in contigs for key, pos, rev in zip(*mapping.minimizers(codes(s)), strict=True))
+    assert sorted(tuple(r) for r in frame.collect()) == want
+    assert "Exchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("small", [10**6, 0])
+def test_windows_within_and_across_chunks(spark, monkeypatch, small):
+    monkeypatch.setattr(mapping, "SMALL_READS", small)
+    rng = random.Random(13)
+    contig = "".join(rng.choices("ACGT", k=1200))
+    reads = spark.createDataFrame([(p, contig[p : p + 90]) for p in (0, 100, 250, 290, 420, 1110)], "read int, seq string")
+    got = mapping.map_reads(reads, spark.createDataFrame([("c", contig)], "chr string, seq string"), ["read"], width=300).collect()
+    assert sorted((r.read, r.pos, r.end, r.score) for r in got) == [(p, p, p + 90, 90) for p in (0, 100, 250, 290, 420, 1110)]
