@@ -2,8 +2,11 @@
 
 import gzip
 import random
+import re
 import struct
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +151,65 @@ def test_block_compressed_fastq(spark, tmp_path):
     assert spark.read.format("bgzf_text").option("split", "500").load(path).rdd.getNumPartitions() > 5
     got = sorted((r["ord"], r["read_id"], r["seq"], r["qual"]) for r in read_fastq(spark, path, blocked=True).collect())
     assert [x[1:] for x in got] == reads and [x[0] for x in got] == list(range(700))
+
+
+def test_records_of_many_rows_are_those_of_the_format(tmp_path):
+    """All rows of a batch at once, against the format's definition, odd values among them; and back."""
+    numbers = {n: k for k, (n, _) in enumerate(CONTIGS)}
+    given = [{**dict.fromkeys(["seg", "rev", "sa", "mc", "x2", "y2"]), **r} for r in rows(random.Random(5), 300)]
+    given[7] |= {"cigar": "268435455M", "seq": "acgtn", "qual": "!~5I"}
+    given[8] |= {"cigar": "007M00012N", "seq": "A", "qual": "*", "read_id": None, "pos": None, "mapq": None, "mate_pos": None, "x2": -5}
+    given[9] |= {"seq": "Ä?C", "qual": None, "xa": "ü", "mc": ""}
+    want, ends = [], []
+    for r in given:
+        seq, qual = ("" if r["seq"] == "*" else r["seq"]), r["qual"] or "*"
+        ops = [(int(n) << 4) | bam.OPERATIONS.index(c) for n, c in re.findall(r"(\d+)([A-Z=])", r["cigar"])]
+        pos, name = -1 if r["pos"] is None else r["pos"], (r["read_id"] or "*").encode() + b"\0"
+        end = max(pos, 0) + (sum(x >> 4 for x in ops if bam.OPERATIONS[x & 15] in "MDN=X") or 1)
+        body = struct.pack(
+            "<iiBBHHHiiii", numbers.get(r["chr"], -1), pos, len(name), 255 if r["mapq"] is None else r["mapq"], interval_bin(max(pos, 0), end), len(ops), r["flag"],
+            len(seq), numbers.get(r["mate_chr"], -1), -1 if r["mate_pos"] is None else r["mate_pos"], r["tlen"],
+        )
+        letters = [max(bam.BASES.find(c.upper()), 0) or 15 for c in seq] + [0]
+        body += name + struct.pack(f"<{len(ops)}I", *ops) + bytes(letters[k] << 4 | letters[k + 1] for k in range(0, len(seq), 2))
+        body += bytes(ord(c) - 33 for c in qual) if qual != "*" and len(qual) == len(seq) else b"\xff" * len(seq)
+        for tag, column in bam.ALIGNMENT_TAGS.items():
+            if (value := r.get(column.split()[0])) is not None:
+                body += tag.encode() + (b"i" + struct.pack("<i", value) if column.endswith("int") else b"Z" + value.encode() + b"\0")
+        want.append(struct.pack("<i", len(body)) + body)
+        ends.append(end)
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_()}
+    batch = pa.RecordBatch.from_pydict({c: pa.array([r.get(c) for r in given], kinds[t]) for c, t in (x.split() for x in bam.SCHEMA.split(", "))})
+    records, (_, _, last) = bam.encode_records(batch, numbers)
+    assert records.to_pylist() == want and last.tolist() == ends
+    assert bam.encode_records(batch.slice(5, 9), numbers)[0].to_pylist() == want[5:14]
+    cuts = np.cumsum([0, *map(len, want)])
+    back = bam.decode_records(b"".join(want), cuts[:-1], cuts[1:], [n for n, _ in CONTIGS]).to_pylist()
+    assert [(r["pos"], r["mapq"], r["tlen"], r["xa"], r["as_score"]) for r in back[:7]] == [(r["pos"], r["mapq"], r["tlen"], r["xa"], r["as_score"]) for r in given[:7]]
+    assert (back[8]["read_id"], back[8]["cigar"], back[8]["qual"], back[8]["x2"], back[9]["seq"], back[9]["mc"]) == ("*", "7M12N", "*", -5, "NNC", "")
+    for odd in ({"cigar": "268435456M"}, {"pos": 1 << 31}, {"read_id": "r" * 255}, {"seq": "AC", "qual": " I"}):
+        with pytest.raises(ValueError):
+            encode_record({**given[0], **odd}, numbers)
+
+
+def test_a_split_reads_little_beyond_itself(tmp_path):
+    rng, numbers = random.Random(6), {n: k for k, (n, _) in enumerate(CONTIGS)}
+    whole = encode_header(CONTIGS) + b"".join(encode_record(r, numbers) for r in rows(rng, 2_000)) * 60
+    path = f"{tmp_path}/x.bam"
+    with open(path, "wb") as f:
+        f.write(b"".join(pack_block(whole[k : k + BLOCK]) for k in range(0, len(whole), BLOCK)) + END_BLOCK)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.bytes = file, 0
+
+        def read_at(self, n, at):
+            self.bytes += n
+            return self.file.read_at(n, at)
+
+    found = Records(path)
+    assert found.blocks.size > 4 << 20
+    counted = found.blocks.file = Counted(found.blocks.file)
+    bam.read_header(found.blocks)
+    assert list(found.between(found.begin(500_000), found.begin(600_000)))
+    assert counted.bytes < 2_000_000
