@@ -142,38 +142,90 @@ def read_fasta_chunks(spark: SparkSession, path: str, width: int = CHUNK, blocke
     do bases ahead of any header. Blank lines count nothing, a contig without bases is one empty chunk 0, and contigs that
     share a name stay apart, each with its own chunks. A line is a row, so lines have to stay below 2 GB. ``blocked``: BGZF.
 
-    Within a block of the file running totals tell where a line lies; the contig and the bases that a block finds open at
-    its start are carried over one row a block. For these the files are read once more, which takes less than to keep lines.
+    A block's lines follow each other in a task, which hands on the chunks that lie within the block and holds one at a time. Only
+    what a block's ends part is moved: the contig and the bases that a block finds open at its start are carried over one row a
+    block. For these the files are read once more, which takes less than to keep lines.
     """
     lines = _lines(spark, path, blocked).withColumn("is_head", F.col("value").startswith(">"))
     letters = F.when(F.col("is_head"), "").otherwise(F.upper(F.regexp_replace("value", r"\s+", "")))
-    head = F.when(F.col("is_head"), F.struct("block", "id", F.regexp_extract("value", r"^>(\S*)", 1).alias("chr")))
-    lines = lines.select("file", "block", "id", "is_head", letters.alias("letters"), head.alias("head")).withColumn("n", F.length("letters").cast("long"))
-    upto = Window.partitionBy("file", "block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("head", F.last("head", ignorenulls=True).over(upto))
-    since = F.coalesce(F.max(F.when(F.col("is_head"), F.col("before"))).over(upto), F.lit(0))
-    placed = placed.withColumn("at", F.col("before") - since).drop("before")
+    chr_ = F.when(F.col("is_head"), F.regexp_extract("value", r"^>(\S*)", 1))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _pieces(batches, width)
+
+    pieces = lines.select("file", "block", "id", letters.alias("letters"), chr_.alias("chr")).mapInArrow(run, "file string, block long, id long, chr string, whole boolean, at long, part string")
+    whole = pieces.where("whole AND chr <> ''").select("chr", F.floor(F.col("at") / width).alias("chunk"), "part")
+
+    open_ = pieces.where("NOT whole").withColumn("n", F.length("part").cast("long")).withColumn("head", F.when(F.col("id").isNotNull(), F.struct("block", "id", "chr")))
     over = Window.partitionBy("file").orderBy("block")
     past = over.rowsBetween(Window.unboundedPreceding, -1)
-    heads = lines.where("is_head").groupBy("file", "block").agg(F.max("head").alias("last"))
-    after = F.when(F.col("last").isNull() | (F.col("id") > F.col("last.id")), F.col("n")).otherwise(0)
-    ends = lines.join(heads, ["file", "block"], "left").groupBy("file", "block").agg(F.max("last").alias("last"), F.sum(after).alias("tail"))
+    end = F.col("at") + F.col("n")
+    ends = open_.groupBy("file", "block").agg(F.max("head").alias("last"), F.coalesce(F.max(F.when(F.col("id").isNotNull(), end)), F.max(end)).alias("tail"))
     ends = ends.withColumn("sum", F.coalesce(F.sum("tail").over(past), F.lit(0)))
     opened = F.coalesce(F.max(F.when(F.col("last").isNotNull(), F.col("sum"))).over(past), F.lit(0))
     ends = ends.select("file", "block", F.last("last", ignorenulls=True).over(past).alias("open"), (F.col("sum") - opened).alias("carried"))
 
-    whole = placed.join(ends, ["file", "block"]).select(
-        "file", "letters", "n", F.coalesce("head", "open").alias("head"), F.when(F.col("head").isNull(), F.col("at") + F.col("carried")).otherwise(F.col("at")).alias("at"), "is_head"
-    )
-    whole = whole.where("head.chr <> '' AND (n > 0 OR is_head)")
+    at = F.when(F.col("head").isNull(), F.col("at") + F.col("carried")).otherwise(F.col("at"))
+    placed = open_.join(F.broadcast(ends), ["file", "block"]).select("file", F.coalesce("head", "open").alias("head"), at.alias("at"), "n", "part")
+    placed = placed.where("head.chr <> '' AND (n > 0 OR at = 0)")
     touched = F.sequence(F.floor(F.col("at") / width), F.floor(F.greatest(F.col("at") + F.col("n") - 1, F.col("at")) / width))
-    cut = whole.withColumn("chunk", F.explode(touched)).withColumn("from", F.greatest(F.col("at"), F.col("chunk") * width))
+    cut = placed.withColumn("chunk", F.explode(touched)).withColumn("from", F.greatest(F.col("at"), F.col("chunk") * width))
     size = F.least(F.col("at") + F.col("n"), (F.col("chunk") + 1) * width) - F.col("from")
-    piece = F.substring("letters", (F.col("from") - F.col("at") + 1).cast("int"), size.cast("int"))
-    pieces = cut.select("file", "head", "chunk", F.struct("from", piece.alias("p")).alias("piece"))
-    parts = pieces.groupBy("file", "head", "chunk").agg(F.sort_array(F.collect_list("piece")).alias("ps"))
-    return parts.select(F.col("head.chr").alias("chr"), "chunk", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("part"))
+    piece = F.substring("part", (F.col("from") - F.col("at") + 1).cast("int"), size.cast("int"))
+    parts = cut.select("file", "head", "chunk", F.struct("from", piece.alias("p")).alias("piece")).groupBy("file", "head", "chunk").agg(F.sort_array(F.collect_list("piece")).alias("ps"))
+    return whole.unionByName(parts.select(F.col("head.chr").alias("chr"), "chunk", F.array_join(F.transform("ps", lambda x: x["p"]), "").alias("part")))
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``file, block, id, chr, whole, at, part``: whole chunks of contigs (``id``: the header's line), and what isn't known to be
+    one: what a block's last contig has behind its last whole chunk, be it nothing, and the bases ahead of a block's first header
+    (null ``id``, places within the block) in pieces of at most ``width``."""
+    key, contig, at, held, made = None, (None, None), 0, "", []
+
+    def hand(texts: list[str], whole: bool) -> None:
+        nonlocal at
+        for text in texts:
+            made.append((*key, *contig, whole, at, text))
+            at += len(text)
+
+    def close(by_header: bool) -> None:
+        """The contig ends with another's header or goes on in the next block."""
+        if key is not None and (held or (contig[0] is not None and (at == 0 or not by_header))):
+            hand([held], by_header and contig[0] is not None)
+
+    def batch() -> pa.RecordBatch:
+        names = ["file", "block", "id", "chr", "whole", "at", "part"]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made, strict=True), kinds, strict=True)], names=names)
+
+    for rows in batches:
+        n = rows.num_rows
+        if not n:
+            continue
+        block, is_head = rows.column("block").to_numpy(), rows.column("chr").is_valid().to_numpy(zero_copy_only=False)
+        file = pc.dictionary_encode(rows.column("file")).indices.to_numpy()
+        opens = np.append(True, (block[1:] != block[:-1]) | (file[1:] != file[:-1]))
+        starts = np.flatnonzero(opens | is_head)
+        letters = rows.column("letters").cast(pa.large_string())
+        offsets = np.frombuffer(letters.buffers()[1], np.int64)[letters.offset : letters.offset + n + 1]
+        data = memoryview(letters.buffers()[2] or b"")
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
+            if opens[a] and (now := (rows.column("file")[a].as_py(), int(block[a]))) != key:
+                close(False)
+                key, contig, at, held = now, (None, None), 0, ""
+            if is_head[a]:
+                close(True)
+                contig, at, held = (rows.column("id")[a].as_py(), rows.column("chr")[a].as_py()), 0, ""
+            held += str(data[offsets[a] : offsets[b]], "utf-8")
+            last = len(held) - len(held) % width
+            hand([held[k : k + width] for k in range(0, last, width)], contig[0] is not None)
+            held = held[last:]
+        if made:
+            yield batch()
+            made.clear()
+    close(False)
+    if made:
+        yield batch()
 
 
 def contig_catalog(spark: SparkSession, host: str, virus: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,3 +137,16 @@ def test_a_contig_with_few_places_is_many_files(spark, tmp_path):
     sizes = [r["count"] for r in back.groupBy(F.input_file_name()).count().collect()]
     assert sum(sizes) == 4000 and len(sizes) >= 3 and max(sizes) < 2000
     assert back.select("read_id").distinct().count() == 4000
+
+
+@pytest.mark.parametrize("size", [1, 3, 100])
+def test_fasta_pieces_leave_only_what_blocks_part(size):
+    """Whole chunks are made where lines are read, whatever batches they come in; only ends of blocks are left."""
+    lines = [("a", 0, 0, "ACGTA", None), ("a", 0, 1, "CC", None), ("a", 0, 2, "", "x"), ("a", 0, 3, "", "y"), ("a", 0, 4, "ACGTACGT", None), ("a", 0, 5, "", "z"), ("a", 0, 6, "ACGT", None), ("a", 9, 7, "", "w"), ("b", 0, 8, "", "v"), ("b", 0, 9, "GGG", None), ("b", 5, 10, "TTTTT", None)]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*lines, strict=True), types, strict=True)], names=["file", "block", "id", "letters", "chr"])
+    got = [tuple(r.values()) for b in readers._pieces((whole.slice(k, size) for k in range(0, len(lines), size)), 4) for r in b.to_pylist()]
+    assert got == [
+        ("a", 0, None, None, False, 0, "ACGT"), ("a", 0, None, None, False, 4, "ACC"), ("a", 0, 2, "x", True, 0, ""), ("a", 0, 3, "y", True, 0, "ACGT"), ("a", 0, 3, "y", True, 4, "ACGT"), ("a", 0, 5, "z", True, 0, "ACGT"),
+        ("a", 0, 5, "z", False, 4, ""), ("a", 9, 7, "w", False, 0, ""), ("b", 0, 8, "v", False, 0, "GGG"), ("b", 5, None, None, False, 0, "TTTT"), ("b", 5, None, None, False, 4, "T"),
+    ]
