@@ -351,3 +351,19 @@ def test_region_sequences_over_chunks(spark):
     for name, a, b, strand in rows:
         s = seqs[name][a:b]
         assert got[name, a, b, strand] == (s[::-1].translate(str.maketrans("ACGT", "TGCA")) if strand == "-" else s)
+
+
+def test_dust_searches_only_where_something_may_be_masked(monkeypatch):
+    """What is scored in full is little beside the sequences, and what comes out is what a search of everything finds."""
+    rng = random.Random(6)
+    plain = ["".join(rng.choices("ACGT", k=500)) for _ in range(40)]
+    seqs = [p[:250] + "AC" * (k % 20) + p[250:] for k, p in enumerate(plain)] + ["", "A", "AAAA" * 9, "Aü" * 20]
+    searched, masked = [], dust._masked
+    ends = np.cumsum([len(s) + 3 for s in seqs]) - 3
+    letters = np.array([ord(c) for c in "\0\0\0".join(seqs)])
+    a, b = masked(letters, ends - [len(s) for s in seqs], ends, 64, 2.0)
+    of = np.searchsorted(ends, a, side="right")
+    want = [[(int(x - ends[k]) + len(s), int(y - ends[k]) + len(s)) for x, y in zip(a[of == k], b[of == k], strict=True)] for k, s in enumerate(seqs)]
+    monkeypatch.setattr(dust, "_masked", lambda cut, *rest: searched.append(len(cut)) or masked(cut, *rest))
+    assert dust.dust_spans_of(seqs) == want and sum(map(len, want)) > 10
+    assert sum(searched) < len(letters) / 3
