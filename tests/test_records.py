@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from junctura.config import JunctionConfig
 from junctura.functions import sequences as S
 from junctura.operators import align, calls, containment, dust, edgeproc, edges, ranges, records, screen, windows
+from junctura.plans import views as V
 
 CFG = JunctionConfig()
 
@@ -367,3 +368,12 @@ def test_dust_searches_only_where_something_may_be_masked(monkeypatch):
     monkeypatch.setattr(dust, "_masked", lambda cut, *rest: searched.append(len(cut)) or masked(cut, *rest))
     assert dust.dust_spans_of(seqs) == want and sum(map(len, want)) > 10
     assert sum(searched) < len(letters) / 3
+
+
+def test_bases_of_lines_are_made_once(spark, tmp_path):
+    texts = [(1, "Ab z\n\n-- 12\nK İ\né\nACGT"), (2, None), (3, ""), (4, "\n\n q")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = V.dna_lines(spark, str(tmp_path))
+    every = V.table(spark, str(tmp_path), "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t")).select("doc_id", "line", V.dna(F.col("t")).alias("s"))
+    assert sorted(map(tuple, lines.collect())) == sorted(tuple(r) for r in every.collect() if r.s) and lines.count() == 4
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
