@@ -292,14 +292,17 @@ def align_both_strands(df: DataFrame, query: str, ref: str, cfg: JunctionConfig
     """``df`` with ``score, ref_begin, ref_end, q_begin, q_end, cigar, q_strand``; the other strand wins ties."""
     from junctura.functions.sequences import reverse_complement
 
-    # A given number of partitions, as few bytes are much work.
-    df = df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     both = df.withColumn("__m", sw_align(reverse_complement(F.col(query)), F.col(ref), cfg)).withColumn("__p", sw_align(F.col(query), F.col(ref), cfg))
     plus = F.coalesce(F.col("__p.score"), F.lit(0)) > F.coalesce(F.col("__m.score"), F.lit(0))
     chosen = F.when(plus, F.col("__p")).otherwise(F.col("__m"))
     return both.withColumn("__c", chosen).withColumn("q_strand", F.when(plus, "+").otherwise("-")).select(*df.columns, "__c.*", "q_strand")
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """``pairs`` to align in a given number of partitions, as few bytes are much work."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def sharing_seeds(reads: DataFrame, references: DataFrame, keys: list[str], ref: str, k: int, small: int = SMALL_SEEDS) -> DataFrame:
     """``keys, ref`` of reads (``keys, seq``) and references (``ref, seq``) that have a k-mer in common, each pair once.
 
@@ -384,7 +387,7 @@ def align_segments(members: DataFrame, regions: DataFrame, segments: DataFrame,
     cfg = cfg or JunctionConfig()
     at = members.join(regions.select("region_id", "is_virus", F.col("seq").alias("ref")), "region_id")
     both = at.join(segments.select("frag_id", "is_virus", F.col("seq").alias("query")), ["frag_id", "is_virus"])
-    found = accepted(align_both_strands(both, "query", "ref", cfg), cfg).drop("ref", "query")
+    found = accepted(align_both_strands(dealt(both), "query", "ref", cfg), cfg).drop("ref", "query")
     return relative(found, ["frag_id", "is_virus"], cfg)
 
 
