@@ -18,8 +18,10 @@ RESULT = "struct<score:int,ref_begin:int,ref_end:int,q_begin:int,q_end:int,cigar
 REVERSED = bytes.maketrans(b"ACGT", b"TGCA")
 _OTHER = dict(zip("ACGT", "TGCA", strict=True))
 _LOW = -(1 << 28)
-#: Reference letters of the pairs that are filled together, and cells of the bands that are.
-BATCH_CELLS, BAND_CELLS = 1 << 16, 1 << 20
+#: Reference letters of the pairs that are filled together, and of those whose ends are looked for, and cells of the bands that are filled.
+BATCH_CELLS, END_CELLS, BAND_CELLS = 1 << 16, 1 << 17, 1 << 20
+#: Matches from which on a query's end is taken to lie in a reference, and letters behind its last beginning that are looked at.
+REACHED, LOOKED_AT = 24, 32
 #: Seeds whose hashes are shipped to the tasks (8 bytes each), and letters that are hashed at a time.
 SMALL_SEEDS, SEED_LETTERS = 4_000_000, 1 << 20
 
@@ -197,7 +199,7 @@ def align_many(pairs: list[tuple[str, str]], cfg: JunctionConfig) -> list[tuple[
     out: list = [None] * len(pairs)
     coded = {k: (codes(q), codes(r)) for k, (q, r) in enumerate(pairs) if q and r}
     order = sorted(coded, key=lambda k: (len(coded[k][0]) // 32, len(coded[k][1])))
-    for batch in _batches(order, coded):
+    for batch in _batches(order, coded, 32, BATCH_CELLS):
         q, r = zip(*[coded[k] for k in batch], strict=True)
         score, r_end, q_end = ends(_stacked(q), _stacked(r), cfg)
         hit = [x for x in range(len(batch)) if score[x] > 0]
@@ -212,14 +214,14 @@ def align_many(pairs: list[tuple[str, str]], cfg: JunctionConfig) -> list[tuple[
     return out
 
 
-def _batches(order: list[int], coded: dict) -> Iterator[list[int]]:
-    """Consecutive pairs whose rows together are BATCH_CELLS at most, and whose sizes are alike."""
-    batch: list[int] = []
+def _batches(order: list, coded: dict, step: int, cells: int) -> Iterator[list]:
+    """Consecutive pairs whose rows together are ``cells`` at most, and whose sizes are alike."""
+    batch: list = []
     for k in order:
         n, m = map(len, coded[k])
         if batch:
             n0, m0 = map(len, coded[batch[0]])
-            if (len(batch) + 1) * m > BATCH_CELLS or n > n0 + 32 or m > m0 + m0 // 4 + 32:
+            if (len(batch) + 1) * m > cells or n > n0 + step or m > m0 + m0 // 4 + step:
                 yield batch
                 batch = []
         batch.append(k)
@@ -241,8 +243,8 @@ def spans_query(pairs: list[tuple[str, str]], share: float, cfg: JunctionConfig)
     """Whether the best alignment of each pair of query and reference, as :func:`align_many` finds it, has its last base on the
     query at least ``share`` of the query's length behind its first.
 
-    Backwards are filled only those that end far enough on the query; nothing is traced. A text that equals the other lies in
-    it as a whole.
+    Only pairs whose two ends can be part of it are filled, and backwards only those that end far enough on the query; nothing
+    is traced. A text that equals the other lies in it as a whole.
     """
     out = np.zeros(len(pairs), bool)
     places: dict[tuple[str, str], list[int]] = {}
@@ -260,8 +262,8 @@ def spans_query(pairs: list[tuple[str, str]], share: float, cfg: JunctionConfig)
             held.append(pair)
         else:
             coded[pair] = known[q], known[r]
-    order = sorted(coded, key=lambda p: (len(coded[p][0]) // 32, len(coded[p][1])))
-    for batch in _batches(order, coded):
+    order = sorted(_with_both_ends(coded, share, cfg), key=lambda p: (len(coded[p][0]) // 32, len(coded[p][1])))
+    for batch in _batches(order, coded, 32, BATCH_CELLS):
         q, r = zip(*[coded[p] for p in batch], strict=True)
         score, r_end, q_end = ends(_stacked(q), _stacked(r), cfg)
         far = [x for x in range(len(batch)) if score[x] > 0 and q_end[x] - 1 >= share * len(q[x])]
@@ -273,6 +275,81 @@ def spans_query(pairs: list[tuple[str, str]], share: float, cfg: JunctionConfig)
     return out
 
 
+def _with_both_ends(coded: dict, share: float, cfg: JunctionConfig) -> list:
+    """Of pairs of query and reference those whose best alignment may take ``share`` of the query, by its ends alone.
+
+    Such an alignment begins within the first letters of the query and ends within its last ones. As it is the best and the
+    shortest of the best, each part of it that begins where it begins, or ends where it ends, scores more than 0. So from each
+    end of the query a path of positive scores has to go on beyond the letters it may begin with.
+    """
+    if not (0 < cfg.match <= 20 and 0 <= cfg.mismatch <= 100 and 0 < cfg.gap_extend <= cfg.gap_open <= 60):
+        return list(coded)  # the scores below take a byte
+    left, least = [], {}
+    for p, (q, _) in coded.items():
+        least[p] = next(k for k in range(int(share * len(q)), len(q) + 2) if k >= share * len(q)) + 1
+        left.append(p)
+    short = [p for p in left if 2 * least[p] - len(coded[p][0]) - 1 < 16]  # too few letters to tell by
+    left = [p for p in left if 2 * least[p] - len(coded[p][0]) - 1 >= 16]
+    for step in (-1, 1):
+        found = []
+        for batch in _batches(sorted(left, key=lambda p: (len(coded[p][0]) // 128, len(coded[p][1]))), coded, 128, END_CELLS):
+            begins = [len(coded[p][0]) - least[p] + 1 for p in batch]
+            ahead = min(LOOKED_AT, min(least[p] - b for p, b in zip(batch, begins, strict=True)))
+            queries, refs = zip(*[(coded[p][0][::step], coded[p][1][::step]) for p in batch], strict=True)
+            found += [p for p, there in zip(batch, _begun(queries, refs, begins, ahead, cfg).tolist(), strict=True) if there]
+        left = found
+    return short + left
+
+
+def _begun(queries: list[np.ndarray], refs: list[np.ndarray], begins: list[int], ahead: int, cfg: JunctionConfig) -> np.ndarray:
+    """Of each pair whether a path that begins on one of the first ``begins`` letters of the query stays above 0 for ``ahead`` more.
+
+    Paths of all pairs are followed a letter of the queries a step, so that the last letters to begin on meet. A deletion is
+    looked for only behind cells that can pay it, which are few. Paths that get to REACHED matches are taken to go on, and
+    scores are never lower than the true ones, so no pair is lost.
+    """
+    pairs, width, last = len(refs), max(map(len, refs)) + 1, max(begins)
+    letters, text = np.full((last + ahead, pairs), 5, np.int8), np.full((pairs, width), 4, np.int8)  # 4 and 5 match nothing
+    for k, (q, r, n) in enumerate(zip(queries, refs, begins, strict=True)):
+        letters[last - n :, k] = np.where(q[: n + ahead] == 4, np.int8(5), q[: n + ahead])
+        text[k, 1 : len(r) + 1] = r
+    opened, longer, mismatch, step, enough = np.int8(cfg.gap_open), np.int8(cfg.gap_extend), np.int8(cfg.mismatch), np.int8(cfg.match + cfg.mismatch), min(REACHED * cfg.match, 100)
+    best, now, insertion, gain, zero = (np.zeros((pairs, width), np.int8) for _ in range(5))
+    same, reached = np.zeros((pairs, width), bool), np.zeros(pairs, bool)
+    for i in range(last + ahead):
+        np.equal(text, letters[i][:, None], out=same)
+        np.multiply(same.view(np.int8), step, out=gain)
+        np.subtract(gain, mismatch, out=gain)
+        flat = now.reshape(-1)
+        np.add(best.reshape(-1)[:-1], gain.reshape(-1)[1:], out=flat[1:])
+        if i >= last:
+            now[:, 1:] *= best[:, :-1] > 0
+        np.subtract(insertion, longer, out=insertion)
+        np.maximum(insertion, best - opened, out=insertion)
+        np.maximum(now, insertion, out=now)
+        np.maximum(now, zero, out=now)
+        now[:, 0] = 0
+        top = now.max(axis=1)
+        if top.max() >= enough:
+            rows = np.flatnonzero(top >= enough)
+            reached[rows] = True
+            text[rows], now[rows], insertion[rows], top[rows] = 4, 0, 0, 0
+        rows = np.flatnonzero(top > opened)
+        if len(rows):
+            row, column = np.nonzero(now[rows] > opened)
+            at = rows[row] * width + column
+            left = flat[at] - opened
+            many = -(-left // longer)  # lengths that can be paid
+            gone = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            to = np.repeat(at, many) + gone + 1
+            there = to < len(flat)
+            np.maximum.at(flat, to[there], (np.repeat(left, many) - gone * longer)[there].astype(np.int8))
+        best, now = now, best
+        if i >= last and not best.any():
+            break
+    return reached | best.any(axis=1)
+
+
 def sw_align(query: Column, ref: Column, cfg: JunctionConfig | None = None) -> Column:
     """The alignment of two sequences as a RESULT struct; null where nothing matches or an input is null."""
     cfg = cfg or JunctionConfig()

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import bisect
+import functools
 from array import array
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ PAIR_ROWS = 200_000
 PAIR_STEPS, BLOCK_ROWS = 8, 1_000_000
 #: Calls of a pair of contigs in a block whose calls are compared with those of another.
 DUPLICATE_BLOCK = 256
+#: Stretches of a sequence, and letters of each, that tell which calls to compare it with first.
+PROBES, PROBE = 8, 12
 
 
 def call_statistics(reads: DataFrame, edge: list[str], cfg: JunctionConfig) -> DataFrame:
@@ -252,7 +255,7 @@ def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     compared within their pair of contigs; empty sequences are never duplicates.
 
     Calls with the same sequences and strands are compared once, for the first of them. All others of a pair of contigs meet,
-    dealt into blocks of about ``DUPLICATE_BLOCK`` by as many, so pairs are made and judged where their block is.
+    dealt into blocks of about ``DUPLICATE_BLOCK``; two blocks are one group, in which each looks for one earlier of the other.
     """
     spark, keys = calls.sparkSession, ["host_chr", "virus_chr"]
     cols = ["host_rev", "virus_rev", "host_seq", "virus_seq"]
@@ -260,40 +263,91 @@ def duplicate_calls(calls: DataFrame, cfg: JunctionConfig) -> DataFrame:
     kinds = given.groupBy(*keys, *cols).agg(F.min("call_id").alias("first"), F.max("call_id").alias("last"))
     sizes = kinds.groupBy(*keys).agg(F.ceil(F.count("*") / DUPLICATE_BLOCK).cast("int").alias("blocks"))
     dealt = kinds.join(sizes, keys).withColumn("block", F.expr("CAST(pmod(xxhash64(first), blocks) AS INT)"))
-    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-
-    def side(s: str, own: str, other: str, *more: str) -> DataFrame:
-        each = dealt.withColumn("other", others).select(*keys, F.col("block").alias(own), F.col("other").alias(other), *[F.col(c).alias(f"{s}_{c}") for c in (*cols, *more)])
-        # A given number of partitions, as few bytes are much work.
-        return each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "eb", "lb")
-
-    pairs = side("e", "eb", "lb", "first").join(side("l", "lb", "eb", "first", "last"), [*keys, "eb", "lb"]).where("e_first < l_last")
-    facts = [F.col(f"{s}_{c}") for c in cols for s in "el"]
-    found = pairs.where(_same_on_both_sides(cfg)(*facts)).groupBy(*keys, F.col("l_first").alias("first")).agg(F.min("e_first").alias("since"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    # A given number of partitions, as few bytes are much work.
+    met = met.drop("blocks", "other").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys, "low", "high")
+    types = {c: given.schema[c].dataType.simpleString() for c in (*keys, "call_id")}
+    told = f"{', '.join(f'{c} {types[c]}' for c in keys)}, first {types['call_id']}, since {types['call_id']}"
+    found = met.groupBy(*keys, "low", "high").applyInArrow(_earlier_duplicates(cfg), told).groupBy(*keys, "first").agg(F.min("since").alias("since"))
     late = kinds.join(found, [*keys, "first"]).select(*[F.col(c).alias(f"k_{c}") for c in (*keys, *cols)], "since")  # a kind is told by its first call
     same_kind = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in (*keys, *cols)]
     return given.join(late, same_kind).where("call_id > since").select("call_id").distinct()
 
 
-def _same_on_both_sides(cfg: JunctionConfig):
-    """Whether of each pair of calls both sides are the same; the virus is looked at where the host is."""
+def _earlier_duplicates(cfg: JunctionConfig):
+    """``first, since`` of the kinds of two blocks that calls behind ``since`` are duplicates of: of any that comes before all of
+    a kind's calls, or else of the first one. Kinds of one block are compared where it is met by itself."""
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by("first")
+        kinds = [_Kind(*row) for row in zip(*[table.column(c).to_pylist() for c in _Kind._fields], strict=True)]
+        alone = table.column("low")[0].as_py() == table.column("high")[0].as_py()
+        since: dict[int, int] = {}
+
+        def settle(pairs: list[tuple[int, int]]) -> None:
+            for k, e in zip(*np.array(pairs)[_duplicates([(kinds[e], kinds[k]) for k, e in pairs], cfg)].T.tolist(), strict=True) if pairs else ():
+                since[k] = min(since.get(k, e), e)
+
+        turn, likely, others = 1, {}, {}
+        for k, late in enumerate(kinds):
+            ranked = [(-_common(*_hosts(kinds[e], late)), e) for e in range(k) if alone or kinds[e].block != late.block]
+            likely[k] = [e for shared, e in sorted(ranked) if -2 * shared >= PROBES]
+            others[k] = [e for shared, e in ranked if -2 * shared < PROBES]
+        while any(likely.values()):
+            settle([(k, e) for k, ranked in likely.items() for e in ranked[:turn]])
+            likely, turn = {k: ranked[turn:] for k, ranked in likely.items() if k not in since}, 2 * turn
+        settle([(k, e) for k, rest in others.items() if k not in since for e in rest])
+        more = [k for k, kind in enumerate(kinds) if k not in since and kind.first < kind.last]
+        settle([(k, k) for k in more])
+        settle([(k, e) for k in more if k not in since for e in range(k + 1, len(kinds)) if kinds[e].first < kinds[k].last and (alone or kinds[e].block != kinds[k].block)])
+        contigs = {c: pa.array([table.column(c)[0].as_py()] * len(since), table.schema.field(c).type) for c in ("host_chr", "virus_chr")}
+        ids = {"first": list(since), "since": list(since.values())}
+        return pa.table(contigs | {c: pa.array([kinds[k].first for k in of], table.schema.field("first").type) for c, of in ids.items()})
+
+    return find
+
+
+class _Kind(NamedTuple):
+    """Calls with the same sequences and strands, and their block."""
+
+    block: int
+    host_rev: bool
+    virus_rev: bool
+    host_seq: str
+    virus_seq: str
+    first: int
+    last: int
+
+
+def _duplicates(pairs: list[tuple[_Kind, _Kind]], cfg: JunctionConfig) -> np.ndarray:
+    """Whether of each pair of kinds, early and late, both sides are the same; the virus is looked at where the host is."""
+    out = spans_query([_hosts(*pair) for pair in pairs], cfg.duplicate_span, cfg)
+    left = np.flatnonzero(out)
+    out[left] = spans_query([_shorter_first(e.virus_seq, k.virus_seq, e.virus_rev, k.virus_rev) for e, k in (pairs[x] for x in left.tolist())], cfg.duplicate_span, cfg)
+    return out
+
+
+def _hosts(early: _Kind, late: _Kind) -> tuple[str, str]:
+    return _shorter_first(early.host_seq, late.host_seq, early.host_rev, late.host_rev)
 
-    @F.pandas_udf("boolean")
-    def same(e_hr: pd.Series, l_hr: pd.Series, e_vr: pd.Series, l_vr: pd.Series, e_h: pd.Series, l_h: pd.Series, e_v: pd.Series, l_v: pd.Series) -> pd.Series:
-        out = np.zeros(len(e_h), bool)
-        host = [_shorter_first(*x) for x in zip(e_h, l_h, e_hr, l_hr, strict=True)]
-        left = np.flatnonzero(spans_query(host, cfg.duplicate_span, cfg))
-        virus = [_shorter_first(e_v.iat[k], l_v.iat[k], e_vr.iat[k], l_vr.iat[k]) for k in left.tolist()]
-        out[left[spans_query(virus, cfg.duplicate_span, cfg)]] = True
-        return pd.Series(out)
 
-    return same
+def _common(query: str, ref: str) -> int:
+    """How many of PROBES stretches of the query are in the reference."""
+    return sum(s in ref for s in _probes(query))
+
+
+@functools.lru_cache(4 * DUPLICATE_BLOCK)
+def _probes(query: str) -> list[str]:
+    return [query[at : at + PROBE] for at in ((len(query) - PROBE) * k // (PROBES - 1) for k in range(PROBES)) if at >= 0]
 
 
 def _shorter_first(early: str, late: str, early_rev: bool, late_rev: bool) -> tuple[str, str]:
     """Query and reference: the shorter one, turned where strands differ, and the longer; of one length, the later and the earlier."""
     query, ref = (late, early) if len(early) >= len(late) else (early, late)
-    return (turned(query) if {early_rev, late_rev} == {False, True} else query), ref
+    return (_turned(query) if {early_rev, late_rev} == {False, True} else query), ref
+
+
+_turned = functools.lru_cache(4 * DUPLICATE_BLOCK)(turned)
 
 
 def last_masks(masks: DataFrame, order: str = "ord") -> DataFrame:

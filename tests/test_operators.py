@@ -1,6 +1,7 @@
 """Operators against plain Python on small random inputs."""
 
 import bisect
+import itertools
 import random
 
 import pytest
@@ -446,3 +447,54 @@ def test_aligned_segments_reads_lines_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries.V, "dna_lines", lambda *a: made.append(a) or given(*a))
     got = queries.aligned_segments(spark, f"file://{tmp_path}").collect()
     assert {r.frag_id for r in got} == {f"{k}:0" for k in range(6)} and len(made) == 1
+
+
+def _related(rng, n):
+    """Pairs of a shorter and a longer text around a common core with changes, inserted and missing letters."""
+
+    def around(core):
+        more = ["".join(rng.choices("ACGT", k=rng.choice([0, 0, 8, 40]))) for _ in "ab"]
+        at = rng.randint(0, len(core))
+        cut = core[:at] + "".join(rng.choices("ACGT", k=rng.choice([0, 0, 3, 15]))) + core[at + rng.choice([0, 0, 4, 12]) :]
+        rate = rng.choice([0, 0.03, 0.1, 0.2])
+        return more[0] + "".join(rng.choice("ACGTN") if rng.random() < rate else c for c in cut) + more[1]
+
+    cores = ["".join(rng.choices(rng.choice(["ACGT", "AC"]), k=rng.randint(10, 120))) for _ in range(n)]
+    return [tuple(sorted((around(c), around(c)), key=len)) for c in cores]
+
+
+@pytest.mark.parametrize("cfg", [CFG, JunctionConfig(mismatch=1, gap_open=2), JunctionConfig(match=2, gap_extend=2), JunctionConfig(match=30, mismatch=100, gap_open=150)])
+def test_spans_query_by_both_ends_loses_no_pair(cfg):
+    pairs = [p for p in _related(random.Random(8), 300) if p[0]]
+    for share in (0.55, 0.8):
+        got = align.spans_query(pairs, share, cfg).tolist()
+        found = align.align_many(pairs, cfg)
+        assert got == [a is not None and a[4] - a[3] >= share * len(q) for (q, _), a in zip(pairs, found, strict=True)] and 20 < sum(got) < 290
+
+
+def test_spans_query_fills_no_pair_whose_ends_differ(monkeypatch):
+    """Texts that share a passage, as an item's lines do; the rest of the shorter one isn't in the other."""
+    rng = random.Random(9)
+    passage = "".join(rng.choices("ACGT", k=60))
+    texts = ["".join(rng.choices("ACGT", k=rng.randint(100, 150))) + passage + "".join(rng.choices("ACGT", k=rng.randint(100, 150))) for _ in range(25)]
+    pairs = [tuple(sorted((a, b), key=len)) for a, b in itertools.combinations(texts, 2)]
+    filled, ends = [], align.ends
+    monkeypatch.setattr(align, "ends", lambda q, r, cfg: filled.append(len(q)) or ends(q, r, cfg))
+    assert not align.spans_query(pairs, 0.8, CFG).any() and sum(filled) < len(pairs) // 20
+
+
+def test_copies_are_compared_until_one_is_found(monkeypatch):
+    """Near copies: one comparison each, not one a pair; calls of one kind from its second on."""
+    import pyarrow as pa
+
+    rng = random.Random(10)
+    text = "".join(rng.choices("ACGT", k=200))
+    copies = [text[:k] + rng.choice("ACGT") + text[k + rng.choice([0, 1]) :] for k in range(20, 180, 4)] + ["".join(rng.choices("ACGT", k=90))]
+    made, given = [], calls.spans_query
+    monkeypatch.setattr(calls, "spans_query", lambda pairs, *more: made.append(len(pairs)) or given(pairs, *more))
+    rows = {"host_chr": "h", "virus_chr": "v", "low": 0, "high": 0, "block": 0, "host_rev": False, "virus_rev": False, "virus_seq": "ACGTACGTACGT"}
+    kinds = pa.Table.from_pylist([rows | {"host_seq": s, "first": k, "last": 100 + k} for k, s in enumerate(copies)])
+    got = {r["first"]: r["since"] for r in calls._earlier_duplicates(CFG)(kinds).to_pylist()}
+    n = len(copies)
+    assert all(got[k] < k for k in range(1, n - 1)) and got[0] == 0 and got[n - 1] == n - 1
+    assert sum(made) < 8 * n < n * (n - 1) // 4
